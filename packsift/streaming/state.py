@@ -1,0 +1,148 @@
+"""Bounded cache and audit counter as stateful stream operators.
+
+Every scan worker keeps its own cache, so state is keyed by (namespace, worker):
+a busy namespace is spread over its workers. Rows of one key in one micro-batch
+are bounded by the source's rate limit and are applied in ``seq`` order.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from packsift.settings import AUDIT_EVERY, CACHE_BYTES, CACHE_ENTRIES
+
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+CACHE_EVENT = "namespace string, worker string, seq bigint, key string, event string"
+AUDIT_EVENT = "namespace string, worker string, seq bigint, decision string, disabled boolean"
+
+
+def _in_order(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    return pd.concat(list(batches)).sort_values("seq", kind="stable")
+
+
+class BoundedCache(StatefulProcessor):
+    """First-in-first-out cache of keys within an entry and a byte bound.
+
+    A stored key is kept as it is; after its eviction it can be stored again.
+    """
+
+    def __init__(self, max_entries: int = CACHE_ENTRIES, max_bytes: int = CACHE_BYTES):
+        self.max_entries = max_entries
+        self.max_bytes = max_bytes
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.stored = handle.getMapState("stored", "key string", "place bigint")
+        self.queue = handle.getMapState("queue", "place bigint", "key string, size bigint")
+        self.totals = handle.getValueState("totals", "head bigint, tail bigint, bytes bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        head, tail, held = self.totals.get() if self.totals.exists() else (0, 0, 0)
+        events: list[tuple[int, str, str]] = []
+        for row in _in_order(rows).itertuples(index=False):
+            size = int(row.size)
+            if self.max_entries == 0 or size > self.max_bytes or self.stored.containsKey((row.key,)):
+                continue
+            while head < tail and (tail - head >= self.max_entries or held + size > self.max_bytes):
+                old_key, old_size = self.queue.getValue((head,))
+                self.queue.removeKey((head,))
+                self.stored.removeKey((old_key,))
+                held -= old_size
+                head += 1
+                events.append((int(row.seq), old_key, "evicted"))
+            self.queue.updateValue((tail,), (row.key, size))
+            self.stored.updateValue((row.key,), (tail,))
+            tail += 1
+            held += size
+            events.append((int(row.seq), row.key, "inserted"))
+        self.totals.update((head, tail, held))
+        out = pd.DataFrame(events, columns=["seq", "key", "event"])
+        out.insert(0, "worker", key[1])
+        out.insert(0, "namespace", key[0])
+        yield out
+
+    def close(self) -> None:
+        pass
+
+
+class AuditCounter(StatefulProcessor):
+    """Which hits are reused; a failed audit switches reuse off for good.
+
+    State belongs to a namespace, so new rules start with a fresh counter.
+    """
+
+    def __init__(self, every: int = AUDIT_EVERY):
+        self.every = every
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("state", "hits bigint, disabled boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        hits, disabled = self.state.get() if self.state.exists() else (0, False)
+        out = _in_order(rows)
+        decisions, flags = [], []
+        for equal in out["equal"]:
+            if disabled:
+                decisions.append("scan")
+            else:
+                hits += 1
+                audited = hits % self.every == 0
+                decisions.append("audit" if audited else "reuse")
+                disabled = bool(audited and not equal)
+            flags.append(disabled)
+        self.state.update((hits, disabled))
+        yield pd.DataFrame(
+            {
+                "namespace": key[0],
+                "worker": key[1],
+                "seq": out["seq"].to_numpy(),
+                "decision": decisions,
+                "disabled": flags,
+            }
+        )
+
+    def close(self) -> None:
+        pass
+
+
+def cache_events(puts: DataFrame, max_entries: int = CACHE_ENTRIES, max_bytes: int = CACHE_BYTES) -> DataFrame:
+    """Insertions and evictions of a put stream (namespace, worker, seq, key, size)."""
+    return puts.groupBy("namespace", "worker").transformWithStateInPandas(
+        statefulProcessor=BoundedCache(max_entries, max_bytes),
+        outputStructType=CACHE_EVENT,
+        outputMode="Append",
+        timeMode="None",
+    )
+
+
+def audit_events(hits: DataFrame, every: int = AUDIT_EVERY) -> DataFrame:
+    """Decisions for a hit stream (namespace, worker, seq, equal)."""
+    return hits.groupBy("namespace", "worker").transformWithStateInPandas(
+        statefulProcessor=AuditCounter(every),
+        outputStructType=AUDIT_EVENT,
+        outputMode="Append",
+        timeMode="None",
+    )
+
+
+def run_to_table(events: DataFrame, folder: str) -> DataFrame:
+    """Process all available input into parquet below ``folder`` and read it."""
+    spark = events.sparkSession
+    previous = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    try:
+        (
+            events.writeStream.format("parquet")
+            .option("path", f"{folder}/events")
+            .option("checkpointLocation", f"{folder}/progress")
+            .trigger(availableNow=True)
+            .start()
+            .awaitTermination()
+        )
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", previous)
+    return spark.read.schema(events.schema).parquet(f"{folder}/events")
