@@ -14,7 +14,7 @@ from packsift.functions.identity import with_identity
 from packsift.functions.paths import path_parts
 from packsift.operators.running import row_numbers, running_totals
 from packsift.operators.skew import skew_safe_join
-from packsift.session import output_dir
+from packsift.session import settle
 from packsift.settings import MAX_SCAN_SIZE
 
 FILE_KEY = ["pkg", "dist_index", "path"]
@@ -27,16 +27,13 @@ def within_scan_size(files: DataFrame, limit: int = MAX_SCAN_SIZE) -> DataFrame:
 
 
 def file_index(files: DataFrame) -> DataFrame:
-    """Narrow alias rows: file key and identity, without content."""
-    return with_identity(files).select(*FILE_KEY, *IDENTITY, "identity")
+    """Narrow alias rows: file key, identity and whatever else but content."""
+    return with_identity(files).drop("content")
 
 
-def write_manifest(index: DataFrame, folder: str | None = None) -> DataFrame:
+def write_manifest(index: DataFrame) -> DataFrame:
     """Store alias rows and read them back, so content is hashed only once."""
-    spark = index.sparkSession
-    folder = folder or output_dir(spark, "manifest")
-    index.write.parquet(folder)
-    return spark.read.schema(index.schema).parquet(folder)
+    return settle(index, "manifest")
 
 
 def package_identities(index: DataFrame) -> DataFrame:

@@ -14,20 +14,20 @@ from packsift.operators.skew import skew_safe_join
 from packsift.settings import MAX_FINDINGS, MAX_PATH_BYTES, MAX_SCAN_SIZE
 
 
-def expand_findings(aliases: DataFrame, findings: DataFrame) -> DataFrame:
+def expand_findings(aliases: DataFrame, findings: DataFrame, weights: DataFrame | None = None) -> DataFrame:
     """One row per (alias, finding); aliases without findings are dropped.
 
     Many packages hold the same file, so one identity can own a large share of
-    the aliases: the join is salted.
+    the aliases: the join is salted. ``aliases`` is best a stored manifest.
     """
-    return skew_safe_join(aliases, findings, ["identity"], spread=FILE_KEY)
+    return skew_safe_join(aliases, findings, ["identity"], spread=FILE_KEY, weights=weights)
 
 
 def locate(expanded: DataFrame, distributions: DataFrame) -> DataFrame:
     """Add the inspector location. ``distributions`` is (pkg, dist_index, base).
 
     A finding whose distribution is unknown, or whose location is too long, gets
-    an ``error`` instead.
+    an ``error`` instead. ``expanded`` is best a stored table.
     """
     joined = skew_safe_join(
         expanded, distributions, ["pkg", "dist_index"], "left", spread=[*FILE_KEY, "check_id", "start_line"]

@@ -52,8 +52,11 @@ def latest_reply(replies: DataFrame, order: str, key: Sequence[str] = KEY) -> Da
 
 
 def fan_back(local: DataFrame, replies: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
-    """Give each local key its reply; several local keys may share one."""
-    return skew_safe_join(local, replies, key)
+    """Give each local key its reply; several local keys may share one.
+
+    Local keys are distinct identities, so only a few meet in one stored row.
+    """
+    return local.join(replies, list(key))
 
 
 def decode(result: Column) -> Column:
@@ -182,13 +185,14 @@ def admit(
     order: Sequence[str],
     job: str = "pkg",
     on: Sequence[str] = KEY,
+    weights: DataFrame | None = None,
 ) -> DataFrame:
     """New table rows from complete runs only.
 
     ``results`` holds one row per scanned (job, target), clean ones included. A
-    job with any warning admits nothing.
+    job with any warning admits nothing. ``weights`` as in the salted join.
     """
-    complete = skew_safe_join(results, warnings.select(job).distinct(), [job], "left_anti")
+    complete = skew_safe_join(results, warnings.select(job).distinct(), [job], "left_anti", weights=weights)
     return new_entries(storable(complete), cache, order, on)
 
 

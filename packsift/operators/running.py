@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from packsift.session import cut_lineage
+from packsift.session import settle
 
 
 def running_totals(
@@ -31,10 +31,11 @@ def running_totals(
     """
     values = {f"_v_{name}": value.cast("bigint") for name, value in totals.items()}
     # The placement is read twice below and has to be the same both times.
-    placed = cut_lineage(
+    placed = settle(
         df.withColumns(values)
         .repartitionByRange(*[F.col(name) for name in group], *order)
-        .withColumn("_block", F.spark_partition_id())
+        .withColumn("_block", F.spark_partition_id()),
+        "running",
     )
     blocks = placed.groupBy(*group, "_block").agg(
         *[F.sum(f"_v_{name}").alias(f"_c_{name}") for name in totals]

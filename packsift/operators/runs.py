@@ -2,7 +2,7 @@
 
 Inputs shared by the runs:
 
-index     alias rows with identity (see dedup.file_index)
+index     alias rows with identity, as a stored manifest
 targets   one row with content per identity
 known     identities with a stored result
 stored    their stored findings (identity, check_id, start_line, end_line)
@@ -18,6 +18,7 @@ from packsift.operators.expand import expand_findings
 from packsift.operators.reuse import decide, mismatched_keys
 from packsift.operators.scan import scan
 from packsift.operators.skew import skew_safe_join
+from packsift.session import settle
 from packsift.settings import AUDIT_EVERY
 
 _ITEM = ["check_id", "start_line", "end_line"]
@@ -28,9 +29,11 @@ def package_targets(index: DataFrame) -> DataFrame:
     return index.groupBy("pkg", "identity", "size").agg(F.count("*").alias("aliases"))
 
 
-def _with_known(rows: DataFrame, known: DataFrame) -> DataFrame:
+def _with_known(index: DataFrame, known: DataFrame) -> DataFrame:
     marked = known.select("identity", F.lit("stored").alias("result"))
-    return skew_safe_join(rows, marked, ["identity"], "left", spread=["pkg"])
+    return skew_safe_join(
+        package_targets(index), marked, ["identity"], "left", spread=["pkg"], weights=index
+    )
 
 
 def observe(index: DataFrame, targets: DataFrame, rules: DataFrame, known: DataFrame, stored: DataFrame) -> DataFrame:
@@ -46,7 +49,7 @@ def observe(index: DataFrame, targets: DataFrame, rules: DataFrame, known: DataF
     facts = known.select("identity", F.lit(True).alias("_known")).join(differing, "identity", "left").join(
         per_target, "identity", "full"
     )
-    joined = skew_safe_join(package_targets(index), facts, ["identity"], "left", spread=["pkg"])
+    joined = skew_safe_join(package_targets(index), facts, ["identity"], "left", spread=["pkg"], weights=index)
     return joined.groupBy("pkg").agg(
         F.count("*").alias("lookups"),
         F.count_if("_known").alias("candidate_files"),
@@ -70,7 +73,7 @@ def apply(
     Returns ``(findings, jobs)``; a failed job has no findings.
     """
     order = [F.col("pkg"), F.col("identity")]
-    decisions = decide(_with_known(package_targets(index), known), "reuse", order, every)
+    decisions = settle(decide(_with_known(index, known), "reuse", order, every), "decisions")
     audited = decisions.where(F.col("candidate") & ~F.col("reused"))
     sample = targets.join(audited.select("identity").distinct(), "identity", "left_semi")
     checked = scan(sample, rules, ["identity"])
@@ -92,7 +95,8 @@ def apply(
         fresh.select("identity", *_ITEM, F.lit(False).alias("reused"))
     )
     used = skew_safe_join(final.select("pkg", "identity", "reused"), results, ["identity", "reused"], spread=["pkg"])
-    good = used.join(jobs.where(~F.col("failed")).select("pkg"), "pkg", "left_semi")
+    some_failed = stop is not None and not jobs.where("failed").isEmpty()
+    good = used.where(F.col("pkg") != F.lit(stop)) if some_failed else used
     # Findings are few next to aliases: they are expanded only after the filter.
     per_alias = skew_safe_join(
         index.select("pkg", "dist_index", "path", "identity"),
@@ -120,4 +124,4 @@ def fallback_groups(grouped: DataFrame, cost: str, budget: int) -> tuple[DataFra
 def expand_kept(index: DataFrame, kept: DataFrame, findings: DataFrame) -> DataFrame:
     """Findings on every path of the kept (pkg, identity) targets."""
     aliases = skew_safe_join(index, kept.select("pkg", "identity"), ["pkg", "identity"], "left_semi", spread=["path"])
-    return expand_findings(aliases, findings)
+    return expand_findings(aliases, findings, weights=index)

@@ -41,22 +41,28 @@ def rule_batches(
     rules: DataFrame, max_rows: int = RULE_BATCH_ROWS, max_bytes: int = RULE_BATCH_BYTES
 ) -> Iterator[list[Row]]:
     """Read rules in batches small enough to become literals of one plan step."""
-    totals = rules.agg(
-        F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("pattern")), F.lit(0)).alias("b")
-    ).first()
-    batches = max(1, ceil(totals["n"] / max_rows), ceil(totals["b"] / max_bytes))
-    part = F.pmod(F.xxhash64("check_id", "pattern"), F.lit(batches))
-    for number in range(batches):
-        batch = rules if batches == 1 else rules.where(part == number)
-        rows = sorted(batch.collect(), key=lambda rule: (rule["check_id"], rule["pattern"]))
+    order = lambda rule: (rule["check_id"], rule["pattern"])
+    if is_small(rules, max_rows, max_bytes):
+        batches, parts = 1, [rules]
+    else:
+        totals = rules.agg(F.count("*").alias("n"), F.sum(F.octet_length("pattern")).alias("b")).first()
+        batches = max(ceil(totals["n"] / max_rows), ceil(totals["b"] / max_bytes))
+        part = F.pmod(F.xxhash64("check_id", "pattern"), F.lit(batches))
+        parts = [rules.where(part == number) for number in range(batches)]
+    for part in parts:
+        rows = sorted(part.collect(), key=order)
         if rows:
             yield rows
 
 
 def is_small(rules: DataFrame, max_rows: int, max_bytes: int) -> bool:
-    totals = rules.agg(
-        F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("pattern")), F.lit(0)).alias("b")
-    ).first()
+    """Whether rules are within a bound; reads no more than the bound's rows."""
+    totals = (
+        rules.select(F.octet_length("pattern").alias("b"))
+        .limit(max_rows + 1)
+        .agg(F.count("*").alias("n"), F.coalesce(F.sum("b"), F.lit(0)).alias("b"))
+        .first()
+    )
     return totals["n"] <= max_rows and totals["b"] <= max_bytes
 
 
@@ -100,14 +106,12 @@ def scan_regex(targets: DataFrame, rules: DataFrame, key: Sequence[str]) -> Data
         lines = candidates.select(
             *key, *carried, F.posexplode(F.split("content", "\n", -1)).alias("_line_no", "_line")
         )
-        hits = F.array_compact(
-            F.array(*[F.when(test("_line", rule, _LINE_MODE), F.lit(rule["check_id"])) for rule in batch])
-        )
+        found = [test("_line", rule, _LINE_MODE) for rule in batch]
+        hits = F.array_compact(F.array(*[F.when(hit, F.lit(rule["check_id"])) for rule, hit in zip(batch, found)]))
         line_no = (F.col("_line_no") + 1).cast("bigint")
         parts.append(
-            lines.select(*key, line_no.alias("start_line"), hits.alias("_hits"))
-            .where(F.size("_hits") > 0)
-            .select(*key, F.explode("_hits").alias("check_id"), "start_line")
+            lines.where(reduce(lambda a, b: a | b, found))
+            .select(*key, F.explode(hits).alias("check_id"), line_no.alias("start_line"))
             .withColumn("end_line", F.col("start_line"))
         )
     return reduce(DataFrame.unionByName, parts) if parts else _no_findings(targets, key)
@@ -122,9 +126,14 @@ def _tokens(text: Column) -> Column:
 
 def _grams(tokens: Column) -> Column:
     """Distinct hashes of every run of GRAM tokens."""
-    last = F.size(tokens) - GRAM + 1
-    runs = F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.slice(tokens, i, F.lit(GRAM))))
-    return F.when(last >= 1, F.array_distinct(runs)).otherwise(F.array().cast("array<bigint>"))
+
+    def runs(words: Column) -> Column:
+        last = F.size(words) - GRAM + 1
+        hashed = F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.slice(words, i, F.lit(GRAM))))
+        return F.when(last >= 1, F.array_distinct(hashed)).otherwise(F.array().cast("array<bigint>"))
+
+    # The lambda's variable holds the tokens, so a text is split once, not per run.
+    return F.flatten(F.transform(F.array(tokens), runs))
 
 
 def literal_anchors(rules: DataFrame) -> DataFrame:
@@ -141,7 +150,7 @@ def literal_anchors(rules: DataFrame) -> DataFrame:
     grams = inner.select("check_id", F.explode(_grams(F.col("_t"))).alias("gram"))
     shared = grams.groupBy("gram").agg(F.count("*").alias("_shared"))
     return (
-        skew_safe_join(grams, shared, ["gram"])
+        grams.join(shared, "gram")
         .groupBy("check_id")
         .agg(F.min(F.struct("_shared", "gram")).alias("_best"))
         .select("check_id", F.col("_best.gram").alias("gram"))
@@ -217,12 +226,11 @@ def _no_findings(targets: DataFrame, key: Sequence[str]) -> DataFrame:
 def scan(targets: DataFrame, rules: DataFrame, key: Sequence[str]) -> DataFrame:
     """Findings of a whole snapshot on targets with columns key, ext, content
     (and path for path-scoped rules)."""
-    kinds = {row["kind"] for row in rules.select("kind").distinct().collect()}
     parts = []
-    if "regex" in kinds:
-        parts.append(scan_regex(targets, rules.where("kind = 'regex'"), key))
-    if "literal" in kinds:
-        parts.append(scan_literal(targets, rules.where("kind = 'literal'"), key))
+    for kind, scan_kind in (("regex", scan_regex), ("literal", scan_literal)):
+        chosen = rules.where(F.col("kind") == kind)
+        if not chosen.isEmpty():
+            parts.append(scan_kind(targets, chosen, key))
     return reduce(DataFrame.unionByName, parts) if parts else _no_findings(targets, key)
 
 

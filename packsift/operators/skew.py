@@ -41,6 +41,7 @@ def skew_safe_join(
     how: str = "inner",
     spread: Sequence[str] | None = None,
     rows_per_salt: int = ROWS_PER_SALT,
+    weights: DataFrame | None = None,
 ) -> DataFrame:
     """Equi-join of many ``facts`` rows per key with few ``lookup`` rows per key.
 
@@ -48,8 +49,12 @@ def skew_safe_join(
     and its lookup rows are repeated once per salt. ``how`` is 'inner', 'left',
     'left_semi' or 'left_anti', with ``facts`` as the left side. The salt is a
     hash, not a random number, so a recomputed task places rows as before.
+
+    Keys are counted in a separate pass over ``weights``, by default ``facts``:
+    one of them should be a stored table, so that counting does not repeat the
+    work that leads to ``facts``.
     """
-    hot = F.broadcast(hot_keys(facts, keys, rows_per_salt))
+    hot = F.broadcast(hot_keys(facts if weights is None else weights, keys, rows_per_salt))
     spread = list(spread or facts.columns)
     salt = F.coalesce(F.pmod(F.xxhash64(*spread), F.col("_salts")).cast("int"), F.lit(0))
     dropped = ["_salts", *[f"_h_{key}" for key in keys]]

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from packsift.functions.paths import basename
 from packsift.operators.admission import archive_verdicts
 from packsift.operators.dedup import (
-    FILE_KEY,
     corpus_identities,
     file_index,
     package_counts,
@@ -24,11 +23,14 @@ from packsift.operators.outcome import (
     report_json,
 )
 from packsift.operators.reuse import counters, decide, decode, mismatched_keys
+from packsift.operators.runs import package_targets
 from packsift.operators.scan import rules_reusable
+from packsift.operators.skew import skew_safe_join
 from packsift.plans.catalog import query
-from packsift.plans.joins import STORED, expanded, findings, stored_findings
-from packsift.plans.views import CACHED, ENTRIES, FINDINGS, INDEX, cached, entries, files, table, warnings
-from packsift.session import output_dir
+from packsift.plans.corpus import Corpus
+from packsift.plans.joins import STORED
+from packsift.plans.views import CACHED, ENTRIES, FINDINGS, INDEX, entries, files, table, warnings
+from packsift.session import settle
 from packsift.settings import ArchiveLimits
 
 TEST_LIMITS = ArchiveLimits(entries=6, scan_size=100_000, expanded_size=400_000)
@@ -79,7 +81,7 @@ def agg_archive_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
   string_agg(check_id || '@' || start_line, ',' ORDER BY check_id, start_line) AS items FROM findings GROUP BY identity""",
 )
 def agg_findings_by_target(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lists = gather_findings(findings(spark, sf_dir), ["identity"], ["check_id", "start_line"])
+    lists = gather_findings(Corpus(spark, sf_dir).findings, ["identity"], ["check_id", "start_line"])
     label = F.transform("items", lambda i: F.concat(i["check_id"], F.lit("@"), i["start_line"].cast("string")))
     return lists.select("identity", F.size("items").alias("findings"), F.array_join(label, ",").alias("items"))
 
@@ -90,7 +92,7 @@ def agg_findings_by_target(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM index JOIN findings USING (identity) GROUP BY pkg""",
 )
 def agg_findings_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return findings_per_group(expanded(spark, sf_dir), ["pkg"], limit=4)
+    return findings_per_group(Corpus(spark, sf_dir).expanded, ["pkg"], limit=4)
 
 
 @query(
@@ -123,23 +125,19 @@ FROM d GROUP BY pkg""",
 )
 def agg_reuse_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counters of a reuse run; low-quality content was stored in a broken form."""
-    index = file_index(files(spark, sf_dir)).select("pkg", "identity", "size").distinct()
-    labelled = cached(spark, sf_dir)
-    stored = (
-        file_index(labelled)
-        .join(labelled.select(*FILE_KEY, "quality"), FILE_KEY)
-        .groupBy("identity")
-        .agg(F.when(F.min("quality") == 0, F.lit("[{")).otherwise(F.lit("[]")).alias("text"))
+    corpus = Corpus(spark, sf_dir)
+    stored = corpus.cached.groupBy("identity").agg(
+        F.when(F.min("quality") == 0, F.lit("[{")).otherwise(F.lit("[]")).alias("text")
     )
-    looked_up = index.join(stored, "identity", "left").withColumn("result", decode(F.col("text")))
-    columns = ["identity", "check_id", "start_line"]
-    known = findings(spark, sf_dir).join(stored.select("identity"), "identity", "left_semi")
     differing = mismatched_keys(
-        stored_findings(spark, sf_dir).select(*columns), known.select(*columns), ["identity"], ["check_id", "start_line"]
+        corpus.stored, corpus.fresh_of_known, ["identity"], ["check_id", "start_line"]
     ).withColumn("differs", F.lit(True))
-    decisions = decide(looked_up, "reuse", [F.col("pkg"), F.col("identity")], every=10).join(
-        differing, "identity", "left"
-    )
+    # One narrow row per identity first, then a single salted join to the targets.
+    facts = stored.join(differing, "identity", "left")
+    looked_up = skew_safe_join(
+        package_targets(corpus.index), facts, ["identity"], "left", spread=["pkg"], weights=corpus.index
+    ).withColumn("result", decode(F.col("text")))
+    decisions = decide(looked_up, "reuse", [F.col("pkg"), F.col("identity")], every=10)
     validated = F.col("candidate") & ~F.col("reused")
     return counters(
         decisions.withColumns(
@@ -164,9 +162,12 @@ FROM looked GROUP BY pkg""",
 )
 def sink_reuse_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counter rows of an observe run, written and read back."""
-    index = file_index(files(spark, sf_dir)).select("pkg", "identity", "size").distinct()
-    known = file_index(cached(spark, sf_dir)).select("identity", F.lit("[]").alias("result")).distinct()
-    decisions = decide(index.join(known, "identity", "left"), "observe", [])
+    corpus = Corpus(spark, sf_dir)
+    known = corpus.known.withColumn("result", F.lit("[]"))
+    looked_up = skew_safe_join(
+        package_targets(corpus.index), known, ["identity"], "left", spread=["pkg"], weights=corpus.index
+    )
+    decisions = decide(looked_up, "observe", [])
     stats = counters(
         decisions.withColumns(
             {
@@ -178,9 +179,7 @@ def sink_reuse_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
             }
         )
     )
-    folder = output_dir(spark, "stats")
-    stats.write.parquet(folder)
-    return spark.read.schema(stats.schema).parquet(folder).select(
+    return settle(stats, "stats").select(
         "pkg", "lookups", "candidate_files", "inserted_files", "validated_files", "engine_files", "engine_bytes"
     )
 
@@ -238,40 +237,39 @@ def agg_engine_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT identity, NOT (poisoned = 1 AND identity IN (SELECT identity FROM findings)) AS equal FROM known""",
 )
 def agg_findings_multiset_eq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = file_index(cached(spark, sf_dir)).select("identity").distinct()
-    new = findings(spark, sf_dir).join(known, "identity", "left_semi")
+    corpus = Corpus(spark, sf_dir)
     differing = mismatched_keys(
-        stored_findings(spark, sf_dir), new, ["identity"], ["check_id", "start_line", "end_line"]
+        corpus.stored, corpus.fresh_of_known, ["identity"], ["check_id", "start_line", "end_line"]
     ).withColumn("equal", F.lit(False))
-    return known.join(differing, "identity", "left").select("identity", F.coalesce("equal", F.lit(True)).alias("equal"))
+    return corpus.known.join(differing, "identity", "left").select("identity", F.coalesce("equal", F.lit(True)).alias("equal"))
 
 
 # -- outcomes ------------------------------------------------------------------------
 
 
-def _failures(spark: SparkSession, sf_dir: str, limit: int = 26_000) -> DataFrame:
+def _failures(corpus: Corpus, limit: int = 26_000) -> DataFrame:
     """Packages with a file over the limit; the first such file names the reason."""
-    size = F.octet_length("content")
+    size = F.col("size")
     reason = F.concat(
         F.lit("entry "), F.col("path"), F.lit(" is "), size.cast("string"), F.lit(f" bytes, exceeding the {limit}-byte scan limit")
     )
-    rows = files(spark, sf_dir).where(size > limit)
+    rows = corpus.index.where(size > limit)
     return rows.select("pkg", F.col("doc_id").alias("seq"), reason.alias("reason"))
 
 
-def _warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _warnings(corpus: Corpus) -> DataFrame:
     """Spanish scripts count as partially parsed."""
-    rows = files(spark, sf_dir).where((F.col("dist_index") == 2) & F.col("path").endswith(".js"))
+    rows = corpus.index.where((F.col("dist_index") == 2) & F.col("path").endswith(".js"))
     return rows.select(
         "pkg", F.col("doc_id").alias("seq"), F.concat(F.lit("Partially parsed "), basename(F.col("path"))).alias("warning")
     )
 
 
-def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    jobs = files(spark, sf_dir).select("pkg").distinct()
-    counts = expanded(spark, sf_dir).groupBy("pkg").agg(F.count("*").alias("finding_count"))
-    reasons = partial_reasons(_warnings(spark, sf_dir), "pkg", [F.col("seq")], "warning")
-    return job_outcomes(jobs, first_failures(_failures(spark, sf_dir), "pkg"), counts, reasons, "pkg")
+def outcomes(corpus: Corpus) -> DataFrame:
+    jobs = corpus.index.select("pkg").distinct()
+    counts = corpus.expanded.groupBy("pkg").agg(F.count("*").alias("finding_count"))
+    reasons = partial_reasons(_warnings(corpus), "pkg", [F.col("seq")], "warning")
+    return job_outcomes(jobs, first_failures(_failures(corpus), "pkg"), counts, reasons, "pkg")
 
 
 OUTCOMES = f"""{FINDINGS},
@@ -290,7 +288,7 @@ outcomes AS (
 
 @query("agg_job_outcome", f"WITH {OUTCOMES} SELECT pkg, status, reason, finding_count, partial_reason FROM outcomes")
 def agg_job_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return outcomes(spark, sf_dir).select("pkg", "status", "reason", "finding_count", "partial_reason")
+    return outcomes(Corpus(spark, sf_dir)).select("pkg", "status", "reason", "finding_count", "partial_reason")
 
 
 @query(
@@ -299,7 +297,7 @@ def agg_job_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
   count_if(partial_reason IS NOT NULL) AS partial_jobs FROM outcomes GROUP BY status""",
 )
 def agg_job_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return job_summary(outcomes(spark, sf_dir))
+    return job_summary(outcomes(Corpus(spark, sf_dir)))
 
 
 def _constant(value: str, name: str) -> Column:
@@ -322,9 +320,10 @@ FROM outcomes LEFT JOIN lists USING (pkg) JOIN reuse USING (pkg)""",
 def sink_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flat report text per job, written and read back."""
     order = ["path", "check_id", "start_line"]
-    lists = gather_findings(expanded(spark, sf_dir), ["pkg"], order)
-    lookups = package_counts(file_index(files(spark, sf_dir))).select("pkg", F.col("unique_targets").alias("lookups"))
-    joined = outcomes(spark, sf_dir).join(lists, "pkg", "left").join(lookups, "pkg")
+    corpus = Corpus(spark, sf_dir)
+    lists = gather_findings(corpus.expanded, ["pkg"], order)
+    lookups = package_counts(corpus.index).select("pkg", F.col("unique_targets").alias("lookups"))
+    joined = outcomes(corpus).join(lists, "pkg", "left").join(lookups, "pkg")
     reason = F.coalesce(
         F.col("reason"), F.when(F.col("over_limit"), F.lit("scan produced more than 500 findings"))
     )
@@ -347,6 +346,4 @@ def sink_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
         failed=reason.isNotNull(),
         counters=[_constant("text", "scanner"), _constant("observe", "mode"), F.col("lookups")],
     )
-    folder = output_dir(spark, "reports")
-    joined.select("pkg", report.alias("report")).write.parquet(folder)
-    return spark.read.schema("pkg string, report string").parquet(folder)
+    return settle(joined.select("pkg", report.alias("report")), "reports")

@@ -5,23 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packsift.operators.dedup import (
-    FILE_KEY,
-    bounded_groups,
-    distinct_targets,
-    file_index,
-    target_ids,
-    write_manifest,
-)
+from packsift.operators.dedup import FILE_KEY, bounded_groups, target_ids
 from packsift.operators.expand import gather_findings, scan_by_distribution, scan_corpus, scan_package
 from packsift.operators.reuse import KEY, admit, lookup, new_entries, with_durable_key, without_revoked
 from packsift.operators.runs import apply, expand_kept, fallback_groups, observe
 from packsift.operators.scan import scan, scanned_targets
 from packsift.operators.skew import skew_safe_join
 from packsift.plans.catalog import query
-from packsift.plans.joins import STORED, stored_findings
+from packsift.plans.corpus import Corpus
+from packsift.plans.joins import STORED
 from packsift.plans.sources import SEED, in_namespace, keys, seed_cache
-from packsift.plans.views import CACHED, FINDINGS, INDEX, RULES, cached, files, rules
+from packsift.plans.views import CACHED, FINDINGS, INDEX, RULES, files, rules
 from packsift.plans.windows import TARGET_IDS
 from packsift.schemas import NAMESPACE
 
@@ -74,13 +68,6 @@ def q_scan_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-def _inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    rows = files(spark, sf_dir)
-    index = write_manifest(file_index(rows))
-    known = file_index(cached(spark, sf_dir)).select("identity").distinct()
-    return index, distinct_targets(rows, index), known, stored_findings(spark, sf_dir)
-
-
 @query(
     "q_reuse_observe",
     f"""WITH {STORED}, t AS (SELECT pkg, identity, count(*) AS aliases FROM index GROUP BY pkg, identity),
@@ -91,8 +78,8 @@ SELECT pkg, count(*) AS lookups, count_if(poisoned IS NOT NULL) AS candidate_fil
 FROM t LEFT JOIN known USING (identity) LEFT JOIN n USING (identity) GROUP BY pkg""",
 )
 def q_reuse_observe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index, targets, known, stored = _inputs(spark, sf_dir)
-    return observe(index, targets, rules(spark), known, stored)
+    c = Corpus(spark, sf_dir)
+    return observe(c.index, c.targets, c.rules, c.known, c.stored)
 
 
 @query(
@@ -113,8 +100,8 @@ FROM j LEFT JOIN (SELECT i.pkg, path, check_id, start_line FROM r JOIN index i U
 )
 def q_reuse_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Jobs with their findings; poisoned results make audits fail."""
-    index, targets, known, stored = _inputs(spark, sf_dir)
-    found, jobs = apply(index, targets, rules(spark), known, stored, every=5)
+    c = Corpus(spark, sf_dir)
+    found, jobs = apply(c.index, c.targets, c.rules, c.known, c.stored, every=5)
     return jobs.join(found.select("pkg", "path", "check_id", "start_line"), "pkg", "left")
 
 
@@ -130,20 +117,20 @@ FROM s LEFT JOIN r USING (identity) WHERE pkg NOT IN (SELECT pkg FROM bad)
 )
 def q_cache_admit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results of complete jobs; a package with a very large file is incomplete."""
-    rows = files(spark, sf_dir)
-    index = write_manifest(file_index(rows))
+    corpus = Corpus(spark, sf_dir)
     # Which files count as scanned follows from the rules' languages; what is
     # found in them here does not.
-    scanned = scanned_targets(index, rules(spark, languages=True)).select("pkg", "identity", "sha256", "ext").distinct()
-    targets = distinct_targets(rows, index).join(scanned.select("identity").distinct(), "identity", "left_semi")
-    lists = gather_findings(scan(targets, rules(spark), ["identity"]), ["identity"], ["check_id", "start_line"])
+    covered = scanned_targets(corpus.index, rules(spark, languages=True))
+    scanned = covered.select("pkg", "identity", "sha256", "ext").distinct()
+    lists = gather_findings(corpus.findings, ["identity"], ["check_id", "start_line"])
     encoded = lists.where(~F.col("over_limit")).select("identity", F.to_json("items").alias("result"))
-    results = skew_safe_join(scanned, encoded, ["identity"], "left", spread=["pkg"]).withColumn(
+    results = skew_safe_join(scanned, encoded, ["identity"], "left", spread=["pkg"], weights=corpus.index).withColumn(
         "result", F.coalesce("result", F.lit("[]"))
     )
-    warned = index.where("size > 26000").select("pkg").distinct()
-    stored = with_durable_key(file_index(cached(spark, sf_dir))).select(*KEY)
-    return admit(with_durable_key(results), warned, stored, ["pkg"]).select(*KEY, "result")
+    warned = corpus.index.where("size > 26000").select("pkg").distinct()
+    stored = with_durable_key(corpus.cached).select(*KEY)
+    admitted = admit(with_durable_key(results), warned, stored, ["pkg"], weights=corpus.index)
+    return admitted.select(*KEY, "result")
 
 
 @query(
@@ -154,9 +141,10 @@ LEFT JOIN seed USING (rules_commit, file_digest, language)""",
 )
 def q_cache_namespace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same keys under three rule commits: results never cross over."""
-    parts = [keys(spark, sf_dir, commit) for commit in ("rules-new", "rules-old", "rules-next")]
+    corpus = Corpus(spark, sf_dir)
+    parts = [keys(corpus.index, commit) for commit in ("rules-new", "rules-old", "rules-next")]
     asked = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return lookup(asked, seed_cache(spark, sf_dir)).select("rules_commit", *KEY, "result")
+    return lookup(asked, seed_cache(corpus.cached)).select("rules_commit", *KEY, "result")
 
 
 @query(
@@ -169,9 +157,10 @@ WHERE NOT EXISTS (SELECT 1 FROM seed s WHERE s.rules_commit = 'rules-new' AND s.
 )
 def q_cache_revoke(spark: SparkSession, sf_dir: str) -> DataFrame:
     """After the older rules were revoked, nothing is read from or written to them."""
-    cache = seed_cache(spark, sf_dir)
+    corpus = Corpus(spark, sf_dir)
+    cache = seed_cache(corpus.cached)
     revoked = cache.where("rules_commit = 'rules-old'").select(*NAMESPACE).distinct()
-    asked = keys(spark, sf_dir, "rules-new").unionByName(keys(spark, sf_dir, "rules-old"))
+    asked = keys(corpus.index, "rules-new").unionByName(keys(corpus.index, "rules-old"))
     reads = without_revoked(lookup(asked, cache).where("result IS NOT NULL"), revoked)
     fresh = without_revoked(asked.withColumn("result", F.lit("[]")), revoked)
     writes = new_entries(fresh, cache, ["result"])
@@ -194,13 +183,12 @@ UNION ALL SELECT pkg, NULL, NULL, NULL, 'Timed out scanning a fallback package t
 )
 def q_scan_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of eight targets; a group over its cost stops the package."""
-    rows = files(spark, sf_dir)
-    index = write_manifest(file_index(rows))
-    numbered = target_ids(index).select("pkg", "identity", "size", "target_id").distinct()
+    corpus = Corpus(spark, sf_dir)
+    numbered = target_ids(corpus.index).select("pkg", "identity", "size", "target_id").distinct()
     grouped = bounded_groups(numbered, ["pkg"], [F.col("target_id")], 8)
     kept, stopped = fallback_groups(grouped, "size", 40_000)
-    wanted = distinct_targets(rows, index).join(kept.select("identity").distinct(), "identity", "left_semi")
-    found = expand_kept(index, kept, scan(wanted, rules(spark), ["identity"]))
+    wanted = corpus.targets.join(kept.select("identity").distinct(), "identity", "left_semi")
+    found = expand_kept(corpus.index, kept, scan(wanted, corpus.rules, ["identity"]))
     return found.select(
         "pkg",
         "path",

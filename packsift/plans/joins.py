@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packsift.functions.urls import inspector_base
-from packsift.operators.dedup import FILE_KEY, file_index
-from packsift.operators.expand import expand_findings, gather_findings, locate
+from packsift.operators.dedup import FILE_KEY
+from packsift.operators.expand import gather_findings, locate
 from packsift.operators.reuse import (
     KEY,
     decide,
@@ -17,18 +17,11 @@ from packsift.operators.reuse import (
     with_durable_key,
 )
 from packsift.operators.running import row_numbers
-from packsift.operators.scan import scan_regex, scanned_targets
+from packsift.operators.scan import scanned_targets
 from packsift.plans.catalog import query
-from packsift.plans.scans import targets
-from packsift.plans.views import CACHED, FINDINGS, INDEX, cached, files, rules, table
-
-
-def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_regex(targets(spark, sf_dir), rules(spark), ["identity"])
-
-
-def expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return expand_findings(file_index(files(spark, sf_dir)), findings(spark, sf_dir))
+from packsift.plans.corpus import Corpus
+from packsift.plans.views import CACHED, FINDINGS, INDEX, rules, table
+from packsift.session import settle
 
 
 @query(
@@ -36,7 +29,7 @@ def expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {FINDINGS} SELECT pkg, dist_index, path, check_id, start_line FROM index JOIN findings USING (identity)",
 )
 def join_expand_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return expanded(spark, sf_dir).select(*FILE_KEY, "check_id", "start_line")
+    return Corpus(spark, sf_dir).expanded.select(*FILE_KEY, "check_id", "start_line")
 
 
 @query(
@@ -49,15 +42,15 @@ FROM index JOIN findings USING (identity)""",
 )
 def join_inspector(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distribution 3 has no download record, so its findings are errors."""
+    corpus = Corpus(spark, sf_dir)
     url = F.concat(F.lit("https://files.example.org/dist-"), F.col("dist_index").cast("string"), F.lit(".whl"))
     distributions = (
-        files(spark, sf_dir)
-        .where("dist_index < 3")
+        corpus.index.where("dist_index < 3")
         .select("pkg", "dist_index")
         .distinct()
         .withColumn("base", inspector_base(F.col("pkg"), F.lit("1.0"), url))
     )
-    located = locate(expanded(spark, sf_dir), distributions)
+    located = locate(settle(corpus.expanded, "expanded"), distributions)
     return located.select(*FILE_KEY, "check_id", "start_line", "inspector_url", "error")
 
 
@@ -71,14 +64,14 @@ SELECT identity, EXISTS (SELECT 1 FROM stored s WHERE s.size = targets.size AND
 def join_cache_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A weak key (size and extension) finds candidates; bytes decide."""
     weak_key = F.concat_ws(":", F.col("size").cast("string"), F.coalesce("ext", F.lit("-"))).alias("weak_key")
-    stored_index = file_index(cached(spark, sf_dir))
-    chosen = stored_index.groupBy(weak_key).agg(F.min(F.struct("sha256", *FILE_KEY)).alias("_c"))
+    corpus = Corpus(spark, sf_dir)
+    chosen = corpus.cached.groupBy(weak_key).agg(F.min(F.struct("sha256", *FILE_KEY)).alias("_c"))
     stored = (
         chosen.select("weak_key", "_c.*")
-        .join(files(spark, sf_dir).select(*FILE_KEY, "content"), FILE_KEY)
+        .join(corpus.files.select(*FILE_KEY, "content"), FILE_KEY)
         .select("weak_key", "content", F.lit("[]").alias("result"))
     )
-    candidates = targets(spark, sf_dir).select("identity", "content", weak_key)
+    candidates = corpus.targets.select("identity", "content", weak_key)
     return exact_hits(candidates, stored, "weak_key").select("identity", F.col("result").isNotNull().alias("hit"))
 
 
@@ -92,8 +85,9 @@ UNION ALL SELECT 'observe', identity, candidate, NULL, FALSE FROM numbered
 UNION ALL SELECT 'reuse', identity, candidate, hit_no, candidate AND hit_no % 100 <> 0 FROM numbered""",
 )
 def join_cache_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = file_index(cached(spark, sf_dir)).select("identity", F.lit("[]").alias("result")).distinct()
-    looked_up = file_index(files(spark, sf_dir)).select("identity").distinct().join(known, "identity", "left")
+    corpus = Corpus(spark, sf_dir)
+    known = corpus.known.withColumn("result", F.lit("[]"))
+    looked_up = corpus.identities.select("identity").join(known, "identity", "left")
     parts = [
         decide(looked_up, mode, [F.col("identity")]).select(
             F.lit(mode).alias("mode"), "identity", "candidate", "hit_no", "reused"
@@ -109,8 +103,8 @@ def join_cache_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def join_scanned_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pending targets that the matcher reports as scanned."""
-    pending = file_index(files(spark, sf_dir)).select("identity", "size", "ext").distinct()
-    scanned = scanned_targets(targets(spark, sf_dir), rules(spark, languages=True)).select("identity")
+    pending = Corpus(spark, sf_dir).identities
+    scanned = scanned_targets(pending, rules(spark, languages=True)).select("identity")
     return pending.join(scanned, "identity", "left_semi").select("identity", "size")
 
 
@@ -129,8 +123,9 @@ SELECT identity, CAST(count(check_id) AS INTEGER) AS findings, {_LIST} AS items
 FROM targets LEFT JOIN findings USING (identity) GROUP BY identity""",
 )
 def join_findings_left(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pending = file_index(files(spark, sf_dir)).select("identity").distinct()
-    lists = gather_findings(findings(spark, sf_dir), ["identity"], ["check_id", "start_line"])
+    corpus = Corpus(spark, sf_dir)
+    pending = corpus.identities.select("identity")
+    lists = gather_findings(corpus.findings, ["identity"], ["check_id", "start_line"])
     item = "array<struct<check_id:string,start_line:bigint>>"
     joined = pending.join(lists, "identity", "left").withColumn(
         "items", F.when(F.col("over_limit").isNull(), F.array().cast(item)).otherwise(F.col("items"))
@@ -149,13 +144,11 @@ SELECT l.sha256, l.ext, r.doc_id AS reply FROM local_keys l JOIN replies r
 )
 def join_key_fanback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No and empty extension share one stored row; both get its reply."""
-    index = file_index(files(spark, sf_dir)).select("sha256", "ext").distinct()
+    corpus = Corpus(spark, sf_dir)
+    index = corpus.identities.select("sha256", "ext")
     empty = index.where("ext IS NULL").withColumn("ext", F.lit(""))
     local = with_durable_key(index.unionByName(empty))
-    stored = cached(spark, sf_dir)
-    replies = with_durable_key(
-        file_index(stored).join(stored.select(*FILE_KEY, "doc_id"), FILE_KEY)
-    ).withColumn("result", F.col("doc_id"))
+    replies = with_durable_key(corpus.cached).withColumn("result", F.col("doc_id"))
     return fan_back(local, latest_reply(replies, "doc_id"), KEY).select("sha256", "ext", F.col("result").alias("reply"))
 
 
@@ -164,9 +157,8 @@ def join_key_fanback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _reused_and_fresh(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Findings of stored targets, and of the targets that are scanned now."""
-    every = findings(spark, sf_dir)
-    known = file_index(cached(spark, sf_dir)).select("identity").distinct()
-    return every.join(known, "identity", "left_semi"), every.join(known, "identity", "left_anti")
+    corpus = Corpus(spark, sf_dir)
+    return corpus.fresh_of_known, corpus.findings.join(corpus.known, "identity", "left_anti")
 
 
 @query("set_union_findings", f"WITH {FINDINGS} SELECT identity, check_id, start_line FROM findings")
@@ -181,18 +173,10 @@ def set_union_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def set_scanned_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct folders of the scanned files, per package."""
-    scanned = scanned_targets(file_index(files(spark, sf_dir)), rules(spark, languages=True))
+    scanned = scanned_targets(Corpus(spark, sf_dir).index, rules(spark, languages=True))
     return scanned.select("pkg", F.substring_index("path", "/", 1).alias("path")).distinct()
 
 
-def stored_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored findings of labelled content; content labelled toxic was stored as clean."""
-    poisoned = file_index(cached(spark, sf_dir).where("toxic = 1")).select("identity").distinct()
-    known = file_index(cached(spark, sf_dir)).select("identity").distinct()
-    honest = known.join(poisoned, "identity", "left_anti")
-    return findings(spark, sf_dir).join(honest, "identity", "left_semi")
-
-
 STORED = f"""{FINDINGS}, {CACHED},
 known AS (SELECT identity, max(toxic) AS poisoned FROM cached GROUP BY identity),
 stored AS (SELECT f.* FROM findings f JOIN known USING (identity) WHERE poisoned = 0)"""
@@ -205,9 +189,8 @@ SELECT 'new' AS side, identity, check_id, start_line FROM findings JOIN known US
 )
 def set_result_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["identity", "check_id", "start_line"]
-    old = stored_findings(spark, sf_dir).select(*columns)
-    known = file_index(cached(spark, sf_dir)).select("identity").distinct()
-    new = findings(spark, sf_dir).join(known, "identity", "left_semi").select(*columns)
+    corpus = Corpus(spark, sf_dir)
+    old, new = corpus.stored.select(*columns), corpus.fresh_of_known.select(*columns)
     return (
         old.exceptAll(new)
         .withColumn("side", F.lit("old"))

@@ -5,25 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packsift.operators.dedup import distinct_targets, file_index
 from packsift.operators.scan import scan_literal, scan_regex, scanned_targets
 from packsift.plans.catalog import query
+from packsift.plans.corpus import Corpus
 from packsift.plans.sources import DOCUMENTS, matcher_documents
-from packsift.plans.views import FINDINGS, files, literal_rules, rules
+from packsift.plans.views import FINDINGS, literal_rules, rules
 from packsift.sources.documents import parse_documents, skipped
 
 
-def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = files(spark, sf_dir)
-    return distinct_targets(rows, file_index(rows))
-
-
 @query(
     "scan_rules_regex",
     f"WITH {FINDINGS} SELECT identity, check_id, start_line, start_line AS end_line FROM findings",
 )
 def scan_rules_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_regex(targets(spark, sf_dir), rules(spark), ["identity"])
+    return scan_regex(Corpus(spark, sf_dir).targets, rules(spark), ["identity"])
 
 
 @query(
@@ -35,7 +30,7 @@ SELECT identity, check_id, length(before) - length(replace(before, chr(10), ''))
   length(before || pattern) - length(replace(before || pattern, chr(10), '')) + 1 AS end_line FROM hits""",
 )
 def scan_rules_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_literal(targets(spark, sf_dir), literal_rules(spark, sf_dir), ["identity"])
+    return scan_literal(Corpus(spark, sf_dir).targets, literal_rules(spark, sf_dir), ["identity"])
 
 
 @query(
@@ -43,9 +38,9 @@ def scan_rules_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {FINDINGS} SELECT identity, coalesce(ext IN ('py', 'pyi', 'js', 'jsx', 'mjs', 'cjs'), FALSE) AS scanned FROM targets",
 )
 def scan_rule_applicability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = file_index(files(spark, sf_dir)).select("identity", "ext").distinct()
-    scanned = scanned_targets(index, rules(spark, languages=True))
-    return index.join(scanned.select("identity", F.lit(True).alias("scanned")), "identity", "left").select(
+    every = Corpus(spark, sf_dir).identities
+    scanned = scanned_targets(every, rules(spark, languages=True))
+    return every.join(scanned.select("identity", F.lit(True).alias("scanned")), "identity", "left").select(
         "identity", F.coalesce("scanned", F.lit(False)).alias("scanned")
     )
 

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packsift.functions.identity import durable_language
-from packsift.operators.dedup import file_index, write_manifest
 from packsift.operators.reuse import KEY, lookup, new_entries
 from packsift.plans.catalog import query
-from packsift.plans.views import CACHED, FILES, INDEX, JOBS, cached, files, jobs, table
+from packsift.plans.corpus import Corpus
+from packsift.plans.views import CACHED, FILES, INDEX, JOBS, files, jobs, table
 from packsift.schemas import CACHE_ENTRY, NAMESPACE
 from packsift.session import output_dir
 from packsift.sources.archives import expand_archives, pack_archives
@@ -195,7 +195,8 @@ def src_scan_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("sink_alias_manifest", f"WITH {INDEX} SELECT pkg, dist_index, path, sha256, size, ext, identity FROM index")
 def sink_alias_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return write_manifest(file_index(files(spark, sf_dir)))
+    index = Corpus(spark, sf_dir).index
+    return index.select("pkg", "dist_index", "path", "sha256", "size", "ext", "identity")
 
 
 def in_namespace(rows: DataFrame, commit) -> DataFrame:
@@ -209,18 +210,15 @@ def in_namespace(rows: DataFrame, commit) -> DataFrame:
     )
 
 
-def keys(spark: SparkSession, sf_dir: str, commit: str = "rules-new") -> DataFrame:
+def keys(index: DataFrame, commit: str = "rules-new") -> DataFrame:
     """Shared keys of all files, in the namespace of the given rules."""
-    index = file_index(files(spark, sf_dir))
     keyed = index.select(F.col("sha256").alias("file_digest"), durable_language(F.col("ext")).alias("language"))
     return in_namespace(keyed.where("language IS NOT NULL"), F.lit(commit))
 
 
-def seed_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+def seed_cache(labelled: DataFrame) -> DataFrame:
     """Results of labelled files; low-quality ones were scanned with older rules."""
-    rows = cached(spark, sf_dir)
-    indexed = file_index(rows).join(rows.select("pkg", "dist_index", "path", "quality"), ["pkg", "dist_index", "path"])
-    keyed = indexed.select(
+    keyed = labelled.select(
         F.col("sha256").alias("file_digest"),
         durable_language(F.col("ext")).alias("language"),
         F.concat(F.lit("["), F.col("size").cast("string"), F.lit("]")).alias("result"),
@@ -245,7 +243,8 @@ SELECT file_digest, language, result FROM keys
 LEFT JOIN (SELECT * FROM seed WHERE rules_commit = 'rules-new') USING (file_digest, language)""",
 )
 def src_cache_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookup(keys(spark, sf_dir), seed_cache(spark, sf_dir)).select(*KEY, "result")
+    corpus = Corpus(spark, sf_dir)
+    return lookup(keys(corpus.index), seed_cache(corpus.cached)).select(*KEY, "result")
 
 
 @query(
@@ -262,10 +261,10 @@ UNION ALL SELECT rules_commit, file_digest, language, result FROM seed""",
 def sink_cache_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Store the earlier results, append the new ones, read the table back."""
     folder = output_dir(spark, "cache")
-    append_cache(seed_cache(spark, sf_dir), folder)
-    index = file_index(files(spark, sf_dir))
+    corpus = Corpus(spark, sf_dir)
+    append_cache(seed_cache(corpus.cached), folder)
     fresh = in_namespace(
-        index.select(
+        corpus.index.select(
             F.col("sha256").alias("file_digest"),
             durable_language(F.col("ext")).alias("language"),
             F.concat_ws("/", "pkg", "path").alias("result"),

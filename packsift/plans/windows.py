@@ -10,13 +10,13 @@ from packsift.operators.admission import first_violations, until_first_timeout
 from packsift.operators.dedup import (
     alias_order,
     bounded_groups,
-    file_index,
     ordered_paths,
     target_ids,
 )
 from packsift.operators.reuse import audit_hits, fifo_retention
 from packsift.plans.aggregates import TEST_LIMITS
 from packsift.plans.catalog import query
+from packsift.plans.corpus import Corpus
 from packsift.plans.views import CACHED, ENTRIES, ENTRY_ORDER, FILES, INDEX, cached, entries, files, table
 
 TARGET_IDS = """firsts AS (
@@ -29,7 +29,7 @@ ids AS (SELECT pkg, identity, row_number() OVER (PARTITION BY pkg ORDER BY f) -
     f"WITH {INDEX}, {TARGET_IDS} SELECT pkg, dist_index, path, target_id FROM index JOIN ids USING (pkg, identity)",
 )
 def win_target_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return target_ids(file_index(files(spark, sf_dir))).select("pkg", "dist_index", "path", "target_id")
+    return target_ids(Corpus(spark, sf_dir).index).select("pkg", "dist_index", "path", "target_id")
 
 
 _ORDER_SQL = ", ".join(ENTRY_ORDER)

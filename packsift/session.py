@@ -43,17 +43,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def output_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared one for one run's output."""
-    return f"{shared_dir(spark)}/packsift/{name}-{uuid.uuid4().hex}"
+    """A fresh folder for one table; all tables of an application share a parent,
+    which can be removed when the application is done."""
+    return f"{shared_dir(spark)}/packsift/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and continue from there.
+def settle(df: DataFrame, name: str = "settled") -> DataFrame:
+    """Write ``df`` to the shared folder and continue from the written table.
 
-    Needed where later steps must all see the same physical row placement, also
-    after an executor was lost.
+    For narrow rows that several later steps read: the work before is done once,
+    every step sees the same rows in the same files, and a lost executor costs a
+    re-read instead of a recomputation.
     """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    folder = output_dir(spark, name)
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
