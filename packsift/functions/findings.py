@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from packsift.functions.binding import let
 from packsift.functions.paths import relative_path
 from packsift.functions.urls import inspector_url
 from packsift.settings import MAX_BASENAME_CHARS, MAX_MESSAGE_BYTES, MAX_RULE_ID_CHARS
@@ -46,24 +47,30 @@ def warning_text(error_json: Column) -> Column:
 
 def normalize_finding(raw: Column, root: Column, base: Column) -> Column:
     """Struct ``(finding, error)`` from one nested matcher result."""
-    located = relative_path(raw["path"], root)
-    link = inspector_url(base, located["path"])
     message = raw["extra"]["message"]
-    error = F.coalesce(
-        located["error"],
-        F.when(F.octet_length(message) > MAX_MESSAGE_BYTES, F.lit("finding message exceeds 1024 bytes")),
-        link["error"],
-    )
-    finding = F.struct(
-        rule_id(raw["check_id"]).alias("rule_id"),
-        located["path"].alias("path"),
-        raw["start"]["line"].alias("start_line"),
-        raw["end"]["line"].alias("end_line"),
-        message.alias("message"),
-        raw["extra"]["severity"].alias("severity"),
-        raw["extra"]["metadata"]["evidence"].alias("evidence"),
-        raw["extra"]["metadata"]["confidence"].alias("confidence"),
-        raw["extra"]["metadata"]["execution_context"].alias("execution_context"),
-        link["url"].alias("inspector_url"),
+    metadata = raw["extra"]["metadata"]
+
+    def finding(located: Column, link: Column) -> Column:
+        error = F.coalesce(
+            located["error"],
+            F.when(F.octet_length(message) > MAX_MESSAGE_BYTES, F.lit("finding message exceeds 1024 bytes")),
+            link["error"],
+        )
+        fields = F.struct(
+            rule_id(raw["check_id"]).alias("rule_id"),
+            located["path"].alias("path"),
+            raw["start"]["line"].alias("start_line"),
+            raw["end"]["line"].alias("end_line"),
+            message.alias("message"),
+            raw["extra"]["severity"].alias("severity"),
+            metadata["evidence"].alias("evidence"),
+            metadata["confidence"].alias("confidence"),
+            metadata["execution_context"].alias("execution_context"),
+            link["url"].alias("inspector_url"),
+        )
+        return F.struct(F.when(error.isNull(), fields).alias("finding"), error.alias("error"))
+
+    return let(
+        relative_path(raw["path"], root),
+        lambda located: let(inspector_url(base, located["path"]), lambda link: finding(located, link)),
     )
-    return F.struct(F.when(error.isNull(), finding).alias("finding"), error.alias("error"))

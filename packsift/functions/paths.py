@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from packsift.functions.binding import let
 from packsift.settings import MAX_PATH_BYTES
 
 
@@ -16,7 +17,7 @@ def is_safe_path(path: Column) -> Column:
     return (
         (path != "")
         & ~path.startswith("/")
-        & ~path.rlike(r"(^|/)\.\.(/|\z)")
+        & ~(path.contains("..") & path.rlike(r"(^|/)\.\.(/|\z)"))
         & ~path.rlike(r"^\.(/|\z)")
     )
 
@@ -31,19 +32,25 @@ def relative_path(path: Column, root: Column) -> Column:
     below = F.regexp_replace(
         F.substring(path, F.char_length(prefix) + 1, F.char_length(path)), r"^(?:\.?/)+", ""
     )
-    absolute = path.startswith("/")
-    stripped = F.when(~absolute, path).when(path.startswith(prefix), below)
-    slashed = F.translate(stripped, "\\", "/")
-    error = (
-        F.when(stripped.isNull(), F.lit("path is outside the target directory"))
-        .when(stripped == "", F.lit("path must not be empty"))
-        .when(
-            ~is_safe_path(stripped) | ~is_safe_path(slashed),
-            F.lit("path must contain only normal relative components"),
+    stripped = F.when(~path.startswith("/"), path).when(path.startswith(prefix), below)
+
+    def checked(names: Column) -> Column:
+        error = (
+            F.when(names["raw"].isNull(), F.lit("path is outside the target directory"))
+            .when(names["raw"] == "", F.lit("path must not be empty"))
+            .when(
+                ~is_safe_path(names["raw"]) | ~is_safe_path(names["slashed"]),
+                F.lit("path must contain only normal relative components"),
+            )
+            .when(F.octet_length(names["slashed"]) > MAX_PATH_BYTES, F.lit("path exceeds 1024 bytes"))
         )
-        .when(F.octet_length(slashed) > MAX_PATH_BYTES, F.lit("path exceeds 1024 bytes"))
-    )
-    return F.struct(F.when(error.isNull(), slashed).alias("path"), error.alias("error"))
+        return let(
+            error,
+            lambda e: F.struct(F.when(e.isNull(), names["slashed"]).alias("path"), e.alias("error")),
+        )
+
+    both = lambda raw: F.struct(raw.alias("raw"), F.replace(raw, F.lit("\\"), F.lit("/")).alias("slashed"))
+    return let(let(stripped, both), checked)
 
 
 def basename(path: Column) -> Column:

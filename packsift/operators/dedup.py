@@ -14,7 +14,7 @@ from packsift.functions.identity import with_identity
 from packsift.functions.paths import path_parts
 from packsift.operators.running import row_numbers, running_totals
 from packsift.operators.skew import skew_safe_join
-from packsift.session import settle
+from packsift.session import settle, spread
 from packsift.settings import MAX_SCAN_SIZE
 
 FILE_KEY = ["pkg", "dist_index", "path"]
@@ -77,7 +77,7 @@ def representatives(index: DataFrame) -> DataFrame:
 def distinct_targets(files: DataFrame, index: DataFrame) -> DataFrame:
     """One row with content per identity. The file key is unique, so the join
     is even; on a files table bucketed by the key, content is not shuffled."""
-    content = files.select(*FILE_KEY, "content")
+    content = spread(files.select(*FILE_KEY, "content"), *FILE_KEY)
     return content.join(representatives(index), FILE_KEY).select(
         "identity", *IDENTITY, "content", *FILE_KEY
     )

@@ -11,6 +11,7 @@ from packsift.functions.urls import inspector_url
 from packsift.operators.dedup import FILE_KEY, distinct_targets, file_index, within_scan_size, write_manifest
 from packsift.operators.scan import rules_reusable, scan
 from packsift.operators.skew import skew_safe_join
+from packsift.session import spread
 from packsift.settings import MAX_FINDINGS, MAX_PATH_BYTES, MAX_SCAN_SIZE
 
 
@@ -85,7 +86,7 @@ def scan_package(files: DataFrame, rules: DataFrame, max_size: int = MAX_SCAN_SI
 
 def scan_by_distribution(files: DataFrame, rules: DataFrame, max_size: int = MAX_SCAN_SIZE) -> DataFrame:
     """Scan every file at its own path, for rules that look at paths."""
-    targets = within_scan_size(files, max_size).withColumn("ext", extension(F.col("path")))
+    targets = spread(within_scan_size(files, max_size), *FILE_KEY).withColumn("ext", extension(F.col("path")))
     return scan(targets, rules, FILE_KEY).select(*FILE_KEY, "check_id", "start_line", "end_line")
 
 

@@ -9,6 +9,7 @@ be many; they are found by an equi-join on a token gram instead.
 from __future__ import annotations
 
 import re
+from re import _parser as sre
 from collections.abc import Iterator, Sequence
 from functools import reduce
 from math import ceil
@@ -16,6 +17,7 @@ from math import ceil
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from packsift.functions.binding import let
 from packsift.operators.skew import skew_safe_join
 from packsift.settings import RULE_BATCH_BYTES, RULE_BATCH_ROWS
 
@@ -83,6 +85,35 @@ def applicable(rule: Row) -> Column | None:
 # -- regex rules ---------------------------------------------------------------------
 
 
+def required_literal(pattern: str) -> str:
+    """The longest text that every match of ``pattern`` contains, '' if unknown.
+
+    Read from the parse tree: only items that a match cannot skip count.
+    """
+    try:
+        tree = sre.parse(pattern)
+    except re.error:
+        return ""
+    if tree.state.flags & re.IGNORECASE:
+        return ""
+
+    def runs(items) -> Iterator[str]:
+        run = ""
+        for op, argument in items:
+            if op is sre.LITERAL:
+                run += chr(argument)
+                continue
+            yield run
+            run = ""
+            if op is sre.SUBPATTERN and not argument[1]:
+                yield from runs(argument[3])
+            elif op is sre.MAX_REPEAT and argument[0] >= 1:
+                yield from runs(argument[2])
+        yield run
+
+    return max(runs(tree), key=len, default="")
+
+
 def scan_regex(targets: DataFrame, rules: DataFrame, key: Sequence[str]) -> DataFrame:
     """Findings (key, check_id, start_line, end_line) of regex rules.
 
@@ -93,19 +124,21 @@ def scan_regex(targets: DataFrame, rules: DataFrame, key: Sequence[str]) -> Data
 
         def test(column: str, rule: Row, mode: str) -> Column:
             hit = F.col(column).rlike(mode + rule["pattern"])
+            literal = required_literal(rule["pattern"])
+            if literal:  # a plain search is far cheaper than a failing regex
+                hit = F.contains(F.col(column), F.lit(literal)) & hit
             condition = applicable(rule)
             return hit if condition is None else condition & hit
 
-        candidates = targets
+        text_lines = F.split("content", "\n", -1)
         # Text anchors mean something else on a whole text than on one line.
         if not any(re.search(r"\\[AzZG]", rule["pattern"]) for rule in batch):
-            candidates = targets.where(
-                reduce(lambda a, b: a | b, [test("content", rule, _TEXT_MODE) for rule in batch])
-            )
+            # Part of the generator, not a filter: a filter would be pushed below
+            # the step that spreads the texts over the cores.
+            hit = reduce(lambda a, b: a | b, [test("content", rule, _TEXT_MODE) for rule in batch])
+            text_lines = F.when(hit, text_lines)
         carried = [name for name in ("ext", "path") if name in targets.columns and name not in key]
-        lines = candidates.select(
-            *key, *carried, F.posexplode(F.split("content", "\n", -1)).alias("_line_no", "_line")
-        )
+        lines = targets.select(*key, *carried, F.posexplode(text_lines).alias("_line_no", "_line"))
         found = [test("_line", rule, _LINE_MODE) for rule in batch]
         hits = F.array_compact(F.array(*[F.when(hit, F.lit(rule["check_id"])) for rule, hit in zip(batch, found)]))
         line_no = (F.col("_line_no") + 1).cast("bigint")
@@ -127,13 +160,14 @@ def _tokens(text: Column) -> Column:
 def _grams(tokens: Column) -> Column:
     """Distinct hashes of every run of GRAM tokens."""
 
-    def runs(words: Column) -> Column:
-        last = F.size(words) - GRAM + 1
-        hashed = F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.slice(words, i, F.lit(GRAM))))
-        return F.when(last >= 1, F.array_distinct(hashed)).otherwise(F.array().cast("array<bigint>"))
+    def runs(hashes: Column) -> Column:
+        last = F.size(hashes) - GRAM
+        run = lambda i: F.xxhash64(*[F.get(hashes, i + step) for step in range(GRAM)])
+        none = F.array().cast("array<bigint>")
+        return F.when(last >= 0, F.array_distinct(F.transform(F.sequence(F.lit(0), last), run))).otherwise(none)
 
-    # The lambda's variable holds the tokens, so a text is split once, not per run.
-    return F.flatten(F.transform(F.array(tokens), runs))
+    # Each token is hashed once; a run is then a hash of four numbers.
+    return let(F.transform(tokens, lambda token: F.xxhash64(token)), runs)
 
 
 def literal_anchors(rules: DataFrame) -> DataFrame:

@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Fixed value: Spark's default size of a file split.
+SPLIT_BYTES = 128 * 1024 * 1024
+
 
 def build_session(app_name: str = "packsift", master: str | None = None, **conf: str) -> SparkSession:
     """Session with the settings the jobs rely on; ``conf`` overrides any of them."""
@@ -48,6 +51,18 @@ def output_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/packsift/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Use all cores for heavy work on input too small to have a split per core.
+
+    Decided from the planner's size estimate: only input below one file split per
+    core is redistributed, so what moves is bounded; larger input stays in place.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores, *keys) if estimate < cores * SPLIT_BYTES else df
+
+
 def settle(df: DataFrame, name: str = "settled") -> DataFrame:
     """Write ``df`` to the shared folder and continue from the written table.
 
