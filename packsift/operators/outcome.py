@@ -19,12 +19,13 @@ def partial_reasons(
 ) -> DataFrame:
     """Warnings of each job in order, joined by '; ' and cut to ``limit`` characters.
 
-    Only warnings that start within the first ``limit`` characters can show, and
-    each takes at least the separator, so few rows per job are ever gathered.
+    Only warnings whose separator starts within the first ``limit`` characters can
+    show, and each takes at least the separator, so few rows are ever gathered.
     """
     width = F.char_length(text) + len(SEPARATOR)
     placed = running_totals(warnings, [job], order, {"_end": width, "_n": F.lit(1)})
-    visible = placed.where(F.col("_end") - width < limit)
+    # The separator before a warning may show although its text does not.
+    visible = placed.where(F.col("_end") - width - len(SEPARATOR) < limit)
     gathered = F.array_sort(F.collect_list(F.struct(F.col("_n"), F.col(text).alias("_text"))))
     joined = F.array_join(F.transform(gathered, lambda w: w["_text"]), SEPARATOR)
     return visible.groupBy(job).agg(truncate_chars(joined, limit).alias("partial_reason"))

@@ -75,9 +75,10 @@ def apply(
     order = [F.col("pkg"), F.col("identity")]
     decisions = settle(decide(_with_known(index, known), "reuse", order, every), "decisions")
     audited = decisions.where(F.col("candidate") & ~F.col("reused"))
-    sample = targets.join(audited.select("identity").distinct(), "identity", "left_semi")
+    sampled = audited.select("identity").distinct()
+    sample = targets.join(sampled, "identity", "left_semi")
     checked = scan(sample, rules, ["identity"])
-    expected = stored.join(sample.select("identity"), "identity", "left_semi")
+    expected = stored.join(sampled, "identity", "left_semi")
     wrong = mismatched_keys(expected, checked, ["identity"], _ITEM)
     stop = audited.join(wrong, "identity", "left_semi").agg(F.min("pkg")).first()[0]
     trusted = F.col("reused") if stop is None else F.col("reused") & (F.col("pkg") <= F.lit(stop))

@@ -59,13 +59,8 @@ def rule_batches(
 
 def is_small(rules: DataFrame, max_rows: int, max_bytes: int) -> bool:
     """Whether rules are within a bound; reads no more than the bound's rows."""
-    totals = (
-        rules.select(F.octet_length("pattern").alias("b"))
-        .limit(max_rows + 1)
-        .agg(F.count("*").alias("n"), F.coalesce(F.sum("b"), F.lit(0)).alias("b"))
-        .first()
-    )
-    return totals["n"] <= max_rows and totals["b"] <= max_bytes
+    sizes = rules.select(F.octet_length("pattern")).limit(max_rows + 1).collect()
+    return len(sizes) <= max_rows and sum(size for (size,) in sizes) <= max_bytes
 
 
 def rule_extensions(languages: Sequence[str]) -> list[str]:

@@ -9,6 +9,7 @@ rules      text rules with patterns that mean the same in Java and RE2
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,7 +59,10 @@ _RULES = [
     ),
 ]
 
-_EVIDENCE = ("composition", "high", "import_time")
+_ARROW_RULE = pa.schema(
+    [(field.name, pa.list_(pa.string()) if field.name == "languages" else pa.string()) for field in RULE]
+)
+_EVIDENCE = {"evidence": "composition", "confidence": "high", "execution_context": "import_time"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -148,19 +152,20 @@ def warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rules(spark: SparkSession, languages: bool = False, paths: bool = False) -> DataFrame:
     rows = [
-        (
-            check_id,
-            "regex",
-            pattern,
-            langs if languages else None,
-            path if paths else None,
-            message,
-            severity,
-            *_EVIDENCE,
-        )
+        {
+            "check_id": check_id,
+            "kind": "regex",
+            "pattern": pattern,
+            "languages": langs if languages else None,
+            "path_pattern": path if paths else None,
+            "message": message,
+            "severity": severity,
+            **_EVIDENCE,
+        }
         for check_id, pattern, langs, path, message, severity in _RULES
     ]
-    return spark.createDataFrame(rows, RULE)
+    # From an Arrow table the rules are a local relation: reading them is no job.
+    return spark.createDataFrame(pa.Table.from_pylist(rows, schema=_ARROW_RULE), RULE)
 
 
 def literal_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,7 +178,7 @@ def literal_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("string").alias("path_pattern"),
         F.lit("Known passage.").alias("message"),
         F.lit("INFO").alias("severity"),
-        *[F.lit(v).alias(n) for n, v in zip(("evidence", "confidence", "execution_context"), _EVIDENCE)],
+        *[F.lit(value).alias(name) for name, value in _EVIDENCE.items()],
     )
 
 
