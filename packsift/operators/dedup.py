@@ -68,19 +68,28 @@ def corpus_identities(index: DataFrame) -> DataFrame:
 def representatives(index: DataFrame) -> DataFrame:
     """One file key per identity over the whole corpus."""
     return (
-        index.groupBy("identity", *IDENTITY)
-        .agg(F.min(F.struct(*FILE_KEY)).alias("_rep"))
-        .select("identity", *IDENTITY, "_rep.*")
+        index.groupBy("identity")
+        .agg(F.min(F.struct(*FILE_KEY, *IDENTITY)).alias("_rep"))
+        .select("identity", "_rep.*")
     )
 
 
-def distinct_targets(files: DataFrame, index: DataFrame) -> DataFrame:
-    """One row with content per identity. The file key is unique, so the join
-    is even; on a files table bucketed by the key, content is not shuffled."""
+def distinct_targets(
+    files: DataFrame, index: DataFrame, wanted: DataFrame | None = None, known: DataFrame | None = None
+) -> DataFrame:
+    """One row with content per identity, of the ``wanted`` and not ``known`` ones.
+
+    Identities are chosen on narrow rows, before content is read. The file key is
+    unique, so the join is even; on a files table bucketed by the key, content is
+    not shuffled.
+    """
+    chosen = representatives(index)
+    if wanted is not None:
+        chosen = chosen.join(wanted.select("identity"), "identity", "left_semi")
+    if known is not None:
+        chosen = chosen.join(known.select("identity"), "identity", "left_anti")
     content = spread(files.select(*FILE_KEY, "content"), *FILE_KEY)
-    return content.join(representatives(index), FILE_KEY).select(
-        "identity", *IDENTITY, "content", *FILE_KEY
-    )
+    return content.join(chosen, FILE_KEY).select("identity", *IDENTITY, "content", *FILE_KEY)
 
 
 def alias_order() -> list[Column]:

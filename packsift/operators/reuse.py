@@ -20,6 +20,7 @@ from packsift.settings import (
     AUDIT_EVERY,
     CACHE_BYTES,
     CACHE_ENTRIES,
+    MAX_BROADCAST_ROWS,
     MAX_CACHE_RESULT_BYTES,
 )
 
@@ -74,8 +75,15 @@ def exact_hits(targets: DataFrame, cache: DataFrame, key: str = "identity") -> D
 
 
 def without_revoked(rows: DataFrame, revocations: DataFrame) -> DataFrame:
-    """Leave out rows whose namespace was revoked; applies to reads and writes."""
-    return rows.join(revocations.select(*NAMESPACE).distinct(), NAMESPACE, "left_anti")
+    """Leave out rows whose namespace was revoked; applies to reads and writes.
+
+    One namespace usually holds most rows: revocations are broadcast while they
+    are few, and joined with salts beyond that.
+    """
+    revoked = revocations.select(*NAMESPACE).distinct()
+    if revoked.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS:
+        return rows.join(F.broadcast(revoked), NAMESPACE, "left_anti")
+    return skew_safe_join(rows, revoked, NAMESPACE, "left_anti")
 
 
 # -- which hits are reused -----------------------------------------------------------

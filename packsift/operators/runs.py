@@ -2,8 +2,8 @@
 
 Inputs shared by the runs:
 
-index     alias rows with identity, as a stored manifest
-targets   one row with content per identity
+files     rows with content
+index     their alias rows with identity, as a stored manifest
 known     identities with a stored result
 stored    their stored findings (identity, check_id, start_line, end_line)
 """
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from packsift.operators.admission import until_first_timeout
+from packsift.operators.dedup import distinct_targets
 from packsift.operators.expand import expand_findings
 from packsift.operators.reuse import decide, mismatched_keys
 from packsift.operators.scan import scan
@@ -36,12 +37,12 @@ def _with_known(index: DataFrame, known: DataFrame) -> DataFrame:
     )
 
 
-def observe(index: DataFrame, targets: DataFrame, rules: DataFrame, known: DataFrame, stored: DataFrame) -> DataFrame:
+def observe(files: DataFrame, index: DataFrame, rules: DataFrame, known: DataFrame, stored: DataFrame) -> DataFrame:
     """Scan everything, compare with what is stored; fresh results always win.
 
     Returns per package: lookups, candidates, mismatched targets and findings.
     """
-    fresh = scan(targets, rules, ["identity"])
+    fresh = settle(scan(distinct_targets(files, index), rules, ["identity"]), "findings")
     again = fresh.join(known.select("identity"), "identity", "left_semi")
     differing = mismatched_keys(stored, again, ["identity"], _ITEM).withColumn("_differs", F.lit(True))
     per_target = fresh.groupBy("identity").agg(F.count("*").alias("_findings"))
@@ -59,8 +60,8 @@ def observe(index: DataFrame, targets: DataFrame, rules: DataFrame, known: DataF
 
 
 def apply(
+    files: DataFrame,
     index: DataFrame,
-    targets: DataFrame,
     rules: DataFrame,
     known: DataFrame,
     stored: DataFrame,
@@ -76,8 +77,7 @@ def apply(
     decisions = settle(decide(_with_known(index, known), "reuse", order, every), "decisions")
     audited = decisions.where(F.col("candidate") & ~F.col("reused"))
     sampled = audited.select("identity").distinct()
-    sample = targets.join(sampled, "identity", "left_semi")
-    checked = scan(sample, rules, ["identity"])
+    checked = scan(distinct_targets(files, index, wanted=sampled), rules, ["identity"])
     expected = stored.join(sampled, "identity", "left_semi")
     wrong = mismatched_keys(expected, checked, ["identity"], _ITEM)
     stop = audited.join(wrong, "identity", "left_semi").agg(F.min("pkg")).first()[0]
@@ -91,7 +91,7 @@ def apply(
     jobs = jobs.withColumn("failed", failed)
 
     pending = final.where(~F.col("reused")).select("identity").distinct()
-    fresh = scan(targets.join(pending, "identity", "left_semi"), rules, ["identity"])
+    fresh = scan(distinct_targets(files, index, wanted=pending), rules, ["identity"])
     results = stored.select("identity", *_ITEM, F.lit(True).alias("reused")).unionByName(
         fresh.select("identity", *_ITEM, F.lit(False).alias("reused"))
     )

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packsift.settings import MAX_HOT_KEYS, ROWS_PER_SALT
+from packsift.settings import MAX_BROADCAST_ROWS, MAX_HOT_KEYS, ROWS_PER_SALT
 
 
 def _same(keys: Sequence[str], prefix: str) -> Column:
@@ -34,6 +34,14 @@ def hot_keys(facts: DataFrame, keys: Sequence[str], rows_per_salt: int = ROWS_PE
     )
 
 
+def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """``df`` marked for broadcast when it has few rows, else as it is.
+
+    Counting stops at the bound.
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
 def skew_safe_join(
     facts: DataFrame,
     lookup: DataFrame,

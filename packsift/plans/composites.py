@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packsift.operators.dedup import FILE_KEY, bounded_groups, target_ids
+from packsift.operators.dedup import FILE_KEY, bounded_groups, distinct_targets, target_ids
 from packsift.operators.expand import gather_findings, scan_by_distribution, scan_corpus, scan_package
 from packsift.operators.reuse import KEY, admit, lookup, new_entries, with_durable_key, without_revoked
 from packsift.operators.runs import apply, expand_kept, fallback_groups, observe
@@ -79,7 +79,7 @@ FROM t LEFT JOIN known USING (identity) LEFT JOIN n USING (identity) GROUP BY pk
 )
 def q_reuse_observe(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = Corpus(spark, sf_dir)
-    return observe(c.index, c.targets, c.rules, c.known, c.stored)
+    return observe(c.files, c.index, c.rules, c.known, c.stored)
 
 
 @query(
@@ -101,7 +101,7 @@ FROM j LEFT JOIN (SELECT i.pkg, path, check_id, start_line FROM r JOIN index i U
 def q_reuse_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Jobs with their findings; poisoned results make audits fail."""
     c = Corpus(spark, sf_dir)
-    found, jobs = apply(c.index, c.targets, c.rules, c.known, c.stored, every=5)
+    found, jobs = apply(c.files, c.index, c.rules, c.known, c.stored, every=5)
     return jobs.join(found.select("pkg", "path", "check_id", "start_line"), "pkg", "left")
 
 
@@ -187,7 +187,7 @@ def q_scan_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     numbered = target_ids(corpus.index).select("pkg", "identity", "size", "target_id").distinct()
     grouped = bounded_groups(numbered, ["pkg"], [F.col("target_id")], 8)
     kept, stopped = fallback_groups(grouped, "size", 40_000)
-    wanted = corpus.targets.join(kept.select("identity").distinct(), "identity", "left_semi")
+    wanted = distinct_targets(corpus.files, corpus.index, wanted=kept.select("identity").distinct())
     found = expand_kept(corpus.index, kept, scan(wanted, corpus.rules, ["identity"]))
     return found.select(
         "pkg",

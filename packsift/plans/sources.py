@@ -11,7 +11,7 @@ from packsift.plans.catalog import query
 from packsift.plans.corpus import Corpus
 from packsift.plans.views import CACHED, FILES, INDEX, JOBS, files, jobs, table
 from packsift.schemas import CACHE_ENTRY, NAMESPACE
-from packsift.session import output_dir
+from packsift.session import output_dir, spread
 from packsift.sources.archives import expand_archives, pack_archives
 from packsift.sources.documents import parse_documents
 from packsift.sources.files import walk
@@ -98,9 +98,8 @@ SELECT path, CAST(strlen(content) AS BIGINT) AS size, sha256(content) AS sha256,
 def src_archive_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pack all files to ZIP and tar.gz archives and expand them again."""
     fmt = F.when(F.col("dist_index") < 2, "zip").otherwise("tar.gz")
-    packed = pack_archives(
-        files(spark, sf_dir).select(fmt.alias("format"), "path", F.col("content").cast("binary").alias("content"))
-    )
+    rows = files(spark, sf_dir).select(fmt.alias("format"), "path", F.col("content").cast("binary").alias("content"))
+    packed = pack_archives(spread(rows, "path"))
     return expand_archives(packed).select("path", "size", F.sha2("content", 256).alias("sha256"), "error")
 
 

@@ -20,6 +20,8 @@ def build_session(app_name: str = "packsift", master: str | None = None, **conf:
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+        # Where every build partition is small, join by hash instead of sorting content.
+        "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": str(256 * 1024 * 1024),
         "spark.sql.session.timeZone": "UTC",
         # Archives are wide rows: bound Arrow batches by bytes, not only by rows.
         "spark.sql.execution.arrow.maxBytesPerBatch": str(128 * 1024 * 1024),

@@ -36,6 +36,7 @@ RULE_BATCH_BYTES = 1 * MIB
 MAX_DIGEST_BYTES = 64 * MIB
 ROWS_PER_SALT = 1_000_000
 MAX_HOT_KEYS = 4096
+MAX_BROADCAST_ROWS = 100_000
 
 
 @dataclass(frozen=True)

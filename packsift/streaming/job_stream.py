@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from packsift.operators.dedup import FILE_KEY, distinct_targets, file_index, within_scan_size, write_manifest
 from packsift.operators.expand import expand_findings
 from packsift.operators.scan import scan, scanned_targets
+from packsift.operators.skew import broadcast_if_small
 from packsift.sources.jobs import split_by_rules
 from packsift.sources.tables import write_batch
 
@@ -45,12 +46,14 @@ class ScanStream:
         aliases = write_manifest(file_index(files))
         known = _earlier(spark, f"{self.folder}/scanned", _SCANNED, batch_id)
         stored = _earlier(spark, f"{self.folder}/results", _RESULTS, batch_id)
-        fresh_aliases = aliases.join(known, "identity", "left_anti")
-        targets = scanned_targets(distinct_targets(files, fresh_aliases), self.rules)
+        targets = scanned_targets(distinct_targets(files, aliases, known=known), self.rules)
         write_batch(targets.select("identity"), f"{self.folder}/scanned", batch_id)
         write_batch(scan(targets, self.rules, ["identity"]), f"{self.folder}/results", batch_id)
         fresh = spark.read.schema(_RESULTS).parquet(f"{self.folder}/results/batch_id={batch_id}")
-        reports = expand_findings(aliases, stored.unionByName(fresh))
+        # A batch is bounded, the history is not: with few identities in the batch
+        # they are sent to the history instead of shuffling it.
+        present = broadcast_if_small(aliases.select("identity").distinct())
+        reports = expand_findings(aliases, stored.join(present, "identity", "left_semi").unionByName(fresh))
         write_batch(
             reports.select(*FILE_KEY, "check_id", "start_line", "end_line"), f"{self.folder}/reports", batch_id
         )

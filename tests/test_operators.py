@@ -301,26 +301,26 @@ def test_multisets_count_repeats(spark):
 def run_inputs(spark, contents, pkg="test"):
     files = spark.createDataFrame([(pkg, 0, f"{n}.py", c) for n, c in enumerate(contents)], FILES)
     index = write_manifest(file_index(files))
-    return index, distinct_targets(files, index), rules(spark, rule("x.exec", r"exec\("))
+    return files, index, rules(spark, rule("x.exec", r"exec\("))
 
 
 def test_poisoned_cache(spark):
     """Two files with findings stored as clean: observing counts both, reusing fails the job."""
-    index, targets, corpus = run_inputs(spark, ["exec('one')\n", "exec('two')\n"])
+    files, index, corpus = run_inputs(spark, ["exec('one')\n", "exec('two')\n"])
     known = index.select("identity").distinct()
     stored = spark.createDataFrame([], "identity string, check_id string, start_line bigint, end_line bigint")
-    seen = observe(index, targets, corpus, known, stored).first()
+    seen = observe(files, index, corpus, known, stored).first()
     assert (seen.candidate_files, seen.mismatched_files, seen.findings) == (2, 2, 2)
-    findings, jobs = apply(index, targets, corpus, known, stored, every=2)
+    findings, jobs = apply(files, index, corpus, known, stored, every=2)
     job = jobs.first()
     assert job.failed and job.reused_files == 1 and findings.isEmpty()
 
 
 def test_honest_cache_is_reused(spark):
-    index, targets, corpus = run_inputs(spark, ["exec('one')\n", "print(1)\n"])
+    files, index, corpus = run_inputs(spark, ["exec('one')\n", "print(1)\n"])
     known = index.select("identity").distinct()
-    stored = scan(targets, corpus, ["identity"])
-    findings, jobs = apply(index, targets, corpus, known, stored)
+    stored = scan(distinct_targets(files, index), corpus, ["identity"])
+    findings, jobs = apply(files, index, corpus, known, stored)
     job = jobs.first()
     assert (job.reused_files, job.engine_files, job.failed) == (2, 0, False)
     assert [(r.path, r.check_id) for r in findings.collect()] == [("0.py", "x.exec")]
