@@ -30,9 +30,7 @@ def locate(expanded: DataFrame, distributions: DataFrame) -> DataFrame:
     A finding whose distribution is unknown, or whose location is too long, gets
     an ``error`` instead. ``expanded`` is best a stored table.
     """
-    joined = skew_safe_join(
-        expanded, distributions, ["pkg", "dist_index"], "left", spread=[*FILE_KEY, "check_id", "start_line"]
-    )
+    joined = skew_safe_join(expanded, distributions, ["pkg", "dist_index"], "left")
     link = inspector_url(F.col("base"), F.col("path"))
     error = F.coalesce(
         F.when(F.col("base").isNull(), F.lit("finding references an unknown distribution")),

@@ -252,9 +252,18 @@ def _no_findings(targets: DataFrame, key: Sequence[str]) -> DataFrame:
     )
 
 
+def as_text(targets: DataFrame) -> DataFrame:
+    """Binary content as text, with invalid bytes replaced. Identity was taken
+    from the bytes, so replacement never merges two files."""
+    if targets.schema["content"].dataType.simpleString() != "binary":
+        return targets
+    return targets.withColumn("content", F.make_valid_utf8(F.col("content").cast("string")))
+
+
 def scan(targets: DataFrame, rules: DataFrame, key: Sequence[str]) -> DataFrame:
     """Findings of a whole snapshot on targets with columns key, ext, content
     (and path for path-scoped rules)."""
+    targets = as_text(targets)
     parts = []
     for kind, scan_kind in (("regex", scan_regex), ("literal", scan_literal)):
         chosen = rules.where(F.col("kind") == kind)

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from packsift.schemas import ARCHIVE_ENTRY
 from packsift.settings import MIB, ArchiveLimits
@@ -117,6 +118,32 @@ def expand_archives(archives: DataFrame, limits: ArchiveLimits | None = None) ->
     return archives.select("archive", "content", "format").mapInArrow(expand, ARCHIVE_ENTRY)
 
 
+def package_files(
+    fetched: DataFrame, limits: ArchiveLimits | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Files and failures of fetched distributions (pkg, dist_index, content,
+    format, error).
+
+    Returns file rows (pkg, dist_index, path, content) and failure rows
+    (pkg, dist_index, reason).
+    """
+    label = F.concat_ws("#", F.col("dist_index").cast("string"), "pkg")
+    entries = expand_archives(
+        fetched.where("error IS NULL").select(label.alias("archive"), "content", "format"), limits
+    )
+    index = F.substring_index("archive", "#", 1)
+    keyed = entries.withColumns(
+        {
+            "dist_index": index.cast("int"),
+            "pkg": F.substring(F.col("archive"), F.char_length(index) + 2, F.char_length("archive")),
+        }
+    )
+    files = keyed.where("error IS NULL").select("pkg", "dist_index", "path", "content")
+    failures = keyed.where("error IS NOT NULL").select("pkg", "dist_index", F.col("error").alias("reason"))
+    refused = fetched.where("error IS NOT NULL").select("pkg", "dist_index", F.col("error").alias("reason"))
+    return files, failures.unionByName(refused)
+
+
 def _build(fmt: str, files: list[tuple[str, bytes]]) -> bytes:
     buffer = io.BytesIO()
     if fmt == "tar.gz":

@@ -48,9 +48,9 @@ def explode_rules(snapshot: DataFrame) -> DataFrame:
 def split_by_rules(jobs: DataFrame, snapshot: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Jobs that match the loaded snapshot, and jobs to defer.
 
-    ``snapshot`` is one row, so its side is broadcast.
+    The loaded snapshot is one row, an aggregate by construction, and broadcast.
     """
-    loaded = F.broadcast(snapshot.select("hash").limit(1))
+    loaded = F.broadcast(snapshot.agg(F.max("hash").alias("hash")))
     return jobs.join(loaded, "hash", "left_semi"), jobs.join(loaded, "hash", "left_anti")
 
 
