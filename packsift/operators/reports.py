@@ -12,7 +12,7 @@ from packsift.operators.scan import describe
 from packsift.schemas import FINDING
 from packsift.session import settle
 from packsift.settings import MAX_DISTRIBUTIONS, MAX_FINDINGS
-from packsift.sources.jobs import too_many_distributions
+from packsift.sources.jobs import job_distributions, too_many_distributions
 
 # Failures of one job count in the order in which a run meets them.
 _TOO_MANY_DISTRIBUTIONS, _ARCHIVE, _FINDING, _CAP = 0, 1, 1_000_000, 1_000_001
@@ -36,8 +36,7 @@ def job_reports(
 
     Any failure makes the whole job an error without findings.
     """
-    distributions = jobs.select("pkg", "name", "version", F.posexplode("distributions").alias("dist_index", "url"))
-    bases = distributions.select(
+    bases = job_distributions(jobs).select(
         "pkg", "dist_index", inspector_base(F.col("name"), F.col("version"), F.col("url")).alias("base")
     )
     found = settle(scan_package(files, rules), "findings")

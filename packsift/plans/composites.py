@@ -14,7 +14,7 @@ from packsift.operators.skew import skew_safe_join
 from packsift.plans.catalog import query
 from packsift.plans.corpus import Corpus
 from packsift.plans.joins import STORED
-from packsift.plans.sources import SEED, in_namespace, keys, seed_cache
+from packsift.plans.sources import SEED, keys, seed_cache
 from packsift.plans.views import CACHED, FINDINGS, INDEX, RULES, files, rules
 from packsift.plans.windows import TARGET_IDS
 from packsift.schemas import NAMESPACE

@@ -10,7 +10,7 @@ from packsift.operators.reuse import KEY, lookup, new_entries
 from packsift.plans.catalog import query
 from packsift.plans.corpus import Corpus
 from packsift.plans.views import CACHED, FILES, INDEX, JOBS, files, jobs, table
-from packsift.schemas import CACHE_ENTRY, NAMESPACE
+from packsift.schemas import CACHE_ENTRY
 from packsift.session import output_dir, spread
 from packsift.sources.archives import expand_archives, pack_archives
 from packsift.sources.documents import parse_documents

@@ -66,14 +66,15 @@ def win_audit_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WITH s AS (SELECT doc_id, lang, strlen(text) AS size FROM documents WHERE strlen(text) <= 30000),
 r AS (SELECT *, row_number() OVER w AS n, sum(size) OVER w AS bytes FROM s
   WINDOW w AS (PARTITION BY lang ORDER BY doc_id DESC ROWS UNBOUNDED PRECEDING))
-SELECT doc_id, lang, n <= 128 AND bytes <= 160000 AS retained FROM r WHERE size <= 160000""",
+SELECT doc_id, lang, n <= 128 AND bytes <= 30000 AS retained FROM r""",
 )
 def win_fifo_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One cache per language; documents are stored in id order."""
+    """One cache per language; documents are stored in id order. A document larger
+    than the cache is never stored."""
     rows = table(spark, sf_dir, "documents").select(
         "doc_id", "lang", F.octet_length("text").cast("bigint").alias("size")
     )
-    kept = fifo_retention(rows.where("size <= 30000"), ["lang"], "doc_id", "size", max_entries=128, max_bytes=160_000)
+    kept = fifo_retention(rows, ["lang"], "doc_id", "size", max_entries=128, max_bytes=30_000)
     return kept.select("doc_id", "lang", "retained")
 
 

@@ -24,7 +24,6 @@ MAX_CACHE_RESULT_BYTES = 16 * KIB
 MAX_LANGUAGE_BYTES = 32
 CACHE_ENTRIES = 4096
 CACHE_BYTES = 32 * MIB
-CACHE_CHUNK = 128
 AUDIT_EVERY = 100
 BULK_SIZE = 20
 INSPECTOR_HOST = "inspector.pypi.io"

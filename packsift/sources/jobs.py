@@ -67,10 +67,8 @@ def too_many_distributions(distributions: Column, limit: int = MAX_DISTRIBUTIONS
 
 
 def job_distributions(jobs: DataFrame) -> DataFrame:
-    """One row per (job, distribution index, url)."""
-    return jobs.select(
-        "name", "version", "assignment_id", "attempt", F.posexplode("distributions").alias("dist_index", "url")
-    )
+    """One row per (job key, distribution index, url)."""
+    return jobs.select("pkg", "name", "version", F.posexplode("distributions").alias("dist_index", "url"))
 
 
 def fetch_archives(distributions: DataFrame, blobs: DataFrame, limit: int = MAX_DOWNLOAD_SIZE) -> DataFrame:

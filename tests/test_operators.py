@@ -39,7 +39,7 @@ from packsift.settings import ArchiveLimits
 from packsift.sources.archives import expand_archives
 from packsift.sources.documents import parse_documents, raw_findings, warnings
 from packsift.sources.files import walk
-from packsift.sources.jobs import complete_jobs, explode_rules, read_archive_files
+from packsift.sources.jobs import complete_jobs, explode_rules, read_archive_files, read_jobs, read_snapshot
 
 FILES = "pkg string, dist_index int, path string, content string"
 SAME = "print('same')\n"
@@ -411,6 +411,16 @@ def test_jobs_need_every_field(spark):
     assert [r.attempt for r in complete_jobs(frame).collect()] == [2]
 
 
+def test_jobs_and_rules_from_files(spark, tmp_path):
+    (tmp_path / "jobs.json").write_text(
+        '{"hash":"h","name":"n","version":"1","distributions":["u"],"attempt":2,"assignment_id":"l","extra":1}\n{"hash":"h"}\n'
+    )
+    (tmp_path / "rules.json").write_text('{"hash":"abc123","rules":{"python/rule.yml":"rules: []"}}\n')
+    assert [r.name for r in read_jobs(spark, str(tmp_path / "jobs.json")).collect()] == ["n"]
+    rows = read_snapshot(spark, str(tmp_path / "rules.json")).collect()
+    assert plain(rows) == [("abc123", "python/rule.yml", "rules: []")]
+
+
 def test_empty_rule_corpus_is_an_error(spark):
     frame = spark.createDataFrame([("h", {"python/rule.yml": "rules: []"})], "hash string, rules map<string,string>")
     assert [r.path for r in explode_rules(frame).collect()] == ["python/rule.yml"]

@@ -8,7 +8,7 @@ from packsift.operators.reports import job_reports
 from packsift.schemas import JOB
 from packsift.settings import ArchiveLimits
 from packsift.sources.archives import package_files
-from packsift.sources.jobs import fetch_archives, split_by_rules
+from packsift.sources.jobs import fetch_archives, job_distributions, split_by_rules
 from tests.test_operators import make_tar, make_zip, rule, rules
 
 
@@ -36,8 +36,7 @@ def test_reports_from_archives(spark):
     )
     ready, deferred = split_by_rules(jobs, spark.createDataFrame([("new",)], "hash string"))
     assert [r.name for r in deferred.collect()] == ["late"]
-    distributions = ready.select("pkg", F.posexplode("distributions").alias("dist_index", "url"))
-    fetched = fetch_archives(distributions, stored, limit=4000)
+    fetched = fetch_archives(job_distributions(ready), stored, limit=4000)
     files, failures = package_files(fetched, ArchiveLimits())
     warnings = spark.createDataFrame([("lease-2", 1, "late"), ("lease-2", 2, "later")], "pkg string, seq int, text string")
     corpus = rules(spark, rule("a.exec", r"exec\("))
