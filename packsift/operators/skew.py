@@ -60,9 +60,13 @@ def skew_safe_join(
 
     Keys are counted in a separate pass over ``weights``, by default ``facts``:
     one of them should be a stored table, so that counting does not repeat the
-    work that leads to ``facts``.
+    work that leads to ``facts``. With no more rows than one salt takes, no key can
+    be hot and the join is a plain one; that check stops at the bound.
     """
-    hot = F.broadcast(hot_keys(facts if weights is None else weights, keys, rows_per_salt))
+    counted = facts if weights is None else weights
+    if counted.limit(rows_per_salt + 1).count() <= rows_per_salt:
+        return facts.join(lookup, list(keys), how)
+    hot = F.broadcast(hot_keys(counted, keys, rows_per_salt))
     spread = list(spread or facts.columns)
     salt = F.coalesce(F.pmod(F.xxhash64(*spread), F.col("_salts")).cast("int"), F.lit(0))
     dropped = ["_salts", *[f"_h_{key}" for key in keys]]
