@@ -81,7 +81,7 @@ def without_revoked(rows: DataFrame, revocations: DataFrame) -> DataFrame:
     are few, and joined with salts beyond that.
     """
     revoked = revocations.select(*NAMESPACE).distinct()
-    if revoked.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS:
+    if revoked.count() <= MAX_BROADCAST_ROWS:
         return rows.join(F.broadcast(revoked), NAMESPACE, "left_anti")
     return skew_safe_join(rows, revoked, NAMESPACE, "left_anti")
 

@@ -58,7 +58,8 @@ def rule_batches(
 
 
 def is_small(rules: DataFrame, max_rows: int, max_bytes: int) -> bool:
-    """Whether rules are within a bound; reads no more than the bound's rows."""
+    """Whether rules are within a bound; takes no more than the bound's rows, partition
+    by partition, to the driver."""
     sizes = rules.select(F.octet_length("pattern")).limit(max_rows + 1).collect()
     return len(sizes) <= max_rows and sum(size for (size,) in sizes) <= max_bytes
 

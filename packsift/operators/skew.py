@@ -37,9 +37,9 @@ def hot_keys(facts: DataFrame, keys: Sequence[str], rows_per_salt: int = ROWS_PE
 def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcast when it has few rows, else as it is.
 
-    Counting stops at the bound.
+    A plain count is combined per task; a limit would gather rows in one task.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    return F.broadcast(df) if df.count() <= max_rows else df
 
 
 def skew_safe_join(
@@ -61,10 +61,10 @@ def skew_safe_join(
     Keys are counted in a separate pass over ``weights``, by default ``facts``:
     one of them should be a stored table, so that counting does not repeat the
     work that leads to ``facts``. With no more rows than one salt takes, no key can
-    be hot and the join is a plain one; that check stops at the bound.
+    be hot and the join is a plain one.
     """
     counted = facts if weights is None else weights
-    if counted.limit(rows_per_salt + 1).count() <= rows_per_salt:
+    if counted.count() <= rows_per_salt:
         return facts.join(lookup, list(keys), how)
     hot = F.broadcast(hot_keys(counted, keys, rows_per_salt))
     spread = list(spread or facts.columns)
