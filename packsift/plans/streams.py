@@ -66,7 +66,7 @@ def st_fifo_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.octet_length("text").cast("bigint").alias("size"),
     )
     events = run_to_table(
-        cache_events(puts, max_entries=32, max_bytes=20_000), output_dir(spark, "fifo-cache")
+        cache_events(puts, max_entries=32, max_bytes=20_000), output_dir(spark, "fifo-cache"), state_partitions=8
     )
     # Two narrow events per key at most, combined before the shuffle.
     return events.groupBy("worker", "key").agg(
@@ -95,5 +95,5 @@ def st_audit_disable(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").alias("seq"),
         (~F.col("text").rlike("[0-9]{3}")).alias("equal"),
     )
-    events = run_to_table(audit_events(hits, every=10), output_dir(spark, "audit"))
+    events = run_to_table(audit_events(hits, every=10), output_dir(spark, "audit"), state_partitions=8)
     return events.select("worker", "seq", "decision", "disabled")

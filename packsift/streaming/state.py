@@ -129,11 +129,19 @@ def audit_events(hits: DataFrame, every: int = AUDIT_EVERY) -> DataFrame:
     )
 
 
-def run_to_table(events: DataFrame, folder: str) -> DataFrame:
-    """Process all available input into parquet below ``folder`` and read it."""
+def run_to_table(events: DataFrame, folder: str, state_partitions: int | None = None) -> DataFrame:
+    """Process all available input into parquet below ``folder`` and read it.
+
+    State partitions beyond the number of (namespace, worker) keys stay empty but
+    each still opens a state store: ``state_partitions`` sets their number.
+    """
     spark = events.sparkSession
-    previous = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    settings = {"spark.sql.streaming.stateStore.providerClass": STATE_STORE}
+    if state_partitions is not None:
+        settings["spark.sql.shuffle.partitions"] = str(state_partitions)
+    previous = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
     try:
         (
             events.writeStream.format("parquet")
@@ -144,5 +152,6 @@ def run_to_table(events: DataFrame, folder: str) -> DataFrame:
             .awaitTermination()
         )
     finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", previous)
+        for name, value in previous.items():
+            spark.conf.set(name, value)
     return spark.read.schema(events.schema).parquet(f"{folder}/events")
