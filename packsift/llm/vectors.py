@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from packsift.llm.tables import pick
 
-VECTOR_BLOCK = 1024
-QUERY_BLOCK = 1024
+VECTOR_BLOCK = 8192
+QUERY_BLOCK = 256
 #: Half-widths of the error bound in standard deviations of the estimate.
 BOUND = 3.0
 SEED = 20
@@ -45,7 +45,7 @@ def valid_vectors(vectors: DataFrame, id_column: str, vector_column: str) -> Dat
     component, and one whose length is not the most common. Of several rows with one
     id the smallest vector in array order counts.
     """
-    rows = pick(vectors, id=id_column, v=vector_column).select("id", F.col("v").cast("array<double>").alias("v"))
+    rows = pick(vectors, id=id_column, v=vector_column).select("id", "v")
     usable = (
         F.col("id").isNotNull()
         & F.col("v").isNotNull()
@@ -68,7 +68,7 @@ def one_bit_index(vectors: DataFrame, id_column: str = "vec_id", vector_column:
         for batch in batches:
             for at in range(0, batch.num_rows, ROTATE_ROWS):
                 part = batch.slice(at, ROTATE_ROWS)
-                flat = part.column(1).flatten().to_numpy(zero_copy_only=False)
+                flat = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
                 x = flat.reshape(part.num_rows, -1)
                 if turn is None:
                     turn = rotation(x.shape[1])
@@ -85,9 +85,9 @@ def one_bit_index(vectors: DataFrame, id_column: str = "vec_id", vector_column:
                     names=["id", "v", "code", "norm", "fix"],
                 )
 
-    rows = valid_vectors(vectors, id_column, vector_column)
-    kind = rows.schema["id"].dataType.simpleString()
-    return rows.select("id", "v").mapInArrow(encode, f"id {kind}, v array<double>, code binary, norm double, fix double")
+    rows = valid_vectors(vectors, id_column, vector_column).select("id", "v")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInArrow(encode, f"{kinds}, code binary, norm double, fix double")
 
 
 def _search_cell(k: int):
@@ -95,12 +95,12 @@ def _search_cell(k: int):
         found: list[tuple] = []
         if len(vectors) and len(queries):
             vectors = vectors.sort_values("id")
-            ids, x = vectors["id"].to_numpy(), np.stack(vectors["v"].to_numpy())
+            ids, x = vectors["id"].to_numpy(), np.stack(vectors["v"].to_numpy()).astype(np.float64)
             dim = x.shape[1]
             packed = np.frombuffer(b"".join(vectors["code"]), np.uint8).reshape(len(ids), -1)
             signs = (np.unpackbits(packed, axis=1, count=dim).astype(np.float32) * 2 - 1) / np.float32(np.sqrt(dim))
             norm, fix = vectors["norm"].to_numpy(), vectors["fix"].to_numpy()
-            q = np.stack(queries["v"].to_numpy())
+            q = np.stack(queries["v"].to_numpy()).astype(np.float64)
             size = np.abs(q).max(axis=1)
             unit = (q / size[:, None]) @ rotation(dim).T
             length = np.linalg.norm(unit, axis=1)
