@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packsift.llm import chunked_bpe, lines, token_counts, vectors
-from packsift.llm.tables import documents, table
+from packsift.llm import chunked_bpe, language, lines, token_counts, toxicity, vectors
+from packsift.llm.tables import documents, fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -67,3 +67,20 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir, "doc_id", "text")
     counts = token_counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > MAX_TOKENS).alias("over_limit"))
+
+
+@query("op6_naive_bayes_language")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text", "lang")
+    found = language.identify(docs, lambda doc_id: fold(doc_id, 5) != 0)
+    return found.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+@query("op8_compression_toxicity")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    scored = toxicity.score_documents(docs, table(spark, sf_dir, "labels"), lambda doc_id: fold(doc_id, 3) != 1)
+    score = F.col("_toxicity")
+    return scored.select(
+        "doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), score.alias("score"), toxicity.is_toxic(score).cast("int").alias("predicted")
+    )
