@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packsift.llm import chunked_bpe, language, lines, token_counts, toxicity, vectors
+from packsift.llm import chunked_bpe, language, lines, personal, token_counts, toxicity, vectors
 from packsift.llm.tables import documents, fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,6 +69,25 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > MAX_TOKENS).alias("over_limit"))
 
 
+def _listed(spans: Column) -> Column:
+    kinds = F.array(*[F.lit(k) for k in personal.KINDS])
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s["kind"]), s["start"], s["end"])), ",")
+
+
+@query("op5_weak_supervision_pii")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal.find_personal(documents(spark, sf_dir, "doc_id", "text"))
+    base = F.filter("spans", lambda s: s["base"])
+    of_kind = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long")
+    counts = {f"n_{name}": of_kind(kind) for kind, name in enumerate(personal.KINDS)}
+    return found.select(
+        "doc_id",
+        *[column.alias(name) for name, column in counts.items()],
+        F.sha2(_listed(base).cast("binary"), 256).alias("base_sha256"),
+        _listed(F.col("spans")).alias("spans"),
+    )
+
+
 @query("op6_naive_bayes_language")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir, "doc_id", "text", "lang")

@@ -129,14 +129,16 @@ def peculiar_words(toxic: list[str], ordinary: list[str]) -> set[str]:
     return {u for u, n in contexts.items() if n >= CONTEXTS and texts[u] >= TEXTS and texts[u] >= rate * (elsewhere[u] + 0.5)}
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> np.ndarray:
-    """Weights of a logistic regression, intercept first, by Newton's method."""
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50, weight: np.ndarray | None = None) -> np.ndarray:
+    """Weights of a logistic regression, intercept first, by Newton's method; ``weight``
+    says how often each row counts."""
+    n = np.ones(len(x)) if weight is None else weight
     a = np.column_stack([np.ones(len(x)), x])
     w = np.zeros(a.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        grad = a.T @ (p - y) + ridge * w
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + ridge * np.eye(len(w)), grad)
+        grad = a.T @ (n * (p - y)) + ridge * w
+        step = np.linalg.solve((a * (n * p * (1 - p))[:, None]).T @ a + ridge * np.eye(len(w)), grad)
         w -= step
         if np.abs(step).max() < 1e-8:
             break
