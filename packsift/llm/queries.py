@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packsift.llm import chunked_bpe, language, lines, personal, token_counts, toxicity, vectors
+from packsift.llm import chunked_bpe, language, lines, near_duplicates, personal, token_counts, toxicity, vectors
 from packsift.llm.tables import documents, fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,3 +103,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(
         "doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), score.alias("score"), toxicity.is_toxic(score).cast("int").alias("predicted")
     )
+
+
+@query("op9_tiled_jaccard_join")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.jaccard_components(documents(spark, sf_dir, "doc_id", "text"), shingle_words=4, percent=85)
