@@ -28,13 +28,19 @@ from packsift.llm.textbytes import slices, splitmix, text_buffer
 #: One position in 2^CUT_BITS is a cut.
 CUT_BITS = 9
 #: Words that a task keeps encoded; when there are more, it starts afresh.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 200_000
+#: Words of letters that are encoded in one call.
+TOGETHER = 512
 _WINDOW = 32
 _SPACES = b" \t\n\x0b\x0c\r"
 
 
 class WordCoder:
-    """Ids and tokens of words, each encoded once by the library and kept as bytes."""
+    """Ids and tokens of words, each encoded once by the library and kept as bytes.
+
+    Words of letters only are encoded many in one call, with a space between them: each is then
+    one piece of the pre-tokenizer, and the mark at its last token tells where it ends.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -42,26 +48,51 @@ class WordCoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        names = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.names = [b""] * (max(names.values()) + 1)
+        for name, i in names.items():
+            self.names[i] = name.encode() + b" "
+        self.last = np.array([n.endswith(b"</w> ") for n in self.names])
         self.ids: dict[bytes, bytes] = {}
         self.tokens: dict[bytes, bytes] = {}
 
-    def library(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
-        out = []
-        for x in self.tokenizer.encode_batch(texts, add_special_tokens=False):
-            tokens = "".join(t + " " for t in x.tokens).encode()
-            out.append((np.array(x.ids, np.int32).tobytes(), tokens))
+    def library(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as 32-bit integers."""
+        return [np.array(x.ids, np.int32).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def spelled(self, ids: bytes) -> bytes:
+        """The tokens of ids, with a space after each."""
+        return b"".join([self.names[i] for i in np.frombuffer(ids, np.int32).tolist()])
+
+    def _together(self, words: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for at in range(0, len(words), TOGETHER):
+            part = words[at : at + TOGETHER]
+            raw = self.library([" ".join(part)])[0]
+            ends = np.flatnonzero(self.last[np.frombuffer(raw, np.int32)]) + 1
+            if len(ends) == len(part) and ends[-1] * 4 == len(raw):
+                marks = [0, *(ends * 4).tolist()]
+                out += [raw[lo:hi] for lo, hi in zip(marks[:-1], marks[1:], strict=True)]
+            else:
+                out += self.library(part)
         return out
 
     def learn(self, words: set[bytes]) -> None:
-        fresh = [w for w in words if w not in self.ids]
+        fresh = words - self.ids.keys()
+        if not fresh:
+            return
         if len(self.ids) + len(fresh) > KEPT_WORDS and self.ids:
             self.ids, self.tokens = {}, {}
-            fresh = list(words)
-        for at in range(0, len(fresh), 4096):
-            part = fresh[at : at + 4096]
-            for word, (ids, tokens) in zip(part, self.library([w.decode() for w in part]), strict=True):
-                self.ids[word] = ids
-                self.tokens[word] = tokens
+            fresh = words
+        split = {w: _last_mark(w.decode()) for w in fresh}
+        stems = list({p for parts in split.values() for p in parts})
+        plain = [p for p in stems if p.isalpha() and max(p) < "\u0250"]
+        other = [p for p in stems if not (p.isalpha() and max(p) < "\u0250")]
+        known = dict(zip(plain, self._together(plain), strict=True)) | dict(zip(other, self.library(other), strict=True))
+        for word, parts in split.items():
+            ids = b"".join([known[p] for p in parts])
+            self.ids[word] = ids
+            self.tokens[word] = self.spelled(ids)
 
     def encode(self, text: bytes) -> tuple[bytes, bytes]:
         """Ids as 32-bit integers, and the tokens with a space after each."""
@@ -70,6 +101,14 @@ class WordCoder:
         return b"".join(map(self.ids.__getitem__, words)), b"".join(map(self.tokens.__getitem__, words))
 
 
+def _last_mark(word: str) -> tuple[str, ...]:
+    """A word without its last comma or full stop, and that mark: after a letter or
+    digit (of the first blocks) the pre-tokenizer cuts between them."""
+    if len(word) > 1 and word[-1] in ".," and word[-2] < "\u0250" and word[-2].isalnum():
+        return word[:-1], word[-1]
+    return (word,)
+
+
 def check_tokenizer(path: str) -> None:
     """Refuse a tokenizer for which white space is part of a token."""
     from tokenizers import Tokenizer
@@ -225,7 +264,8 @@ def joined(coder: WordCoder, parts: list[tuple[bytes, bytes | None, bytes | None
             x, y = coder.encode(guard + b" " + joint + b" " + words[0])
             left, right = coder.encode(guard), coder.encode(words[0])
             if not (x.startswith(left[0]) and x.endswith(right[0]) and len(x) >= len(left[0]) + len(right[0])):
-                return coder.library([b"".join(p[0] for p in parts).decode()])[0]
+                ids = coder.library([b"".join(p[0] for p in parts).decode()])[0]
+                return ids, coder.spelled(ids)
             ids += [x[len(left[0]) : len(x) - len(right[0])], inner_ids]
             tokens += [y[len(left[1]) : len(y) - len(right[1])], inner_tokens]
             open_end, guard = text[hi:], words[-1]
