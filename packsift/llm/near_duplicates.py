@@ -161,7 +161,7 @@ def _candidates(k: int, percent: int, order: Order, shared: KeyFilter):
         seen: set[bytes] = set()
         for batch in batches:
             for _, hashes, at in shingler.sets(batch.column(0)):
-                rows, keys, signs, sets = [], [], [], []
+                rows, keys, signs = [], [], []
                 for cls, lo, hi in zip(class_keys(hashes, at), at[:-1].tolist(), at[1:].tolist(), strict=True):
                     if cls is None or cls in seen:
                         continue
@@ -174,18 +174,44 @@ def _candidates(k: int, percent: int, order: Order, shared: KeyFilter):
                         rows.append((cls, hi - lo))
                         keys.append(prefix.view(np.int64))
                         signs.append(signature(own))
-                        sets.append(own.tobytes())
                 s = np.array(signs, np.int64).reshape(-1, WORDS)
                 ends = np.cumsum([0, *[len(x) for x in keys]]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*keys, np.zeros(0, np.int64)])))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64()), *[pa.array(s[:, i]) for i in range(WORDS)], lists, pa.array(sets, pa.binary())],
-                    names=["cls", "n", *_SIGNATURE, "keys", "hashes"],
+                    [pa.array([r[0] for r in rows], pa.binary()), pa.array([_half(r[0]) for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), *[pa.array(s[:, i]) for i in range(WORDS)], lists],
+                    names=["cls", "half", "n", *_SIGNATURE, "keys"],
                 )
 
     return run
 
 
+def _half(cls: bytes) -> int:
+    return int.from_bytes(cls[:8], "little", signed=True)
+
+
+def _sets_of(k: int, wanted: KeyFilter):
+    """Shingle hashes of the classes that ``wanted`` passes; each once in a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(k)
+        seen: set[bytes] = set()
+        for batch in batches:
+            for _, hashes, at in shingler.sets(batch.column(0)):
+                keys = class_keys(hashes, at)
+                passed = wanted.passes(np.array([_half(c) if c else 0 for c in keys], np.int64))
+                names, sets = [], []
+                for d in np.flatnonzero(passed).tolist():
+                    cls = keys[d]
+                    if cls is not None and cls not in seen:
+                        if len(seen) < 1 << 20:
+                            seen.add(cls)
+                        names.append(cls)
+                        sets.append(hashes[at[d] : at[d + 1]].tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(sets, pa.binary())], names=["cls", "hashes"])
+
+    return run
+
+
 def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,26 +234,33 @@ def _possible(percent: int, x: str, y: str) -> Column:
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (100 * (n + m - apart) >= percent * (n + m + apart))
 
 
-def linked_classes(sets: DataFrame, percent: int) -> DataFrame:
+def linked_classes(candidates: DataFrame, text: DataFrame, shingle_words: int, percent: int, log2_filter_bits: int) -> DataFrame:
     """Links ``(a, b)`` between classes that suffice to join all that are linked.
 
-    ``sets`` is a written table of candidates, one row per class.
+    ``candidates`` is a written table, one row per class. The shingles of the few classes that
+    the bounds leave are taken from the texts again, so the others are never moved.
     """
-    slim = settle(sets.select("cls", "n", *_SIGNATURE), "signatures")
+    slim = settle(candidates.select("cls", "half", "n", *_SIGNATURE), "signatures")
     # Two sets of one link have bands that are equal or neighbours.
     band = F.floor(F.log("n") / math.log(100 / percent) + 1e-9).cast("int")
-    keyed = settle(sets.select("cls", "n", F.explode("keys").alias("key")).withColumn("band", band), "tiles")
+    keyed = settle(candidates.select("cls", "n", F.explode("keys").alias("key")).withColumn("band", band), "tiles")
 
     def checked(pairs: DataFrame) -> DataFrame:
-        near = (
+        side = F.struct("half", "n", *_SIGNATURE)
+        near = settle(
             pairs.distinct()
-            .join(slim.select(F.col("cls").alias("a"), F.struct("n", *_SIGNATURE).alias("x")), "a")
-            .join(slim.select(F.col("cls").alias("b"), F.struct("n", *_SIGNATURE).alias("y")), "b")
+            .join(slim.select(F.col("cls").alias("a"), side.alias("x")), "a")
+            .join(slim.select(F.col("cls").alias("b"), side.alias("y")), "b")
             .where(_possible(percent, "x", "y"))
-            .select("a", "b")
+            .select("a", "b", F.array("x.half", "y.half").alias("halves")),
+            "pairs",
         )
-        full = near.join(sets.select(F.col("cls").alias("b"), F.col("hashes").alias("hb")), "b").join(
-            sets.select(F.col("cls").alias("a"), F.col("hashes").alias("ha")), "a"
+        wanted = key_filter(near.select(F.explode("halves").alias("key")), "key", log2_filter_bits)
+        sets = text.mapInArrow(_sets_of(shingle_words, wanted), "cls binary, hashes binary").dropDuplicates(["cls"])
+        full = (
+            near.select("a", "b")
+            .join(sets.select(F.col("cls").alias("b"), F.col("hashes").alias("hb")), "b")
+            .join(sets.select(F.col("cls").alias("a"), F.col("hashes").alias("ha")), "a")
         )
         return full.select("a", "b", "ha", "hb").mapInArrow(_verify(percent), "a binary, b binary")
 
@@ -241,7 +274,7 @@ def linked_classes(sets: DataFrame, percent: int) -> DataFrame:
     )
     reach = placed.select("key", "root", F.explode(F.array("band", F.col("band") - 1)).alias("band"))
     mixed = reach.groupBy("key", "band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where(F.col("lo") != F.col("hi")).select("key", "band")
-    signed = placed.join(slim.drop("n"), "cls")
+    signed = placed.join(slim.drop("n", "half"), "cls")
     left = signed.join(mixed, ["key", "band"], "left_semi").alias("x")
     right = signed.withColumn("band", F.explode(F.array("band", F.col("band") - 1))).join(mixed, ["key", "band"], "left_semi").alias("y")
     smaller = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.cls") < F.col("y.cls")))
@@ -286,9 +319,10 @@ def jaccard_components(
     counted = text.mapInArrow(_prefix_keys(shingle_words, percent, order), "key long").groupBy("key").count()
     shared = key_filter(counted.where(F.col("count") > 1), "key", log2_filter_bits)
     fields = ", ".join(f"{s} long" for s in _SIGNATURE)
-    found = text.mapInArrow(_candidates(shingle_words, percent, order, shared), f"cls binary, n long, {fields}, keys array<long>, hashes binary")
-    sets = settle(found.dropDuplicates(["cls"]), "candidates")
-    roots = connected(linked_classes(sets, percent)).withColumnRenamed("node", "cls")
+    found = text.mapInArrow(_candidates(shingle_words, percent, order, shared), f"cls binary, half long, n long, {fields}, keys array<long>")
+    candidates = settle(found.dropDuplicates(["cls"]), "candidates")
+    links = linked_classes(candidates, text, shingle_words, percent, log2_filter_bits)
+    roots = connected(links).withColumnRenamed("node", "cls")
     classes = members.where(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("id").alias("least")).join(roots, "cls", "left")
     classes = classes.withColumn("root", F.coalesce("root", "cls"))
     named = classes.groupBy("root").agg(F.min("least").alias("component_id"))
