@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packsift.llm import chunked_bpe, language, lines, near_duplicates, personal, token_counts, toxicity, vectors
+from packsift.llm import chunked_bpe, language, lines, near_duplicates, personal, repeated_phrases, token_counts, toxicity, vectors
 from packsift.llm.tables import documents, fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +108,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_tiled_jaccard_join")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.jaccard_components(documents(spark, sf_dir, "doc_id", "text"), shingle_words=4, percent=85)
+
+
+@query("op10_repeated_phrases")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = repeated_phrases.remove_recurring(documents(spark, sf_dir, "doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
