@@ -332,3 +332,16 @@ def jaccard_components(
         F.col("n").alias("n_shingles"),
         F.when(F.col("cls").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
     )
+
+
+def keep_one_of_each(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near copies: of each component the one with the
+    smallest id, of equal ids the one with the smallest hash of id and text. Rows equal in id and text
+    count as one. Empty documents have no copies but such rows. A null id is the smallest."""
+    both = [F.col(id_column), F.coalesce(F.col(text_column), F.lit(""))]
+    keys = {"_r1": F.xxhash64(*both), "_r2": F.xxhash64(*both, F.lit(1))}
+    keyed = docs.withColumns(keys)
+    named = keyed.select(F.struct(F.col(id_column).alias("id"), "_r1", "_r2").alias("row"), F.col(text_column).alias("text"))
+    found = jaccard_components(named, shingle_words, percent, "row", "text")
+    kept = found.where(F.col("row").eqNullSafe(F.col("component_id"))).select("row._r1", "row._r2").distinct()
+    return keyed.join(kept, ["_r1", "_r2"], "left_semi").dropDuplicates(["_r1", "_r2"]).select(*docs.columns)

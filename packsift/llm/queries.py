@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packsift.llm import chunked_bpe, language, lines, near_duplicates, personal, repeated_phrases, token_counts, toxicity, vectors
+from packsift.llm import chunked_bpe, decontaminate, language, lines, near_duplicates, personal, repeated_phrases, token_counts, toxicity, vectors
 from packsift.llm.tables import documents, fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,6 +95,12 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+@query("op7_cgk_decontamination")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.flag_contaminated(documents(spark, sf_dir, "doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "contaminated", F.size("items").cast("long").alias("n_items"), F.col("items").alias("item_ids"))
+
+
 @query("op8_compression_toxicity")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir, "doc_id", "text")
