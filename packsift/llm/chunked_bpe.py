@@ -78,7 +78,7 @@ class WordCoder:
         return out
 
     def learn(self, words: set[bytes]) -> None:
-        fresh = words - self.ids.keys()
+        fresh = {w for w in words if w not in self.ids}
         if not fresh:
             return
         if len(self.ids) + len(fresh) > KEPT_WORDS and self.ids:
