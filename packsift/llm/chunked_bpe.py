@@ -36,7 +36,7 @@ _SPACES = b" \t\n\x0b\x0c\r"
 
 
 class WordCoder:
-    """Ids and tokens of words, each encoded once by the library and kept as bytes.
+    """Ids of words, each encoded once by the library and kept as bytes.
 
     Words of letters only are encoded many in one call, with a space between them: each is then
     one piece of the pre-tokenizer, and the mark at its last token tells where it ends.
@@ -48,22 +48,14 @@ class WordCoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        names = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.names = [b""] * (max(names.values()) + 1)
-        for name, i in names.items():
-            self.names[i] = name.encode() + b" "
-        self.last = np.array([n.endswith(b"</w> ") for n in self.names])
+        self.names = token_names(self.tokenizer)
+        self.last = np.array([n.endswith("</w>") for n in self.names])
         self.ids: dict[bytes, bytes] = {}
-        self.tokens: dict[bytes, bytes] = {}
 
     def library(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as 32-bit integers."""
         return [np.array(x.ids, np.int32).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def spelled(self, ids: bytes) -> bytes:
-        """The tokens of ids, with a space after each."""
-        return b"".join([self.names[i] for i in np.frombuffer(ids, np.int32).tolist()])
-
     def _together(self, words: list[str]) -> list[bytes]:
         out: list[bytes] = []
         for at in range(0, len(words), TOGETHER):
@@ -82,7 +74,7 @@ class WordCoder:
         if not fresh:
             return
         if len(self.ids) + len(fresh) > KEPT_WORDS and self.ids:
-            self.ids, self.tokens = {}, {}
+            self.ids = {}
             fresh = words
         split = {w: _last_mark(w.decode()) for w in fresh}
         stems = list({p for parts in split.values() for p in parts})
@@ -90,15 +82,21 @@ class WordCoder:
         other = [p for p in stems if not (p.isalpha() and max(p) < "\u0250")]
         known = dict(zip(plain, self._together(plain), strict=True)) | dict(zip(other, self.library(other), strict=True))
         for word, parts in split.items():
-            ids = b"".join([known[p] for p in parts])
-            self.ids[word] = ids
-            self.tokens[word] = self.spelled(ids)
+            self.ids[word] = known[parts[0]] if len(parts) == 1 else known[parts[0]] + known[parts[1]]
 
-    def encode(self, text: bytes) -> tuple[bytes, bytes]:
-        """Ids as 32-bit integers, and the tokens with a space after each."""
+    def encode(self, text: bytes) -> bytes:
+        """Ids as 32-bit integers."""
         words = text.split()
         self.learn(set(words))
-        return b"".join(map(self.ids.__getitem__, words)), b"".join(map(self.tokens.__getitem__, words))
+        return b"".join(map(self.ids.__getitem__, words))
+
+
+def token_names(tokenizer) -> list[str]:
+    vocabulary = tokenizer.get_vocab(with_added_tokens=True)
+    names = [""] * (max(vocabulary.values()) + 1)
+    for name, i in vocabulary.items():
+        names[i] = name
+    return names
 
 
 def _last_mark(word: str) -> tuple[str, ...]:
@@ -174,49 +172,60 @@ def _emit_keys(cut_bits: int):
     return emit
 
 
-_SPLIT = "row long, id {kind}, seq int, key long, chunk binary, ids binary, tokens binary"
+def _read_chunks(batches: Iterator[pa.RecordBatch], column: int, cut_bits: int, shared):
+    """For each slice of each batch: the batch, the first document, and of every document
+    its chunks, their keys, and which of them may be shared."""
+    for batch in batches:
+        data, offs = text_buffer(batch.column(column))
+        for a, b in slices(offs):
+            docs = list(_chunks_of(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a], cut_bits))
+            flat = np.array([_key(c) for doc in docs for c in doc], np.uint64)
+            passed, out, at = shared.passes(flat).tolist(), [], 0
+            keys = flat.view(np.int64).tolist()
+            for doc in docs:
+                out.append((doc, keys[at : at + len(doc)], passed[at : at + len(doc)]))
+                at += len(doc)
+            yield batch, a, out
 
 
-def _split_documents(path: str, cut_bits: int, shared):
-    """Documents without a shared chunk come out encoded (``seq`` null); the others as
-    a row per chunk, neighbouring chunks that are not shared in one row."""
+def _encode_unshared(path: str, cut_bits: int, shared):
+    """Ids of the documents that hold no shared chunk; the others are left out."""
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = WordCoder(path)
-        for batch in batches:
-            data, offs = text_buffer(batch.column(2))
-            for a, b in slices(offs):
-                part = offs[a : b + 1] - offs[a]
-                pick_, seqs, keys, chunks, ids, tokens = [], [], [], [], [], []
-                docs = list(_chunks_of(data[offs[a] : offs[b]], part, cut_bits))
-                flat = np.array([_key(c) for doc in docs for c in doc], np.uint64)
-                passed = shared.passes(flat)
-                at = 0
-                for d, doc in enumerate(docs):
-                    own = passed[at : at + len(doc)].tolist()
-                    own_keys = flat[at : at + len(doc)].view(np.int64).tolist()
-                    at += len(doc)
-                    if not any(own):
-                        x, y = coder.encode(b"".join(doc))
-                        pick_.append(a + d)
-                        seqs.append(None), keys.append(None), chunks.append(None), ids.append(x), tokens.append(y)
+        for batch, first, docs in _read_chunks(batches, 1, cut_bits, shared):
+            own = [(first + d, coder.encode(b"".join(chunks))) for d, (chunks, _, passed) in enumerate(docs) if not any(passed)]
+            rows = pa.array([r for r, _ in own], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), pa.array([x for _, x in own], pa.binary())], names=["id", "ids"])
+
+    return encode
+
+
+def _split_sharing(cut_bits: int, shared):
+    """A row per chunk of the documents that hold a shared one; neighbouring chunks that are
+    not shared are one row without a key."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, first, docs in _read_chunks(batches, 2, cut_bits, shared):
+            rows, seqs, keys, parts = [], [], [], []
+            for d, (chunks, own_keys, passed) in enumerate(docs):
+                if not any(passed):
+                    continue
+                seq, run = 0, []
+                for chunk, is_shared, key in zip([*chunks, b""], [*passed, True], [*own_keys, None], strict=True):
+                    if not is_shared:
+                        run.append(chunk)
                         continue
-                    seq, run = 0, []
-                    for chunk, is_shared, key in zip([*doc, b""], [*own, True], [*own_keys, None], strict=True):
-                        if not is_shared:
-                            run.append(chunk)
-                            continue
-                        for one, one_key in ((b"".join(run), None), (chunk, key)):
-                            if one:
-                                pick_.append(a + d)
-                                seqs.append(seq), keys.append(one_key), chunks.append(one), ids.append(None), tokens.append(None)
-                                seq += 1
-                        run = []
-                rows = pa.array(pick_, pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(seqs, pa.int32()), pa.array(keys, pa.int64()), pa.array(chunks, pa.binary()), pa.array(ids, pa.binary()), pa.array(tokens, pa.binary())],
-                    names=["row", "id", "seq", "key", "chunk", "ids", "tokens"],
-                )
+                    for one, one_key in ((b"".join(run), None), (chunk, key)):
+                        if one:
+                            rows.append(first + d), seqs.append(seq), keys.append(one_key), parts.append(one)
+                            seq += 1
+                    run = []
+            take = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(take), batch.column(1).take(take), pa.array(seqs, pa.int32()), pa.array(keys, pa.int64()), pa.array(parts, pa.binary())],
+                names=["row", "id", "seq", "key", "chunk"],
+            )
 
     return split
 
@@ -232,72 +241,73 @@ def _bounds(chunk: bytes) -> tuple[int, int]:
 
 
 def _encode_chunks(path: str):
-    """``(key, chunk, ids, tokens)`` -> ids and tokens of the inner part of a chunk."""
+    """``(key, chunk)`` -> with the ids of the inner part of a chunk."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = WordCoder(path)
         for batch in batches:
-            ids, tokens = [], []
+            ids = []
             for chunk in batch.column(1).to_pylist():
                 lo, hi = _bounds(chunk)
-                x, y = coder.encode(chunk[lo:hi])
-                ids.append(x), tokens.append(y)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary()), pa.array(tokens, pa.binary())], names=["key", "chunk", "ids", "tokens"])
+                ids.append(coder.encode(chunk[lo:hi]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], names=["key", "chunk", "ids"])
 
     return encode
 
 
-def joined(coder: WordCoder, parts: list[tuple[bytes, bytes | None, bytes | None]]) -> tuple[bytes, bytes]:
-    """Ids and tokens of the chunks ``(text, ids, tokens)`` in their order; ids are those
-    of the inner part, or None for text that was not encoded yet.
+def joined(coder: WordCoder, parts: list[tuple[bytes, bytes | None]]) -> bytes:
+    """Ids of the chunks ``(text, ids)`` in their order; ids are those of the inner part,
+    or None for text that was not encoded yet.
 
     At each joint the open ends are encoded together with the neighbouring word of
     either inner part as a guard. If the guards do not come out as they did, the whole
     text is encoded by the library.
     """
-    ids, tokens, open_end, guard = [], [], b"", b""
-    for text, inner_ids, inner_tokens in [*parts, (b"", None, None)]:
+    ids, open_end, guard = [], b"", b""
+    for text, inner_ids in parts:
         if inner_ids:
             lo, hi = _bounds(text)
             words = text[lo:hi].split()
             joint = open_end + text[:lo]
-            x, y = coder.encode(guard + b" " + joint + b" " + words[0])
+            x = coder.encode(guard + b" " + joint + b" " + words[0])
             left, right = coder.encode(guard), coder.encode(words[0])
-            if not (x.startswith(left[0]) and x.endswith(right[0]) and len(x) >= len(left[0]) + len(right[0])):
-                ids = coder.library([b"".join(p[0] for p in parts).decode()])[0]
-                return ids, coder.spelled(ids)
-            ids += [x[len(left[0]) : len(x) - len(right[0])], inner_ids]
-            tokens += [y[len(left[1]) : len(y) - len(right[1])], inner_tokens]
+            if not (x.startswith(left) and x.endswith(right) and len(x) >= len(left) + len(right)):
+                return coder.library([b"".join(p[0] for p in parts).decode()])[0]
+            ids += [x[len(left) : len(x) - len(right)], inner_ids]
             open_end, guard = text[hi:], words[-1]
         else:
             open_end += text
-    x, y = coder.encode(open_end)
-    return b"".join([*ids, x]), b"".join([*tokens, y])
+    return b"".join([*ids, coder.encode(open_end)])
 
 
 def _assemble(path: str):
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = WordCoder(path)
         for batch in batches:
-            ids, tokens = [], []
-            for parts in batch.column(2):
-                x, y = joined(coder, [(p["chunk"].as_py(), p["ids"].as_py(), p["tokens"].as_py()) for p in parts])
-                ids.append(x), tokens.append(y)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary()), pa.array(tokens, pa.binary())], names=["row", "id", "ids", "tokens"])
+            ids = [joined(coder, [(p["chunk"].as_py(), p["ids"].as_py()) for p in parts]) for parts in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], names=["row", "id", "ids"])
 
     return assemble
 
 
-def _readable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Ids as a list of integers and the tokens as the decoded text."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            raw = part.column(1).to_pylist()
-            ends = np.cumsum([0, *[len(x) // 4 for x in raw]]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(raw), np.int32)))
-            texts = pa.array([t[:-1].decode() for t in part.column(2).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([part.column(0), lists, texts], names=["id", "ids", "decoded"])
+def _readable(path: str):
+    """Ids as a list of integers, and the decoded text: the names of the tokens with a
+    space between them, which is what a tokenizer without a decoder gives."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from tokenizers import Tokenizer
+
+        name = token_names(Tokenizer.from_file(path)).__getitem__
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                raw = part.column(1).to_pylist()
+                flat = np.frombuffer(b"".join(raw), np.int32)
+                ends = np.cumsum([0, *[len(x) // 4 for x in raw]]).astype(np.int32)
+                texts = [" ".join(map(name, flat[lo:hi].tolist())) for lo, hi in zip(ends[:-1], ends[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(texts, pa.string())], names=["id", "ids", "decoded"])
+
+    return run
 
 
 def encode_documents(
@@ -320,19 +330,19 @@ def encode_documents(
     kind = rows.schema["id"].dataType.simpleString()
     counted = rows.select("text").mapInArrow(_emit_keys(cut_bits), "key long").groupBy("key").count()
     shared = key_filter(counted.where(F.col("count") > 1), "key", log2_filter_bits)
+    done = rows.mapInArrow(_encode_unshared(tokenizer_path, cut_bits, shared), f"id {kind}, ids binary")
+    # The row number only lives in the written table, where it is fixed.
     numbered = rows.select(F.monotonically_increasing_id().alias("row"), "id", "text")
-    split = settle(numbered.mapInArrow(_split_documents(tokenizer_path, cut_bits, shared), _SPLIT.format(kind=kind)), "chunks")
-    done = split.where(F.col("seq").isNull()).select("id", "ids", "tokens")
-    rest = split.where(F.col("seq").isNotNull())
+    rest = settle(numbered.mapInArrow(_split_sharing(cut_bits, shared), f"row long, id {kind}, seq int, key long, chunk binary"), "chunks")
     # The key is 64 bits wide; the chunk itself is part of the group, so equal keys of
     # unequal chunks stay apart.
     distinct = rest.where(F.col("key").isNotNull()).select("key", "chunk").distinct()
-    encoded = distinct.mapInArrow(_encode_chunks(tokenizer_path), "key long, chunk binary, ids binary, tokens binary")
-    one = encoded.select(F.col("key").alias("_k"), F.col("chunk").alias("_c"), F.struct("ids", "tokens").alias("code"))
+    encoded = distinct.mapInArrow(_encode_chunks(tokenizer_path), "key long, chunk binary, ids binary")
+    one = encoded.select(F.col("key").alias("_k"), F.col("chunk").alias("_c"), F.col("ids").alias("_ids"))
     placed = rest.where(F.col("key").isNotNull()).select("row", "id", "seq", "key", "chunk")
     placed = placed.join(one, (F.col("key") == F.col("_k")) & (F.col("chunk") == F.col("_c")))
-    parts = placed.select("row", "id", F.struct("seq", "chunk", F.col("code.ids").alias("ids"), F.col("code.tokens").alias("tokens")).alias("part"))
-    bare = rest.where(F.col("key").isNull()).select("row", "id", F.struct("seq", "chunk", "ids", "tokens").alias("part"))
+    parts = placed.select("row", "id", F.struct("seq", "chunk", F.col("_ids").alias("ids")).alias("part"))
+    bare = rest.where(F.col("key").isNull()).select("row", "id", F.struct("seq", "chunk", F.lit(None).cast("binary").alias("ids")).alias("part"))
     whole = parts.unionByName(bare).groupBy("row").agg(F.first("id").alias("id"), F.sort_array(F.collect_list("part")).alias("parts"))
-    joined_up = whole.mapInArrow(_assemble(tokenizer_path), f"row long, id {kind}, ids binary, tokens binary").select("id", "ids", "tokens")
-    return done.unionByName(joined_up).mapInArrow(_readable, f"id {kind}, ids array<int>, decoded string").withColumnRenamed("id", id_column)
+    joined_up = whole.mapInArrow(_assemble(tokenizer_path), f"row long, id {kind}, ids binary").select("id", "ids")
+    return done.unionByName(joined_up).mapInArrow(_readable(tokenizer_path), f"id {kind}, ids array<int>, decoded string").withColumnRenamed("id", id_column)
