@@ -11,18 +11,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packsift.llm import chunked_bpe, decontaminate, lines, near_duplicates, toxicity
-from packsift.llm.tables import settle, table
+from packsift.llm.tables import fresh, settle, table
 
 
 def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score reaches the threshold go; a null score does not occur."""
-    scored = toxicity.score_documents(docs, table(spark, sf_dir, "labels"))
-    return scored.where(~toxicity.is_toxic(F.col("_toxicity"))).select(*docs.columns)
+    (score,) = fresh(docs, "toxicity")
+    scored = toxicity.score_documents(docs, table(spark, sf_dir, "labels"), score_column=score)
+    return scored.where(~toxicity.is_toxic(F.col(score))).select(*docs.columns)
 
 
 def shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines on many sites go; every document stays, with its length anew."""
-    cleaned = lines.remove_shared_lines(docs).select(*docs.columns)
+    cleaned = lines.remove_shared_lines(docs, counts=None).select(*docs.columns)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         cleaned = cleaned.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast(kind)).otherwise(F.col("n_chars")))

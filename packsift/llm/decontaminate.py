@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from packsift.llm.keyfilter import DEFAULT_LOG2_BITS, KeyFilter, key_filter
-from packsift.llm.tables import pick, settle
+from packsift.llm.tables import fresh, pick, row_hashes, settle
 from packsift.llm.textbytes import Splitter, slices, splitmix, text_buffer
 
 #: Items with fewer words are no evidence of contamination and take no part.
@@ -223,11 +223,6 @@ def _verify(edit_rate: float):
     return run
 
 
-def _row_key(id_column: str, text_column: str):
-    both = [F.col(id_column), F.coalesce(F.col(text_column), F.lit(""))]
-    return [F.xxhash64(*both), F.xxhash64(*both, F.lit(1))]
-
-
 def item_hits(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -238,12 +233,12 @@ def item_hits(
     item_text_column: str = "text",
     log2_filter_bits: int = DEFAULT_LOG2_BITS,
 ) -> DataFrame:
-    """``(_r1, _r2, item, distance, end)``: items found in a document, with the least edit
-    distance in words and the word behind the place it was found at. ``_r1, _r2`` are hashes of id and
+    """``(r1, r2, item, distance, end)``: items found in a document, with the least edit
+    distance in words and the word behind the place it was found at. ``r1, r2`` are hashes of id and
     text of the document's row.
     """
     rows = pick(docs, id=id_column, text=text_column)
-    r1, r2 = _row_key("id", "text")
+    r1, r2 = row_hashes("id", "text")
     items = pick(benchmark, item=item_column, text=item_text_column)
     kind = items.schema["item"].dataType.simpleString()
     windows = settle(
@@ -269,7 +264,7 @@ def item_hits(
         _verify(edit_rate), f"r1 long, r2 long, item {kind}, distance int, end long"
     )
     best = checked.groupBy("r1", "r2", "item").agg(F.min(F.struct("distance", "end")).alias("best"))
-    return best.select(F.col("r1").alias("_r1"), F.col("r2").alias("_r2"), "item", "best.distance", "best.end")
+    return best.select("r1", "r2", "item", "best.distance", "best.end")
 
 
 def flag_contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
@@ -282,11 +277,11 @@ def flag_contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "d
     text is clean, and so is every text when there is no item. Repeated documents are flagged alike; repeated items are found together.
     """
     hits = item_hits(docs, benchmark, id_column=id_column, text_column=text_column, **options)
-    lists = hits.groupBy("_r1", "_r2").agg(F.sort_array(F.collect_set("item")).alias("items"))
-    r1, r2 = _row_key("id", "text")
-    keyed = pick(docs, id=id_column, text=text_column).select("id", r1.alias("_r1"), r2.alias("_r2"))
+    lists = hits.groupBy("r1", "r2").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    r1, r2 = row_hashes("id", "text")
+    keyed = pick(docs, id=id_column, text=text_column).select("id", r1.alias("r1"), r2.alias("r2"))
     kind = lists.schema["items"].dataType.simpleString()
-    return keyed.join(lists, ["_r1", "_r2"], "left").select(
+    return keyed.join(lists, ["r1", "r2"], "left").select(
         F.col("id").alias(id_column), F.col("items").isNotNull().alias("contaminated"), F.coalesce("items", F.array().cast(kind)).alias("items")
     )
 
@@ -294,6 +289,7 @@ def flag_contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "d
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that hold no item, all columns; cases as in ``flag_contaminated``."""
     hits = item_hits(docs, benchmark, id_column=id_column, text_column=text_column, **options)
-    r1, r2 = _row_key(id_column, text_column)
-    keyed = docs.withColumns({"_r1": r1, "_r2": r2})
-    return keyed.join(hits.select("_r1", "_r2").distinct(), ["_r1", "_r2"], "left_anti").select(*docs.columns)
+    r1, r2 = row_hashes(id_column, text_column)
+    k1, k2 = fresh(docs, "r1", "r2")
+    found = hits.select(F.col("r1").alias(k1), F.col("r2").alias(k2)).distinct()
+    return docs.withColumns({k1: r1, k2: r2}).join(found, [k1, k2], "left_anti").select(*docs.columns)

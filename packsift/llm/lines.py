@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packsift.llm.tables import settle
+from packsift.llm.tables import fresh, row_hashes, settle
 
 MIN_SITES = 10
 LOG2_BUCKETS = 10
@@ -28,11 +28,6 @@ def _hashes(value: Column) -> list[Column]:
     return [F.xxhash64(value), F.xxhash64(value, F.lit(1))]
 
 
-def _row_key(id_column: str, text_column: str) -> list[Column]:
-    both = [F.col(id_column), F.coalesce(F.col(text_column), F.lit(""))]
-    return [F.xxhash64(*both), F.xxhash64(*both, F.lit(1))]
-
-
 def line_spread(docs: DataFrame, text_column: str = "text", site_column: str = "source") -> DataFrame:
     """``(h1, h2, t1, t2, site)``: one row per distinct line of each distinct text, with
     the smallest site that holds the text. So a text that was copied to many sites
@@ -89,9 +84,10 @@ def remove_shared_lines(
     id_column: str = "doc_id",
     text_column: str = "text",
     site_column: str = "source",
+    counts: tuple[str, str] | None = ("n_lines", "n_removed"),
 ) -> DataFrame:
-    """All columns of ``docs`` with ``text_column`` cleaned, and ``_n_lines``,
-    ``_n_removed``.
+    """All columns of ``docs`` with ``text_column`` cleaned, and under the names ``counts``
+    the numbers of lines and of removed lines, in the place of columns of these names.
 
     A line is what stands between line feeds; lines of white space only are kept and
     never counted. A null text stays null with no lines removed (it counts as one
@@ -101,22 +97,19 @@ def remove_shared_lines(
     """
     spread = settle(line_spread(docs, text_column, site_column), "lines")
     shared = boilerplate(spread, min_sites)
-    r1, r2 = _row_key(id_column, text_column)
-    places = docs.select(r1.alias("_r1"), r2.alias("_r2"), F.posexplode(text_lines(F.col(text_column))).alias("at", "line"))
+    r1, r2 = row_hashes(id_column, text_column)
+    places = docs.select(r1.alias("r1"), r2.alias("r2"), F.posexplode(text_lines(F.col(text_column))).alias("at", "line"))
     h1, h2 = _hashes(F.col("line"))
-    places = places.where(F.trim("line") != "").select("_r1", "_r2", "at", h1.alias("h1"), h2.alias("h2"))
-    gone = (
+    places = places.where(F.trim("line") != "").select("r1", "r2", "at", h1.alias("h1"), h2.alias("h2"))
+    k1, k2, gone = fresh(docs, "r1", "r2", "gone")
+    removed = (
         places.join(shared, ["h1", "h2"], "left_semi")
-        .groupBy("_r1", "_r2")
-        .agg(F.sort_array(F.collect_set("at")).alias("_gone"))
+        .groupBy(F.col("r1").alias(k1), F.col("r2").alias(k2))
+        .agg(F.sort_array(F.collect_set("at")).alias(gone))
     )
-    keyed = docs.withColumns({"_r1": r1, "_r2": r2}).join(gone, ["_r1", "_r2"], "left")
+    keyed = docs.withColumns({k1: r1, k2: r2}).join(removed, [k1, k2], "left")
     lines = text_lines(F.col(text_column))
-    cleaned = F.when(F.col("_gone").isNull(), F.col(text_column)).otherwise(F.array_join(without_positions(lines, F.col("_gone")), "\n"))
-    return keyed.withColumns(
-        {
-            "_n_lines": F.size(lines).cast("long"),
-            "_n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"),
-            text_column: cleaned,
-        }
-    ).drop("_r1", "_r2", "_gone")
+    cleaned = F.when(F.col(gone).isNull(), F.col(text_column)).otherwise(F.array_join(without_positions(lines, F.col(gone)), "\n"))
+    numbers = (F.size(lines).cast("long"), F.coalesce(F.size(F.col(gone)), F.lit(0)).cast("long"))
+    changed = {text_column: cleaned} | (dict(zip(counts, numbers, strict=True)) if counts else {})
+    return keyed.withColumns(changed).drop(k1, k2, gone)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from packsift.llm.components import connected
 from packsift.llm.keyfilter import DEFAULT_LOG2_BITS, KeyFilter, key_filter
-from packsift.llm.tables import pick, settle
+from packsift.llm.tables import fresh, pick, row_hashes, settle
 from packsift.llm.textbytes import Splitter, grams, inside, slices, text_buffer, whole
 
 #: Shingles that are frequent in many texts come last in the order. The list only orders, so
@@ -338,10 +338,10 @@ def keep_one_of_each(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     """The rows of ``docs`` without near copies: of each component the one with the
     smallest id, of equal ids the one with the smallest hash of id and text. Rows equal in id and text
     count as one. Empty documents have no copies but such rows. A null id is the smallest."""
-    both = [F.col(id_column), F.coalesce(F.col(text_column), F.lit(""))]
-    keys = {"_r1": F.xxhash64(*both), "_r2": F.xxhash64(*both, F.lit(1))}
-    keyed = docs.withColumns(keys)
-    named = keyed.select(F.struct(F.col(id_column).alias("id"), "_r1", "_r2").alias("row"), F.col(text_column).alias("text"))
+    r1, r2 = row_hashes(id_column, text_column)
+    named = docs.select(F.struct(F.col(id_column).alias("id"), r1.alias("r1"), r2.alias("r2")).alias("row"), F.col(text_column).alias("text"))
     found = jaccard_components(named, shingle_words, percent, "row", "text")
-    kept = found.where(F.col("row").eqNullSafe(F.col("component_id"))).select("row._r1", "row._r2").distinct()
-    return keyed.join(kept, ["_r1", "_r2"], "left_semi").dropDuplicates(["_r1", "_r2"]).select(*docs.columns)
+    k1, k2 = fresh(docs, "r1", "r2")
+    kept = found.where(F.col("row").eqNullSafe(F.col("component_id"))).select(F.col("row.r1").alias(k1), F.col("row.r2").alias(k2)).distinct()
+    keyed = docs.withColumns({k1: r1, k2: r2})
+    return keyed.join(kept, [k1, k2], "left_semi").dropDuplicates([k1, k2]).select(*docs.columns)

@@ -47,7 +47,7 @@ FROM flagged GROUP BY doc_id
 )
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = lines.remove_shared_lines(documents(spark, sf_dir, "doc_id", "text", "source"))
-    return cleaned.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), "text")
+    return cleaned.select("doc_id", "n_lines", "n_removed", "text")
 
 
 @query("op3_chunk_bpe")
@@ -104,10 +104,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_compression_toxicity")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir, "doc_id", "text")
-    scored = toxicity.score_documents(docs, table(spark, sf_dir, "labels"), lambda doc_id: fold(doc_id, 3) != 1)
-    score = F.col("_toxicity")
+    scored = toxicity.score_documents(docs, table(spark, sf_dir, "labels"), lambda doc_id: fold(doc_id, 3) != 1, score_column="score")
     return scored.select(
-        "doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), score.alias("score"), toxicity.is_toxic(score).cast("int").alias("predicted")
+        "doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", toxicity.is_toxic(F.col("score")).cast("int").alias("predicted")
     )
 
 

@@ -17,11 +17,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from packsift.llm.keyfilter import DEFAULT_LOG2_BITS, KeyFilter, key_filter
-from packsift.llm.tables import pick, settle
+from packsift.llm.tables import pick, row_hashes, settle
 from packsift.llm.textbytes import Splitter, grams, inside, slices, text_buffer
 
 WINDOW = 35
@@ -30,11 +30,6 @@ SEED_WORDS = 8
 PASSAGES, STRETCHES = 4096, 8192
 
 
-def _row_key(id_column: str, text_column: str) -> list[Column]:
-    both = [F.col(id_column), F.coalesce(F.col(text_column), F.lit(""))]
-    return [F.xxhash64(*both), F.xxhash64(*both, F.lit(1))]
-
-
 class Seeder:
     """Words, window seeds and window hashes of documents."""
 
@@ -281,7 +276,7 @@ def remove_recurring(
     null or empty text has no words; fewer words than a window are all kept. Null ids are rows
     like others.
     """
-    rows = pick(docs, id=id_column, text=text_column).withColumns(dict(zip(("r1", "r2"), _row_key("id", "text"), strict=True)))
+    rows = pick(docs, id=id_column, text=text_column).withColumns(dict(zip(("r1", "r2"), row_hashes("id", "text"), strict=True)))
     kind = rows.schema["id"].dataType.simpleString()
     ranges = settle(recurring_ranges(rows, window, log2_filter_bits), "ranges")
     touched = key_filter(ranges, "r1", log2_filter_bits)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from packsift.session import settle
 
-__all__ = ["documents", "fold", "pick", "settle", "table"]
+__all__ = ["documents", "fold", "fresh", "pick", "row_hashes", "settle", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,3 +27,22 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
 def fold(doc_id: Column, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores in front as it takes to be no column of
+    ``df``."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
+def row_hashes(id_column: str, text_column: str) -> list[Column]:
+    """Two hashes of id and text, which name a row but for its exact repetitions; a null
+    text is the empty one."""
+    both = [F.col(id_column), F.coalesce(F.col(text_column), F.lit(""))]
+    return [F.xxhash64(*both), F.xxhash64(*both, F.lit(1))]

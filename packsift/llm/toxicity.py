@@ -192,9 +192,10 @@ def score_documents(
     id_column: str = "doc_id",
     text_column: str = "text",
     label_column: str = "toxic",
-    score_column: str = "_toxicity",
+    score_column: str = "toxicity",
 ) -> DataFrame:
-    """All columns of ``docs`` and ``score_column``, the probability of label 1.
+    """All columns of ``docs`` and ``score_column``, the probability of label 1, in the
+    place of a column of that name.
 
     ``learnable`` takes the id column and says which labelled rows may be learned
     from. Only the text is scored; null is the empty text, for which, as for any text
@@ -202,7 +203,7 @@ def score_documents(
     rows like others. With too few labels to learn from every score is 0.
     """
     model = learn(docs, labels, learnable, id_column, text_column, label_column)
-    plain = docs.select(*docs.columns)
+    plain = docs.select(*[c for c in docs.columns if c.lower() != score_column.lower()])
     if model is None:
         return plain.withColumn(score_column, F.lit(0.0))
     schema = plain.schema.jsonValue()
