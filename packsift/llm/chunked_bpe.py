@@ -31,6 +31,8 @@ CUT_BITS = 9
 KEPT_WORDS = 200_000
 #: Words of letters that are encoded in one call.
 TOGETHER = 512
+#: Documents put together at a time.
+READ_ROWS = 256
 _WINDOW = 32
 _SPACES = b" \t\n\x0b\x0c\r"
 
@@ -188,6 +190,16 @@ def _read_chunks(batches: Iterator[pa.RecordBatch], column: int, cut_bits: int,
             yield batch, a, out
 
 
+def _readable(coder: WordCoder, ids: pa.Array, coded: list[bytes]) -> pa.RecordBatch:
+    """Ids as lists of integers, and the decoded texts: the names of the tokens with a
+    space between them, which is what a tokenizer without a decoder gives."""
+    flat = np.frombuffer(b"".join(coded), np.int32)
+    ends = np.cumsum([0, *[len(x) // 4 for x in coded]]).astype(np.int32)
+    name = coder.names.__getitem__
+    texts = [" ".join(map(name, flat[lo:hi].tolist())) for lo, hi in zip(ends[:-1], ends[1:], strict=True)]
+    return pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(texts, pa.string())], names=["id", "ids", "decoded"])
+
+
 def _encode_unshared(path: str, cut_bits: int, shared):
     """Ids of the documents that hold no shared chunk; the others are left out."""
 
@@ -195,8 +207,7 @@ def _encode_unshared(path: str, cut_bits: int, shared):
         coder = WordCoder(path)
         for batch, first, docs in _read_chunks(batches, 1, cut_bits, shared):
             own = [(first + d, coder.encode(b"".join(chunks))) for d, (chunks, _, passed) in enumerate(docs) if not any(passed)]
-            rows = pa.array([r for r, _ in own], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), pa.array([x for _, x in own], pa.binary())], names=["id", "ids"])
+            yield _readable(coder, batch.column(0).take(pa.array([r for r, _ in own], pa.int64())), [x for _, x in own])
 
     return encode
 
@@ -284,32 +295,14 @@ def _assemble(path: str):
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = WordCoder(path)
         for batch in batches:
-            ids = [joined(coder, [(p["chunk"].as_py(), p["ids"].as_py()) for p in parts]) for parts in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], names=["row", "id", "ids"])
+            for at in range(0, batch.num_rows, READ_ROWS):
+                part = batch.slice(at, READ_ROWS)
+                coded = [joined(coder, [(p["chunk"].as_py(), p["ids"].as_py()) for p in parts]) for parts in part.column(1)]
+                yield _readable(coder, part.column(0), coded)
 
     return assemble
 
 
-def _readable(path: str):
-    """Ids as a list of integers, and the decoded text: the names of the tokens with a
-    space between them, which is what a tokenizer without a decoder gives."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        name = token_names(Tokenizer.from_file(path)).__getitem__
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                raw = part.column(1).to_pylist()
-                flat = np.frombuffer(b"".join(raw), np.int32)
-                ends = np.cumsum([0, *[len(x) // 4 for x in raw]]).astype(np.int32)
-                texts = [" ".join(map(name, flat[lo:hi].tolist())) for lo, hi in zip(ends[:-1], ends[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(texts, pa.string())], names=["id", "ids", "decoded"])
-
-    return run
-
-
 def encode_documents(
     docs: DataFrame,
     tokenizer_path: str,
@@ -330,7 +323,8 @@ def encode_documents(
     kind = rows.schema["id"].dataType.simpleString()
     counted = rows.select("text").mapInArrow(_emit_keys(cut_bits), "key long").groupBy("key").count()
     shared = key_filter(counted.where(F.col("count") > 1), "key", log2_filter_bits)
-    done = rows.mapInArrow(_encode_unshared(tokenizer_path, cut_bits, shared), f"id {kind}, ids binary")
+    fields = f"id {kind}, ids array<int>, decoded string"
+    done = rows.mapInArrow(_encode_unshared(tokenizer_path, cut_bits, shared), fields)
     # The row number only lives in the written table, where it is fixed.
     numbered = rows.select(F.monotonically_increasing_id().alias("row"), "id", "text")
     rest = settle(numbered.mapInArrow(_split_sharing(cut_bits, shared), f"row long, id {kind}, seq int, key long, chunk binary"), "chunks")
@@ -344,5 +338,4 @@ def encode_documents(
     parts = placed.select("row", "id", F.struct("seq", "chunk", F.col("_ids").alias("ids")).alias("part"))
     bare = rest.where(F.col("key").isNull()).select("row", "id", F.struct("seq", "chunk", F.lit(None).cast("binary").alias("ids")).alias("part"))
     whole = parts.unionByName(bare).groupBy("row").agg(F.first("id").alias("id"), F.sort_array(F.collect_list("part")).alias("parts"))
-    joined_up = whole.mapInArrow(_assemble(tokenizer_path), f"row long, id {kind}, ids binary").select("id", "ids")
-    return done.unionByName(joined_up).mapInArrow(_readable(tokenizer_path), f"id {kind}, ids array<int>, decoded string").withColumnRenamed("id", id_column)
+    return done.unionByName(whole.select("id", "parts").mapInArrow(_assemble(tokenizer_path), fields)).withColumnRenamed("id", id_column)
