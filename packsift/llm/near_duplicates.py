@@ -34,6 +34,8 @@ FREQUENT_SHINGLES = 1 << 16
 FREQUENT, STRETCH = 8, 1 << 22
 WORDS = 8  # 64-bit words of a signature
 _SIGNATURE = [f"s{i}" for i in range(WORDS)]
+#: Larger sets carry a finer signature too, of some two bits for each shingle.
+COARSE = 1000
 
 
 class Shingler:
@@ -111,6 +113,35 @@ def signature(own: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
+def fine_signature(own: np.ndarray) -> bytes | None:
+    """Parities in a power of two of bits, at least two for each shingle; None for a small set."""
+    if len(own) <= COARSE:
+        return None
+    bits = 1 << (2 * len(own) - 1).bit_length()
+    parity = np.bincount((own >> np.uint64(7)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    return np.packbits(parity.astype(np.uint8)).tobytes()
+
+
+def _fine_bound(percent: int):
+    """Pairs ``(a, b, halves, n, m, fine, fine)`` that the finer signatures leave; of unequal
+    lengths the longer one is folded."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for i, (n, m, x, y) in enumerate(zip(*[batch.column(c).to_pylist() for c in (3, 4, 5, 6)], strict=True)):
+                one, two = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
+                while len(two) > len(one):
+                    two = two[: len(two) // 2] ^ two[len(two) // 2 :]
+                apart = int(np.bitwise_count(one ^ two).sum())
+                if 100 * (n + m - apart) >= percent * (n + m + apart):
+                    keep.append(i)
+            take = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(i).take(take) for i in range(3)], names=["a", "b", "halves"])
+
+    return run
+
+
 def _sets_and_frequent(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, held, size = Shingler(k), [], 0
@@ -161,7 +192,7 @@ def _candidates(k: int, percent: int, order: Order, shared: KeyFilter):
         seen: set[bytes] = set()
         for batch in batches:
             for _, hashes, at in shingler.sets(batch.column(0)):
-                rows, keys, signs = [], [], []
+                rows, keys, signs, fine = [], [], [], []
                 for cls, lo, hi in zip(class_keys(hashes, at), at[:-1].tolist(), at[1:].tolist(), strict=True):
                     if cls is None or cls in seen:
                         continue
@@ -174,12 +205,13 @@ def _candidates(k: int, percent: int, order: Order, shared: KeyFilter):
                         rows.append((cls, hi - lo))
                         keys.append(prefix.view(np.int64))
                         signs.append(signature(own))
+                        fine.append(fine_signature(own))
                 s = np.array(signs, np.int64).reshape(-1, WORDS)
                 ends = np.cumsum([0, *[len(x) for x in keys]]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*keys, np.zeros(0, np.int64)])))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[0] for r in rows], pa.binary()), pa.array([_half(r[0]) for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), *[pa.array(s[:, i]) for i in range(WORDS)], lists],
-                    names=["cls", "half", "n", *_SIGNATURE, "keys"],
+                    [pa.array([r[0] for r in rows], pa.binary()), pa.array([_half(r[0]) for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), *[pa.array(s[:, i]) for i in range(WORDS)], lists, pa.array(fine, pa.binary())],
+                    names=["cls", "half", "n", *_SIGNATURE, "keys", "fine"],
                 )
 
     return run
@@ -247,14 +279,23 @@ def linked_classes(candidates: DataFrame, text: DataFrame, shingle_words: int, p
 
     def checked(pairs: DataFrame) -> DataFrame:
         side = F.struct("half", "n", *_SIGNATURE)
-        near = settle(
+        met = settle(
             pairs.distinct()
             .join(slim.select(F.col("cls").alias("a"), side.alias("x")), "a")
             .join(slim.select(F.col("cls").alias("b"), side.alias("y")), "b")
             .where(_possible(percent, "x", "y"))
-            .select("a", "b", F.array("x.half", "y.half").alias("halves")),
+            .select("a", "b", F.array("x.half", "y.half").alias("halves"), F.col("x.n").alias("n"), F.col("y.n").alias("m")),
             "pairs",
         )
+        large = (F.col("n") > COARSE) & (F.col("m") > COARSE)
+        finer = (
+            met.where(large)
+            .join(candidates.select(F.col("cls").alias("a"), F.col("fine").alias("fa")), "a")
+            .join(candidates.select(F.col("cls").alias("b"), F.col("fine").alias("fb")), "b")
+            .select("a", "b", "halves", "n", "m", "fa", "fb")
+            .mapInArrow(_fine_bound(percent), "a binary, b binary, halves array<long>")
+        )
+        near = settle(met.where(~large).select("a", "b", "halves").unionByName(finer), "pairs")
         wanted = key_filter(near.select(F.explode("halves").alias("key")), "key", log2_filter_bits)
         sets = text.mapInArrow(_sets_of(shingle_words, wanted), "cls binary, hashes binary").dropDuplicates(["cls"])
         full = (
@@ -319,7 +360,7 @@ def jaccard_components(
     counted = text.mapInArrow(_prefix_keys(shingle_words, percent, order), "key long").groupBy("key").count()
     shared = key_filter(counted.where(F.col("count") > 1), "key", log2_filter_bits)
     fields = ", ".join(f"{s} long" for s in _SIGNATURE)
-    found = text.mapInArrow(_candidates(shingle_words, percent, order, shared), f"cls binary, half long, n long, {fields}, keys array<long>")
+    found = text.mapInArrow(_candidates(shingle_words, percent, order, shared), f"cls binary, half long, n long, {fields}, keys array<long>, fine binary")
     candidates = settle(found.dropDuplicates(["cls"]), "candidates")
     links = linked_classes(candidates, text, shingle_words, percent, log2_filter_bits)
     roots = connected(links).withColumnRenamed("node", "cls")

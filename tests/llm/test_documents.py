@@ -73,6 +73,7 @@ def test_components_agree_with_all_pairs(make_docs, corpus, k, percent):
 
 def test_frequent_shingles_and_a_large_group_of_near_copies(make_docs, prose, monkeypatch):
     monkeypatch.setattr(near_duplicates, "FREQUENT", 3)
+    monkeypatch.setattr(near_duplicates, "COARSE", 100)
     rng = random.Random(9)
     t = prose("big", 120)
     rows = [(i, edited(t, rng, 1 + i % 7)) for i in range(150)] + [(200 + i, prose(f"o{i}", 40) + " " + prose("common", 20)) for i in range(40)]
