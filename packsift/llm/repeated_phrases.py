@@ -3,7 +3,7 @@
 A window is ``window`` consecutive words. Each window picks a seed, the phrase of
 ``SEED_WORDS`` words in it with the smallest hash, so equal windows pick equal seeds.
 Seeds that occur once rule out all windows that picked them, and of the rest only
-stretches around a seed are kept. Windows of stretches are counted by a 128-bit hash, which
+stretches around a seed are kept, equal ones once. Windows of stretches are counted by hash and seed, which
 confirms the recurring ones. Neighbouring recurring windows that occur at exactly the same
 places are one passage. Passages are compiled into automata, as many
 as it takes to bound the size of each, and the stretches of all documents stream through the
@@ -30,24 +30,34 @@ SEED_WORDS = 8
 PASSAGES, STRETCHES = 4096, 8192
 
 
+#: Stretches whose words a task remembers to have given.
+REMEMBERED = 300_000
+_LONG = (1 << 64) - 1
+#: Bits that count the windows of a stretch; a window has at most so many before its seed.
+_AT_BITS = 10
+_AT = (1 << _AT_BITS) - 1
+
+
 class Seeder:
     """Words, window seeds and window hashes of documents."""
 
     def __init__(self, window: int):
+        if window > _AT:
+            raise ValueError(f"a window has at most {_AT} words")
         self.window = window
-        self.one, self.two = Splitter(seed=1), Splitter(seed=2)
+        self.splitter = Splitter()
 
     def slices(self, column: pa.Array):
         data, offs = text_buffer(column)
         for a, b in slices(offs):
             part = offs[a : b + 1] - offs[a]
             raw = data[offs[a] : offs[b]]
-            yield a, b, self.one.split(raw, part)
+            yield a, b, self.splitter.split(raw, part)
 
     def seeds(self, words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """``(start, place, key)`` of every window: its first word, and the first word and the hash
         of its seed."""
-        hashed = self.one.hashes(words)
+        hashed = self.splitter.hashes(words)
         k = min(SEED_WORDS, self.window)
         phrase = grams(hashed, k, seed=3)
         n, span = len(phrase), self.window - k + 1
@@ -84,10 +94,14 @@ def _seed_keys(window: int):
 
 
 def _stretches(window: int, shared: KeyFilter):
-    """One row per seed that may recur: the words from its first window to its last."""
+    """One row per seed that may recur: the words from its first window to its last, named
+    by two hashes. A task gives the words of a stretch once, as long as it remembers it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         seeder = Seeder(window)
+        known: set[int] = set()
         for batch in batches:
             for a, _, words in seeder.slices(batch.column(2)):
                 start, place, key = seeder.seeds(words)
@@ -98,38 +112,49 @@ def _stretches(window: int, shared: KeyFilter):
                 passed = shared.passes(key[heads]) if len(heads) else np.zeros(0, bool)
                 heads, tails = heads[passed], tails[passed]
                 doc = np.searchsorted(words.first, start[heads], "right") - 1 if len(heads) else np.zeros(0, np.int64)
-                raw, s, e = words.data.tobytes(), words.start, words.end
-                texts = [b" ".join([raw[s[i] : e[i]] for i in range(x, y + window)]) for x, y in zip(start[heads].tolist(), start[tails].tolist(), strict=True)]
+                raw = words.data.tobytes()
+                s, e = words.start.tolist(), words.end.tolist()
+                names, texts = [], []
+                for x, y in zip(start[heads].tolist(), start[tails].tolist(), strict=True):
+                    text = b" ".join([raw[s[i] : e[i]] for i in range(x, y + window)])
+                    name = xxhash.xxh3_128_intdigest(text)
+                    names.append((name & _LONG, name >> 64))
+                    if name in known:
+                        texts.append(None)
+                        continue
+                    texts.append(text)
+                    if len(known) < REMEMBERED:
+                        known.add(name)
                 rows = pa.array(doc + a, pa.int64())
+                two = np.array(names, np.uint64).reshape(-1, 2).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).take(rows), batch.column(1).take(rows), pa.array(key[heads].view(np.int64)),
-                        pa.array((start[heads] - words.first[doc]).astype(np.int64)), pa.array((place[heads] - words.first[doc]).astype(np.int64)),
-                        pa.array(texts, pa.binary()),
+                        batch.column(0).take(rows), batch.column(1).take(rows), pa.array((start[heads] - words.first[doc]).astype(np.int64)),
+                        pa.array(key[heads].view(np.int64)), pa.array(two[:, 0]), pa.array(two[:, 1]), pa.array(texts, pa.binary()),
                     ],
-                    names=["r1", "r2", "seed", "first", "place", "words"],
+                    names=["r1", "r2", "first", "seed", "s1", "s2", "words"],
                 )
 
     return run
 
 
 def _windows(window: int):
-    """Hashes of the windows of each stretch; ``at`` counts from its start."""
+    """Hashes of the windows of each stretch ``(seed, s1, n, words)``; the last bits of ``at`` count
+    the window from the start of its stretch, the others name the stretch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeder = Seeder(window)
         for batch in batches:
-            for a, b, words in seeder.slices(batch.column(5).cast(pa.string())):
-                ok = inside(words.first, window)
-                one = grams(seeder.one.hashes(words), window, seed=5)[ok]
-                two = grams(seeder.two.hashes(words), window, seed=6)[ok]
+            names = batch.column(1).to_numpy()
+            for a, b, words in seeder.slices(batch.column(3).cast(pa.string())):
+                found = grams(seeder.splitter.hashes(words), window, seed=5)[inside(words.first, window)]
                 counts = np.maximum(words.per_doc - window + 1, 0)
                 rows = np.repeat(np.arange(a, b), counts)
                 at = np.arange(len(rows)) - np.repeat(np.concatenate([[0], np.cumsum(counts)])[:-1], counts)
                 take = pa.array(rows)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), *[batch.column(i).take(take) for i in (0, 1, 2, 4)], pa.array(at.astype(np.int32))],
-                    names=["h1", "h2", "r1", "r2", "seed", "place", "at"],
+                    [batch.column(0).take(take), pa.array(found.view(np.int64)), batch.column(1).take(take), batch.column(2).take(take), pa.array((names[rows] & ~_AT) | at)],
+                    names=["seed", "h", "s1", "n", "at"],
                 )
 
     return run
@@ -166,7 +191,7 @@ def _locate(passages: pd.DataFrame, stretches: pd.DataFrame) -> pd.DataFrame:
         for symbols in texts:
             automaton.add_word(symbols, symbols)
         automaton.make_automaton()
-        for r1, r2, first, raw in zip(stretches["r1"], stretches["r2"], stretches["first"], stretches["words"], strict=True):
+        for s1, s2, raw in zip(stretches["s1"], stretches["s2"], stretches["words"], strict=True):
             words = raw.split(b" ")
             ranges: list[list[int]] = []
             for last, symbols in automaton.iter(_symbols(words)):
@@ -180,8 +205,8 @@ def _locate(passages: pd.DataFrame, stretches: pd.DataFrame) -> pd.DataFrame:
                     merged[-1][1] = max(merged[-1][1], hi)
                 else:
                     merged.append([lo, hi])
-            found += [(r1, r2, first + lo, first + hi) for lo, hi in merged]
-    return pd.DataFrame(found, columns=["r1", "r2", "lo", "hi"]).astype("int64")
+            found += [(s1, s2, lo, hi) for lo, hi in merged]
+    return pd.DataFrame(found, columns=["s1", "s2", "lo", "hi"]).astype("int64")
 
 
 def recurring_ranges(docs: DataFrame, window: int, log2_filter_bits: int = DEFAULT_LOG2_BITS) -> DataFrame:
@@ -190,40 +215,53 @@ def recurring_ranges(docs: DataFrame, window: int, log2_filter_bits: int = DEFAU
     counted = docs.select("text").mapInArrow(_seed_keys(window), "key long").groupBy("key").count()
     shared = key_filter(counted.where(F.col("count") > 1), "key", log2_filter_bits)
     stretches = settle(
-        docs.select("r1", "r2", "text").mapInArrow(_stretches(window, shared), "r1 long, r2 long, seed long, first long, place long, words binary"), "stretches"
+        docs.select("r1", "r2", "text").mapInArrow(
+            _stretches(window, shared), "r1 long, r2 long, first long, seed long, s1 long, s2 long, words binary"
+        ),
+        "stretches",
+    )
+    # Equal stretches are one from here on, with the number of places that hold it.
+    distinct = settle(
+        stretches.groupBy("seed", "s1", "s2").agg(F.count(F.lit(1)).alias("n"), F.first("words", ignorenulls=True).alias("words")), "distinct"
     )
-    each = stretches.mapInArrow(_windows(window), "h1 long, h2 long, r1 long, r2 long, seed long, place long, at int")
-    # Two sums over the places of a window stand for the set of them.
-    place = lambda salt: F.shiftrightunsigned(F.xxhash64("r1", "r2", "place", F.lit(salt)), 33)
+    kinds = distinct.groupBy("seed").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("all"))
+    recurring_seeds = kinds.where(F.col("all") > 1)
+    alone = recurring_seeds.where(F.col("kinds") == 1).select("seed")
+    # A seed with one kind of stretch recurs as a whole. Else the windows tell what recurs.
+    same = distinct.join(alone, "seed", "left_semi").select("seed", F.col("words").alias("passage"))
+    mixed = distinct.join(recurring_seeds.where(F.col("kinds") > 1).select("seed"), "seed", "left_semi")
+    each = mixed.select("seed", "s1", "n", "words").mapInArrow(_windows(window), "seed long, h long, s1 long, n long, at long")
+    # A window stands in a stretch once at most, so the xor of the hashes of its stretches stands
+    # for the set of them; the least of ``at`` is one of its places.
     recurring = (
-        each.groupBy("seed", "h1", "h2")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.sum(place(0)).alias("p1"),
-            F.sum(place(1)).alias("p2"),
-            F.min(F.struct("r1", "r2", "place", "at")).alias("owner"),
-        )
-        .where(F.col("n") > 1)
+        each.groupBy("seed", "h").agg(F.sum("n").alias("n"), F.bit_xor(F.xxhash64("s1")).alias("where"), F.min("at").alias("at")).where(F.col("n") > 1)
     )
-    runs = recurring.groupBy("seed", "owner.r1", "owner.r2", "owner.place", "n", "p1", "p2").agg(F.min("owner.at").alias("lo"), F.max("owner.at").alias("hi"))
-    owners = stretches.select("seed", "r1", "r2", "place", "words").dropDuplicates(["seed", "r1", "r2", "place"])
-    cut = runs.join(owners, ["seed", "r1", "r2", "place"]).select("seed", "words", "lo", "hi")
-    passages = settle(cut.mapInArrow(_cut_passages(window), "seed long, passage binary").distinct(), "passages")
+    inner = F.col("at").bitwiseAND(F.lit(_AT))
+    runs = recurring.groupBy("seed", F.shiftright("at", _AT_BITS).alias("owner"), "n", "where").agg(F.min(inner).alias("lo"), F.max(inner).alias("hi"))
+    owners = mixed.select("seed", F.shiftright("s1", _AT_BITS).alias("owner"), "words")
+    cut = runs.join(owners, ["seed", "owner"]).select("seed", "words", F.col("lo").cast("int").alias("lo"), F.col("hi").cast("int").alias("hi"))
+    passages = settle(same.unionByName(cut.mapInArrow(_cut_passages(window), "seed long, passage binary")), "passages")
 
     shards = max(1, -(-passages.count() // PASSAGES))
     # A stretch of a seed without a passage has nothing to find.
-    live = stretches.join(passages.select("seed").distinct(), "seed", "left_semi")
+    live = distinct.join(passages.select("seed").distinct(), "seed", "left_semi")
     shard = F.pmod(F.xxhash64("seed"), F.lit(shards)).cast("int")
     # A shard with more stretches than a group should hold is dealt to several groups, each of
     # which compiles its automaton.
     sizes = live.groupBy(shard.alias("shard")).count().select("shard", F.ceil(F.col("count") / STRETCHES).cast("int").alias("groups"))
     compiled = passages.withColumn("shard", shard).join(sizes, "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
-    dealt = live.withColumn("shard", shard).join(sizes, "shard").withColumn("part", F.pmod(F.xxhash64("r1", "r2", "first"), F.col("groups")).cast("int"))
-    return (
+    dealt = live.withColumn("shard", shard).join(sizes, "shard").withColumn("part", F.pmod(F.xxhash64("s1", "s2"), F.col("groups")).cast("int"))
+    located = (
         compiled.select("shard", "part", "passage")
         .groupBy("shard", "part")
-        .cogroup(dealt.select("shard", "part", "r1", "r2", "first", "words").groupBy("shard", "part"))
-        .applyInPandas(_locate, "r1 long, r2 long, lo long, hi long")
+        .cogroup(dealt.select("shard", "part", "s1", "s2", "words").groupBy("shard", "part"))
+        .applyInPandas(_locate, "s1 long, s2 long, lo long, hi long")
+    )
+    # Back to all places of a stretch.
+    return (
+        stretches.select("r1", "r2", "first", "s1", "s2")
+        .join(located, ["s1", "s2"])
+        .select("r1", "r2", (F.col("first") + F.col("lo")).alias("lo"), (F.col("first") + F.col("hi")).alias("hi"))
     )
 
 
