@@ -55,7 +55,6 @@ HEADLINE = [
     "q_reuse_observe",
     "q_reuse_apply",
     "q_cache_admit",
-    "q_scan_fallback",
     "agg_corpus_dedup",
     "agg_archive_admission",
     "agg_partial_reason",

@@ -37,11 +37,11 @@ def warning_text(error_json: Column) -> Column:
     kind = F.get_json_object(error_json, "$.type")
     rule = F.get_json_object(error_json, "$.rule_id")
     path = F.get_json_object(error_json, "$.path")
-    timeout = F.when(rule.isNull(), F.lit("Rule timed out")).otherwise(
-        F.concat(F.lit("Rule "), truncate_chars(rule_id(rule), MAX_RULE_ID_CHARS), F.lit(" timed out"))
+    timeout = F.when(rule.isNull(), F.lit("timeout: some rule")).otherwise(
+        F.concat(F.lit("timeout: "), truncate_chars(rule_id(rule), MAX_RULE_ID_CHARS))
     )
-    target = F.coalesce(F.substring_index(path, "/", -1), F.lit("a target file"))
-    partial = F.concat(F.lit("Partially parsed "), truncate_chars(target, MAX_BASENAME_CHARS))
+    target = F.coalesce(F.substring_index(path, "/", -1), F.lit("unnamed file"))
+    partial = F.concat(F.lit("partly-parsed: "), truncate_chars(target, MAX_BASENAME_CHARS))
     return F.when(kind == "Timeout", timeout).otherwise(partial)
 
 
@@ -53,7 +53,7 @@ def normalize_finding(raw: Column, root: Column, base: Column) -> Column:
     def finding(located: Column, link: Column) -> Column:
         error = F.coalesce(
             located["error"],
-            F.when(F.octet_length(message) > MAX_MESSAGE_BYTES, F.lit("finding message exceeds 1024 bytes")),
+            F.when(F.octet_length(message) > MAX_MESSAGE_BYTES, F.lit(f"message-too-long: more than {MAX_MESSAGE_BYTES} bytes")),
             link["error"],
         )
         fields = F.struct(

@@ -36,13 +36,13 @@ def relative_path(path: Column, root: Column) -> Column:
 
     def checked(names: Column) -> Column:
         error = (
-            F.when(names["raw"].isNull(), F.lit("path is outside the target directory"))
-            .when(names["raw"] == "", F.lit("path must not be empty"))
+            F.when(names["raw"].isNull(), F.lit("path-elsewhere: not below the target"))
+            .when(names["raw"] == "", F.lit("path-empty: nothing left below the target"))
             .when(
                 ~is_safe_path(names["raw"]) | ~is_safe_path(names["slashed"]),
-                F.lit("path must contain only normal relative components"),
+                F.lit("path-not-plain: a step leaves or repeats a folder"),
             )
-            .when(F.octet_length(names["slashed"]) > MAX_PATH_BYTES, F.lit("path exceeds 1024 bytes"))
+            .when(F.octet_length(names["slashed"]) > MAX_PATH_BYTES, F.lit(f"path-too-long: more than {MAX_PATH_BYTES} bytes"))
         )
         return let(
             error,

@@ -38,7 +38,7 @@ def inspector_base(name: Column, version: Column, url: Column, host: str = INSPE
 def inspector_url(base: Column, path: Column) -> Column:
     """Struct ``(url, error)``: base and path joined as they are, at most 2048 bytes."""
     url = F.concat(base, path)
-    error = F.when(F.octet_length(url) > MAX_URL_BYTES, F.lit("inspector URL exceeds 2048 bytes"))
+    error = F.when(F.octet_length(url) > MAX_URL_BYTES, F.lit(f"address-too-long: more than {MAX_URL_BYTES} bytes"))
     return F.struct(F.when(error.isNull(), url).alias("url"), error.alias("error"))
 
 

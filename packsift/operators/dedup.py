@@ -81,7 +81,8 @@ def distinct_targets(
 
     Identities are chosen on narrow rows, before content is read. The file key is
     unique, so the join is even; on a files table bucketed by the key, content is
-    not shuffled.
+    not shuffled. Should a key repeat after all, only content of the chosen identity
+    passes.
     """
     chosen = representatives(index)
     if wanted is not None:
@@ -89,7 +90,8 @@ def distinct_targets(
     if known is not None:
         chosen = chosen.join(known.select("identity"), "identity", "left_anti")
     content = spread(files.select(*FILE_KEY, "content"), *FILE_KEY)
-    return content.join(chosen, FILE_KEY).select("identity", *IDENTITY, "content", *FILE_KEY)
+    same = F.sha2(F.col("content").cast("binary"), 256) == F.col("sha256")
+    return content.join(chosen, FILE_KEY).where(same).select("identity", *IDENTITY, "content", *FILE_KEY)
 
 
 def alias_order() -> list[Column]:

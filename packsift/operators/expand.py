@@ -33,8 +33,8 @@ def locate(expanded: DataFrame, distributions: DataFrame) -> DataFrame:
     joined = skew_safe_join(expanded, distributions, ["pkg", "dist_index"], "left")
     link = inspector_url(F.col("base"), F.col("path"))
     error = F.coalesce(
-        F.when(F.col("base").isNull(), F.lit("finding references an unknown distribution")),
-        F.when(F.octet_length("path") > MAX_PATH_BYTES, F.lit("path exceeds 1024 bytes")),
+        F.when(F.col("base").isNull(), F.lit("no-distribution: the finding's archive is not among the job's")),
+        F.when(F.octet_length("path") > MAX_PATH_BYTES, F.lit(f"path-too-long: more than {MAX_PATH_BYTES} bytes")),
         link["error"],
     )
     return joined.select(
@@ -50,13 +50,17 @@ def findings_per_group(findings: DataFrame, group: list[str], limit: int = MAX_F
 
 
 def gather_findings(
-    findings: DataFrame, group: list[str], order: list[str], limit: int = MAX_FINDINGS
+    findings: DataFrame, group: list[str], order: list[str], limit: int | None = MAX_FINDINGS
 ) -> DataFrame:
     """Ordered finding lists per group; NULL where the cap is exceeded.
 
     Ranks are cut at the cap before rows are gathered (Spark applies that cut
-    ahead of the shuffle), so a list never holds more than ``limit`` items.
+    ahead of the shuffle), so a list never holds more than ``limit`` items. Without
+    a limit every list is whole: for groups that are one file, whose lines bound it.
     """
+    if limit is None:
+        items = F.array_sort(F.collect_list(F.struct(*order))).alias("items")
+        return findings.groupBy(*group).agg(items).withColumn("over_limit", F.lit(False))
     rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
     kept = findings.withColumn("_rank", rank).where(F.col("_rank") <= limit + 1)
     item = F.struct(*order)

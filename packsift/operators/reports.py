@@ -52,7 +52,7 @@ def job_reports(
         .unionByName(failure(archive_failures, F.col("dist_index") + _ARCHIVE, F.col("reason")))
         .unionByName(failure(located.where("error IS NOT NULL"), _FINDING, F.col("error")))
         .unionByName(
-            failure(caps.where("over_limit"), _CAP, F.lit(f"scan produced more than {max_findings} findings"))
+            failure(caps.where("over_limit"), _CAP, F.lit(f"too-many-findings: more than {max_findings}"))
         )
     )
     counts = caps.select("pkg", F.col("findings").alias("finding_count"))

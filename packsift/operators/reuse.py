@@ -68,10 +68,17 @@ def decode(result: Column) -> Column:
 
 
 def exact_hits(targets: DataFrame, cache: DataFrame, key: str = "identity") -> DataFrame:
-    """Left join by key that trusts a result only when the bytes are equal."""
-    stored = cache.select(F.col(key).alias("_k"), F.col("content").alias("_c"), "result")
-    same = (F.col(key) == F.col("_k")) & (F.col("content") == F.col("_c"))
-    return targets.join(stored, same, "left").drop("_k", "_c")
+    """Left join by key that trusts a result only when the bytes are equal.
+
+    Rows meet by the key and the hash of the content; the bytes are compared for these
+    candidates only. ``coalesce`` keeps that comparison from becoming a join key.
+    """
+    digest = lambda rows: F.sha2(rows["content"].cast("binary"), 256)
+    stored = cache.select(F.col(key).alias("_k"), digest(cache).alias("_d"), F.col("content").alias("_c"), "result")
+    hashed = targets.withColumn("_h", digest(targets))
+    equal = F.coalesce(F.col("content") == F.col("_c"), F.lit(False))
+    same = (F.col(key) == F.col("_k")) & (F.col("_h") == F.col("_d")) & equal
+    return hashed.join(stored, same, "left").drop("_k", "_d", "_c", "_h")
 
 
 def without_revoked(rows: DataFrame, revocations: DataFrame) -> DataFrame:

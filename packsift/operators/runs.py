@@ -1,4 +1,4 @@
-"""Whole scan runs with result reuse, and the bounded-group fallback.
+"""Whole scan runs with result reuse.
 
 Inputs shared by the runs:
 
@@ -13,9 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packsift.operators.admission import until_first_timeout
 from packsift.operators.dedup import distinct_targets
-from packsift.operators.expand import expand_findings
 from packsift.operators.reuse import decide, mismatched_keys
 from packsift.operators.scan import scan
 from packsift.operators.skew import skew_safe_join
@@ -23,7 +21,6 @@ from packsift.session import settle
 from packsift.settings import AUDIT_EVERY
 
 _ITEM = ["check_id", "start_line", "end_line"]
-FALLBACK_WARNING = "Timed out scanning a fallback package target group"
 
 
 def package_targets(index: DataFrame) -> DataFrame:
@@ -77,7 +74,10 @@ def apply(
     decisions = settle(decide(_with_known(index, known), "reuse", order, every), "decisions")
     audited = decisions.where(F.col("candidate") & ~F.col("reused"))
     sampled = audited.select("identity").distinct()
-    checked = scan(distinct_targets(files, index, wanted=sampled), rules, ["identity"])
+    # What is not reused contains every audited target: one scan serves both.
+    pending = decisions.where(~F.col("reused")).select("identity").distinct()
+    scanned = settle(scan(distinct_targets(files, index, wanted=pending), rules, ["identity"]), "findings")
+    checked = scanned.join(sampled, "identity", "left_semi")
     expected = stored.join(sampled, "identity", "left_semi")
     wrong = mismatched_keys(expected, checked, ["identity"], _ITEM)
     stop = audited.join(wrong, "identity", "left_semi").agg(F.min("pkg")).first()[0]
@@ -90,8 +90,11 @@ def apply(
     failed = F.lit(False) if stop is None else (F.col("pkg") == F.lit(stop)) & (F.col("reused_files") > 0)
     jobs = jobs.withColumn("failed", failed)
 
-    pending = final.where(~F.col("reused")).select("identity").distinct()
-    fresh = scan(distinct_targets(files, index, wanted=pending), rules, ["identity"])
+    # After a mismatch the later jobs scan what they would have reused.
+    more = final.where(~F.col("reused")).select("identity").distinct().join(pending, "identity", "left_anti")
+    fresh = scanned
+    if stop is not None:
+        fresh = scanned.unionByName(scan(distinct_targets(files, index, wanted=more), rules, ["identity"]))
     results = stored.select("identity", *_ITEM, F.lit(True).alias("reused")).unionByName(
         fresh.select("identity", *_ITEM, F.lit(False).alias("reused"))
     )
@@ -106,23 +109,3 @@ def apply(
         spread=["dist_index", "path"],
     )
     return per_alias.select("pkg", "dist_index", "path", *_ITEM), jobs
-
-
-def fallback_groups(grouped: DataFrame, cost: str, budget: int) -> tuple[DataFrame, DataFrame]:
-    """Keep the targets of the groups before the first that exceeds its budget.
-
-    ``grouped`` is (pkg, group_no, target columns). Returns the kept targets and
-    one warning per package whose scan stopped early.
-    """
-    costs = grouped.groupBy("pkg", "group_no").agg(F.sum(cost).alias("_cost"))
-    slow = costs.where(F.col("_cost") > budget)
-    kept_groups = until_first_timeout(costs, ["pkg"], "group_no", F.col("_cost") > budget)
-    kept = grouped.join(kept_groups.select("pkg", "group_no"), ["pkg", "group_no"], "left_semi")
-    stopped = slow.groupBy("pkg").agg(F.min("group_no").alias("group_no"))
-    return kept, stopped.withColumn("warning", F.lit(FALLBACK_WARNING))
-
-
-def expand_kept(index: DataFrame, kept: DataFrame, findings: DataFrame) -> DataFrame:
-    """Findings on every path of the kept (pkg, identity) targets."""
-    aliases = skew_safe_join(index, kept.select("pkg", "identity"), ["pkg", "identity"], "left_semi", spread=["path"])
-    return expand_findings(aliases, findings, weights=index)

@@ -9,7 +9,6 @@ be many; they are found by an equi-join on a token gram instead.
 from __future__ import annotations
 
 import re
-from re import _parser as sre
 from collections.abc import Iterator, Sequence
 from functools import reduce
 from math import ceil
@@ -81,33 +80,9 @@ def applicable(rule: Row) -> Column | None:
 # -- regex rules ---------------------------------------------------------------------
 
 
-def required_literal(pattern: str) -> str:
-    """The longest text that every match of ``pattern`` contains, '' if unknown.
-
-    Read from the parse tree: only items that a match cannot skip count.
-    """
-    try:
-        tree = sre.parse(pattern)
-    except re.error:
-        return ""
-    if tree.state.flags & re.IGNORECASE:
-        return ""
-
-    def runs(items) -> Iterator[str]:
-        run = ""
-        for op, argument in items:
-            if op is sre.LITERAL:
-                run += chr(argument)
-                continue
-            yield run
-            run = ""
-            if op is sre.SUBPATTERN and not argument[1]:
-                yield from runs(argument[3])
-            elif op is sre.MAX_REPEAT and argument[0] >= 1:
-                yield from runs(argument[2])
-        yield run
-
-    return max(runs(tree), key=len, default="")
+# Syntax that may look past the line or keep a match from being given up: on a whole text
+# such a pattern can fail where it matches a line of it.
+_LINE_ONLY = re.compile(r"\\[AzZG]|\(\?(?![:i)])|\(\?i[^)]|[*+?}]\+")
 
 
 def scan_regex(targets: DataFrame, rules: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -120,15 +95,11 @@ def scan_regex(targets: DataFrame, rules: DataFrame, key: Sequence[str]) -> Data
 
         def test(column: str, rule: Row, mode: str) -> Column:
             hit = F.col(column).rlike(mode + rule["pattern"])
-            literal = required_literal(rule["pattern"])
-            if literal:  # a plain search is far cheaper than a failing regex
-                hit = F.contains(F.col(column), F.lit(literal)) & hit
             condition = applicable(rule)
             return hit if condition is None else condition & hit
 
         text_lines = F.split("content", "\n", -1)
-        # Text anchors mean something else on a whole text than on one line.
-        if not any(re.search(r"\\[AzZG]", rule["pattern"]) for rule in batch):
+        if not any(_LINE_ONLY.search(rule["pattern"]) for rule in batch):
             # Part of the generator, not a filter: a filter would be pushed below
             # the step that spreads the texts over the cores.
             hit = reduce(lambda a, b: a | b, [test("content", rule, _TEXT_MODE) for rule in batch])
@@ -167,39 +138,57 @@ def _grams(tokens: Column) -> Column:
 
 
 def literal_anchors(rules: DataFrame) -> DataFrame:
-    """One gram per literal rule that any text containing the passage must have.
+    """One gram per literal rule ``_rule`` that any text containing the passage must have.
 
     The first and last token may be cut by the passage's edge, so only inner
     tokens count. The gram shared by the fewest rules is taken. Rules too short
     for a gram are left out.
     """
-    tokens = rules.select("check_id", _tokens(F.col("pattern")).alias("_t"))
-    inner = tokens.where(F.size("_t") >= GRAM + 2).select(
-        "check_id", F.expr("slice(_t, 2, size(_t) - 2)").alias("_t")
-    )
-    grams = inner.select("check_id", F.explode(_grams(F.col("_t"))).alias("gram"))
+    tokens = rules.select("_rule", _tokens(F.col("pattern")).alias("_t"))
+    inner = tokens.where(F.size("_t") >= GRAM + 2).select("_rule", F.expr("slice(_t, 2, size(_t) - 2)").alias("_t"))
+    grams = inner.select("_rule", F.explode(_grams(F.col("_t"))).alias("gram")).distinct()
     shared = grams.groupBy("gram").agg(F.count("*").alias("_shared"))
     return (
         grams.join(shared, "gram")
-        .groupBy("check_id")
+        .groupBy("_rule")
         .agg(F.min(F.struct("_shared", "gram")).alias("_best"))
-        .select("check_id", F.col("_best.gram").alias("gram"))
+        .select("_rule", F.col("_best.gram").alias("gram"))
+    )
+
+
+def _in_scope(columns: Sequence[str]) -> Column:
+    """Whether the file's extension and path are in the scope of the rule beside it."""
+    listed = F.create_map(*[x for name, exts in LANGUAGE_EXTENSIONS.items() for x in (F.lit(name), F.array(*map(F.lit, exts)))])
+    exts = F.flatten(F.transform("languages", lambda name: F.coalesce(F.get(F.array(listed[name]), 0), F.array(name))))
+    scope = F.col("languages").isNull() | F.coalesce(F.array_contains(exts, F.col("ext")), F.lit(False))
+    if "path" in columns:
+        return scope & (F.col("path_pattern").isNull() | F.regexp_like("path", F.concat(F.lit(_LINE_MODE), "path_pattern")))
+    return scope & F.when(F.col("path_pattern").isNull(), True).otherwise(
+        F.raise_error(F.lit("a rule asks for paths, the targets have none")).cast("boolean")
     )
 
 
 def _literal_findings(matches: DataFrame, key: Sequence[str]) -> DataFrame:
-    """First occurrence of each passage, with the lines it covers."""
-    before = F.substring(F.col("content"), F.lit(1), F.col("_at") - 1)
-    breaks = lambda text: F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit("")))
-    return (
-        matches.withColumn("_at", F.instr(F.col("content"), F.col("pattern")))
-        .where("_at > 0")
-        .select(
-            *key,
-            "check_id",
-            (breaks(before) + 1).cast("bigint").alias("start_line"),
-            (breaks(before) + 1 + breaks(F.col("pattern"))).cast("bigint").alias("end_line"),
-        )
+    """Every line on which an occurrence of the passage starts, and the line it ends on."""
+    starts = lambda lines, breaks, head, rest: F.filter(
+        F.sequence(F.lit(0), F.size(lines) - 1),
+        lambda i: F.when(breaks == 0, F.contains(F.get(lines, i), head)).otherwise(
+            F.endswith(F.get(lines, i), head) & F.startswith(F.array_join(F.slice(lines, i + 2, breaks), "\n"), rest)
+        ),
+    )
+    cut = matches.withColumns(
+        {
+            "_breaks": F.size(F.split("pattern", "\n", -1)) - 1,
+            "_head": F.substring_index("pattern", "\n", 1),
+            "_rest": F.expr("substr(pattern, length(substring_index(pattern, '\\n', 1)) + 2)"),
+        }
+    )
+    found = let(F.split("content", "\n", -1), lambda lines: starts(lines, F.col("_breaks"), F.col("_head"), F.col("_rest")))
+    return cut.select(*key, "check_id", "_breaks", F.explode(found).alias("_at")).select(
+        *key,
+        "check_id",
+        (F.col("_at") + 1).cast("bigint").alias("start_line"),
+        (F.col("_at") + 1 + F.col("_breaks")).cast("bigint").alias("end_line"),
     )
 
 
@@ -210,34 +199,46 @@ def scan_literal(
     broadcast_rows: int = 50_000,
     broadcast_bytes: int = 32 * 1024 * 1024,
 ) -> DataFrame:
-    """Findings of literal rules, one per (target, rule), at the first occurrence.
+    """Findings of literal rules, one per (target, rule, line on which it starts).
 
     Up to the size bound the anchored rules are broadcast and content stays in
     place. Beyond it, narrow (target, gram) rows meet the anchors in a salted
     join and content is joined back for the candidates.
     """
     key = list(key)
-    rules = rules.select("check_id", "pattern")
-    anchored = rules.join(literal_anchors(rules), "check_id")
+    carried = [name for name in ("ext", "path") if name in targets.columns and name not in key]
+    rules = rules.select("check_id", "pattern", "languages", "path_pattern").withColumn(
+        "_rule", F.xxhash64("check_id", "pattern", "languages", "path_pattern")
+    )
+    anchored = rules.join(literal_anchors(rules), "_rule")
     short = rules.where(F.size(_tokens(F.col("pattern"))) < GRAM + 2)
     grams = F.explode(_grams(_tokens(F.col("content")))).alias("gram")
+    texts = targets.select(*key, *carried, "content")
     if is_small(rules, broadcast_rows, broadcast_bytes):
         # Generate and broadcast join run in one stage: only matching rows get out.
-        candidates = targets.select(*key, "content", grams).join(F.broadcast(anchored), "gram")
+        candidates = targets.select(*key, *carried, "content", grams).join(F.broadcast(anchored), "gram")
     else:
         narrow = targets.select(*key, grams)
-        pairs = skew_safe_join(narrow, anchored.select("gram", "check_id"), ["gram"])
-        with_pattern = skew_safe_join(pairs.drop("gram"), rules, ["check_id"])
-        candidates = skew_safe_join(with_pattern, targets.select(*key, "content"), key)
-    parts = [_literal_findings(candidates, key)]
+        pairs = skew_safe_join(narrow, anchored.select("gram", "_rule"), ["gram"])
+        with_pattern = skew_safe_join(pairs.drop("gram"), rules, ["_rule"])
+        candidates = skew_safe_join(with_pattern, texts, key)
+    scope = _in_scope(targets.columns)
+    parts = [_literal_findings(candidates.where(scope), key)]
     for batch in rule_batches(short):
         passages = F.array(
-            *[F.struct(F.lit(r["check_id"]).alias("check_id"), F.lit(r["pattern"]).alias("pattern")) for r in batch]
+            *[
+                F.struct(
+                    F.lit(r["check_id"]).alias("check_id"),
+                    F.lit(r["pattern"]).alias("pattern"),
+                    F.lit(r["languages"]).cast("array<string>").alias("languages"),
+                    F.lit(r["path_pattern"]).cast("string").alias("path_pattern"),
+                )
+                for r in batch
+            ]
         )
         found = F.filter(passages, lambda p: F.contains(F.col("content"), p["pattern"]))
-        parts.append(
-            _literal_findings(targets.select(*key, "content", F.inline(found)), key)
-        )
+        listed = targets.select(*key, *carried, "content", F.inline(found))
+        parts.append(_literal_findings(listed.where(scope), key))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -266,28 +267,34 @@ def scan(targets: DataFrame, rules: DataFrame, key: Sequence[str]) -> DataFrame:
     (and path for path-scoped rules)."""
     targets = as_text(targets)
     parts = []
-    for kind, scan_kind in (("regex", scan_regex), ("literal", scan_literal)):
+    kinds = {"regex": scan_regex, "literal": scan_literal}
+    unknown = rules.where(~F.coalesce(F.col("kind").isin(*kinds), F.lit(False))).select("check_id").first()
+    if unknown:
+        raise ValueError(f"no scan for the kind of rule {unknown['check_id']!r}")
+    for kind, scan_kind in kinds.items():
         chosen = rules.where(F.col("kind") == kind)
         if not chosen.isEmpty():
             parts.append(scan_kind(targets, chosen, key))
     return reduce(DataFrame.unionByName, parts) if parts else _no_findings(targets, key)
 
 
+def is_scanned(rules: DataFrame) -> Column:
+    """Whether at least one rule's languages cover the column ``ext``."""
+    languages = rules.select(F.explode_outer(F.coalesce("languages", F.array(F.lit(None).cast("string")))).alias("l"))
+    # One row: the distinct names of languages, and whether some rule names none.
+    row = languages.agg(F.collect_set("l").alias("names"), F.bool_or(F.col("l").isNull()).alias("all")).first()
+    if row["all"]:
+        return F.lit(True)
+    return F.coalesce(F.col("ext").isin(rule_extensions(sorted(row["names"]))), F.lit(False))
+
+
 def scanned_targets(targets: DataFrame, rules: DataFrame) -> DataFrame:
     """Targets that at least one rule's languages cover.
 
     A target outside this set was not looked at; having no finding there does
     not make it clean.
     """
-    languages = rules.select("languages").distinct()
-    named = {
-        name
-        for row in languages.where("languages IS NOT NULL").select(F.explode("languages").alias("l")).distinct().collect()
-        for name in [row["l"]]
-    }
-    if not languages.where("languages IS NULL").isEmpty():
-        return targets
-    return targets.where(F.coalesce(F.col("ext").isin(rule_extensions(sorted(named))), F.lit(False)))
+    return targets.where(is_scanned(rules))
 
 
 def rules_reusable(rules: DataFrame, group: Sequence[str] = ()) -> DataFrame:
@@ -314,10 +321,12 @@ def rules_reusable(rules: DataFrame, group: Sequence[str] = ()) -> DataFrame:
 def describe(findings: DataFrame, rules: DataFrame) -> DataFrame:
     """Attach the rule's message and metadata and shorten check_id to rule_id."""
     details = rules.select(
-        "check_id", "message", "severity", "evidence", "confidence", "execution_context", "pattern"
+        "check_id", "message", "severity", "evidence", "confidence", "execution_context"
     )
-    if is_small(rules, 50_000, 32 * 1024 * 1024):
-        joined = findings.join(F.broadcast(details.drop("pattern")), "check_id")
+    # What is broadcast is what is measured.
+    measured = details.select(F.concat_ws(" ", *details.columns).alias("pattern"))
+    if is_small(measured, 50_000, 32 * 1024 * 1024):
+        joined = findings.join(F.broadcast(details), "check_id")
     else:
-        joined = skew_safe_join(findings, details.drop("pattern"), ["check_id"])
+        joined = skew_safe_join(findings, details, ["check_id"])
     return joined.withColumn("rule_id", F.substring_index("check_id", ".", -1)).drop("check_id")

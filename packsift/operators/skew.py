@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packsift.settings import MAX_BROADCAST_ROWS, MAX_HOT_KEYS, ROWS_PER_SALT
+from packsift.settings import MAX_BROADCAST_ROWS, ROWS_PER_SALT
 
 
 def _same(keys: Sequence[str], prefix: str) -> Column:
@@ -18,15 +18,12 @@ def _same(keys: Sequence[str], prefix: str) -> Column:
 def hot_keys(facts: DataFrame, keys: Sequence[str], rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
     """Keys with more than ``rows_per_salt`` rows and how many salts they get.
 
-    At most ``MAX_HOT_KEYS`` rows, so the table can be broadcast; a key that is
-    not listed is joined unsalted, which costs balance but never rows.
+    There are at most as many as rows divided by ``rows_per_salt``.
     """
     return (
         facts.groupBy(*keys)
         .count()
         .where(F.col("count") > rows_per_salt)
-        .orderBy(F.desc("count"))
-        .limit(MAX_HOT_KEYS)
         .select(
             *[F.col(key).alias(f"_h_{key}") for key in keys],
             F.ceil(F.col("count") / rows_per_salt).cast("int").alias("_salts"),
@@ -66,7 +63,7 @@ def skew_safe_join(
     counted = facts if weights is None else weights
     if counted.count() <= rows_per_salt:
         return facts.join(lookup, list(keys), how)
-    hot = F.broadcast(hot_keys(counted, keys, rows_per_salt))
+    hot = broadcast_if_small(hot_keys(counted, keys, rows_per_salt))
     spread = list(spread or facts.columns)
     salt = F.coalesce(F.pmod(F.xxhash64(*spread), F.col("_salts")).cast("int"), F.lit(0))
     dropped = ["_salts", *[f"_h_{key}" for key in keys]]

@@ -81,7 +81,7 @@ def agg_archive_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
   string_agg(check_id || '@' || start_line, ',' ORDER BY check_id, start_line) AS items FROM findings GROUP BY identity""",
 )
 def agg_findings_by_target(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lists = gather_findings(Corpus(spark, sf_dir).findings, ["identity"], ["check_id", "start_line"])
+    lists = gather_findings(Corpus(spark, sf_dir).findings, ["identity"], ["check_id", "start_line"], limit=None)
     label = F.transform("items", lambda i: F.concat(i["check_id"], F.lit("@"), i["start_line"].cast("string")))
     return lists.select("identity", F.size("items").alias("findings"), F.array_join(label, ",").alias("items"))
 
@@ -98,7 +98,7 @@ def agg_findings_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "agg_partial_reason",
     """SELECT conv_id AS job, substr(string_agg(text, '; ' ORDER BY turn), 1, 2048) AS partial_reason
-FROM conversations WHERE role <> 'system' GROUP BY conv_id""",
+FROM conversations GROUP BY conv_id""",
 )
 def agg_partial_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partial_reasons(warnings(spark, sf_dir), "job", [F.col("seq")], "warning")
@@ -261,7 +261,7 @@ def _warnings(corpus: Corpus) -> DataFrame:
     """Spanish scripts count as partially parsed."""
     rows = corpus.index.where((F.col("dist_index") == 2) & F.col("path").endswith(".js"))
     return rows.select(
-        "pkg", F.col("doc_id").alias("seq"), F.concat(F.lit("Partially parsed "), basename(F.col("path"))).alias("warning")
+        "pkg", F.col("doc_id").alias("seq"), F.concat(F.lit("partly-parsed: "), basename(F.col("path"))).alias("warning")
     )
 
 
@@ -278,7 +278,7 @@ failures AS (
   FROM index WHERE strlen(content) > 26000 GROUP BY pkg),
 counts AS (SELECT pkg, count(*) AS n FROM index JOIN findings USING (identity) GROUP BY pkg),
 partials AS (
-  SELECT pkg, substr(string_agg('Partially parsed ' || string_split(path, '/')[-1], '; ' ORDER BY doc_id), 1, 2048) AS text
+  SELECT pkg, substr(string_agg('partly-parsed: ' || string_split(path, '/')[-1], '; ' ORDER BY doc_id), 1, 2048) AS text
   FROM index WHERE dist_index = 2 AND path LIKE '%.js' GROUP BY pkg),
 outcomes AS (
   SELECT pkg, CASE WHEN reason IS NULL THEN 'success' ELSE 'error' END AS status, reason,

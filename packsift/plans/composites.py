@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packsift.operators.dedup import FILE_KEY, bounded_groups, distinct_targets, target_ids
-from packsift.operators.expand import gather_findings, scan_by_distribution, scan_corpus, scan_package
+from packsift.operators.expand import findings_per_group, gather_findings, scan_by_distribution, scan_corpus, scan_package
 from packsift.operators.reuse import KEY, admit, lookup, new_entries, with_durable_key, without_revoked
-from packsift.operators.runs import apply, expand_kept, fallback_groups, observe
+from packsift.operators.runs import apply, observe
 from packsift.operators.scan import scan, scanned_targets
 from packsift.operators.skew import skew_safe_join
 from packsift.plans.catalog import query
@@ -108,7 +108,8 @@ def q_reuse_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "q_cache_admit",
     f"""WITH {FINDINGS}, {CACHED},
-bad AS (SELECT DISTINCT pkg FROM index WHERE size > 26000),
+bad AS (SELECT DISTINCT pkg FROM index WHERE size > 26000
+  UNION SELECT pkg FROM index JOIN findings USING (identity) GROUP BY pkg HAVING count(*) > 500),
 r AS (SELECT identity, list({{'check_id': check_id, 'start_line': start_line}} ORDER BY check_id, start_line) AS l FROM findings GROUP BY identity),
 s AS (SELECT DISTINCT pkg, sha256, ext, identity FROM index WHERE ext IN ('py', 'js'))
 SELECT DISTINCT s.sha256 AS file_digest, ext AS language, coalesce(CAST(to_json(l) AS VARCHAR), '[]') AS result
@@ -116,18 +117,20 @@ FROM s LEFT JOIN r USING (identity) WHERE pkg NOT IN (SELECT pkg FROM bad)
   AND NOT EXISTS (SELECT 1 FROM cached c WHERE c.identity = s.identity)""",
 )
 def q_cache_admit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Results of complete jobs; a package with a very large file is incomplete."""
+    """Results of complete jobs. A package with a very large file is incomplete, and one
+    with more findings than a job may have has failed: neither stores anything."""
     corpus = Corpus(spark, sf_dir)
     # Which files count as scanned follows from the rules' languages; what is
     # found in them here does not.
     covered = scanned_targets(corpus.index, rules(spark, languages=True))
     scanned = covered.select("pkg", "identity", "sha256", "ext").distinct()
-    lists = gather_findings(corpus.findings, ["identity"], ["check_id", "start_line"])
-    encoded = lists.where(~F.col("over_limit")).select("identity", F.to_json("items").alias("result"))
+    lists = gather_findings(corpus.findings, ["identity"], ["check_id", "start_line"], limit=None)
+    encoded = lists.select("identity", F.to_json("items").alias("result"))
     results = skew_safe_join(scanned, encoded, ["identity"], "left", spread=["pkg"], weights=corpus.index).withColumn(
         "result", F.coalesce("result", F.lit("[]"))
     )
-    warned = corpus.index.where("size > 26000").select("pkg").distinct()
+    failed = findings_per_group(corpus.expanded, ["pkg"]).where("over_limit").select("pkg")
+    warned = corpus.index.where("size > 26000").select("pkg").union(failed).distinct()
     stored = with_durable_key(corpus.cached).select(*KEY)
     admitted = admit(with_durable_key(results), warned, stored, ["pkg"], weights=corpus.index)
     return admitted.select(*KEY, "result")
@@ -168,32 +171,3 @@ def q_cache_revoke(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reads.select(F.lit("read").alias("kind"), *columns).unionByName(
         writes.select(F.lit("write").alias("kind"), *columns)
     )
-
-
-@query(
-    "q_scan_fallback",
-    f"""WITH {FINDINGS}, {TARGET_IDS},
-g AS (SELECT pkg, identity, size, CAST(floor(target_id / 8) AS BIGINT) AS group_no FROM ids JOIN targets USING (identity)),
-c AS (SELECT pkg, group_no, sum(size) > 40000 AS slow FROM g GROUP BY pkg, group_no),
-s AS (SELECT pkg, min(group_no) AS stop FROM c WHERE slow GROUP BY pkg)
-SELECT i.pkg, i.path, f.check_id, f.start_line, NULL AS warning, NULL AS group_no
-FROM index i JOIN g USING (pkg, identity) LEFT JOIN s USING (pkg) JOIN findings f USING (identity)
-WHERE stop IS NULL OR g.group_no < stop
-UNION ALL SELECT pkg, NULL, NULL, NULL, 'Timed out scanning a fallback package target group', stop FROM s""",
-)
-def q_scan_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups of eight targets; a group over its cost stops the package."""
-    corpus = Corpus(spark, sf_dir)
-    numbered = target_ids(corpus.index).select("pkg", "identity", "size", "target_id").distinct()
-    grouped = bounded_groups(numbered, ["pkg"], [F.col("target_id")], 8)
-    kept, stopped = fallback_groups(grouped, "size", 40_000)
-    wanted = distinct_targets(corpus.files, corpus.index, wanted=kept.select("identity").distinct())
-    found = expand_kept(corpus.index, kept, scan(wanted, corpus.rules, ["identity"]))
-    return found.select(
-        "pkg",
-        "path",
-        "check_id",
-        "start_line",
-        F.lit(None).cast("string").alias("warning"),
-        F.lit(None).cast("bigint").alias("group_no"),
-    ).unionByName(stopped, allowMissingColumns=True)

@@ -37,7 +37,7 @@ def join_expand_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {FINDINGS}
 SELECT pkg, dist_index, path, check_id, start_line,
   CASE WHEN dist_index < 3 THEN 'https://inspector.pypi.io/project/' || pkg || '/1.0/dist-' || dist_index || '.whl/' || path END AS inspector_url,
-  CASE WHEN dist_index = 3 THEN 'finding references an unknown distribution' END AS error
+  CASE WHEN dist_index = 3 THEN 'no-distribution: the finding''s archive is not among the job''s' END AS error
 FROM index JOIN findings USING (identity)""",
 )
 def join_inspector(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,7 +125,7 @@ FROM targets LEFT JOIN findings USING (identity) GROUP BY identity""",
 def join_findings_left(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus = Corpus(spark, sf_dir)
     pending = corpus.identities.select("identity")
-    lists = gather_findings(corpus.findings, ["identity"], ["check_id", "start_line"])
+    lists = gather_findings(corpus.findings, ["identity"], ["check_id", "start_line"], limit=None)
     item = "array<struct<check_id:string,start_line:bigint>>"
     joined = pending.join(lists, "identity", "left").withColumn(
         "items", F.when(F.col("over_limit").isNull(), F.array().cast(item)).otherwise(F.col("items"))
@@ -169,12 +169,12 @@ def set_union_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "set_scanned_paths",
-    f"WITH {INDEX} SELECT DISTINCT pkg, split_part(path, '/', 1) AS path FROM index WHERE ext IN ('py', 'js')",
+    f"WITH {INDEX} SELECT DISTINCT pkg, path FROM index WHERE ext IN ('py', 'js')",
 )
 def set_scanned_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct folders of the scanned files, per package."""
+    """Distinct paths of the scanned files, per package."""
     scanned = scanned_targets(Corpus(spark, sf_dir).index, rules(spark, languages=True))
-    return scanned.select("pkg", F.substring_index("path", "/", 1).alias("path")).distinct()
+    return scanned.select("pkg", "path").distinct()
 
 
 STORED = f"""{FINDINGS}, {CACHED},

@@ -43,7 +43,7 @@ def flt_rules_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "flt_max_distributions",
     """SELECT conv_id, turn, CASE WHEN len(string_split(text, ' ')) > 32 THEN
-  'package contains ' || len(string_split(text, ' ')) || ' distributions, exceeding the 32-distribution limit' END AS failure
+  'too-many-distributions: ' || len(string_split(text, ' ')) || ' of 32' END AS failure
 FROM conversations""",
 )
 def flt_max_distributions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,10 +88,10 @@ _ROOTED_FORMS = ["%", "/work/target/%", "/work/target//%", "/other/%", "/work/ta
 s AS (SELECT *, CASE WHEN left(raw, 1) <> '/' THEN raw
     WHEN raw LIKE '/work/target/%' THEN ltrim(substr(raw, 14), '/') END AS stripped FROM p),
 e AS (SELECT *, replace(stripped, '\', '/') AS slashed,
-    CASE WHEN stripped IS NULL THEN 'path is outside the target directory'
+    CASE WHEN stripped IS NULL THEN 'path-elsewhere: not below the target'
       WHEN list_contains(string_split(replace(stripped, '\', '/'), '/'), '..')
-        THEN 'path must contain only normal relative components'
-      WHEN strlen(stripped) > 1024 THEN 'path exceeds 1024 bytes' END AS error FROM s)
+        THEN 'path-not-plain: a step leaves or repeats a folder'
+      WHEN strlen(stripped) > 1024 THEN 'path-too-long: more than 1024 bytes' END AS error FROM s)
 SELECT doc_id, form, CASE WHEN error IS NULL THEN slashed END AS path, error FROM e""",
 )
 def prj_relative_path(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,7 +144,7 @@ def prj_rule_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     "prj_normalize_finding",
     f"""WITH {DOCUMENTS}, n AS (
   SELECT conv_id, turn, role, text,
-    CASE WHEN strlen(text) > 1024 THEN 'finding message exceeds 1024 bytes' END AS error FROM docs WHERE state = 'ok')
+    CASE WHEN strlen(text) > 1024 THEN 'message-too-long: more than 1024 bytes' END AS error FROM docs WHERE state = 'ok')
 SELECT conv_id, turn, CASE WHEN error IS NULL THEN role END AS rule_id,
   CASE WHEN error IS NULL THEN role || '/' || conv_id || '.py' END AS path,
   CASE WHEN error IS NULL THEN turn + 1 END AS start_line, CASE WHEN error IS NULL THEN turn + 2 END AS end_line,
@@ -185,7 +185,7 @@ def prj_inspector_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     "prj_inspector_url",
     f"""WITH {_PAGE_URL}, j AS (SELECT b.page_id, b.url AS page_url, base || html AS url FROM b JOIN pages USING (page_id))
 SELECT page_id, page_url, CASE WHEN strlen(url) <= 2048 THEN url END AS url,
-  CASE WHEN strlen(url) > 2048 THEN 'inspector URL exceeds 2048 bytes' END AS error FROM j""",
+  CASE WHEN strlen(url) > 2048 THEN 'address-too-long: more than 2048 bytes' END AS error FROM j""",
 )
 def prj_inspector_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _based_urls(spark, sf_dir)
@@ -248,10 +248,10 @@ def prd_recoverable_warning(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "prj_warning_text",
     f"""WITH {_ERROR_FORMS}
-SELECT conv_id, turn, form, CASE form WHEN 'timeout' THEN 'Rule timed out'
-  WHEN 'timeout-rule' THEN 'Rule ' || substr(replace(text, '.', '_'), 1, 200) || ' timed out'
-  WHEN 'partial' THEN 'Partially parsed ' || substr(replace(text, '/', '_'), 1, 256)
-  ELSE 'Partially parsed a target file' END AS warning
+SELECT conv_id, turn, form, CASE form WHEN 'timeout' THEN 'timeout: some rule'
+  WHEN 'timeout-rule' THEN 'timeout: ' || substr(replace(text, '.', '_'), 1, 200)
+  WHEN 'partial' THEN 'partly-parsed: ' || substr(replace(text, '/', '_'), 1, 256)
+  ELSE 'partly-parsed: unnamed file' END AS warning
 FROM conversations, f WHERE recoverable""",
 )
 def prj_warning_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packsift.operators.scan import scan_literal, scan_regex, scanned_targets
+from packsift.operators.scan import is_scanned, scan_literal, scan_regex
 from packsift.plans.catalog import query
 from packsift.plans.corpus import Corpus
 from packsift.plans.sources import DOCUMENTS, matcher_documents
@@ -24,10 +24,13 @@ def scan_rules_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "scan_rules_literal",
     f"""WITH {FINDINGS}, hits AS (
-  SELECT identity, 'benchmark.' || item_id AS check_id, text AS pattern, substr(content, 1, strpos(content, text) - 1) AS before
-  FROM targets JOIN benchmark ON contains(content, text))
-SELECT identity, check_id, length(before) - length(replace(before, chr(10), '')) + 1 AS start_line,
-  length(before || pattern) - length(replace(before || pattern, chr(10), '')) + 1 AS end_line FROM hits""",
+  SELECT identity, 'benchmark.' || item_id AS check_id, string_split(content, chr(10)) AS lines, string_split(text, chr(10)) AS parts
+  FROM targets JOIN benchmark ON contains(content, text)),
+placed AS (SELECT *, unnest(range(1, len(lines) + 1)) AS start_line FROM hits)
+SELECT identity, check_id, start_line, start_line + len(parts) - 1 AS end_line FROM placed
+WHERE CASE WHEN len(parts) = 1 THEN contains(lines[start_line], parts[1]) ELSE ends_with(lines[start_line], parts[1])
+  AND starts_with(array_to_string(list_slice(lines, start_line + 1, start_line + len(parts) - 1), chr(10)),
+    array_to_string(list_slice(parts, 2, len(parts)), chr(10))) END""",
 )
 def scan_rules_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_literal(Corpus(spark, sf_dir).targets, literal_rules(spark, sf_dir), ["identity"])
@@ -39,10 +42,7 @@ def scan_rules_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def scan_rule_applicability(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = Corpus(spark, sf_dir).identities
-    scanned = scanned_targets(every, rules(spark, languages=True))
-    return every.join(scanned.select("identity", F.lit(True).alias("scanned")), "identity", "left").select(
-        "identity", F.coalesce("scanned", F.lit(False)).alias("scanned")
-    )
+    return every.select("identity", is_scanned(rules(spark, languages=True)).alias("scanned"))
 
 
 @query(

@@ -75,7 +75,7 @@ def src_rules_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT page_id, regexp_replace(url, '\.html$', '.tar.gz') AS url, CAST(strlen(html) AS BIGINT) AS length, html FROM pages)
 SELECT page_id, 0 AS dist_index, url, length,
   CASE WHEN length <= 3000 THEN sha256(html) END AS sha256,
-  CASE WHEN length > 3000 THEN 'compressed distribution exceeds the 3000-byte download limit' END AS error,
+  CASE WHEN length > 3000 THEN 'blob-too-large: more than 3000 bytes' END AS error,
   CASE WHEN url LIKE '%.tar.gz' THEN 'tar.gz' ELSE 'zip' END AS format
 FROM p""",
 )
@@ -165,8 +165,8 @@ SELECT conv_id, turn, 'corpus.' || role AS check_id, '/work/target/' || role ||
   CAST(CASE WHEN bare THEN 0 ELSE 2 END AS INTEGER) AS scanned,
   CAST(CASE WHEN bare THEN 0 ELSE 1 END AS INTEGER) AS errors,
   CAST(CASE WHEN NOT bare AND turn = 4 THEN 1 ELSE 0 END AS INTEGER) AS skipped_rules,
-  CASE state WHEN 'errors' THEN 'matcher reported scan errors: [{{"level":"error","type":"SyntaxError"}}]'
-    WHEN 'skipped' THEN 'matcher skipped rules: [slow-rule]' END AS failure
+  CASE state WHEN 'errors' THEN 'document-errors: [{{"level":"error","type":"SyntaxError"}}]'
+    WHEN 'skipped' THEN 'document-skipped: [slow-rule]' END AS failure
 FROM docs""",
 )
 def src_scan_json(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,6 @@ from packsift.plans.catalog import query
 from packsift.plans.views import FINDINGS, JOBS, rules, table
 from packsift.session import output_dir
 from packsift.streaming.job_stream import RulesGate, ScanStream
-from packsift.streaming.state import audit_events, cache_events, run_to_table
 
 
 def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,55 +44,3 @@ def st_rules_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     jobs = views.as_jobs(stream(spark, sf_dir, "events")).select("seq", "pkg_id", "hash")
     gate.start(jobs).awaitTermination()
     return gate.jobs().select("seq", "pkg_id", "hash", "status")
-
-
-@query(
-    "st_fifo_cache",
-    """WITH s AS (SELECT doc_id, sha256(text || doc_id) AS key, strlen(text) AS size FROM documents WHERE strlen(text) <= 20000),
-r AS (SELECT *, substr(key, 1, 1) AS worker, row_number() OVER w AS n, sum(size) OVER w AS bytes FROM s
-  WINDOW w AS (PARTITION BY substr(key, 1, 1) ORDER BY doc_id DESC ROWS UNBOUNDED PRECEDING))
-SELECT worker, doc_id AS seq, key, n > 32 OR bytes > 20000 AS evicted FROM r""",
-)
-def st_fifo_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document is stored once by one of sixteen workers."""
-    documents = stream(spark, sf_dir, "documents")
-    key = F.sha2(F.concat("text", F.col("doc_id").cast("string")), 256)
-    puts = documents.select(
-        F.lit("rules-1").alias("namespace"),
-        F.substring(key, 1, 1).alias("worker"),
-        F.col("doc_id").alias("seq"),
-        key.alias("key"),
-        F.octet_length("text").cast("bigint").alias("size"),
-    )
-    events = run_to_table(
-        cache_events(puts, max_entries=32, max_bytes=20_000), output_dir(spark, "fifo-cache"), state_partitions=8
-    )
-    # Two narrow events per key at most, combined before the shuffle.
-    return events.groupBy("worker", "key").agg(
-        F.max(F.when(F.col("event") == "inserted", F.col("seq"))).alias("seq"),
-        F.bool_or(F.col("event") == "evicted").alias("evicted"),
-    )
-
-
-@query(
-    "st_audit_disable",
-    """WITH h AS (
-  SELECT doc_id AS seq, substr(sha256(text || doc_id), 1, 1) AS worker, NOT regexp_matches(text, '[0-9]{3}') AS equal FROM documents),
-n AS (SELECT *, row_number() OVER (PARTITION BY worker ORDER BY seq) AS hit_no FROM h),
-s AS (SELECT worker, min(hit_no) AS stop FROM n WHERE hit_no % 10 = 0 AND NOT equal GROUP BY worker)
-SELECT worker, seq, CASE WHEN hit_no > stop THEN 'scan' WHEN hit_no % 10 = 0 THEN 'audit' ELSE 'reuse' END AS decision,
-  coalesce(hit_no >= stop, FALSE) AS disabled
-FROM n LEFT JOIN s USING (worker)""",
-)
-def st_audit_disable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every tenth hit is audited; content with long numbers fails its audit."""
-    documents = stream(spark, sf_dir, "documents")
-    key = F.sha2(F.concat("text", F.col("doc_id").cast("string")), 256)
-    hits = documents.select(
-        F.lit("rules-1").alias("namespace"),
-        F.substring(key, 1, 1).alias("worker"),
-        F.col("doc_id").alias("seq"),
-        (~F.col("text").rlike("[0-9]{3}")).alias("equal"),
-    )
-    events = run_to_table(audit_events(hits, every=10), output_dir(spark, "audit"), state_partitions=8)
-    return events.select("worker", "seq", "decision", "disabled")

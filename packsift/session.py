@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 # Fixed value: Spark's default size of a file split.
 SPLIT_BYTES = 128 * 1024 * 1024
 
+# Folders of local sessions that name none, by application.
+_LOCAL_FOLDERS: dict[str, str] = {}
+
 
 def build_session(app_name: str = "packsift", master: str | None = None, **conf: str) -> SparkSession:
     """Session with the settings the jobs rely on; ``conf`` overrides any of them."""
@@ -42,9 +45,10 @@ def shared_dir(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
-    folder = tempfile.mkdtemp(prefix="packsift-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    key = f"{spark.sparkContext.applicationId}"
+    if key not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[key] = tempfile.mkdtemp(prefix="packsift-")
+    return _LOCAL_FOLDERS[key]
 
 
 def output_dir(spark: SparkSession, name: str) -> str:

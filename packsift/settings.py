@@ -32,9 +32,7 @@ RESULT_FORMAT_TAG = "durable-file-results-v1"
 # Our own bounds on control data that is broadcast or written into a plan.
 RULE_BATCH_ROWS = 256
 RULE_BATCH_BYTES = 1 * MIB
-MAX_DIGEST_BYTES = 64 * MIB
 ROWS_PER_SALT = 1_000_000
-MAX_HOT_KEYS = 4096
 MAX_BROADCAST_ROWS = 100_000
 
 

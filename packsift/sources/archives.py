@@ -30,58 +30,71 @@ _ZIP64_ENTRIES = 0xFFFF
 
 
 class Rejected(Exception):
-    """An archive that breaks a limit."""
+    """An archive that breaks a limit; the text is a code and what it is about."""
 
 
-def _escapes(name: str) -> bool:
-    return name.startswith("/") or ".." in name.split("/")
+class Admission:
+    """Checks members one after the other; both formats go through it."""
+
+    def __init__(self, limits: ArchiveLimits):
+        self.limits = limits
+        self.members = self.expanded = 0
+
+    def admit(self, name: str, size: int, supported: bool = True) -> None:
+        self.members += 1
+        self.expanded += size
+        broken = {
+            "unsafe-name": name.startswith("/") or ".." in name.split("/"),
+            "method-not-read": not supported,
+            "too-many-entries": self.members > self.limits.entries,
+            "entry-too-large": size > self.limits.scan_size,
+            "expands-too-far": self.expanded > self.limits.expanded_size,
+        }
+        for code, is_broken in broken.items():
+            if is_broken:
+                raise Rejected(f"{code}: {name}")
 
 
 def _zip_entries(blob: bytes, limits: ArchiveLimits) -> Iterator[tuple[str, str, bytes]]:
     with zipfile.ZipFile(io.BytesIO(blob)) as archive:
         infos = archive.infolist()
         if len(infos) >= _ZIP64_ENTRIES:
-            raise Rejected("ZIP64 archives are not accepted")
-        if len(infos) > limits.entries:
-            raise Rejected(f"archive contains {len(infos)} entries, exceeding the {limits.entries}-entry limit")
-        expanded = 0
+            raise Rejected("zip64: too many members for the plain format")
+        admission, names = Admission(limits), set()
         for info in infos:  # the directory alone decides; nothing is inflated yet
-            if info.compress_type not in _METHODS:
-                raise Rejected(f"entry {info.filename} uses an unsupported compression method")
-            if info.file_size > limits.scan_size:
-                raise Rejected(f"entry {info.filename} exceeds the {limits.scan_size}-byte scan limit")
-            expanded += info.file_size
-            if expanded > limits.expanded_size:
-                raise Rejected(f"archive exceeds the {limits.expanded_size}-byte expanded-size limit")
-            if _escapes(info.filename):
-                raise Rejected("entry would unpack outside the target directory")
+            admission.admit(info.filename, info.file_size, info.compress_type in _METHODS)
+            if info.filename in names:
+                raise Rejected(f"repeated-name: {info.filename}")
+            names.add(info.filename)
         for info in infos:
             if not info.is_dir():
                 yield info.filename, _METHODS[info.compress_type], archive.read(info)
 
 
 def _tar_entries(blob: bytes, limits: ArchiveLimits) -> Iterator[tuple[str, str, bytes]]:
+    """Unpacking to a folder, a later member of one name replaces an earlier one."""
+    found: dict[str, bytes] = {}
     with tarfile.open(fileobj=io.BytesIO(blob), mode="r|gz") as archive:
-        expanded = 0
-        for number, member in enumerate(archive, start=1):
-            if number > limits.entries:
-                raise Rejected(f"archive exceeds the {limits.entries}-entry limit")
-            if member.size > limits.scan_size:
-                raise Rejected(f"entry {member.name} exceeds the {limits.scan_size}-byte scan limit")
-            expanded += member.size
-            if expanded > limits.expanded_size:
-                raise Rejected(f"archive exceeds the {limits.expanded_size}-byte expanded-size limit")
-            if _escapes(member.name):
-                raise Rejected("entry would unpack outside the target directory")
+        admission = Admission(limits)
+        for member in archive:
+            admission.admit(member.name, member.size)
             if member.isfile():
-                yield member.name, "deflated", archive.extractfile(member).read()
+                found.pop(member.name, None)
+                found[member.name] = archive.extractfile(member).read()
+    for name, content in found.items():
+        yield name, "deflated", content
 
 
-def _archive_rows(archive: str, blob: bytes, fmt: str, limits: ArchiveLimits) -> list[dict]:
-    """All entries of one archive, or a single error row; never a partial result."""
+def _archive_rows(archive: str, blob: bytes | None, fmt: str, limits: ArchiveLimits) -> list[dict]:
+    """All entries of one archive, or a single error row; never a partial result.
+
+    Whatever a decoder raises on damaged or encrypted input is that archive's error.
+    """
     empty = {"archive": archive, "entry_no": None, "path": None, "method": None, "size": None, "content": None}
+    if blob is None:
+        return [{**empty, "error": "blob-missing: no content"}]
     if len(blob) > limits.download_size:
-        return [{**empty, "error": f"compressed distribution exceeds the {limits.download_size}-byte download limit"}]
+        return [{**empty, "error": f"blob-too-large: more than {limits.download_size} bytes"}]
     read = _tar_entries if fmt == "tar.gz" else _zip_entries
     try:
         return [
@@ -96,8 +109,12 @@ def _archive_rows(archive: str, blob: bytes, fmt: str, limits: ArchiveLimits) ->
             }
             for number, (name, method, content) in enumerate(read(blob, limits))
         ]
-    except (Rejected, zipfile.BadZipFile, tarfile.TarError, EOFError, OSError, ValueError) as error:
-        return [{**empty, "error": str(error) or type(error).__name__}]
+    except Rejected as refusal:
+        return [{**empty, "error": str(refusal)}]
+    except MemoryError:
+        raise
+    except Exception as error:
+        return [{**empty, "error": f"not-readable: {type(error).__name__}: {error}"}]
 
 
 def expand_archives(archives: DataFrame, limits: ArchiveLimits | None = None) -> DataFrame:

@@ -29,12 +29,12 @@ def parse_documents(rows: DataFrame, column: str = "document") -> DataFrame:
     complete = F.forall("results", lambda item: required_item(item, RAW_FINDING))
     unexpected = F.filter("errors", lambda e: ~is_recoverable_warning(e))
     failure = (
-        F.when(~F.coalesce(complete, F.lit(False)), F.lit("matcher returned invalid JSON"))
+        F.when(~F.coalesce(complete, F.lit(False)), F.lit("document-unreadable: results are missing or malformed"))
         .when(
             F.size(unexpected) > 0,
-            F.concat(F.lit("matcher reported scan errors: "), _json_list(unexpected)),
+            F.concat(F.lit("document-errors: "), _json_list(unexpected)),
         )
-        .when(skipped(F.col("skipped_rules")), F.concat(F.lit("matcher skipped rules: "), _json_list(F.col("skipped_rules"))))
+        .when(skipped(F.col("skipped_rules")), F.concat(F.lit("document-skipped: "), _json_list(F.col("skipped_rules"))))
     )
     return out.withColumn("failure", failure)
 

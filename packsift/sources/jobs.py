@@ -29,8 +29,9 @@ def complete_jobs(jobs: DataFrame) -> DataFrame:
 
 
 def lease(jobs: DataFrame, threads: int, bulk_size: int = BULK_SIZE, order: Sequence[Column] = ()) -> DataFrame:
-    """The next batch: at most min(bulk_size, threads) jobs."""
-    return jobs.orderBy(*order).limit(min(bulk_size, threads))
+    """The next batch: at most min(bulk_size, threads) jobs, without an order any."""
+    ordered = jobs.orderBy(*order) if order else jobs
+    return ordered.limit(min(bulk_size, threads))
 
 
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
@@ -40,7 +41,7 @@ def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
 def explode_rules(snapshot: DataFrame) -> DataFrame:
     """One row per rule file; a snapshot without rules is an error."""
     rules = F.when(F.size("rules") > 0, F.col("rules")).otherwise(
-        F.raise_error(F.lit("rule corpus is empty"))
+        F.raise_error(F.lit("rules-empty: a snapshot needs a rule"))
     )
     return snapshot.select("hash", F.explode(rules).alias("path", "contents"))
 
@@ -58,11 +59,7 @@ def too_many_distributions(distributions: Column, limit: int = MAX_DISTRIBUTIONS
     """Failure text for a package with too many distributions, else NULL."""
     return F.when(
         F.size(distributions) > limit,
-        F.concat(
-            F.lit("package contains "),
-            F.size(distributions).cast("string"),
-            F.lit(f" distributions, exceeding the {limit}-distribution limit"),
-        ),
+        F.concat(F.lit("too-many-distributions: "), F.size(distributions).cast("string"), F.lit(f" of {limit}")),
     )
 
 
@@ -72,7 +69,8 @@ def job_distributions(jobs: DataFrame) -> DataFrame:
 
 
 def fetch_archives(distributions: DataFrame, blobs: DataFrame, limit: int = MAX_DOWNLOAD_SIZE) -> DataFrame:
-    """Attach archive blobs (url, length, content); over-long ones carry an error.
+    """Attach archive blobs (url, length, content); over-long and missing ones carry an
+    error, which fails their job.
 
     ``content`` stays NULL there, so an oversized blob is not moved.
     """
@@ -81,22 +79,26 @@ def fetch_archives(distributions: DataFrame, blobs: DataFrame, limit: int = MAX_
         "url",
         "length",
         F.when(fits, F.col("content")).alias("content"),
-        F.when(~fits, F.lit(f"compressed distribution exceeds the {limit}-byte download limit")).alias("error"),
+        F.when(~F.coalesce(fits, F.lit(False)), F.lit(f"blob-too-large: more than {limit} bytes")).alias("error"),
     )
-    joined = skew_safe_join(distributions, sized, ["url"])
+    joined = skew_safe_join(distributions, sized, ["url"], "left")
+    lost = F.col("content").isNull() & F.col("error").isNull()
+    joined = joined.withColumn("error", F.when(lost, F.lit("blob-missing: nothing stored under the address")).otherwise(F.col("error")))
     return joined.withColumn("format", F.when(is_tarball(F.col("url")), "tar.gz").otherwise("zip"))
 
 
 def read_archive_files(spark: SparkSession, path: str, limit: int = MAX_DOWNLOAD_SIZE) -> DataFrame:
-    """Archives from storage. The length filter reaches the scan, so content of
-    oversized files is never read."""
-    return (
-        spark.read.format("binaryFile")
-        .load(path)
-        .where(F.col("length") <= limit)
-        .select(
-            F.col("path").alias("archive"),
-            "content",
-            F.when(is_tarball(F.col("path")), "tar.gz").otherwise("zip").alias("format"),
-        )
+    """Archives from storage; a file over the limit comes without content and with an
+    error. The length filter reaches the scan, so its content is never read."""
+    files = spark.read.format("binaryFile").load(path)
+    form = F.when(is_tarball(F.col("path")), "tar.gz").otherwise("zip").alias("format")
+    fitting = files.where(F.col("length") <= limit).select(
+        F.col("path").alias("archive"), "content", form, F.lit(None).cast("string").alias("error")
     )
+    refused = files.where(F.col("length") > limit).select(
+        F.col("path").alias("archive"),
+        F.lit(None).cast("binary").alias("content"),
+        form,
+        F.lit(f"blob-too-large: more than {limit} bytes").alias("error"),
+    )
+    return fitting.unionByName(refused)

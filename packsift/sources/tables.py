@@ -8,9 +8,14 @@ from packsift.schemas import CACHE_ENTRY, NAMESPACE
 
 
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
-    """Stored results; the namespace is the partitioning, so a namespace filter
-    prunes folders."""
-    return spark.read.schema(CACHE_ENTRY).option("recursiveFileLookup", "false").parquet(path)
+    """Stored results, one row per key; the namespace is the partitioning, so a namespace
+    filter prunes folders.
+
+    Writers only append: a rerun, or two at once, may store a key twice, with the same
+    result since the key holds all it depends on.
+    """
+    stored = spark.read.schema(CACHE_ENTRY).option("recursiveFileLookup", "false").parquet(path)
+    return stored.dropDuplicates([*NAMESPACE, "file_digest", "language"])
 
 
 def append_cache(entries: DataFrame, path: str) -> None:

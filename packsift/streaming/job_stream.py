@@ -29,27 +29,34 @@ class ScanStream:
     """Scan a stream of files, reusing the results of earlier batches.
 
     ``folder`` holds scanned identities, their findings and the reports, each
-    written per batch and replaced when a batch is replayed.
+    written per batch and replaced when a batch is replayed. Scanned identities and
+    findings are kept by the hash of the rules, so a restart with other rules reuses
+    nothing of theirs.
     """
 
     rules: DataFrame
     folder: str
 
+    def __post_init__(self) -> None:
+        # One row; the order of rules does not matter.
+        hashed = self.rules.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(*self.rules.columns)).alias("h")).first()
+        self.history = f"{self.folder}/rules={hashed['n']}-{(hashed['h'] or 0) & (2**64 - 1):016x}"
+
     def prepare(self) -> None:
         spark = self.rules.sparkSession
         for name, schema in (("scanned", _SCANNED), ("results", _RESULTS)):
-            spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{self.folder}/{name}/batch_id=-1")
+            spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{self.history}/{name}/batch_id=-1")
 
     def scan_batch(self, files: DataFrame, batch_id: int) -> None:
         spark = files.sparkSession
         files = within_scan_size(files)
         aliases = write_manifest(file_index(files))
-        known = _earlier(spark, f"{self.folder}/scanned", _SCANNED, batch_id)
-        stored = _earlier(spark, f"{self.folder}/results", _RESULTS, batch_id)
+        known = _earlier(spark, f"{self.history}/scanned", _SCANNED, batch_id)
+        stored = _earlier(spark, f"{self.history}/results", _RESULTS, batch_id)
         targets = scanned_targets(distinct_targets(files, aliases, known=known), self.rules)
-        write_batch(targets.select("identity"), f"{self.folder}/scanned", batch_id)
-        write_batch(scan(targets, self.rules, ["identity"]), f"{self.folder}/results", batch_id)
-        fresh = spark.read.schema(_RESULTS).parquet(f"{self.folder}/results/batch_id={batch_id}")
+        write_batch(targets.select("identity"), f"{self.history}/scanned", batch_id)
+        write_batch(scan(targets, self.rules, ["identity"]), f"{self.history}/results", batch_id)
+        fresh = spark.read.schema(_RESULTS).parquet(f"{self.history}/results/batch_id={batch_id}")
         # A batch is bounded, the history is not: with few identities in the batch
         # they are sent to the history instead of shuffling it.
         present = broadcast_if_small(aliases.select("identity").distinct())

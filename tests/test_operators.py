@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from packsift.operators.admission import until_first_timeout
 from packsift.operators.dedup import distinct_targets, file_index, package_counts, target_ids, write_manifest
-from packsift.operators.digest import rules_digest
+from packsift.operators.digest import engine_digest, rules_digest
 from packsift.operators.expand import (
     findings_per_group,
     gather_findings,
@@ -24,7 +24,6 @@ from packsift.operators.reuse import admit, audit_hits, decide, fifo_retention,
 from packsift.operators.running import running_totals
 from packsift.operators.runs import apply, observe
 from packsift.operators.scan import (
-    required_literal,
     rule_batches,
     rules_reusable,
     scan,
@@ -39,10 +38,10 @@ from packsift.settings import ArchiveLimits
 from packsift.sources.archives import expand_archives
 from packsift.sources.documents import parse_documents, raw_findings, warnings
 from packsift.sources.files import walk
-from packsift.sources.jobs import complete_jobs, explode_rules, read_archive_files, read_jobs, read_snapshot
+from packsift.sources.jobs import complete_jobs, explode_rules, fetch_archives, lease, read_archive_files, read_jobs, read_snapshot
 
 FILES = "pkg string, dist_index int, path string, content string"
-SAME = "print('same')\n"
+TWIN = "import twin\n"
 
 
 def rule(check_id, pattern, kind="regex", languages=None, path=None):
@@ -97,11 +96,12 @@ def test_salted_join_equals_plain_join(spark, how):
 
 def alias_files(spark):
     rows = [
-        ("p", 0, "first.py", SAME),
-        ("p", 0, "nested/duplicate.py", SAME),
-        ("p", 0, "different.txt", SAME),
-        ("p", 1, "other.py", SAME),
-        ("p", 1, "other.js", SAME),
+        ("lib", 0, "z/core.pyi", TWIN),
+        ("lib", 0, "z/again/core.pyi", TWIN),
+        ("lib", 0, "notes", TWIN),
+        ("lib", 2, "core.pyi", TWIN),
+        ("lib", 2, "core.mjs", TWIN),
+        ("lib", 2, "alone.mjs", "let alone\n"),
     ]
     return spark.createDataFrame(rows, FILES)
 
@@ -109,19 +109,19 @@ def alias_files(spark):
 def test_aliases_of_one_content(spark):
     index = write_manifest(file_index(alias_files(spark)))
     counts = package_counts(index).first()
-    assert (counts.aliases, counts.unique_targets, counts.deduplicated) == (5, 3, 2)
+    assert (counts.aliases, counts.unique_targets, counts.deduplicated) == (6, 4, 2)
     ids = {r.path: r.target_id for r in target_ids(index).collect()}
-    assert ids == {"different.txt": 0, "first.py": 1, "nested/duplicate.py": 1, "other.py": 1, "other.js": 2}
-    found = scan_package(alias_files(spark), rules(spark, rule("a.b", "same", languages=["python"])))
-    assert {r.path for r in found.collect()} == {"first.py", "nested/duplicate.py", "other.py"}
+    assert ids == {"notes": 0, "z/again/core.pyi": 1, "z/core.pyi": 1, "core.pyi": 1, "alone.mjs": 2, "core.mjs": 3}
+    found = scan_package(alias_files(spark), rules(spark, rule("a.b", "twin", languages=["python"])))
+    assert {r.path for r in found.collect()} == {"z/core.pyi", "z/again/core.pyi", "core.pyi"}
 
 
 def test_two_distributions_share_one_target(spark):
-    rows = [("p", 0, "first.py", "exec('same')\n"), ("p", 1, "second.py", "exec('same')\n")]
+    rows = [("lib", 0, "up.py", "eval(up)\n"), ("lib", 3, "down/up.py", "eval(up)\n")]
     files = spark.createDataFrame(rows, FILES)
     assert package_counts(file_index(files)).first().unique_targets == 1
-    found = scan_package(files, rules(spark, rule("x.exec", r"exec\(")))
-    assert {r.path for r in found.collect()} == {"first.py", "second.py"}
+    found = scan_package(files, rules(spark, rule("x.eval", r"eval\(")))
+    assert {r.path for r in found.collect()} == {"up.py", "down/up.py"}
 
 
 def test_package_scan_equals_scan_by_distribution(spark, sf_dir):
@@ -132,12 +132,12 @@ def test_package_scan_equals_scan_by_distribution(spark, sf_dir):
 
 def test_path_scoped_rules_are_not_deduplicated(spark):
     files = alias_files(spark)
-    scoped = rules(spark, rule("x.same", "same", path="^nested/"))
+    scoped = rules(spark, rule("x.twin", "twin", path="^z/again/"))
     properties = spark.createDataFrame(
-        [("^nested/", None, None, None, "SAST", "search")],
+        [("^z/again/", None, None, None, "SAST", "search")],
         "paths string, options string, dependency_formula string, validators string, product string, mode string",
     )
-    assert [r.path for r in scan_corpus(files, scoped, properties).collect()] == ["nested/duplicate.py"]
+    assert [r.path for r in scan_corpus(files, scoped, properties).collect()] == ["z/again/core.pyi"]
 
 
 # -- scans -----------------------------------------------------------------------------
@@ -175,16 +175,45 @@ def test_literal_findings_match_brute_force(spark, broadcast_rows):
     targets = spark.createDataFrame([(str(n), None, t) for n, t in enumerate(texts)], "identity string, ext string, content string")
     corpus = rules(spark, *[rule(f"r{n}", p, kind="literal") for n, p in enumerate(passages)])
     found = scan_literal(targets, corpus, ["identity"], broadcast_rows=broadcast_rows)
-    expected = []
+    expected = set()
     for n, t in enumerate(texts):
         for m, p in enumerate(passages):
             at = t.find(p)
-            if at >= 0:
+            while at >= 0:
                 start = t[:at].count("\n") + 1
-                expected.append((str(n), f"r{m}", start, start + p.count("\n")))
+                expected.add((str(n), f"r{m}", start, start + p.count("\n")))
+                at = t.find(p, at + 1)
     assert plain(found.collect()) == sorted(expected)
 
 
+@pytest.mark.parametrize("broadcast_rows", [50_000, 0])
+def test_literal_rules_keep_their_scope_and_every_line(spark, broadcast_rows):
+    long = "one two three four five six seven"
+    targets = spark.createDataFrame(
+        [("p", "py", "lib/x", f"{long}\n\n{long}"), ("j", "js", "src/x", long), ("n", None, "src/y", "foo\nfoo\nfoo")],
+        "identity string, ext string, path string, content string",
+    )
+    corpus = rules(
+        spark,
+        rule("py", long, "literal", languages=["python"]),
+        rule("src", long, "literal", path="^src/"),
+        rule("two", "foo", "literal"),
+        rule("two", long, "literal", languages=["js"]),
+        rule("span", f"{long}\n\none", "literal"),
+    )
+    found = scan_literal(targets, corpus, ["identity"], broadcast_rows=broadcast_rows)
+    assert plain(found.collect()) == sorted(
+        [("p", "py", 1, 1), ("p", "py", 3, 3), ("j", "src", 1, 1), ("j", "two", 1, 1), ("p", "span", 1, 3)]
+        + [("n", "two", line, line) for line in (1, 2, 3)]
+    )
+
+
+def test_rules_of_an_unknown_kind_fail_the_scan(spark):
+    targets = spark.createDataFrame([("t", None, "x")], "identity string, ext string, content string")
+    with pytest.raises(ValueError, match="odd"):
+        scan(targets, rules(spark, rule("odd", "x", kind="taint")), ["identity"])
+
+
 def test_rules_are_read_in_bounded_batches(spark):
     corpus = rules(spark, *[rule(f"r{n}", f"w{n}x") for n in range(40)])
     batches = list(rule_batches(corpus, max_rows=8))
@@ -193,9 +222,11 @@ def test_rules_are_read_in_bounded_batches(spark):
     assert {r.check_id for r in scan(targets, corpus, ["identity"]).collect()} == {"r3", "r39", "r4"}
 
 
-def test_required_literals():
-    cases = {"a|b": "", "(abc)?d": "d", "(?:xy)+z": "xy", "a{0,3}bcd": "bcd", "(?i)abc": "", "x[0-9]{3}yy": "yy"}
-    assert {p: required_literal(p) for p in cases} == cases
+def test_patterns_that_look_past_a_line_are_found_on_each_line(spark):
+    texts = {"ahead": (r"foo(?!\s)", "foo\nbar", 1), "vertical": (r"ab\vcd", "ab\x0ccd", 1), "greedy": (r"[^x]*+y", "y\nzx", 1)}
+    for name, (pattern, text, line) in texts.items():
+        targets = spark.createDataFrame([(name, None, text)], "identity string, ext string, content string")
+        assert [(r.start_line) for r in scan(targets, rules(spark, rule(name, pattern)), ["identity"]).collect()] == ([line] if name != "greedy" else [])
 
 
 def test_unsupported_targets_are_not_scanned(spark):
@@ -227,6 +258,7 @@ def test_findings_cap_is_an_error(spark):
     assert findings_per_group(over, ["job"]).first().over_limit
     lists = gather_findings(over, ["job"], ["line"]).first()
     assert lists.over_limit and lists["items"] is None
+    assert len(gather_findings(over, ["job"], ["line"], limit=None).first()["items"]) == 503
     exact = gather_findings(rows.where("job = 'ok'"), ["job"], ["line"]).first()
     assert len(exact["items"]) == 500 and not exact.over_limit
 
@@ -250,8 +282,12 @@ def test_rules_digest_separates_names_from_contents(spark):
     assert got[1] != got[2]
     data = b"".join(len(v).to_bytes(8, "big") + v for v in (b"a", b"1", b"b", b"2"))
     assert got[3] == hashlib.sha256(data).hexdigest()
-    with pytest.raises(ValueError):
-        rules_digest(frame, limit=3)
+
+
+def test_digests_of_many_parts_are_linear(spark):
+    blobs = spark.range(100_000).select("id", F.col("id").cast("string").cast("binary").alias("content"))
+    whole = b"".join(hashlib.sha256(str(n).encode()).digest() for n in range(100_000))
+    assert engine_digest(blobs, "id", tag="t").first().digest == hashlib.sha256(whole + b"t").hexdigest()
 
 
 # -- reuse -----------------------------------------------------------------------------
@@ -301,12 +337,12 @@ def test_multisets_count_repeats(spark):
 def run_inputs(spark, contents, pkg="test"):
     files = spark.createDataFrame([(pkg, 0, f"{n}.py", c) for n, c in enumerate(contents)], FILES)
     index = write_manifest(file_index(files))
-    return files, index, rules(spark, rule("x.exec", r"exec\("))
+    return files, index, rules(spark, rule("x.eval", r"eval\("))
 
 
 def test_poisoned_cache(spark):
     """Two files with findings stored as clean: observing counts both, reusing fails the job."""
-    files, index, corpus = run_inputs(spark, ["exec('one')\n", "exec('two')\n"])
+    files, index, corpus = run_inputs(spark, ["eval(a)\n", "b = eval(b)\n"])
     known = index.select("identity").distinct()
     stored = spark.createDataFrame([], "identity string, check_id string, start_line bigint, end_line bigint")
     seen = observe(files, index, corpus, known, stored).first()
@@ -317,13 +353,13 @@ def test_poisoned_cache(spark):
 
 
 def test_honest_cache_is_reused(spark):
-    files, index, corpus = run_inputs(spark, ["exec('one')\n", "print(1)\n"])
+    files, index, corpus = run_inputs(spark, ["eval(a)\n", "c = 3\n"])
     known = index.select("identity").distinct()
     stored = scan(distinct_targets(files, index), corpus, ["identity"])
     findings, jobs = apply(files, index, corpus, known, stored)
     job = jobs.first()
     assert (job.reused_files, job.engine_files, job.failed) == (2, 0, False)
-    assert [(r.path, r.check_id) for r in findings.collect()] == [("0.py", "x.exec")]
+    assert [(r.path, r.check_id) for r in findings.collect()] == [("0.py", "x.eval")]
 
 
 def test_incomplete_jobs_admit_nothing(spark):
@@ -368,23 +404,72 @@ def make_tar(files):
 @pytest.mark.parametrize("fmt, make", [("zip", make_zip), ("tar.gz", make_tar)])
 def test_archive_limits(spark, fmt, make):
     blobs = {
-        "good": make([("a.py", b"1234"), ("d/b.py", b"56")]),
-        "many": make([("one", b"1"), ("two", b"2"), ("three", b"3")]),
-        "large": make([("large", b"12345")]),
-        "expanded": make([("one", b"1234"), ("two", b"5678")]),
-        "escape": make([("../x", b"1")]),
-        "broken": b"not an archive",
+        "good": make([("pkg/m.py", b"abcdefgh"), ("pkg/sub/n.py", b"ij"), ("r", b"")]),
+        "many": make([(f"f{n}", b"") for n in range(4)]),
+        "large": make([("big.bin", b"x" * 10)]),
+        "expanded": make([(f"f{n}", b"y" * 8) for n in range(3)]),
+        "escape": make([("pkg/../../out", b"z")]),
+        "rooted": make([("/out", b"z")]) if fmt == "zip" else make([("a/../../out", b"z")]),
+        "broken": b"\x00\x01 no archive at all",
+        "cut": make([("pkg/m.py", bytes(range(200)) * 9)])[:-40],
     }
     frame = spark.createDataFrame([(k, bytearray(v), fmt) for k, v in blobs.items()], "archive string, content binary, format string")
-    limits = ArchiveLimits(entries=2, download_size=4096, expanded_size=7, scan_size=4)
+    limits = ArchiveLimits(entries=3, download_size=8192, expanded_size=20, scan_size=9)
     rows = expand_archives(frame, limits).collect()
     good = [(r.path, bytes(r.content), r.size, r.error) for r in rows if r.archive == "good"]
-    assert good == [("a.py", b"1234", 4, None), ("d/b.py", b"56", 2, None)]
+    assert good == [("pkg/m.py", b"abcdefgh", 8, None), ("pkg/sub/n.py", b"ij", 2, None), ("r", b"", 0, None)]
     errors = {r.archive: r.error for r in rows if r.archive != "good"}
     assert set(errors) == set(blobs) - {"good"} and all(errors.values())
-    assert "entr" in errors["many"] and "scan limit" in errors["large"] and "expanded-size" in errors["expanded"]
+    codes = {name: error.split(":")[0] for name, error in errors.items()}
+    assert codes["many"] == "too-many-entries" and codes["large"] == "entry-too-large" and codes["expanded"] == "expands-too-far"
+    assert codes["escape"] == codes["rooted"] == "unsafe-name"
     small = expand_archives(frame.where("archive = 'good'"), ArchiveLimits(download_size=4)).first()
-    assert "4-byte download limit" in small.error
+    assert small.error == "blob-too-large: more than 4 bytes"
+
+
+def test_damaged_encrypted_and_repeated_entries_are_errors_of_their_archive(spark):
+    twice = [("m.py", b"clean"), ("m.py", b"exec(1)")]
+    with pytest.warns(UserWarning):
+        repeated = make_zip(twice)
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
+        archive.writestr("m.py", b"abc" * 200)
+    damaged = bytearray(buffer.getvalue())
+    damaged[36:46] = b"\xff" * 10  # within the deflated data
+    encrypted = bytearray(make_zip([("m.py", b"abc")]))
+    for at in (6, encrypted.index(b"PK\x01\x02") + 8):  # the flag in both headers
+        encrypted[at] |= 1
+    blobs = [("repeated", repeated), ("damaged", damaged), ("encrypted", encrypted), ("good", make_zip([("n.py", b"1")])), ("none", None)]
+    frame = spark.createDataFrame([(k, bytearray(v) if v else None, "zip") for k, v in blobs], "archive string, content binary, format string")
+    rows = {r.archive: r for r in expand_archives(frame).collect()}
+    assert rows["good"].error is None and bytes(rows["good"].content) == b"1"
+    assert {k: r.error.split(":")[0] for k, r in rows.items() if k != "good"} == {
+        "repeated": "repeated-name", "damaged": "not-readable", "encrypted": "not-readable", "none": "blob-missing"
+    }
+    tar = spark.createDataFrame([("t", bytearray(make_tar(twice)), "tar.gz")], "archive string, content binary, format string")
+    assert [(r.path, bytes(r.content)) for r in expand_archives(tar).collect()] == [("m.py", b"exec(1)")]
+
+
+def test_missing_and_oversized_blobs_fail_their_distribution(spark, tmp_path):
+    wanted = spark.createDataFrame([("p", 0, "u1"), ("p", 1, "gone"), ("q", 0, "big.tar.gz")], "pkg string, dist_index int, url string")
+    blobs = spark.createDataFrame([("u1", 3, bytearray(b"abc")), ("big.tar.gz", 99, bytearray(b"x" * 99))], "url string, length bigint, content binary")
+    got = {r.url: (r.content is not None, (r.error or "").split(":")[0]) for r in fetch_archives(wanted, blobs, limit=50).collect()}
+    assert got == {"u1": (True, ""), "gone": (False, "blob-missing"), "big.tar.gz": (False, "blob-too-large")}
+    (tmp_path / "a.zip").write_bytes(b"x" * 9)
+    (tmp_path / "b.zip").write_bytes(b"x" * 99)
+    rows = {r.archive[-5:]: (r.content is not None, r.error is not None) for r in read_archive_files(spark, str(tmp_path), limit=50).collect()}
+    assert rows == {"a.zip": (True, False), "b.zip": (False, True)}
+
+
+def test_content_of_another_identity_never_passes_the_content_join(spark):
+    rows = [("p", 0, "a.py", "clean"), ("p", 0, "a.py", "eval(1)"), ("q", 0, "b.py", "clean")]
+    files = spark.createDataFrame(rows, FILES)
+    found = scan_package(files, rules(spark, rule("x.eval", r"eval\(")))
+    assert {(r.pkg, r.path) for r in found.collect()} == {("p", "a.py")}
+
+
+def test_a_lease_without_an_order(spark):
+    assert lease(spark.range(30), threads=4).count() == 4
 
 
 def test_archives_from_files(spark, tmp_path):
@@ -415,30 +500,30 @@ def test_jobs_and_rules_from_files(spark, tmp_path):
     (tmp_path / "jobs.json").write_text(
         '{"hash":"h","name":"n","version":"1","distributions":["u"],"attempt":2,"assignment_id":"l","extra":1}\n{"hash":"h"}\n'
     )
-    (tmp_path / "rules.json").write_text('{"hash":"abc123","rules":{"python/rule.yml":"rules: []"}}\n')
+    (tmp_path / "rules.json").write_text('{"hash":"f00","rules":{"q/one.yaml":"- id: q"}}\n')
     assert [r.name for r in read_jobs(spark, str(tmp_path / "jobs.json")).collect()] == ["n"]
     rows = read_snapshot(spark, str(tmp_path / "rules.json")).collect()
-    assert plain(rows) == [("abc123", "python/rule.yml", "rules: []")]
+    assert plain(rows) == [("f00", "q/one.yaml", "- id: q")]
 
 
 def test_empty_rule_corpus_is_an_error(spark):
-    frame = spark.createDataFrame([("h", {"python/rule.yml": "rules: []"})], "hash string, rules map<string,string>")
-    assert [r.path for r in explode_rules(frame).collect()] == ["python/rule.yml"]
-    with pytest.raises(Exception, match="rule corpus is empty"):
+    frame = spark.createDataFrame([("h", {"q/one.yaml": "- id: q"})], "hash string, rules map<string,string>")
+    assert [r.path for r in explode_rules(frame).collect()] == ["q/one.yaml"]
+    with pytest.raises(Exception, match="rules-empty"):
         explode_rules(spark.createDataFrame([("h", {})], "hash string, rules map<string,string>")).collect()
 
 
 FINDING = (
-    '{"check_id":"x.python-test-exec","path":"sample.py","start":{"line":1},"end":{"line":1},"extra":{"message":"Dynamic execution.",'
-    '"severity":"ERROR","metadata":{"evidence":"composition","confidence":"high","execution_context":"import_time"}}}'
+    '{"check_id":"team.q.shell","path":"q/w/lib.pyi","start":{"line":7},"end":{"line":9},"extra":{"message":"Starts a shell.",'
+    '"severity":"INFO","metadata":{"evidence":"name","confidence":"low","execution_context":"call"}}}'
 )
 
 
 @pytest.mark.parametrize(
     "document, warning, failed",
     [
-        ('{"results":[%s],"errors":[{"code":3,"level":"warn","path":"other.py","type":["PartialParsing",[]]}],"skipped_rules":[]}', "Partially parsed other.py", False),
-        ('{"results":[%s],"errors":[{"code":2,"level":"warn","message":"late","type":"Timeout"}]}', "Rule timed out", False),
+        ('{"results":[%s],"errors":[{"code":3,"level":"warn","path":"q/w/odd.js","type":["PartialParsing",[]]}],"skipped_rules":[]}', "partly-parsed: odd.js", False),
+        ('{"results":[%s],"errors":[{"code":2,"level":"warn","message":"late","type":"Timeout"}]}', "timeout: some rule", False),
         ('{"results":[%s],"errors":[{"level":"error","type":"Fatal"}]}', None, True),
         ('{"results":[%s],"skipped_rules":["r"]}', None, True),
         ('{"errors":[]}', None, True),

@@ -1,6 +1,4 @@
-"""Streams over several micro-batches against batch results and a model."""
-
-import random
+"""Streams over several micro-batches against batch results."""
 
 from pyspark.sql import functions as F
 
@@ -8,7 +6,6 @@ from packsift.operators.expand import scan_package
 from packsift.plans import views
 from packsift.session import output_dir
 from packsift.streaming.job_stream import RulesGate, ScanStream
-from packsift.streaming.state import audit_events, cache_events, run_to_table
 
 
 def file_stream(spark, frames, folder):
@@ -34,68 +31,38 @@ def test_scan_stream_equals_batch_scan(spark, sf_dir, tmp_path):
     got = job.reports().select(*expected.columns)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, expected.collect()))
     # Content that an earlier batch scanned is not scanned again.
-    scanned = spark.read.parquet(f"{job.folder}/scanned")
+    scanned = spark.read.parquet(f"{job.history}/scanned")
     assert scanned.count() == scanned.select("identity").distinct().count()
 
 
+def test_results_of_other_rules_are_not_reused(spark, sf_dir, tmp_path):
+    files = views.files(spark, sf_dir).drop("doc_id")
+    folder = output_dir(spark, "test-rules")
+    every = views.rules(spark)
+    for number, chosen in enumerate((every.limit(1), every)):
+        job = ScanStream(chosen, folder)
+        job.start(file_stream(spark, [files], tmp_path / str(number))).awaitTermination()
+    expected = scan_package(files, every)
+    last = spark.read.parquet(f"{job.history}/results").select("check_id").distinct()
+    assert last.count() == expected.select("check_id").distinct().count()
+
+
 def test_rules_gate_reloads_once_and_defers(spark, tmp_path):
     jobs = [spark.createDataFrame([(n, h)], "seq int, hash string") for n, h in enumerate(["old", "new", "old"])]
     snapshots = spark.createDataFrame([(1, "old"), (2, "new")], "version int, hash string")
     gate = RulesGate(snapshots, output_dir(spark, "test-gate"), loaded="old")
     gate.start(file_stream(spark, jobs, tmp_path)).awaitTermination()
     got = {r.seq: (r.hash, r.status) for r in gate.jobs().collect()}
-    ready = [seq for seq, (_, status) in got.items() if status == "ready"]
     assert len(got) == 3 and gate.loaded == "new"
-    assert all(got[seq][0] == "new" or got[seq][0] == "old" for seq in ready)
-
-
-class Model:
-    """The bounded cache, one put at a time."""
+    # A job runs only under the rules that were loaded when its batch came; the first
+    # batch with the new hash loads it, and what asks for the old one then waits.
+    order = _batch_order(spark, tmp_path)
+    reloaded = order.index(1)
+    for at, seq in enumerate(order):
+        stays_old = got[seq][0] == "old" and at > reloaded
+        assert got[seq][1] == ("deferred" if stays_old else "ready")
 
-    def __init__(self, entries, size):
-        self.entries, self.size, self.order, self.events = entries, size, [], []
 
-    def put(self, seq, key, size):
-        if size > self.size or any(k == key for k, _ in self.order):
-            return
-        while self.order and (len(self.order) >= self.entries or sum(s for _, s in self.order) + size > self.size):
-            self.events.append((seq, self.order.pop(0)[0], "evicted"))
-        self.order.append((key, size))
-        self.events.append((seq, key, "inserted"))
-
-
-def test_cache_with_reinsertion_equals_model(spark, tmp_path):
-    random.seed(2)
-    puts = [(seq, f"k{random.randint(0, 12)}", random.randint(1, 9)) for seq in range(120)]
-    sizes = {}
-    puts = [(seq, key, sizes.setdefault(key, size)) for seq, key, size in puts]
-    frames = [
-        spark.createDataFrame([("n", "w", *put) for put in puts[start:start + 40]], "namespace string, worker string, seq bigint, key string, size bigint")
-        for start in (0, 40, 80)
-    ]
-    model = Model(6, 30)
-    stream = file_stream(spark, frames, tmp_path)
-    events = run_to_table(cache_events(stream, 6, 30), output_dir(spark, "test-fifo"))
-    for put in _arrival(spark, tmp_path, frames):
-        model.put(*put)
-    assert sorted((r.seq, r.key, r.event) for r in events.collect()) == sorted(model.events)
-
-
-def _arrival(spark, folder, frames):
-    """Puts in the order the stream sees them: by file time, then by seq."""
+def _batch_order(spark, folder):
     paths = sorted(folder.glob("*/*.parquet"), key=lambda p: (p.stat().st_mtime_ns // 1_000_000, str(p)))
-    for path in paths:
-        for row in spark.read.parquet(str(path)).orderBy("seq").collect():
-            yield row.seq, row.key, row["size"]
-
-
-def test_failed_audit_disables_reuse(spark, tmp_path):
-    hits = [(seq, seq != 199) for seq in range(260)]
-    frames = [
-        spark.createDataFrame([("n", "w", *hit) for hit in part], "namespace string, worker string, seq bigint, equal boolean")
-        for part in (hits[:130], hits[130:])
-    ]
-    events = run_to_table(audit_events(file_stream(spark, frames, tmp_path)), output_dir(spark, "test-audit"))
-    got = {r.seq: (r.decision, r.disabled) for r in events.collect()}
-    assert got[98] == ("reuse", False) and got[99] == ("audit", False) and got[100] == ("reuse", False)
-    assert got[199] == ("audit", True) and got[200] == ("scan", True) and got[259] == ("scan", True)
+    return [row.seq for path in paths for row in spark.read.parquet(str(path)).collect()]
