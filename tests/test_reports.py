@@ -64,6 +64,6 @@ def test_reports_from_archives(spark):
     broken = json.loads(rows["lease-3"].report)
     assert broken["reason"].startswith("unsafe-name") and "findings" not in broken
     assert json.loads(rows["lease-4"].report)["reason"].startswith("blob-too-large")
-    assert "4 distributions" in json.loads(rows["lease-5"].report)["reason"]
+    assert json.loads(rows["lease-5"].report)["reason"] == "too-many-distributions: 4 of 3"
     capped = job_reports(ready, files, corpus, failures, warnings, max_findings=3).where("pkg = 'lease-1'").first()
-    assert capped.status == "error" and "more than 3 findings" in capped.report
+    assert capped.status == "error" and "too-many-findings: more than 3" in capped.report
