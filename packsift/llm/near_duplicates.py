@@ -8,9 +8,9 @@ shingles by parity: the bits in which two differ bound the shingles they do not
 below, hence the overlap from above. What passes is decided by intersecting the sorted
 arrays of shingle hashes.
 
-First each class is compared with one leader of each of its tiles, which joins groups
-of near copies with as many comparisons as they have members. Then only pairs that are not joined yet
-are looked at, so a large group never becomes all its pairs.
+First each class is compared with one leader of each of its tiles, in a few rounds with other
+leaders, which joins groups of near copies with as many comparisons as they have members.
+Then only pairs that are not joined yet are looked at, in tiles whose key may be the first that they share.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ WORDS = 8  # 64-bit words of a signature
 _SIGNATURE = [f"s{i}" for i in range(WORDS)]
 #: Larger sets carry a finer signature too, of some two bits for each shingle.
 COARSE = 1000
+#: Rounds of comparing with leaders before pairs are looked at.
+STAR_ROUNDS = 3
 
 
 class Shingler:
@@ -192,23 +194,28 @@ def _candidates(k: int, percent: int, order: Order, shared: KeyFilter):
         seen: set[bytes] = set()
         for batch in batches:
             for _, hashes, at in shingler.sets(batch.column(0)):
-                rows, keys, signs, fine = [], [], [], []
+                rows, keys, places, signs, fine = [], [], [], [], []
                 for cls, lo, hi in zip(class_keys(hashes, at), at[:-1].tolist(), at[1:].tolist(), strict=True):
                     if cls is None or cls in seen:
                         continue
                     own = hashes[lo:hi]
                     prefix = order.prefix(own, prefix_length(hi - lo, percent))
-                    prefix = prefix[shared.passes(prefix)]
-                    if len(prefix):
+                    place = np.flatnonzero(shared.passes(prefix))
+                    if len(place):
                         if len(seen) < 1 << 20:
                             seen.add(cls)
                         rows.append((cls, hi - lo))
-                        keys.append(prefix.view(np.int64))
+                        keys.append(prefix[place].view(np.int64))
+                        places.append(place)
                         signs.append(signature(own))
                         fine.append(fine_signature(own))
                 s = np.array(signs, np.int64).reshape(-1, WORDS)
                 ends = np.cumsum([0, *[len(x) for x in keys]]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*keys, np.zeros(0, np.int64)])))
+                pairs = pa.StructArray.from_arrays(
+                    [pa.array(np.concatenate([*keys, np.zeros(0, np.int64)])), pa.array(np.concatenate([*places, np.zeros(0, np.int64)]).astype(np.int32))],
+                    names=["key", "place"],
+                )
+                lists = pa.ListArray.from_arrays(pa.array(ends), pairs)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[0] for r in rows], pa.binary()), pa.array([_half(r[0]) for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), *[pa.array(s[:, i]) for i in range(WORDS)], lists, pa.array(fine, pa.binary())],
                     names=["cls", "half", "n", *_SIGNATURE, "keys", "fine"],
@@ -275,7 +282,7 @@ def linked_classes(candidates: DataFrame, text: DataFrame, shingle_words: int, p
     slim = settle(candidates.select("cls", "half", "n", *_SIGNATURE), "signatures")
     # Two sets of one link have bands that are equal or neighbours.
     band = F.floor(F.log("n") / math.log(100 / percent) + 1e-9).cast("int")
-    keyed = settle(candidates.select("cls", "n", F.explode("keys").alias("key")).withColumn("band", band), "tiles")
+    keyed = settle(candidates.select("cls", "n", F.inline("keys")).withColumn("band", band), "tiles")
 
     def checked(pairs: DataFrame) -> DataFrame:
         side = F.struct("half", "n", *_SIGNATURE)
@@ -305,25 +312,33 @@ def linked_classes(candidates: DataFrame, text: DataFrame, shingle_words: int, p
         )
         return full.select("a", "b", "ha", "hb").mapInArrow(_verify(percent), "a binary, b binary")
 
-    leaders = keyed.groupBy("key", "band").agg(F.min("cls").alias("lead"))
-    stars = keyed.join(leaders, ["key", "band"]).where(F.col("cls") != F.col("lead")).select(F.col("lead").alias("a"), F.col("cls").alias("b"))
-    first = settle(checked(stars), "links")
-    roots = connected(first)
+    # Stars: every class of a tile with one leader, another one in each round, as long as they are
+    # not joined. What a round joins need not be compared pair by pair.
+    links, roots = None, None
+    for number in range(STAR_ROUNDS):
+        named = keyed.withColumn("root", F.col("cls")) if roots is None else keyed.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        drawn = F.struct(F.xxhash64("cls", F.lit(number)).alias("h"), "cls", "root")
+        leads = named.groupBy("key", "band").agg(F.min(drawn).alias("lead"), F.min("root").alias("lo"), F.max("root").alias("hi")).where(F.col("lo") != F.col("hi"))
+        stars = named.join(leads.select("key", "band", "lead"), ["key", "band"]).where(F.col("root") != F.col("lead.root"))
+        found = settle(checked(stars.select(F.col("lead.cls").alias("a"), F.col("cls").alias("b"))), "links")
+        links = found if links is None else links.unionByName(found)
+        roots = connected(links).withColumnRenamed("node", "cls")
     # Tiles with more than one component, with the band above as the other side.
-    placed = settle(
-        keyed.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls")), "tiles"
-    )
+    placed = settle(keyed.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls")), "tiles")
     reach = placed.select("key", "root", F.explode(F.array("band", F.col("band") - 1)).alias("band"))
     mixed = reach.groupBy("key", "band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where(F.col("lo") != F.col("hi")).select("key", "band")
     signed = placed.join(slim.drop("n", "half"), "cls")
     left = signed.join(mixed, ["key", "band"], "left_semi").alias("x")
     right = signed.withColumn("band", F.explode(F.array("band", F.col("band") - 1))).join(mixed, ["key", "band"], "left_semi").alias("y")
     smaller = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.cls") < F.col("y.cls")))
+    # The first key that two sets share has all they share behind it in both.
+    left_over = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
+    behind = (100 + percent) * left_over >= percent * (F.col("x.n") + F.col("y.n"))
     pairs = left.join(
         right,
-        (F.col("x.key") == F.col("y.key")) & (F.col("x.band") == F.col("y.band")) & smaller & (F.col("x.root") != F.col("y.root")) & _possible(percent, "x", "y"),
+        (F.col("x.key") == F.col("y.key")) & (F.col("x.band") == F.col("y.band")) & smaller & (F.col("x.root") != F.col("y.root")) & behind & _possible(percent, "x", "y"),
     ).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
-    return first.unionByName(settle(checked(pairs), "links"))
+    return links.unionByName(settle(checked(pairs), "links"))
 
 
 def jaccard_components(
@@ -360,7 +375,7 @@ def jaccard_components(
     counted = text.mapInArrow(_prefix_keys(shingle_words, percent, order), "key long").groupBy("key").count()
     shared = key_filter(counted.where(F.col("count") > 1), "key", log2_filter_bits)
     fields = ", ".join(f"{s} long" for s in _SIGNATURE)
-    found = text.mapInArrow(_candidates(shingle_words, percent, order, shared), f"cls binary, half long, n long, {fields}, keys array<long>, fine binary")
+    found = text.mapInArrow(_candidates(shingle_words, percent, order, shared), f"cls binary, half long, n long, {fields}, keys array<struct<key:long, place:int>>, fine binary")
     candidates = settle(found.dropDuplicates(["cls"]), "candidates")
     links = linked_classes(candidates, text, shingle_words, percent, log2_filter_bits)
     roots = connected(links).withColumnRenamed("node", "cls")
