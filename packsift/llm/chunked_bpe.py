@@ -52,20 +52,22 @@ class WordCoder:
         self.tokenizer.no_padding()
         self.names = token_names(self.tokenizer)
         self.last = np.array([n.endswith("</w>") for n in self.names])
+        # Ids are kept and moved in as few bytes as the vocabulary allows.
+        self.kind = np.dtype(np.uint16 if len(self.names) <= 1 << 16 else np.int32)
         self.ids: dict[bytes, bytes] = {}
 
     def library(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as 32-bit integers."""
-        return [np.array(x.ids, np.int32).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        """Ids of each text, packed."""
+        return [np.array(x.ids, self.kind).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _together(self, words: list[str]) -> list[bytes]:
         out: list[bytes] = []
         for at in range(0, len(words), TOGETHER):
             part = words[at : at + TOGETHER]
             raw = self.library([" ".join(part)])[0]
-            ends = np.flatnonzero(self.last[np.frombuffer(raw, np.int32)]) + 1
-            if len(ends) == len(part) and ends[-1] * 4 == len(raw):
-                marks = [0, *(ends * 4).tolist()]
+            ends = (np.flatnonzero(self.last[np.frombuffer(raw, self.kind)]) + 1) * self.kind.itemsize
+            if len(ends) == len(part) and ends[-1] == len(raw):
+                marks = [0, *ends.tolist()]
                 out += [raw[lo:hi] for lo, hi in zip(marks[:-1], marks[1:], strict=True)]
             else:
                 out += self.library(part)
@@ -87,7 +89,7 @@ class WordCoder:
             self.ids[word] = known[parts[0]] if len(parts) == 1 else known[parts[0]] + known[parts[1]]
 
     def encode(self, text: bytes) -> bytes:
-        """Ids as 32-bit integers."""
+        """Ids, packed."""
         words = text.split()
         self.learn(set(words))
         return b"".join(map(self.ids.__getitem__, words))
@@ -162,6 +164,13 @@ def _key(chunk: bytes) -> int:
     return xxhash.xxh3_64_intdigest(chunk)
 
 
+def _second_key(chunk: bytes) -> int:
+    """With the first key, 128 bits that stand for a chunk."""
+    import xxhash
+
+    return xxhash.xxh64_intdigest(chunk) - (1 << 63)
+
+
 def _emit_keys(cut_bits: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,8 +202,8 @@ def _read_chunks(batches: Iterator[pa.RecordBatch], column: int, cut_bits: int,
 def _readable(coder: WordCoder, ids: pa.Array, coded: list[bytes]) -> pa.RecordBatch:
     """Ids as lists of integers, and the decoded texts: the names of the tokens with a
     space between them, which is what a tokenizer without a decoder gives."""
-    flat = np.frombuffer(b"".join(coded), np.int32)
-    ends = np.cumsum([0, *[len(x) // 4 for x in coded]]).astype(np.int32)
+    flat = np.frombuffer(b"".join(coded), coder.kind).astype(np.int32)
+    ends = np.cumsum([0, *[len(x) // coder.kind.itemsize for x in coded]]).astype(np.int32)
     name = coder.names.__getitem__
     texts = [" ".join(map(name, flat[lo:hi].tolist())) for lo, hi in zip(ends[:-1], ends[1:], strict=True)]
     return pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(texts, pa.string())], names=["id", "ids", "decoded"])
@@ -218,7 +227,7 @@ def _split_sharing(cut_bits: int, shared):
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, first, docs in _read_chunks(batches, 2, cut_bits, shared):
-            rows, seqs, keys, parts = [], [], [], []
+            rows, seqs, keys, seconds, parts = [], [], [], [], []
             for d, (chunks, own_keys, passed) in enumerate(docs):
                 if not any(passed):
                     continue
@@ -230,12 +239,13 @@ def _split_sharing(cut_bits: int, shared):
                     for one, one_key in ((b"".join(run), None), (chunk, key)):
                         if one:
                             rows.append(first + d), seqs.append(seq), keys.append(one_key), parts.append(one)
+                            seconds.append(None if one_key is None else _second_key(one))
                             seq += 1
                     run = []
             take = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(take), batch.column(1).take(take), pa.array(seqs, pa.int32()), pa.array(keys, pa.int64()), pa.array(parts, pa.binary())],
-                names=["row", "id", "seq", "key", "chunk"],
+                [batch.column(0).take(take), batch.column(1).take(take), pa.array(seqs, pa.int32()), pa.array(keys, pa.int64()), pa.array(seconds, pa.int64()), pa.array(parts, pa.binary())],
+                names=["row", "id", "seq", "key", "key2", "chunk"],
             )
 
     return split
@@ -252,16 +262,16 @@ def _bounds(chunk: bytes) -> tuple[int, int]:
 
 
 def _encode_chunks(path: str):
-    """``(key, chunk)`` -> with the ids of the inner part of a chunk."""
+    """``(key, key2, chunk)`` -> with the ids of the inner part of a chunk."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = WordCoder(path)
         for batch in batches:
             ids = []
-            for chunk in batch.column(1).to_pylist():
+            for chunk in batch.column(2).to_pylist():
                 lo, hi = _bounds(chunk)
                 ids.append(coder.encode(chunk[lo:hi]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], names=["key", "chunk", "ids"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], names=["key", "key2", "chunk", "ids"])
 
     return encode
 
@@ -327,15 +337,12 @@ def encode_documents(
     done = rows.mapInArrow(_encode_unshared(tokenizer_path, cut_bits, shared), fields)
     # The row number only lives in the written table, where it is fixed.
     numbered = rows.select(F.monotonically_increasing_id().alias("row"), "id", "text")
-    rest = settle(numbered.mapInArrow(_split_sharing(cut_bits, shared), f"row long, id {kind}, seq int, key long, chunk binary"), "chunks")
-    # The key is 64 bits wide; the chunk itself is part of the group, so equal keys of
-    # unequal chunks stay apart.
-    distinct = rest.where(F.col("key").isNotNull()).select("key", "chunk").distinct()
-    encoded = distinct.mapInArrow(_encode_chunks(tokenizer_path), "key long, chunk binary, ids binary")
-    one = encoded.select(F.col("key").alias("_k"), F.col("chunk").alias("_c"), F.col("ids").alias("_ids"))
-    placed = rest.where(F.col("key").isNotNull()).select("row", "id", "seq", "key", "chunk")
-    placed = placed.join(one, (F.col("key") == F.col("_k")) & (F.col("chunk") == F.col("_c")))
-    parts = placed.select("row", "id", F.struct("seq", "chunk", F.col("_ids").alias("ids")).alias("part"))
+    rest = settle(numbered.mapInArrow(_split_sharing(cut_bits, shared), f"row long, id {kind}, seq int, key long, key2 long, chunk binary"), "chunks")
+    # Occurrences of a chunk are keys only; its text comes along with its ids.
+    distinct = rest.where(F.col("key").isNotNull()).select("key", "key2", "chunk").dropDuplicates(["key", "key2"])
+    encoded = distinct.mapInArrow(_encode_chunks(tokenizer_path), "key long, key2 long, chunk binary, ids binary")
+    placed = rest.where(F.col("key").isNotNull()).select("row", "id", "seq", "key", "key2").join(encoded, ["key", "key2"])
+    parts = placed.select("row", "id", F.struct("seq", "chunk", "ids").alias("part"))
     bare = rest.where(F.col("key").isNull()).select("row", "id", F.struct("seq", "chunk", F.lit(None).cast("binary").alias("ids")).alias("part"))
     whole = parts.unionByName(bare).groupBy("row").agg(F.first("id").alias("id"), F.sort_array(F.collect_list("part")).alias("parts"))
     return done.unionByName(whole.select("id", "parts").mapInArrow(_assemble(tokenizer_path), fields)).withColumnRenamed("id", id_column)
