@@ -23,8 +23,10 @@ from packsift.llm.tables import pick, settle
 HEAD_PIECES = 1 << 18
 HEAD_PIECE_BYTES = 64
 #: A task reports a piece as frequent when it met it so often in a stretch of so many.
-FREQUENT, STRETCH = 3, 1 << 22
+FREQUENT, STRETCH = 3, 1 << 21
 ENCODE_ROWS = 4096
+#: Documents whose pieces are held at a time.
+MEASURE_ROWS = 512
 
 _IRREGULAR = re.compile(r" \s|\s |^\s|\s$")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -115,25 +117,28 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id"
     kind = rows.schema["id"].dataType
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, is_known = head.get, head.__contains__
-        for batch in batches:
-            keys, names_, counts, sums = [], [], [], []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(3), strict=True):
-                found = pieces(text.as_py() or "")
-                rest = [x for p in found if not is_known(p) for x in parts(p)]
-                sums.append(sum([known(p, 0) for p in found]) + sum([known(x, 0) for x in rest]))
-                rest = Counter([x for x in rest if not is_known(x)])
-                keys += [key] * len(rest)
-                names_ += rest.keys()
-                counts += rest.values()
-            n, rare = batch.num_rows, len(keys)
-            ids, sizes = batch.column(1), batch.column(2)
-            names = ["row", "id", "n_bytes", "piece", "n"]
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids, sizes, pa.nulls(n, pa.string()), pa.array(sums, pa.int64())], names=names)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.nulls(rare, ids.type), pa.nulls(rare, pa.int64()), pa.array(names_, pa.string()), pa.array(counts, pa.int64())],
-                names=names,
-            )
+        for whole in batches:
+            for start in range(0, whole.num_rows, MEASURE_ROWS):
+                yield from rows_of(whole.slice(start, MEASURE_ROWS))
+
+    def rows_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        keys, names_, counts, sums = [], [], [], []
+        for key, text in zip(batch.column(0).to_pylist(), batch.column(3), strict=True):
+            found = pieces(text.as_py() or "")
+            rest = [x for p in found if p not in head for x in parts(p)]
+            sums.append(sum([head.get(p, 0) for p in found]) + sum([head.get(x, 0) for x in rest]))
+            rest = Counter([x for x in rest if x not in head])
+            keys += [key] * len(rest)
+            names_ += rest.keys()
+            counts += rest.values()
+        n, rare = batch.num_rows, len(keys)
+        ids, sizes = batch.column(1), batch.column(2)
+        names = ["row", "id", "n_bytes", "piece", "n"]
+        yield pa.RecordBatch.from_arrays([batch.column(0), ids, sizes, pa.nulls(n, pa.string()), pa.array(sums, pa.int64())], names=names)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(keys, pa.int64()), pa.nulls(rare, ids.type), pa.nulls(rare, pa.int64()), pa.array(names_, pa.string()), pa.array(counts, pa.int64())],
+            names=names,
+        )
 
     # The row number is made and written once; nothing computes it again.
     numbered = rows.select(
