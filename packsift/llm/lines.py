@@ -1,9 +1,11 @@
 """Removal of lines that many sites share, with column functions only.
 
-Every line that is not blank is hashed (two 64-bit hashes). The sites of a line are
-counted by HyperLogLog sketches that merge in the aggregation. Lines whose estimate is
-within the sketch's error of the threshold get an exact distinct count; the others are
-decided by the estimate. Only positions of removed lines meet the texts again.
+Every line that is not blank is hashed (two 64-bit hashes). A line is shared when it
+stands on enough distinct sites and in enough distinct texts; the second keeps copies of
+one whole text from turning their own lines into boilerplate. Both are counted over all
+documents by HyperLogLog sketches that merge in the aggregation. Lines with an estimate
+within the sketch's error of the threshold get exact distinct counts; the others are
+decided by the estimates. Only positions of removed lines meet the texts again.
 """
 
 from __future__ import annotations
@@ -28,11 +30,12 @@ def _hashes(value: Column) -> list[Column]:
     return [F.xxhash64(value), F.xxhash64(value, F.lit(1))]
 
 
-def line_spread(docs: DataFrame, text_column: str = "text", site_column: str = "source") -> DataFrame:
-    """``(h1, h2, t1, t2, site)``: one row per distinct line of each distinct text, with
-    the smallest site that holds the text. So a text that was copied to many sites
-    counts for one, and its lines do not become boilerplate by that. A null site is
-    a site of its own, ``''``."""
+def line_spread(docs: DataFrame, text_column: str = "text", site_column: str = "source", one_site_per_text: bool = False) -> DataFrame:
+    """``(h1, h2, t1, t2, site)``: the lines of all documents with the hashes of their text
+    and their site. A null site is a site of its own, ``''``.
+
+    With ``one_site_per_text`` one row per distinct line of each distinct text, with the
+    smallest site that holds the text; other sites of the text are not counted then."""
     t1, t2 = _hashes(F.coalesce(F.col(text_column), F.lit("")))
     rows = docs.select(
         t1.alias("t1"),
@@ -41,29 +44,33 @@ def line_spread(docs: DataFrame, text_column: str = "text", site_column: str = "
         F.explode(text_lines(F.col(text_column))).alias("line"),
     ).where(F.trim("line") != "")
     h1, h2 = _hashes(F.col("line"))
-    return rows.select(h1.alias("h1"), h2.alias("h2"), "t1", "t2", "site").groupBy("h1", "h2", "t1", "t2").agg(F.min("site").alias("site"))
+    spread = rows.select(h1.alias("h1"), h2.alias("h2"), "t1", "t2", "site")
+    return spread.groupBy("h1", "h2", "t1", "t2").agg(F.min("site").alias("site")) if one_site_per_text else spread
 
 
-def boilerplate(spread: DataFrame, min_sites: int = MIN_SITES, log2_buckets: int = LOG2_BUCKETS) -> DataFrame:
-    """Hashes ``(h1, h2)`` of lines on at least ``min_sites`` distinct sites.
+def boilerplate(spread: DataFrame, min_sites: int = MIN_SITES, log2_buckets: int = LOG2_BUCKETS, count_texts: bool = True) -> DataFrame:
+    """Hashes ``(h1, h2)`` of lines on at least ``min_sites`` distinct sites and, with
+    ``count_texts``, in at least as many distinct texts. Where a text has one site only, the
+    second follows from the first and need not be counted.
 
     ``spread`` is read twice and should be a written table.
     """
-    sketches = spread.groupBy("h1", "h2").agg(F.hll_sketch_agg("site", log2_buckets).alias("sketch"))
-    counted = sketches.select("h1", "h2", F.hll_sketch_estimate("sketch").alias("sites"))
+    sketched = {"sites": "site"} | ({"texts": "t1"} if count_texts else {})
+    sketches = spread.groupBy("h1", "h2").agg(*[F.hll_sketch_agg(column, log2_buckets).alias(name) for name, column in sketched.items()])
+    estimates = [F.hll_sketch_estimate(name).alias(name) for name in sketched]
+    least = F.least("sites", "texts") if count_texts else F.col("sites")
+    counted = sketches.select("h1", "h2", *estimates).select("h1", "h2", least.alias("least"))
     margin = BAND * 1.04 / (1 << log2_buckets) ** 0.5
     low, high = min_sites * (1 - margin), min_sites * (1 + margin)
-    sure = counted.where(F.col("sites") > high).select("h1", "h2")
-    near = counted.where(F.col("sites").between(low, high)).select("h1", "h2")
-    exact = (
-        spread.select("h1", "h2", "site")
-        .join(near, ["h1", "h2"], "left_semi")
-        .distinct()
-        .groupBy("h1", "h2")
-        .count()
-        .where(F.col("count") >= min_sites)
-        .select("h1", "h2")
+    sure = counted.where(F.col("least") > high).select("h1", "h2")
+    near = counted.where(F.col("least").between(low, high)).select("h1", "h2")
+    rows = spread.join(near, ["h1", "h2"], "left_semi")
+    enough = lambda *columns: (
+        rows.select("h1", "h2", *columns).distinct().groupBy("h1", "h2").count().where(F.col("count") >= min_sites).select("h1", "h2")
     )
+    exact = enough("site")
+    if count_texts:
+        exact = exact.join(enough("t1", "t2"), ["h1", "h2"], "left_semi")
     return sure.unionByName(exact)
 
 
@@ -85,18 +92,23 @@ def remove_shared_lines(
     text_column: str = "text",
     site_column: str = "source",
     counts: tuple[str, str] | None = ("n_lines", "n_removed"),
+    one_site_per_text: bool = False,
 ) -> DataFrame:
     """All columns of ``docs`` with ``text_column`` cleaned, and under the names ``counts``
     the numbers of lines and of removed lines, in the place of columns of these names.
 
+    A line goes when it stands on at least ``min_sites`` distinct sites and in as many
+    distinct texts, counted over all documents. With ``one_site_per_text`` each distinct text
+    counts for its smallest site only, so lines of texts that share that site stay.
+
     A line is what stands between line feeds; lines of white space only are kept and
     never counted. A null text stays null with no lines removed (it counts as one
     empty line); an empty text likewise. Lines are compared as they are, whole. A
     document all of whose lines are shared keeps its row with an empty text. Repeated
     rows are cleaned alike; an empty table gives an empty table.
     """
-    spread = settle(line_spread(docs, text_column, site_column), "lines")
-    shared = boilerplate(spread, min_sites)
+    spread = settle(line_spread(docs, text_column, site_column, one_site_per_text), "lines")
+    shared = boilerplate(spread, min_sites, count_texts=not one_site_per_text)
     r1, r2 = row_hashes(id_column, text_column)
     places = docs.select(r1.alias("r1"), r2.alias("r2"), F.posexplode(text_lines(F.col(text_column))).alias("at", "line"))
     h1, h2 = _hashes(F.col("line"))

@@ -46,7 +46,8 @@ FROM flagged GROUP BY doc_id
 """,
 )
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = lines.remove_shared_lines(documents(spark, sf_dir, "doc_id", "text", "source"))
+    # The SQL counts one site for each distinct text.
+    cleaned = lines.remove_shared_lines(documents(spark, sf_dir, "doc_id", "text", "source"), one_site_per_text=True)
     return cleaned.select("doc_id", "n_lines", "n_removed", "text")
 
 

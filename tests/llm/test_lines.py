@@ -27,3 +27,18 @@ def test_empty_table_and_long_text(spark, make_docs):
     rows = [(i, f"{i}\nfoot", None, f"s{i}") for i in range(10)] + [(50, long, None, "s0")]
     out = {r["doc_id"]: r for r in lines.remove_shared_lines(make_docs(rows)).collect()}
     assert out[50]["text"] == "\n".join(f"line {i}" for i in range(1, 20000, 2)) and out[50]["n_removed"] == 10000
+
+
+def test_a_site_that_holds_copies_of_all_texts_hides_no_line(spark, make_docs):
+    pages = [(i, f"page {i}\nshared foot", None, f"s{i:02}") for i in range(15)]
+    copies = [(100 + i, text, None, "aaa") for i, text, *_ in pages]
+    nine = [(200 + i, f"{i}\nnine sites, many texts", None, f"t{i % 9}") for i in range(40)]
+    few = [(300 + i, f"{i % 9}\nnine texts, many sites", None, f"u{i}") for i in range(40)]
+    mixed = [(400 + i, f"{i % 12}\ntwelve texts, ten sites", None, "aaa" if i < 12 else f"v{i % 9}") for i in range(36)]
+    docs = make_docs(pages + copies + nine + few + mixed)
+    out = {r["doc_id"]: r["text"] for r in lines.remove_shared_lines(docs).collect()}
+    assert all(out[i] == out[100 + i] == f"page {i}" for i in range(15))
+    assert out[205] == "5\nnine sites, many texts" and out[305] == "5\nnine texts, many sites"
+    assert out[405] == "5" and out[430] == "6"
+    kept = {r["doc_id"]: r["text"] for r in lines.remove_shared_lines(docs, one_site_per_text=True).collect()}
+    assert kept[3] == "page 3\nshared foot"
