@@ -4,8 +4,8 @@ The CGK embedding walks a random path over a sequence: at each step it writes th
 under its pointer, and a random bit of (step, symbol) says whether the pointer moves on. Two
 sequences of small edit distance give outputs of small Hamming distance with constant
 probability, so the walk is repeated. Some coordinates of each output, sampled at random, are
-a key; windows of documents meet windows of items that share a key, and an exact edit
-distance decides.
+a key, and so are the window's words themselves, which no exact copy can miss; windows of
+documents meet windows of items that share a key, and an exact edit distance decides.
 
 Symbols are words (runs of ASCII letters and digits in lower case and of characters
 beyond ASCII). Windows are as long as the item from an anchor on, in classes of length. An
@@ -33,8 +33,9 @@ MIN_WORDS = 8
 #: Edits (inserted, deleted, replaced words) per word of an item that still count.
 EDIT_RATE = 0.2
 NEIGHBOURS = 4
-#: Lengths of windows.
-BANDS = (6, 9, 13, 19, 28, 42, 63, 95)
+#: Lengths of windows. The first anchor of an item is one of its first NEIGHBOURS words, so the
+#: shortest window fits behind it in every item that takes part.
+BANDS = (MIN_WORDS - NEIGHBOURS + 1, 6, 9, 13, 19, 28, 42, 63, 95)
 WALKS = 4
 SAMPLED = 4
 #: Chance that one key of a window with edits agrees, and the recall asked for; they give the
@@ -56,7 +57,7 @@ def sampled_steps() -> dict[int, np.ndarray]:
     rng = np.random.default_rng(SEED)
     return {
         w: np.sort(np.stack([np.stack([rng.choice(np.arange(1, int(1.6 * w)), SAMPLED, replace=False) for _ in range(keys_per_walk())]) for _ in range(WALKS)]), axis=2)
-        for w in BANDS
+        for w in BANDS[1:] + BANDS[:1]
     }
 
 
@@ -86,7 +87,7 @@ class Embedder:
 
     def keys(self, hashed: np.ndarray, places: np.ndarray, ends: np.ndarray, bands: list[int]) -> dict[int, np.ndarray]:
         """For each band the keys of the windows at ``places`` (rows), one column per walk and
-        key. Beyond ``ends`` a window reads a mark of its own."""
+        key, and one for the window's words. Beyond ``ends`` a window reads a mark of its own."""
         padded = np.append(hashed, np.uint64(0))
         out = {w: np.zeros((len(places), WALKS * keys_per_walk()), np.uint64) for w in bands}
         with np.errstate(over="ignore"):
@@ -108,6 +109,13 @@ class Embedder:
             for w in bands:
                 mark = splitmix(np.arange(WALKS * keys_per_walk(), dtype=np.uint64) + np.uint64(w << 32))
                 out[w] = splitmix(out[w] ^ mark)
+            words = np.zeros(len(places), np.uint64)
+            for j in range(max(bands, default=0)):
+                at = places + j
+                words = words * np.uint64(0x9E3779B97F4A7C15) + np.where(at < ends, padded[np.minimum(at, ends)], np.uint64(0))
+                if j + 1 in out:
+                    own = splitmix(words ^ splitmix(np.array([(j + 1 << 32) + WALKS * keys_per_walk()], np.uint64)))
+                    out[j + 1] = np.append(out[j + 1], own[:, None], axis=1)
         return out
 
 

@@ -169,6 +169,21 @@ def test_items_are_found_up_to_edits_and_clean_documents_are_not(spark, make_doc
     assert {r["doc_id"] for r in kept.collect()} == {i for i in by_id if not by_id[i]["contaminated"]} and "r1" in kept.columns
 
 
+def test_whole_short_items_are_found_wherever_their_longest_word_is(spark, make_docs, prose):
+    rows, items = [], []
+    for n in range(8, 12):
+        for at in range(n):
+            for k in range(6):
+                words = prose(f"short{n}.{at}.{k}", n).split()
+                words[at] = f"longestword{at}"
+                items.append((len(items), " ".join(words)))
+                before, after = prose(f"b{len(items)}", 20), prose(f"a{len(items)}", 20)
+                rows.append((len(rows), [f"{before} {items[-1][1]} {after}", items[-1][1]][k % 2]))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = {r["doc_id"]: r["items"] for r in decontaminate.flag_contaminated(make_docs(rows), bench).collect()}
+    assert [i for i in range(len(items)) if i not in found[i]] == []
+
+
 def test_no_items_or_no_documents(spark, make_docs, benchmark_rows):
     none = spark.createDataFrame([], "item_id long, text string")
     bench = spark.createDataFrame(benchmark_rows, "item_id long, text string")
