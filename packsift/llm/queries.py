@@ -8,7 +8,19 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packsift.llm import chunked_bpe, decontaminate, language, lines, near_duplicates, personal, repeated_phrases, token_counts, toxicity, vectors
+from packsift.llm import (
+    chunked_bpe,
+    decontaminate,
+    fill_in_middle,
+    language,
+    lines,
+    near_duplicates,
+    personal,
+    repeated_phrases,
+    token_counts,
+    toxicity,
+    vectors,
+)
 from packsift.llm.tables import documents, fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,3 +132,44 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = repeated_phrases.remove_recurring(documents(spark, sf_dir, "doc_id", "text"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query(
+    "op11_fill_in_middle",
+    r"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || doc_id::VARCHAR) AS digest FROM documents),
+units AS (
+  SELECT doc_id, text, regexp_extract_all(text, '[^\n]*\n|[^\n]+') AS lines,
+    ('0x' || digest[1:8])::BIGINT AS h1, ('0x' || digest[9:16])::BIGINT AS h2,
+    ('0x' || digest[17:24])::BIGINT AS h3, ('0x' || digest[25:32])::BIGINT AS h4
+  FROM docs),
+cuts AS (
+  SELECT doc_id, text, lines, len(lines) AS n,
+    least(h1 % (len(lines) + 1), h2 % (len(lines) + 1)) AS a, greatest(h1 % (len(lines) + 1), h2 % (len(lines) + 1)) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100 THEN 'plain'
+      WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM units),
+parts AS (
+  SELECT doc_id, text, n, form, array_to_string(lines[1:a], '') AS prefix, array_to_string(lines[a + 1:b], '') AS middle,
+    array_to_string(lines[b + 1:n], '') AS suffix
+  FROM cuts)
+SELECT doc_id, n, form,
+  CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM parts
+""",
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    examples = fill_in_middle.fill_in_middle(documents(spark, sf_dir, "doc_id", "text"))
+    text = fill_in_middle.restored(F.col("output"), F.col("form"))
+    return examples.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+        F.sha2(text.cast("binary"), 256).alias("restored_sha256"),
+    )
