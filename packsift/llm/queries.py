@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from packsift.functions.binding import let
 from packsift.llm import (
     chunked_bpe,
     decontaminate,
@@ -15,6 +16,7 @@ from packsift.llm import (
     language,
     lines,
     near_duplicates,
+    periodic_runs,
     personal,
     repeated_phrases,
     token_counts,
@@ -173,3 +175,40 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
         F.sha2(text.cast("binary"), 256).alias("restored_sha256"),
     )
+
+
+def _periodic_tail(doc_id: Column, text: Column) -> Column:
+    """The text of every tenth document with its words from the a-th on repeated with
+    period p, both drawn from the id; the other texts as they are."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def tail(words: Column, n: Column, a: Column, p: Column) -> Column:
+        word = lambda i: F.get(words, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int"))
+        return F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), word), " ")
+
+    def drawn(words: Column) -> Column:
+        n = F.size(words).cast("long")
+        found = let(g % n, lambda a: let(1 + F.floor((n - a) / (3 + g % 8)), lambda p: tail(words, n, a, p)))
+        return F.when(n > 0, found).otherwise(F.lit(""))
+
+    words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    return F.when(h % 10 == 0, let(words, drawn)).otherwise(text)
+
+
+@query("op12_periodic_runs")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text").withColumn("text", _periodic_tail(F.col("doc_id"), F.col("text")))
+    by_length = lambda r: F.struct(r["length"], -r["start"], -r["period"], r["start"].alias("at"), r["period"].alias("period"))
+    listed = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    found = periodic_runs.find_runs(docs).withColumn("longest", F.array_max(F.transform("runs", by_length)))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("longest.at").alias("start"),
+        F.col("longest.length").alias("length"),
+        F.col("longest.period").alias("period"),
+        F.expr("1000 * longest.length div longest.period").alias("exponent_milli"),
+        F.sha2(F.array_join(listed, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
