@@ -18,6 +18,7 @@ from packsift.llm import (
     near_duplicates,
     periodic_runs,
     personal,
+    piece_bpe,
     repeated_phrases,
     token_counts,
     toxicity,
@@ -212,3 +213,15 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(listed, "").cast("binary"), 256).alias("runs_sha256"),
         F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
     )
+
+
+@query("op13_piece_bpe")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    coded = piece_bpe.encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"), packed=True)
+    return coded.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
