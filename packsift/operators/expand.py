@@ -8,11 +8,12 @@ from pyspark.sql.window import Window
 
 from packsift.functions.paths import extension
 from packsift.functions.urls import inspector_url
-from packsift.operators.dedup import FILE_KEY, distinct_targets, file_index, within_scan_size, write_manifest
+from packsift.operators.dedup import FILE_KEY, within_scan_size
 from packsift.operators.scan import rules_reusable, scan
 from packsift.operators.skew import skew_safe_join
 from packsift.session import spread
 from packsift.settings import MAX_FINDINGS, MAX_PATH_BYTES, MAX_SCAN_SIZE
+from packsift.sources.content_store import ContentStore, stored_files
 
 
 def expand_findings(aliases: DataFrame, findings: DataFrame, weights: DataFrame | None = None) -> DataFrame:
@@ -77,13 +78,17 @@ def scan_package(files: DataFrame, rules: DataFrame, max_size: int = MAX_SCAN_SI
     """Deduplicate, scan each identity once, expand to every path.
 
     Content-only rules give equal results for equal identities in any package,
-    so identities are distinct over the whole corpus, not only per package.
+    so identities are distinct over the whole corpus, not only per package. The files
+    are stored by content first; with a store at hand, ``scan_stored`` is the rest.
     """
-    files = within_scan_size(files, max_size)
-    aliases = write_manifest(file_index(files))
-    targets = distinct_targets(files, aliases).select("identity", "ext", "content")
-    findings = scan(targets, rules, ["identity"])
-    return expand_findings(aliases, findings).select(*FILE_KEY, "check_id", "start_line", "end_line")
+    store, manifest = stored_files(within_scan_size(files, max_size))
+    return scan_stored(store, manifest, rules)
+
+
+def scan_stored(store: ContentStore, manifest: DataFrame, rules: DataFrame) -> DataFrame:
+    """Findings of the files of ``manifest``, whose content is in ``store`` and stays there."""
+    findings = scan(store.targets(wanted=manifest), rules, ["identity"])
+    return expand_findings(manifest, findings).select(*FILE_KEY, "check_id", "start_line", "end_line")
 
 
 def scan_by_distribution(files: DataFrame, rules: DataFrame, max_size: int = MAX_SCAN_SIZE) -> DataFrame:

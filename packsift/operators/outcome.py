@@ -69,12 +69,10 @@ def job_summary(outcomes: DataFrame) -> DataFrame:
     )
 
 
-def report_json(success: Sequence[str], error: Sequence[str], failed: Column, counters: Sequence[str]) -> Column:
+def report_json(success: Sequence[Column], error: Sequence[Column], failed: Column, counters: Column) -> Column:
     """Flat report text: success or error fields, plus the counters as a struct.
 
     Absent fields are left out by the JSON writer.
     """
-    reuse = F.struct(*counters).alias("scan_reuse")
-    return F.when(failed, F.to_json(F.struct(*error, reuse))).otherwise(
-        F.to_json(F.struct(*success, reuse))
-    )
+    reuse = counters.alias("scan_reuse")
+    return F.when(failed, F.to_json(F.struct(*error, reuse))).otherwise(F.to_json(F.struct(*success, reuse)))

@@ -16,6 +16,7 @@ from packsift.functions.identity import durable_language
 from packsift.operators.running import row_numbers, running_totals
 from packsift.operators.skew import skew_safe_join
 from packsift.schemas import FINDING, NAMESPACE, required_item
+from packsift.session import settle
 from packsift.settings import (
     AUDIT_EVERY,
     CACHE_BYTES,
@@ -26,6 +27,19 @@ from packsift.settings import (
 
 KEY = ["file_digest", "language"]
 MODES = ("off", "observe", "reuse")
+COUNTERS = [
+    "lookups",
+    "candidate_files",
+    "reused_files",
+    "reused_bytes",
+    "inserted_files",
+    "evicted_files",
+    "errors",
+    "validated_files",
+    "mismatched_files",
+    "engine_files",
+    "engine_bytes",
+]
 
 
 # -- keys and lookups ----------------------------------------------------------------
@@ -67,18 +81,19 @@ def decode(result: Column) -> Column:
     return F.when(F.coalesce(complete, F.lit(False)), findings)
 
 
-def exact_hits(targets: DataFrame, cache: DataFrame, key: str = "identity") -> DataFrame:
-    """Left join by key that trusts a result only when the bytes are equal.
+def exact_hits(contents: DataFrame, stored: DataFrame, entries: DataFrame) -> DataFrame:
+    """Entries ``(identity, result)`` whose stored bytes are those of the content.
 
-    Rows meet by the key and the hash of the content; the bytes are compared for these
-    candidates only. ``coalesce`` keeps that comparison from becoming a join key.
+    ``contents`` and ``stored`` are clustered by identity (content stores with equally
+    many buckets). Candidates are found on narrow rows, the identity holding the hash;
+    only their bytes are compared, bucket by bucket, and no content is moved: ``coalesce``
+    keeps the comparison from becoming a key of the join.
     """
-    digest = lambda rows: F.sha2(rows["content"].cast("binary"), 256)
-    stored = cache.select(F.col(key).alias("_k"), digest(cache).alias("_d"), F.col("content").alias("_c"), "result")
-    hashed = targets.withColumn("_h", digest(targets))
+    candidates = entries.join(contents.select("identity"), "identity", "left_semi").hint("shuffle_hash")
+    ours = contents.join(candidates.select("identity").hint("shuffle_hash"), "identity", "left_semi").select("identity", "content")
+    theirs = stored.join(candidates, "identity").select("identity", F.col("content").alias("_c"), "result").hint("merge")
     equal = F.coalesce(F.col("content") == F.col("_c"), F.lit(False))
-    same = (F.col(key) == F.col("_k")) & (F.col("_h") == F.col("_d")) & equal
-    return hashed.join(stored, same, "left").drop("_k", "_d", "_c", "_h")
+    return ours.join(theirs, "identity").where(equal).select("identity", "result")
 
 
 def without_revoked(rows: DataFrame, revocations: DataFrame) -> DataFrame:
@@ -124,11 +139,11 @@ def decide(
     rows = targets.withColumns({"lookups": looked_up, "candidate": candidate})
     if mode != "reuse":
         return rows.withColumns({"hit_no": F.lit(None).cast("bigint"), "reused": F.lit(False)})
-    counted = running_totals(rows, namespace, order, {"_hits": F.col("candidate").cast("int")})
-    hit_no = F.when(F.col("candidate"), F.col("_hits"))
-    return counted.withColumns(
-        {"hit_no": hit_no, "reused": F.col("candidate") & (hit_no % every != 0)}
-    ).drop("_hits")
+    # Only candidates are numbered; the others stay where they are.
+    rows = settle(rows, "looked-up")
+    numbered = row_numbers(rows.where("candidate"), namespace, order, "hit_no").withColumn("reused", F.col("hit_no") % every != 0)
+    others = rows.where("NOT candidate").withColumns({"hit_no": F.lit(None).cast("bigint"), "reused": F.lit(False)})
+    return numbered.unionByName(others)
 
 
 # -- comparing and storing -----------------------------------------------------------
@@ -211,25 +226,52 @@ def admit(
     return new_entries(storable(complete), cache, order, on)
 
 
-def counters(decisions: DataFrame, job: str = "pkg") -> DataFrame:
+def counters(decisions: DataFrame, evictions: DataFrame, job: str = "pkg") -> DataFrame:
     """Work counters per job from target decisions.
 
-    Expects lookups, candidate, reused, size, decode_error, validated,
-    mismatched, inserted and evicted on every target row.
+    Expects lookups, candidate, reused, size, decode_error, validated, mismatched and
+    inserted on every target row, and rows (job, evicted_files) for jobs whose new results
+    pushed old ones out.
     """
     flag = lambda name: F.count_if(F.col(name))
     pending = ~F.col("reused")
     size_if = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("size"))), F.lit(0))
-    return decisions.groupBy(job).agg(
+    counted = decisions.groupBy(job).agg(
         F.sum("lookups").alias("lookups"),
         flag("candidate").alias("candidate_files"),
         flag("reused").alias("reused_files"),
         size_if(F.col("reused")).alias("reused_bytes"),
         flag("inserted").alias("inserted_files"),
-        flag("evicted").alias("evicted_files"),
         flag("decode_error").alias("errors"),
         flag("validated").alias("validated_files"),
         flag("mismatched").alias("mismatched_files"),
         F.count_if(pending).alias("engine_files"),
         size_if(pending).alias("engine_bytes"),
     )
+    evicted = F.coalesce("evicted_files", F.lit(0).cast("bigint")).alias("evicted_files")
+    return counted.join(evictions, job, "left").select(job, *[evicted if c == "evicted_files" else F.col(c) for c in COUNTERS])
+
+
+def evictions(stored: DataFrame, inserted: DataFrame, max_entries: int = CACHE_ENTRIES, max_bytes: int = CACHE_BYTES, job: str = "pkg") -> tuple[DataFrame, DataFrame]:
+    """What a first-in-first-out bound on the table pushes out, entry after entry.
+
+    ``stored`` has (key columns, seq, size), ``inserted`` the same and the job that stores
+    each, all later in ``seq``; none is larger than the bound. Returns rows (job, evicted_files),
+    and the key columns of all that goes. What went after a job's last entry are the entries
+    that the running numbers up to there leave no room for: a count by number, and a rank
+    among the running sizes, so no entry is ever compared with another.
+    """
+    columns = [c for c in inserted.columns if c != job]
+    rows = stored.select(*columns, F.lit(None).cast(inserted.schema[job].dataType).alias(job)).unionByName(inserted.select(*columns, job))
+    placed = settle(running_totals(rows, [], [F.col("seq")], {"_n": F.lit(1), "_b": F.col("size")}), "placed")
+    ends = placed.where(F.col(job).isNotNull()).groupBy(job).agg(F.max("_n").alias("_n"), F.max("_b").alias("_b"))
+    by_size = placed.select((F.col("_b") - F.col("size")).alias("_at"), F.lit(1).alias("_one"), F.lit(None).cast(inserted.schema[job].dataType).alias(job), F.col("_n"))
+    asked = ends.select((F.col("_b") - max_bytes).alias("_at"), F.lit(0).alias("_one"), job, "_n")
+    ranked = running_totals(by_size.unionByName(asked), [], [F.col("_at"), F.col("_one")], {"_r": F.col("_one")}).where(F.col(job).isNotNull())
+    gone = ranked.select(job, F.greatest(F.col("_n") - max_entries, "_r", F.lit(0)).alias("_gone"), "_n")
+    numbered = settle(row_numbers(gone, [], [F.col("_n")], "_j"), "gone")
+    before = numbered.select((F.col("_j") + 1).alias("_j"), F.col("_gone").alias("_before"))
+    per_job = numbered.join(before, "_j", "left").select(job, (F.col("_gone") - F.coalesce("_before", F.lit(0))).cast("bigint").alias("evicted_files"))
+    total = numbered.agg(F.coalesce(F.max("_gone"), F.lit(0)).alias("_total"))
+    out = placed.join(F.broadcast(total), F.col("_n") <= F.col("_total")).select(*[c for c in columns if c not in ("seq", "size")])
+    return per_job, out

@@ -1,9 +1,9 @@
-"""Whole scan runs with result reuse.
+"""Reuse of stored results without keeping any; ``job_run`` is the whole run.
 
 Inputs shared by the runs:
 
-files     rows with content
-index     their alias rows with identity, as a stored manifest
+store     the content of all files, clustered by identity
+index     alias rows with identity, the manifest that ``store.add`` returned
 known     identities with a stored result
 stored    their stored findings (identity, check_id, start_line, end_line)
 """
@@ -13,12 +13,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packsift.operators.dedup import distinct_targets
 from packsift.operators.reuse import decide, mismatched_keys
 from packsift.operators.scan import scan
 from packsift.operators.skew import skew_safe_join
 from packsift.session import settle
 from packsift.settings import AUDIT_EVERY
+from packsift.sources.content_store import ContentStore
 
 _ITEM = ["check_id", "start_line", "end_line"]
 
@@ -34,30 +34,8 @@ def _with_known(index: DataFrame, known: DataFrame) -> DataFrame:
     )
 
 
-def observe(files: DataFrame, index: DataFrame, rules: DataFrame, known: DataFrame, stored: DataFrame) -> DataFrame:
-    """Scan everything, compare with what is stored; fresh results always win.
-
-    Returns per package: lookups, candidates, mismatched targets and findings.
-    """
-    fresh = settle(scan(distinct_targets(files, index), rules, ["identity"]), "findings")
-    again = fresh.join(known.select("identity"), "identity", "left_semi")
-    differing = mismatched_keys(stored, again, ["identity"], _ITEM).withColumn("_differs", F.lit(True))
-    per_target = fresh.groupBy("identity").agg(F.count("*").alias("_findings"))
-    # One narrow row per identity carries everything the package totals need.
-    facts = known.select("identity", F.lit(True).alias("_known")).join(differing, "identity", "left").join(
-        per_target, "identity", "full"
-    )
-    joined = skew_safe_join(package_targets(index), facts, ["identity"], "left", spread=["pkg"], weights=index)
-    return joined.groupBy("pkg").agg(
-        F.count("*").alias("lookups"),
-        F.count_if("_known").alias("candidate_files"),
-        F.count_if("_differs").alias("mismatched_files"),
-        F.coalesce(F.sum(F.col("aliases") * F.col("_findings")), F.lit(0)).alias("findings"),
-    )
-
-
 def apply(
-    files: DataFrame,
+    store: ContentStore,
     index: DataFrame,
     rules: DataFrame,
     known: DataFrame,
@@ -76,7 +54,7 @@ def apply(
     sampled = audited.select("identity").distinct()
     # What is not reused contains every audited target: one scan serves both.
     pending = decisions.where(~F.col("reused")).select("identity").distinct()
-    scanned = settle(scan(distinct_targets(files, index, wanted=pending), rules, ["identity"]), "findings")
+    scanned = settle(scan(store.targets(wanted=pending), rules, ["identity"]), "findings")
     checked = scanned.join(sampled, "identity", "left_semi")
     expected = stored.join(sampled, "identity", "left_semi")
     wrong = mismatched_keys(expected, checked, ["identity"], _ITEM)
@@ -94,7 +72,7 @@ def apply(
     more = final.where(~F.col("reused")).select("identity").distinct().join(pending, "identity", "left_anti")
     fresh = scanned
     if stop is not None:
-        fresh = scanned.unionByName(scan(distinct_targets(files, index, wanted=more), rules, ["identity"]))
+        fresh = scanned.unionByName(scan(store.targets(wanted=more), rules, ["identity"]))
     results = stored.select("identity", *_ITEM, F.lit(True).alias("reused")).unionByName(
         fresh.select("identity", *_ITEM, F.lit(False).alias("reused"))
     )

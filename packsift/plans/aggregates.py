@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packsift.functions.paths import basename
@@ -20,17 +20,13 @@ from packsift.operators.outcome import (
     job_outcomes,
     job_summary,
     partial_reasons,
-    report_json,
 )
-from packsift.operators.reuse import counters, decide, decode, mismatched_keys
-from packsift.operators.runs import package_targets
+from packsift.operators.reuse import mismatched_keys
 from packsift.operators.scan import rules_reusable
-from packsift.operators.skew import skew_safe_join
 from packsift.plans.catalog import query
 from packsift.plans.corpus import Corpus
 from packsift.plans.joins import STORED
-from packsift.plans.views import CACHED, ENTRIES, FINDINGS, INDEX, entries, files, table, warnings
-from packsift.session import settle
+from packsift.plans.views import ENTRIES, FINDINGS, INDEX, entries, files, table, warnings
 from packsift.settings import ArchiveLimits
 
 TEST_LIMITS = ArchiveLimits(entries=6, scan_size=100_000, expanded_size=400_000)
@@ -104,86 +100,6 @@ def agg_partial_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partial_reasons(warnings(spark, sf_dir), "job", [F.col("seq")], "warning")
 
 
-@query(
-    "agg_reuse_counters",
-    f"""WITH {STORED}, looked AS (
-  SELECT DISTINCT i.pkg, i.identity, i.size, k.identity IS NOT NULL AS stored, coalesce(k.bad, FALSE) AS decode_error
-  FROM index i LEFT JOIN (SELECT identity, min(quality) = 0 AS bad FROM cached GROUP BY identity) k USING (identity)),
-numbered AS (
-  SELECT *, stored AND NOT decode_error AS candidate,
-    CASE WHEN stored AND NOT decode_error THEN row_number() OVER (PARTITION BY stored AND NOT decode_error ORDER BY pkg, identity) END AS hit_no
-  FROM looked),
-d AS (
-  SELECT *, coalesce(candidate AND hit_no % 10 <> 0, FALSE) AS reused,
-    identity IN (SELECT f.identity FROM findings f JOIN known USING (identity) WHERE poisoned = 1) AS differs FROM numbered)
-SELECT pkg, count(*) AS lookups, count_if(candidate) AS candidate_files, count_if(reused) AS reused_files,
-  CAST(coalesce(sum(size) FILTER (reused), 0) AS BIGINT) AS reused_bytes, count_if(NOT stored) AS inserted_files,
-  0 AS evicted_files, count_if(decode_error) AS errors, count_if(candidate AND NOT reused) AS validated_files,
-  count_if(candidate AND NOT reused AND differs) AS mismatched_files, count_if(NOT reused) AS engine_files,
-  CAST(coalesce(sum(size) FILTER (NOT reused), 0) AS BIGINT) AS engine_bytes
-FROM d GROUP BY pkg""",
-)
-def agg_reuse_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counters of a reuse run; low-quality content was stored in a broken form."""
-    corpus = Corpus(spark, sf_dir)
-    stored = corpus.cached.groupBy("identity").agg(
-        F.when(F.min("quality") == 0, F.lit("[{")).otherwise(F.lit("[]")).alias("text")
-    )
-    differing = mismatched_keys(
-        corpus.stored, corpus.fresh_of_known, ["identity"], ["check_id", "start_line"]
-    ).withColumn("differs", F.lit(True))
-    # One narrow row per identity first, then a single salted join to the targets.
-    facts = stored.join(differing, "identity", "left")
-    looked_up = skew_safe_join(
-        package_targets(corpus.index), facts, ["identity"], "left", spread=["pkg"], weights=corpus.index
-    ).withColumn("result", decode(F.col("text")))
-    decisions = decide(looked_up, "reuse", [F.col("pkg"), F.col("identity")], every=10)
-    validated = F.col("candidate") & ~F.col("reused")
-    return counters(
-        decisions.withColumns(
-            {
-                "decode_error": F.col("text").isNotNull() & F.col("result").isNull(),
-                "validated": validated,
-                "mismatched": validated & F.coalesce("differs", F.lit(False)),
-                "inserted": F.col("text").isNull(),
-                "evicted": F.lit(False),
-            }
-        )
-    )
-
-
-@query(
-    "sink_reuse_stats",
-    f"""WITH {INDEX}, {CACHED}, looked AS (
-  SELECT DISTINCT pkg, identity, size, identity IN (SELECT identity FROM cached) AS stored FROM index)
-SELECT pkg, count(*) AS lookups, count_if(stored) AS candidate_files, count_if(NOT stored) AS inserted_files,
-  count_if(stored) AS validated_files, count(*) AS engine_files, CAST(sum(size) AS BIGINT) AS engine_bytes
-FROM looked GROUP BY pkg""",
-)
-def sink_reuse_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counter rows of an observe run, written and read back."""
-    corpus = Corpus(spark, sf_dir)
-    known = corpus.known.withColumn("result", F.lit("[]"))
-    looked_up = skew_safe_join(
-        package_targets(corpus.index), known, ["identity"], "left", spread=["pkg"], weights=corpus.index
-    )
-    decisions = decide(looked_up, "observe", [])
-    stats = counters(
-        decisions.withColumns(
-            {
-                "decode_error": F.lit(False),
-                "validated": F.col("candidate"),
-                "mismatched": F.lit(False),
-                "inserted": ~F.col("candidate"),
-                "evicted": F.lit(False),
-            }
-        )
-    )
-    return settle(stats, "stats").select(
-        "pkg", "lookups", "candidate_files", "inserted_files", "validated_files", "engine_files", "engine_bytes"
-    )
-
-
 @query(
     "agg_rules_reusable",
     """WITH r AS (SELECT conv_id AS snapshot, turn <> 7 AND role <> 'system' AND NOT contains(text, 'ß') AS plain FROM conversations)
@@ -298,52 +214,3 @@ def agg_job_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def agg_job_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return job_summary(outcomes(Corpus(spark, sf_dir)))
-
-
-def _constant(value: str, name: str) -> Column:
-    return F.lit(value).alias(name)
-
-
-@query(
-    "sink_reports",
-    f"""WITH {OUTCOMES}, lists AS (
-  SELECT pkg, list({{'path': path, 'check_id': check_id, 'start_line': start_line}} ORDER BY path, check_id, start_line) AS findings
-  FROM index JOIN findings USING (identity) GROUP BY pkg),
-reuse AS (SELECT pkg, count(DISTINCT identity) AS lookups FROM index GROUP BY pkg)
-SELECT pkg, CASE WHEN status = 'error'
-  THEN '{{"name":"' || pkg || '","version":"1.0","attempt":1,"assignment_id":"lease-' || pkg || '","duration_ms":0,"reason":' || to_json(reason)
-  ELSE '{{"name":"' || pkg || '","version":"1.0","attempt":1,"assignment_id":"lease-' || pkg || '","commit":"rules-new","duration_ms":0,"findings":'
-    || coalesce(CAST(to_json(findings) AS VARCHAR), '[]') || coalesce(',"partial_reason":' || to_json(partial_reason), '') END
-  || ',"scan_reuse":{{"scanner":"text","mode":"observe","lookups":' || lookups || '}}}}' AS report
-FROM outcomes LEFT JOIN lists USING (pkg) JOIN reuse USING (pkg)""",
-)
-def sink_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flat report text per job, written and read back."""
-    order = ["path", "check_id", "start_line"]
-    corpus = Corpus(spark, sf_dir)
-    lists = gather_findings(corpus.expanded, ["pkg"], order)
-    lookups = package_counts(corpus.index).select("pkg", F.col("unique_targets").alias("lookups"))
-    joined = outcomes(corpus).join(lists, "pkg", "left").join(lookups, "pkg")
-    reason = F.coalesce(
-        F.col("reason"), F.when(F.col("over_limit"), F.lit("scan produced more than 500 findings"))
-    )
-    empty = F.array().cast("array<struct<path:string,check_id:string,start_line:bigint>>")
-    shared = [
-        F.col("pkg").alias("name"),
-        _constant("1.0", "version"),
-        F.lit(1).alias("attempt"),
-        F.concat(F.lit("lease-"), F.col("pkg")).alias("assignment_id"),
-    ]
-    report = report_json(
-        success=[
-            *shared,
-            _constant("rules-new", "commit"),
-            F.lit(0).alias("duration_ms"),
-            F.coalesce("items", empty).alias("findings"),
-            F.col("partial_reason"),
-        ],
-        error=[*shared, F.lit(0).alias("duration_ms"), reason.alias("reason")],
-        failed=reason.isNotNull(),
-        counters=[_constant("text", "scanner"), _constant("observe", "mode"), F.col("lookups")],
-    )
-    return settle(joined.select("pkg", report.alias("report")), "reports")

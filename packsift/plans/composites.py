@@ -5,18 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packsift.operators.dedup import FILE_KEY, bounded_groups, distinct_targets, target_ids
+from packsift.operators.dedup import FILE_KEY
 from packsift.operators.expand import findings_per_group, gather_findings, scan_by_distribution, scan_corpus, scan_package
 from packsift.operators.reuse import KEY, admit, lookup, new_entries, with_durable_key, without_revoked
-from packsift.operators.runs import apply, observe
-from packsift.operators.scan import scan, scanned_targets
+from packsift.operators.runs import apply
+from packsift.operators.scan import scanned_targets
 from packsift.operators.skew import skew_safe_join
 from packsift.plans.catalog import query
 from packsift.plans.corpus import Corpus
 from packsift.plans.joins import STORED
 from packsift.plans.sources import SEED, keys, seed_cache
 from packsift.plans.views import CACHED, FINDINGS, INDEX, RULES, files, rules
-from packsift.plans.windows import TARGET_IDS
 from packsift.schemas import NAMESPACE
 
 _LANGUAGE_OK = (
@@ -68,20 +67,6 @@ def q_scan_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-@query(
-    "q_reuse_observe",
-    f"""WITH {STORED}, t AS (SELECT pkg, identity, count(*) AS aliases FROM index GROUP BY pkg, identity),
-n AS (SELECT identity, count(*) AS findings FROM findings GROUP BY identity)
-SELECT pkg, count(*) AS lookups, count_if(poisoned IS NOT NULL) AS candidate_files,
-  count_if(poisoned = 1 AND findings IS NOT NULL) AS mismatched_files,
-  CAST(coalesce(sum(aliases * findings), 0) AS BIGINT) AS findings
-FROM t LEFT JOIN known USING (identity) LEFT JOIN n USING (identity) GROUP BY pkg""",
-)
-def q_reuse_observe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = Corpus(spark, sf_dir)
-    return observe(c.files, c.index, c.rules, c.known, c.stored)
-
-
 @query(
     "q_reuse_apply",
     f"""WITH {STORED}, t AS (SELECT DISTINCT pkg, identity FROM index),
@@ -101,7 +86,7 @@ FROM j LEFT JOIN (SELECT i.pkg, path, check_id, start_line FROM r JOIN index i U
 def q_reuse_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Jobs with their findings; poisoned results make audits fail."""
     c = Corpus(spark, sf_dir)
-    found, jobs = apply(c.files, c.index, c.rules, c.known, c.stored, every=5)
+    found, jobs = apply(c.store, c.index, c.rules, c.known, c.stored, every=5)
     return jobs.join(found.select("pkg", "path", "check_id", "start_line"), "pkg", "left")
 
 

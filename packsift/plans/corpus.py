@@ -11,11 +11,12 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packsift.operators.dedup import distinct_targets, file_index, write_manifest
+from packsift.operators.dedup import file_index, write_manifest
 from packsift.operators.expand import expand_findings
 from packsift.operators.scan import scan_regex
 from packsift.plans.views import files, rules, table
 from packsift.session import settle
+from packsift.sources.content_store import ContentStore, stored_files
 
 
 class Corpus:
@@ -30,6 +31,11 @@ class Corpus:
         """Stored alias rows."""
         return write_manifest(file_index(self.files))
 
+    @cached_property
+    def store(self) -> ContentStore:
+        """The content of all files, clustered by identity."""
+        return stored_files(self.files, self.index)[0]
+
     @cached_property
     def identities(self) -> DataFrame:
         return self.index.select("identity", "sha256", "size", "ext").distinct()
@@ -37,7 +43,7 @@ class Corpus:
     @cached_property
     def targets(self) -> DataFrame:
         """One row with content per identity."""
-        return distinct_targets(self.files, self.index)
+        return self.store.targets()
 
     @cached_property
     def findings(self) -> DataFrame:

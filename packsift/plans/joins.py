@@ -22,6 +22,7 @@ from packsift.plans.catalog import query
 from packsift.plans.corpus import Corpus
 from packsift.plans.views import CACHED, FINDINGS, INDEX, rules, table
 from packsift.session import settle
+from packsift.sources.content_store import stored_files
 
 
 @query(
@@ -56,23 +57,17 @@ def join_inspector(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "join_cache_exact",
-    f"""WITH {FINDINGS}, {CACHED},
-stored AS (SELECT size, ext, min(sha256) AS sha256 FROM cached GROUP BY size, ext)
-SELECT identity, EXISTS (SELECT 1 FROM stored s WHERE s.size = targets.size AND s.ext IS NOT DISTINCT FROM targets.ext
-  AND s.sha256 = targets.sha256) AS hit FROM targets""",
+    f"""WITH {FINDINGS}, {CACHED}
+SELECT identity, EXISTS (SELECT 1 FROM cached c WHERE c.size = targets.size AND c.ext IS NOT DISTINCT FROM targets.ext
+  AND c.content = targets.content) AS hit FROM targets""",
 )
 def join_cache_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A weak key (size and extension) finds candidates; bytes decide."""
-    weak_key = F.concat_ws(":", F.col("size").cast("string"), F.coalesce("ext", F.lit("-"))).alias("weak_key")
+    """Stored files of an earlier run, whole: bytes decide what is a hit."""
     corpus = Corpus(spark, sf_dir)
-    chosen = corpus.cached.groupBy(weak_key).agg(F.min(F.struct("sha256", *FILE_KEY)).alias("_c"))
-    stored = (
-        chosen.select("weak_key", "_c.*")
-        .join(corpus.files.select(*FILE_KEY, "content"), FILE_KEY)
-        .select("weak_key", "content", F.lit("[]").alias("result"))
-    )
-    candidates = corpus.targets.select("identity", "content", weak_key)
-    return exact_hits(candidates, stored, "weak_key").select("identity", F.col("result").isNotNull().alias("hit"))
+    earlier, _ = stored_files(corpus.files.join(corpus.cached.select(*FILE_KEY), FILE_KEY, "left_semi"), corpus.cached)
+    entries = corpus.known.withColumn("result", F.lit("[]"))
+    hits = exact_hits(corpus.targets, earlier.contents, entries)
+    return corpus.identities.join(hits, "identity", "left").select("identity", F.col("result").isNotNull().alias("hit"))
 
 
 @query(

@@ -149,8 +149,8 @@ SELECT conv_id, turn, CASE WHEN error IS NULL THEN role END AS rule_id,
   CASE WHEN error IS NULL THEN role || '/' || conv_id || '.py' END AS path,
   CASE WHEN error IS NULL THEN turn + 1 END AS start_line, CASE WHEN error IS NULL THEN turn + 2 END AS end_line,
   CASE WHEN error IS NULL THEN text END AS message, CASE WHEN error IS NULL THEN 'INFO' END AS severity,
-  CASE WHEN error IS NULL THEN 'composition' END AS evidence, CASE WHEN error IS NULL THEN 'high' END AS confidence,
-  CASE WHEN error IS NULL THEN 'runtime' END AS execution_context,
+  CASE WHEN error IS NULL THEN 'one line' END AS evidence, CASE WHEN error IS NULL THEN 'medium' END AS confidence,
+  CASE WHEN error IS NULL THEN 'any' END AS execution_context,
   CASE WHEN error IS NULL THEN 'https://inspector.example/p/' || role || '/' || conv_id || '.py' END AS inspector_url, error
 FROM n""",
 )

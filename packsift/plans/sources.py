@@ -120,9 +120,9 @@ def matcher_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("text").alias("message"),
             F.lit("INFO").alias("severity"),
             F.struct(
-                F.lit("composition").alias("evidence"),
-                F.lit("high").alias("confidence"),
-                F.lit("runtime").alias("execution_context"),
+                F.lit("one line").alias("evidence"),
+                F.lit("medium").alias("confidence"),
+                F.lit("any").alias("execution_context"),
             ).alias("metadata"),
         ).alias("extra"),
     )

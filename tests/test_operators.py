@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from packsift.operators.admission import until_first_timeout
-from packsift.operators.dedup import distinct_targets, file_index, package_counts, target_ids, write_manifest
+from packsift.operators.dedup import file_index, package_counts, target_ids, write_manifest
 from packsift.operators.digest import engine_digest, rules_digest
 from packsift.operators.expand import (
     findings_per_group,
@@ -22,7 +22,7 @@ from packsift.operators.expand import (
 from packsift.operators.outcome import partial_reasons
 from packsift.operators.reuse import admit, audit_hits, decide, fifo_retention, lookup, mismatched_keys, new_entries
 from packsift.operators.running import running_totals
-from packsift.operators.runs import apply, observe
+from packsift.operators.runs import apply
 from packsift.operators.scan import (
     rule_batches,
     rules_reusable,
@@ -36,6 +36,7 @@ from packsift.plans import views
 from packsift.schemas import JOB, RULE
 from packsift.settings import ArchiveLimits
 from packsift.sources.archives import expand_archives
+from packsift.sources.content_store import stored_files
 from packsift.sources.documents import parse_documents, raw_findings, warnings
 from packsift.sources.files import walk
 from packsift.sources.jobs import complete_jobs, explode_rules, fetch_archives, lease, read_archive_files, read_jobs, read_snapshot
@@ -45,7 +46,7 @@ TWIN = "import twin\n"
 
 
 def rule(check_id, pattern, kind="regex", languages=None, path=None):
-    return (check_id, kind, pattern, languages, path, "m", "ERROR", "composition", "high", "import_time")
+    return (check_id, kind, pattern, languages, path, "m", "ERROR", "one line", "medium", "any")
 
 
 def rules(spark, *rows):
@@ -336,27 +337,25 @@ def test_multisets_count_repeats(spark):
 
 def run_inputs(spark, contents, pkg="test"):
     files = spark.createDataFrame([(pkg, 0, f"{n}.py", c) for n, c in enumerate(contents)], FILES)
-    index = write_manifest(file_index(files))
-    return files, index, rules(spark, rule("x.eval", r"eval\("))
+    store, index = stored_files(files)
+    return store, index, rules(spark, rule("x.eval", r"eval\("))
 
 
 def test_poisoned_cache(spark):
-    """Two files with findings stored as clean: observing counts both, reusing fails the job."""
-    files, index, corpus = run_inputs(spark, ["eval(a)\n", "b = eval(b)\n"])
+    """Two files with findings stored as clean: reusing one fails the job."""
+    store, index, corpus = run_inputs(spark, ["eval(a)\n", "b = eval(b)\n"])
     known = index.select("identity").distinct()
     stored = spark.createDataFrame([], "identity string, check_id string, start_line bigint, end_line bigint")
-    seen = observe(files, index, corpus, known, stored).first()
-    assert (seen.candidate_files, seen.mismatched_files, seen.findings) == (2, 2, 2)
-    findings, jobs = apply(files, index, corpus, known, stored, every=2)
+    findings, jobs = apply(store, index, corpus, known, stored, every=2)
     job = jobs.first()
     assert job.failed and job.reused_files == 1 and findings.isEmpty()
 
 
 def test_honest_cache_is_reused(spark):
-    files, index, corpus = run_inputs(spark, ["eval(a)\n", "c = 3\n"])
+    store, index, corpus = run_inputs(spark, ["eval(a)\n", "c = 3\n"])
     known = index.select("identity").distinct()
-    stored = scan(distinct_targets(files, index), corpus, ["identity"])
-    findings, jobs = apply(files, index, corpus, known, stored)
+    stored = scan(store.targets(), corpus, ["identity"])
+    findings, jobs = apply(store, index, corpus, known, stored)
     job = jobs.first()
     assert (job.reused_files, job.engine_files, job.failed) == (2, 0, False)
     assert [(r.path, r.check_id) for r in findings.collect()] == [("0.py", "x.eval")]
