@@ -64,6 +64,39 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
         yield tag >> 3, value
 
 
+class KeyTable:
+    """Finds places of distinct keys (not negative) by hash, many in one call."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = max(8, (4 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), np.int64((1 << bits) - 1)
+        self.keys, self.places = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int64)
+        left, slot = np.arange(len(keys)), self._slot(keys)
+        while len(left):
+            free = self.keys[slot] < 0
+            _, first = np.unique(slot[free], return_index=True)
+            put = np.flatnonzero(free)[first]
+            self.keys[slot[put]], self.places[slot[put]] = keys[left[put]], left[put]
+            rest = np.ones(len(left), bool)
+            rest[put] = False
+            left, slot = left[rest], (slot[rest] + 1) & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, -1 for one that is not there."""
+        slot, left = self._slot(keys), np.arange(len(keys))
+        out = np.full(len(keys), -1, np.int64)
+        while len(left):
+            seen, asked = self.keys[slot], keys[left]
+            same = seen == asked
+            out[left[same]] = self.places[slot[same]]
+            on = ~same & (seen >= 0)
+            left, slot = left[on], (slot[on] + 1) & self.mask
+        return out
+
+
 class PieceModel:
     """Tables of a model: which pairs of symbols merge into what and in which order, and
     which characters may stand side by side. A symbol is the id of a piece, or for a
@@ -105,23 +138,21 @@ class PieceModel:
                     pairs[left * int(self.bound) + right] = i
         if any(key & 0x1FFFFF == ord(SPACE) and key >> 21 != ord(SPACE) for key in beside):
             raise ValueError("a piece goes on behind a space")
-        self.pairs = np.array(sorted(pairs), np.int64)
-        self.merged = np.array([pairs[k] for k in self.pairs.tolist()], np.int64)
+        self.pairs = KeyTable(np.array([*pairs], np.int64))
+        self.merged = np.array([*pairs.values()], np.int64)
         self.order = order[self.merged]
-        self.beside = np.array(sorted(beside), np.int64)
-        self.table = {k: (int(o), m) for k, o, m in zip(self.pairs.tolist(), self.order.tolist(), self.merged.tolist(), strict=True)}
+        self.beside = KeyTable(np.array([*beside], np.int64))
+        self.table = {k: (int(o), m) for (k, m), o in zip(pairs.items(), self.order.tolist(), strict=True)}
 
     def look_up(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Order of the merge of each pair, and the piece it makes; no merge: ``_NONE``."""
         keys = left * self.bound + right
-        at = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
-        found = self.pairs[at] == keys
-        return np.where(found, self.order[at], _NONE), self.merged[at]
+        at = self.pairs.find(keys)
+        return np.where(at >= 0, self.order[at], _NONE), self.merged[at]
 
     def side_by_side(self, characters: np.ndarray) -> np.ndarray:
         keys = (characters[:-1].astype(np.int64) << 21) | characters[1:]
-        at = np.minimum(np.searchsorted(self.beside, keys), len(self.beside) - 1)
-        return self.beside[at] == keys
+        return self.beside.find(keys) >= 0
 
 
 def merge_by_merge(model: PieceModel, symbols: list[int]) -> list[tuple[int, int]]:
@@ -231,9 +262,9 @@ class PieceCoder:
         self.kind = np.dtype("<u2" if self.model.size <= 1 << 16 else "<u4")
         self.kept: dict[str, bytes] = {}
 
-    def _encode(self, words: list[str]) -> Iterator[bytes]:
+    def _encode(self, words: list[str], size: np.ndarray) -> Iterator[bytes]:
         model = self.model
-        first = np.cumsum([0, *map(len, words)])
+        first = np.concatenate([[0], np.cumsum(size)])
         characters = np.frombuffer("".join(words).replace(" ", SPACE).encode("utf-32-le"), np.uint32)
         out = merge_rounds(model, characters, first[:-1])
         at = np.flatnonzero(out >= 0)
@@ -256,20 +287,17 @@ class PieceCoder:
         new = [w for w in wanted if w not in self.kept]
         if len(self.kept) + len(new) > KEPT_WORDS:
             self.kept, new = {}, list(wanted)
-        found: dict[str, bytes] = {}
+        size = np.fromiter(map(len, new), np.int64, len(new))
+        ends = np.cumsum(size)
         at = 0
         while at < len(new):
-            to, total = at, 0
-            while to < len(new) and (to == at or total + len(new[to]) <= TOGETHER):
-                total += len(new[to])
-                to += 1
-            found.update(zip(new[at:to], self._encode(new[at:to]), strict=True))
+            before = int(ends[at] - size[at])
+            to = max(at + 1, int(np.searchsorted(ends, before + TOGETHER, "right")))
+            self.kept.update(zip(new[at:to], self._encode(new[at:to], size[at:to]), strict=True))
             at = to
-        self.kept.update(found)
         ids = [b"".join(map(self.kept.__getitem__, words)) for words in split]
-        for word in found:
-            if len(word) > KEPT_CHARACTERS:
-                del self.kept[word]
+        for i in np.flatnonzero(size > KEPT_CHARACTERS).tolist():
+            del self.kept[new[i]]
         return ids
 
 
