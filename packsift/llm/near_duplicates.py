@@ -10,7 +10,8 @@ arrays of shingle hashes.
 
 First each class is compared with one leader of each of its tiles, in a few rounds with other
 leaders, which joins groups of near copies with as many comparisons as they have members.
-Then only pairs that are not joined yet are looked at, in tiles whose key may be the first that they share.
+What was joined carries one label, passed on along a round's links; components are computed once, at the end.
+Then only pairs with different labels are looked at, in tiles whose key may be the first that they share.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ _SIGNATURE = [f"s{i}" for i in range(WORDS)]
 #: Larger sets carry a finer signature too, of some two bits for each shingle.
 COARSE = 1000
 #: Rounds of comparing with leaders before pairs are looked at.
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
 
 
 class Shingler:
@@ -279,10 +280,18 @@ def linked_classes(candidates: DataFrame, text: DataFrame, shingle_words: int, p
     ``candidates`` is a written table, one row per class. The shingles of the few classes that
     the bounds leave are taken from the texts again, so the others are never moved.
     """
-    slim = settle(candidates.select("cls", "half", "n", *_SIGNATURE), "signatures")
+    slim = candidates.select("cls", "half", "n", *_SIGNATURE)
     # Two sets of one link have bands that are equal or neighbours.
     band = F.floor(F.log("n") / math.log(100 / percent) + 1e-9).cast("int")
-    keyed = settle(candidates.select("cls", "n", F.inline("keys")).withColumn("band", band), "tiles")
+
+    def tiles(labels: DataFrame | None) -> DataFrame:
+        """A row for each class and key, with the class's label."""
+        named = candidates.select("cls", "n", "keys")
+        if labels is None:
+            named = named.withColumn("label", F.col("cls"))
+        else:
+            named = named.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+        return named.select("cls", "n", "label", band.alias("band"), F.inline("keys"))
 
     def checked(pairs: DataFrame) -> DataFrame:
         side = F.struct("half", "n", *_SIGNATURE)
@@ -312,22 +321,26 @@ def linked_classes(candidates: DataFrame, text: DataFrame, shingle_words: int, p
         )
         return full.select("a", "b", "ha", "hb").mapInArrow(_verify(percent), "a binary, b binary")
 
-    # Stars: every class of a tile with one leader, another one in each round, as long as they are
-    # not joined. What a round joins need not be compared pair by pair.
-    links, roots = None, None
+    # Stars: every class of a tile with the tile's leader, the one whose label is first in an order
+    # of chance. What a round joins gets one label, and need not be compared pair by pair.
+    links, labels = None, None
     for number in range(STAR_ROUNDS):
-        named = keyed.withColumn("root", F.col("cls")) if roots is None else keyed.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-        drawn = F.struct(F.xxhash64("cls", F.lit(number)).alias("h"), "cls", "root")
-        leads = named.groupBy("key", "band").agg(F.min(drawn).alias("lead"), F.min("root").alias("lo"), F.max("root").alias("hi")).where(F.col("lo") != F.col("hi"))
-        stars = named.join(leads.select("key", "band", "lead"), ["key", "band"]).where(F.col("root") != F.col("lead.root"))
+        rows = tiles(labels)
+        drawn = F.struct(F.xxhash64(F.lit(number), "label").alias("h"), "label", "cls")
+        leads = rows.groupBy("key", "band").agg(F.min(drawn).alias("lead"), F.max(drawn["label"]).alias("hi"), F.min(drawn["label"]).alias("lo"))
+        leads = leads.where(F.col("lo") != F.col("hi")).select("key", "band", "lead")
+        stars = rows.join(leads, ["key", "band"]).where(F.col("label") != F.col("lead.label"))
         found = settle(checked(stars.select(F.col("lead.cls").alias("a"), F.col("cls").alias("b"))), "links")
         links = found if links is None else links.unionByName(found)
-        roots = connected(links).withColumnRenamed("node", "cls")
-    # Tiles with more than one component, with the band above as the other side.
-    placed = settle(keyed.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls")), "tiles")
-    reach = placed.select("key", "root", F.explode(F.array("band", F.col("band") - 1)).alias("band"))
-    mixed = reach.groupBy("key", "band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where(F.col("lo") != F.col("hi")).select("key", "band")
-    signed = placed.join(slim.drop("n", "half"), "cls")
+        labels = settle(_relabelled(found, labels, number), "labels")
+    # Tiles with more than one label, with the band above as the other side.
+    rows = tiles(labels)
+    reach = rows.select("key", "label", F.explode(F.array("band", F.col("band") - 1)).alias("band"))
+    mixed = reach.groupBy("key", "band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where(F.col("lo") != F.col("hi")).select("key", "band")
+    mixed = settle(mixed, "mixed")
+    # Signatures are fetched for the rows of such tiles only.
+    met = rows.join(mixed.select("key").distinct(), "key", "left_semi")
+    signed = settle(met.join(slim.drop("n", "half"), "cls"), "tiles")
     left = signed.join(mixed, ["key", "band"], "left_semi").alias("x")
     right = signed.withColumn("band", F.explode(F.array("band", F.col("band") - 1))).join(mixed, ["key", "band"], "left_semi").alias("y")
     smaller = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.cls") < F.col("y.cls")))
@@ -336,11 +349,33 @@ def linked_classes(candidates: DataFrame, text: DataFrame, shingle_words: int, p
     behind = (100 + percent) * left_over >= percent * (F.col("x.n") + F.col("y.n"))
     pairs = left.join(
         right,
-        (F.col("x.key") == F.col("y.key")) & (F.col("x.band") == F.col("y.band")) & smaller & (F.col("x.root") != F.col("y.root")) & behind & _possible(percent, "x", "y"),
+        (F.col("x.key") == F.col("y.key")) & (F.col("x.band") == F.col("y.band")) & smaller & (F.col("x.label") != F.col("y.label")) & behind & _possible(percent, "x", "y"),
     ).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
     return links.unionByName(settle(checked(pairs), "links"))
 
 
+def _relabelled(links: DataFrame, labels: DataFrame | None, number: int) -> DataFrame:
+    """``(cls, label)`` of classes that have another label than themselves, after ``links``
+    from leaders ``a`` to classes ``b`` of a round.
+
+    A leader's label is first in the round's order, so each label passes to the first one that
+    it is linked with, and to that one's. Equal labels are joined by links; unequal ones may be too.
+    """
+    if labels is None:
+        edges = links
+    else:
+        of = lambda c: labels.select(F.col("cls").alias(c), F.col("label").alias(f"l{c}"))
+        known = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+        edges = known.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    first = F.min(F.struct(F.xxhash64(F.lit(number), "a").alias("h"), "a"))["a"]
+    down = edges.where(F.col("a") != F.col("b")).groupBy("b").agg(first.alias("m"))
+    passed = down.join(down.select(F.col("b").alias("m"), F.col("m").alias("m2")), "m", "left").select(F.col("b").alias("label"), F.coalesce("m2", "m").alias("to"))
+    if labels is None:
+        return passed.select(F.col("label").alias("cls"), F.col("to").alias("label"))
+    moved = labels.join(passed, "label", "left").select("cls", F.coalesce("to", "label").alias("label"))
+    return moved.unionByName(passed.select(F.col("label").alias("cls"), F.col("to").alias("label")).join(labels.select("cls"), "cls", "left_anti"))
+
+
 def jaccard_components(
     docs: DataFrame,
     shingle_words: int = 5,
