@@ -13,7 +13,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packsift.llm.tables import fresh, row_hashes, settle
+from packsift.functions.binding import let
+from packsift.llm.tables import fresh, row_hashes, settle, two_hashes
+from packsift.operators.skew import skew_safe_join
+from packsift.settings import MAX_BROADCAST_ROWS
 
 MIN_SITES = 10
 LOG2_BUCKETS = 10
@@ -26,52 +29,50 @@ def text_lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def _hashes(value: Column) -> list[Column]:
-    return [F.xxhash64(value), F.xxhash64(value, F.lit(1))]
-
-
-def line_spread(docs: DataFrame, text_column: str = "text", site_column: str = "source", one_site_per_text: bool = False) -> DataFrame:
+def line_spread(docs: DataFrame, text_column: str = "text", site_column: str = "source") -> DataFrame:
     """``(h1, h2, t1, t2, site)``: the lines of all documents with the hashes of their text
-    and their site. A null site is a site of its own, ``''``.
-
-    With ``one_site_per_text`` one row per distinct line of each distinct text, with the
-    smallest site that holds the text; other sites of the text are not counted then."""
-    t1, t2 = _hashes(F.coalesce(F.col(text_column), F.lit("")))
+    and their site. A null site is a site of its own, ``''``."""
+    t1, t2 = two_hashes(F.coalesce(F.col(text_column), F.lit("")))
     rows = docs.select(
         t1.alias("t1"),
         t2.alias("t2"),
         F.coalesce(F.col(site_column).cast("string"), F.lit("")).alias("site"),
         F.explode(text_lines(F.col(text_column))).alias("line"),
     ).where(F.trim("line") != "")
-    h1, h2 = _hashes(F.col("line"))
-    spread = rows.select(h1.alias("h1"), h2.alias("h2"), "t1", "t2", "site")
-    return spread.groupBy("h1", "h2", "t1", "t2").agg(F.min("site").alias("site")) if one_site_per_text else spread
+    h1, h2 = two_hashes(F.col("line"))
+    return rows.select(h1.alias("h1"), h2.alias("h2"), "t1", "t2", "site")
 
 
-def boilerplate(spread: DataFrame, min_sites: int = MIN_SITES, log2_buckets: int = LOG2_BUCKETS, count_texts: bool = True) -> DataFrame:
-    """Hashes ``(h1, h2)`` of lines on at least ``min_sites`` distinct sites and, with
-    ``count_texts``, in at least as many distinct texts. Where a text has one site only, the
-    second follows from the first and need not be counted.
+def boilerplate(spread: DataFrame, min_sites: int = MIN_SITES, log2_buckets: int = LOG2_BUCKETS) -> DataFrame:
+    """Hashes ``(h1, h2)`` of lines on at least ``min_sites`` distinct sites and in at least
+    as many distinct texts.
 
-    ``spread`` is read twice and should be a written table.
+    ``spread`` is read twice and should be a written table. Places of a line that is counted
+    exactly are made distinct in their tasks first, so a line of very many places moves once
+    for each task, site and text.
     """
-    sketched = {"sites": "site"} | ({"texts": "t1"} if count_texts else {})
-    sketches = spread.groupBy("h1", "h2").agg(*[F.hll_sketch_agg(column, log2_buckets).alias(name) for name, column in sketched.items()])
-    estimates = [F.hll_sketch_estimate(name).alias(name) for name in sketched]
-    least = F.least("sites", "texts") if count_texts else F.col("sites")
-    counted = sketches.select("h1", "h2", *estimates).select("h1", "h2", least.alias("least"))
+    sketches = spread.groupBy("h1", "h2").agg(
+        F.hll_sketch_agg("site", log2_buckets).alias("sites"), F.hll_sketch_agg("t1", log2_buckets).alias("texts")
+    )
+    least = F.least(F.hll_sketch_estimate("sites"), F.hll_sketch_estimate("texts")).alias("least")
     margin = BAND * 1.04 / (1 << log2_buckets) ** 0.5
     low, high = min_sites * (1 - margin), min_sites * (1 + margin)
-    sure = counted.where(F.col("least") > high).select("h1", "h2")
-    near = counted.where(F.col("least").between(low, high)).select("h1", "h2")
-    rows = spread.join(near, ["h1", "h2"], "left_semi")
+    counted = settle(sketches.select("h1", "h2", least).where(F.col("least") >= low), "estimates")
+    near = counted.where(F.col("least") <= high).select("h1", "h2")
+    rows = among(spread, near)
     enough = lambda *columns: (
         rows.select("h1", "h2", *columns).distinct().groupBy("h1", "h2").count().where(F.col("count") >= min_sites).select("h1", "h2")
     )
-    exact = enough("site")
-    if count_texts:
-        exact = exact.join(enough("t1", "t2"), ["h1", "h2"], "left_semi")
-    return sure.unionByName(exact)
+    exact = enough("site").join(enough("t1", "t2"), ["h1", "h2"], "left_semi")
+    return counted.where(F.col("least") > high).select("h1", "h2").unionByName(exact)
+
+
+def among(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """Rows ``(h1, h2, ...)`` of the given lines. Few lines go to every task, so the rows stay
+    where they are; beyond that rows of a line that has very many are salted."""
+    if lines.count() <= MAX_BROADCAST_ROWS:
+        return rows.join(F.broadcast(lines), ["h1", "h2"], "left_semi")
+    return skew_safe_join(rows, lines, ["h1", "h2"], "left_semi")
 
 
 def without_positions(lines: Column, gone: Column) -> Column:
@@ -92,36 +93,36 @@ def remove_shared_lines(
     text_column: str = "text",
     site_column: str = "source",
     counts: tuple[str, str] | None = ("n_lines", "n_removed"),
-    one_site_per_text: bool = False,
 ) -> DataFrame:
     """All columns of ``docs`` with ``text_column`` cleaned, and under the names ``counts``
     the numbers of lines and of removed lines, in the place of columns of these names.
 
     A line goes when it stands on at least ``min_sites`` distinct sites and in as many
-    distinct texts, counted over all documents. With ``one_site_per_text`` each distinct text
-    counts for its smallest site only, so lines of texts that share that site stay.
+    distinct texts, counted over all documents.
 
     A line is what stands between line feeds; lines of white space only are kept and
     never counted. A null text stays null with no lines removed (it counts as one
-    empty line); an empty text likewise. Lines are compared as they are, whole. A
+    empty line); an empty text likewise stays empty. Lines are compared as they are, whole. A
     document all of whose lines are shared keeps its row with an empty text. Repeated
     rows are cleaned alike; an empty table gives an empty table.
     """
-    spread = settle(line_spread(docs, text_column, site_column, one_site_per_text), "lines")
-    shared = boilerplate(spread, min_sites, count_texts=not one_site_per_text)
+    spread = settle(line_spread(docs, text_column, site_column), "lines")
+    shared = settle(boilerplate(spread, min_sites), "shared")
     r1, r2 = row_hashes(id_column, text_column)
     places = docs.select(r1.alias("r1"), r2.alias("r2"), F.posexplode(text_lines(F.col(text_column))).alias("at", "line"))
-    h1, h2 = _hashes(F.col("line"))
+    h1, h2 = two_hashes(F.col("line"))
     places = places.where(F.trim("line") != "").select("r1", "r2", "at", h1.alias("h1"), h2.alias("h2"))
     k1, k2, gone = fresh(docs, "r1", "r2", "gone")
     removed = (
-        places.join(shared, ["h1", "h2"], "left_semi")
+        among(places, shared)
         .groupBy(F.col("r1").alias(k1), F.col("r2").alias(k2))
         .agg(F.sort_array(F.collect_set("at")).alias(gone))
     )
     keyed = docs.withColumns({k1: r1, k2: r2}).join(removed, [k1, k2], "left")
     lines = text_lines(F.col(text_column))
-    cleaned = F.when(F.col(gone).isNull(), F.col(text_column)).otherwise(F.array_join(without_positions(lines, F.col(gone)), "\n"))
+    # The text is split once for all stretches that stay.
+    kept = let(lines, lambda whole: F.array_join(without_positions(whole, F.col(gone)), "\n"))
+    cleaned = F.when(F.col(gone).isNull(), F.col(text_column)).otherwise(kept)
     numbers = (F.size(lines).cast("long"), F.coalesce(F.size(F.col(gone)), F.lit(0)).cast("long"))
     changed = {text_column: cleaned} | (dict(zip(counts, numbers, strict=True)) if counts else {})
     return keyed.withColumns(changed).drop(k1, k2, gone)

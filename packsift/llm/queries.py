@@ -50,19 +50,18 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "op2_line_dedup",
     """
-WITH docs AS (SELECT doc_id, coalesce(source, '') AS site, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
-places AS (SELECT doc_id, site, parts, unnest(parts) AS line, unnest(range(1, len(parts) + 1)) AS pos FROM docs),
-spread AS (SELECT line, parts, min(site) AS site FROM places WHERE trim(line) <> '' GROUP BY line, parts),
-shared AS (SELECT line FROM spread GROUP BY line HAVING count(DISTINCT site) >= 10),
-flagged AS (SELECT p.doc_id, p.pos, CASE WHEN s.line IS NULL THEN p.line END AS kept FROM places p LEFT JOIN shared s ON p.line = s.line)
+WITH docs AS (SELECT doc_id, text, coalesce(source, '') AS site, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+places AS (SELECT doc_id, text, site, unnest(parts) AS line, unnest(range(1, len(parts) + 1)) AS pos FROM docs),
+shared AS (
+  SELECT line FROM places WHERE trim(line) <> '' GROUP BY line HAVING count(DISTINCT site) >= 10 AND count(DISTINCT coalesce(text, '')) >= 10),
+flagged AS (SELECT p.doc_id, p.text, p.pos, CASE WHEN s.line IS NULL THEN p.line END AS kept FROM places p LEFT JOIN shared s ON p.line = s.line)
 SELECT doc_id, count(*) AS n_lines, count(*) - count(kept) AS n_removed,
-  coalesce(string_agg(kept, chr(10) ORDER BY pos), '') AS text
+  CASE WHEN any_value(text) IS NOT NULL THEN coalesce(string_agg(kept, chr(10) ORDER BY pos), '') END AS text
 FROM flagged GROUP BY doc_id
 """,
 )
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The SQL counts one site for each distinct text.
-    cleaned = lines.remove_shared_lines(documents(spark, sf_dir, "doc_id", "text", "source"), one_site_per_text=True)
+    cleaned = lines.remove_shared_lines(documents(spark, sf_dir, "doc_id", "text", "source"))
     return cleaned.select("doc_id", "n_lines", "n_removed", "text")
 
 

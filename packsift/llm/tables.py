@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from packsift.session import settle
 
-__all__ = ["documents", "fold", "fresh", "pick", "row_hashes", "settle", "table"]
+__all__ = ["documents", "fold", "fresh", "pick", "row_hashes", "settle", "table", "two_hashes"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,5 +44,10 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 def row_hashes(id_column: str, text_column: str) -> list[Column]:
     """Two hashes of id and text, which name a row but for its exact repetitions; a null
     text is the empty one."""
-    both = [F.col(id_column), F.coalesce(F.col(text_column), F.lit(""))]
-    return [F.xxhash64(*both), F.xxhash64(*both, F.lit(1))]
+    return two_hashes(F.col(id_column), F.coalesce(F.col(text_column), F.lit("")))
+
+
+def two_hashes(*values: Column) -> list[Column]:
+    """Two hashes that differ independently: each value is the seed of the next one, so a number
+    in front changes them, and one behind would only hash the first hash again."""
+    return [F.xxhash64(*values), F.xxhash64(F.lit(1), *values)]

@@ -1,4 +1,8 @@
-from packsift.llm import lines
+import time
+
+from pyspark.sql import functions as F
+
+from packsift.llm import lines, tables
 
 
 def test_shared_lines_go_and_positions_hold(spark, make_docs):
@@ -40,5 +44,38 @@ def test_a_site_that_holds_copies_of_all_texts_hides_no_line(spark, make_docs):
     assert all(out[i] == out[100 + i] == f"page {i}" for i in range(15))
     assert out[205] == "5\nnine sites, many texts" and out[305] == "5\nnine texts, many sites"
     assert out[405] == "5" and out[430] == "6"
-    kept = {r["doc_id"]: r["text"] for r in lines.remove_shared_lines(docs, one_site_per_text=True).collect()}
-    assert kept[3] == "page 3\nshared foot"
+
+
+def test_equal_first_hashes_merge_no_rows(spark, make_docs, monkeypatch):
+    rows = [(i, f"head {i}\nfoot", None, f"s{i}") for i in range(12)] + [(20, "rare\nfoot\nother", None, "s1")]
+    expected = {r["doc_id"]: r["text"] for r in lines.remove_shared_lines(make_docs(rows)).collect()}
+    assert expected[20] == "rare\nother" and expected[3] == "head 3"
+    two = tables.two_hashes
+    for forced in (0, 1):
+
+        def one_of_two(*values):
+            hashes = two(*values)
+            hashes[forced] = F.lit(7).cast("long")
+            return hashes
+
+        monkeypatch.setattr(lines, "two_hashes", one_of_two)
+        monkeypatch.setattr(tables, "two_hashes", one_of_two)
+        assert {r["doc_id"]: r["text"] for r in lines.remove_shared_lines(make_docs(rows)).collect()} == expected
+    values = spark.range(50).select(F.col("id").cast("string").alias("v"))
+    seeded = values.select(F.xxhash64("v", F.lit(1)).alias("x"), two(F.col("v"))[1].alias("y"))
+    assert seeded.where("x = y").isEmpty()
+
+
+def test_many_shared_lines_and_salted_joins(spark, make_docs, monkeypatch):
+    rows = [(i, "\n".join(f"line {j}" for j in range(i % 5, 40)) + f"\nown {i}", None, f"s{i}") for i in range(20)]
+    expected = {r["doc_id"]: r["text"] for r in lines.remove_shared_lines(make_docs(rows)).collect()}
+    monkeypatch.setattr(lines, "MAX_BROADCAST_ROWS", 0)
+    assert {r["doc_id"]: r["text"] for r in lines.remove_shared_lines(make_docs(rows)).collect()} == expected
+    assert expected[7] == "own 7"
+
+
+def test_many_removed_lines_of_one_text_take_seconds(spark, make_docs):
+    rows = [(i, "\n".join(f"foot {j}" for j in range(20000)) + f"\n{i}", None, f"s{i}") for i in range(10)]
+    started = time.perf_counter()
+    out = lines.remove_shared_lines(make_docs(rows)).where("doc_id = 3").first()
+    assert out["text"] == "3" and out["n_removed"] == 20000 and time.perf_counter() - started < 60
