@@ -31,7 +31,7 @@ LANGUAGE_EXTENSIONS = {
 
 GRAM = 4
 _SEPARATORS = r"[^\p{L}\p{N}]+"
-_LINE_MODE = "(?d)"  # only \n ends a line
+LINE_MODE = "(?d)"  # only \n ends a line
 _TEXT_MODE = "(?dm)"
 
 
@@ -73,7 +73,7 @@ def applicable(rule: Row) -> Column | None:
     if rule["languages"] is not None:
         checks.append(F.coalesce(F.col("ext").isin(rule_extensions(rule["languages"])), F.lit(False)))
     if rule["path_pattern"] is not None:
-        checks.append(F.col("path").rlike(_LINE_MODE + rule["path_pattern"]))
+        checks.append(F.col("path").rlike(LINE_MODE + rule["path_pattern"]))
     return reduce(lambda a, b: a & b, checks) if checks else None
 
 
@@ -106,7 +106,7 @@ def scan_regex(targets: DataFrame, rules: DataFrame, key: Sequence[str]) -> Data
             text_lines = F.when(hit, text_lines)
         carried = [name for name in ("ext", "path") if name in targets.columns and name not in key]
         lines = targets.select(*key, *carried, F.posexplode(text_lines).alias("_line_no", "_line"))
-        found = [test("_line", rule, _LINE_MODE) for rule in batch]
+        found = [test("_line", rule, LINE_MODE) for rule in batch]
         hits = F.array_compact(F.array(*[F.when(hit, F.lit(rule["check_id"])) for rule, hit in zip(batch, found)]))
         line_no = (F.col("_line_no") + 1).cast("bigint")
         parts.append(
@@ -156,13 +156,13 @@ def literal_anchors(rules: DataFrame) -> DataFrame:
     )
 
 
-def _in_scope(columns: Sequence[str]) -> Column:
+def in_scope(columns: Sequence[str]) -> Column:
     """Whether the file's extension and path are in the scope of the rule beside it."""
     listed = F.create_map(*[x for name, exts in LANGUAGE_EXTENSIONS.items() for x in (F.lit(name), F.array(*map(F.lit, exts)))])
     exts = F.flatten(F.transform("languages", lambda name: F.coalesce(F.get(F.array(listed[name]), 0), F.array(name))))
     scope = F.col("languages").isNull() | F.coalesce(F.array_contains(exts, F.col("ext")), F.lit(False))
     if "path" in columns:
-        return scope & (F.col("path_pattern").isNull() | F.regexp_like("path", F.concat(F.lit(_LINE_MODE), "path_pattern")))
+        return scope & (F.col("path_pattern").isNull() | F.regexp_like("path", F.concat(F.lit(LINE_MODE), "path_pattern")))
     return scope & F.when(F.col("path_pattern").isNull(), True).otherwise(
         F.raise_error(F.lit("a rule asks for paths, the targets have none")).cast("boolean")
     )
@@ -222,7 +222,7 @@ def scan_literal(
         pairs = skew_safe_join(narrow, anchored.select("gram", "_rule"), ["gram"])
         with_pattern = skew_safe_join(pairs.drop("gram"), rules, ["_rule"])
         candidates = skew_safe_join(with_pattern, texts, key)
-    scope = _in_scope(targets.columns)
+    scope = in_scope(targets.columns)
     parts = [_literal_findings(candidates.where(scope), key)]
     for batch in rule_batches(short):
         passages = F.array(
@@ -265,16 +265,21 @@ def as_text(targets: DataFrame) -> DataFrame:
 def scan(targets: DataFrame, rules: DataFrame, key: Sequence[str]) -> DataFrame:
     """Findings of a whole snapshot on targets with columns key, ext, content
     (and path for path-scoped rules)."""
+    from packsift.operators.rule_index import scan_indexed
+
     targets = as_text(targets)
+    # One read tells which kinds there are, and how many rules of each.
+    counted = {row["kind"]: row for row in rules.groupBy("kind").agg(F.count("*").alias("n"), F.min("check_id").alias("one")).collect()}
     parts = []
-    kinds = {"regex": scan_regex, "literal": scan_literal}
-    unknown = rules.where(~F.coalesce(F.col("kind").isin(*kinds), F.lit(False))).select("check_id").first()
-    if unknown:
-        raise ValueError(f"no scan for the kind of rule {unknown['check_id']!r}")
-    for kind, scan_kind in kinds.items():
+    for kind, row in counted.items():
         chosen = rules.where(F.col("kind") == kind)
-        if not chosen.isEmpty():
-            parts.append(scan_kind(targets, chosen, key))
+        if kind == "regex":
+            many = row["n"] > RULE_BATCH_ROWS
+            parts.append(scan_indexed(targets, chosen, key) if many else scan_regex(targets, chosen, key))
+        elif kind == "literal":
+            parts.append(scan_literal(targets, chosen, key))
+        else:
+            raise ValueError(f"no scan for the kind of rule {row['one']!r}")
     return reduce(DataFrame.unionByName, parts) if parts else _no_findings(targets, key)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,16 @@ from pyspark.sql import functions as F
 from packsift.settings import MAX_BROADCAST_ROWS, ROWS_PER_SALT
 
 
+# Rows of tables that several joins of one run are weighed by.
+_ROWS: WeakKeyDictionary[DataFrame, int] = WeakKeyDictionary()
+
+
+def _rows(df: DataFrame) -> int:
+    if df not in _ROWS:
+        _ROWS[df] = df.count()
+    return _ROWS[df]
+
+
 def _same(keys: Sequence[str], prefix: str) -> Column:
     return reduce(lambda a, b: a & b, [F.col(key).eqNullSafe(F.col(f"{prefix}{key}")) for key in keys])
 
@@ -61,7 +72,7 @@ def skew_safe_join(
     be hot and the join is a plain one.
     """
     counted = facts if weights is None else weights
-    if counted.count() <= rows_per_salt:
+    if _rows(counted) <= rows_per_salt:
         return facts.join(lookup, list(keys), how)
     hot = broadcast_if_small(hot_keys(counted, keys, rows_per_salt))
     spread = list(spread or facts.columns)

@@ -111,9 +111,8 @@ _NAME_FORMS = ["%", "%/.bashrc", "%/foo.", "%.tar.xz", "%/..name", "%/plain", "%
     "prj_extension",
     f"WITH {INDEX}, f(form) AS (VALUES "
     + ", ".join(f"('{form}')" for form in _NAME_FORMS)
-    + """) SELECT path, form, CASE form WHEN '%' THEN ext WHEN '%/.bashrc' THEN NULL WHEN '%/foo.' THEN '' WHEN '%.tar.xz' THEN 'xz'
-  WHEN '%/..name' THEN 'name' WHEN '%/plain' THEN NULL WHEN '%.PY' THEN 'PY' WHEN '%.py/' THEN 'py' ELSE 'c' END AS ext
-FROM index, f""",
+    + """) SELECT path, form, CASE WHEN contains(base[2:], '.') THEN string_split(base, '.')[-1] END AS ext
+FROM (SELECT path, form, string_split(rtrim(replace(form, '%', path), '/'), '/')[-1] AS base FROM index, f)""",
 )
 def prj_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
     forms = F.explode(F.array(*[F.lit(form) for form in _NAME_FORMS])).alias("form")
@@ -194,6 +193,7 @@ def prj_inspector_url(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ORIGINS = ["https://thther.example.org", "https://blog.tionsh.example.net"]
+_ALLOWED = "('" + "', '".join(_ORIGINS) + "')"
 _ORIGIN_FORMS = ["%", "%/", "%//", "%:443", "%:444", "%?q", "%#f", "%.evil.example"]
 
 
@@ -201,9 +201,9 @@ _ORIGIN_FORMS = ["%", "%/", "%//", "%:443", "%:444", "%?q", "%#f", "%.evil.examp
     "prd_api_origin",
     "WITH f(form) AS (VALUES "
     + ", ".join(f"('{form}')" for form in _ORIGIN_FORMS)
-    + r"""), o AS (SELECT page_id, form, url AS page_url, regexp_extract(url, '^[a-z]+://[^/]+') AS origin FROM pages, f)
-SELECT page_id, form, origin IN ('https://thther.example.org', 'https://blog.tionsh.example.net')
-  AND form IN ('%', '%/', '%//', '%:443') AS allowed, FALSE AS page_allowed FROM o""",
+    + r"""), o AS (SELECT page_id, form, url AS page_url, replace(form, '%', regexp_extract(url, '^[a-z]+://[^/]+')) AS form_url FROM pages, f),
+plain AS (SELECT page_id, form, [regexp_replace(regexp_replace(u, '/+$', ''), '^(https://.*):443$', '\1') FOR u IN [form_url, page_url]] AS urls FROM o)
+SELECT page_id, form, urls[1] IN """ + _ALLOWED + " AS allowed, urls[2] IN " + _ALLOWED + " AS page_allowed FROM plain",
 )
 def prd_api_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
     forms = F.explode(F.array(*[F.lit(form) for form in _ORIGIN_FORMS])).alias("form")
@@ -236,10 +236,24 @@ def _error_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.inline(rows))
 
 
-_ERROR_FORMS = "f(form, recoverable) AS (VALUES ('timeout', TRUE), ('timeout-rule', TRUE), ('partial', TRUE), ('partial-nopath', TRUE), ('error', FALSE), ('syntax', FALSE), ('nolevel', FALSE), ('text', FALSE))"
-
-
-@query("prd_recoverable_warning", f"WITH {_ERROR_FORMS} SELECT conv_id, turn, form, recoverable FROM conversations, f")
+# The same records for DuckDB, and what their fields say.
+_ERROR_FORMS = """records AS (
+  SELECT conv_id, turn, text, unnest([
+    {'form': 'timeout', 'error': to_json({'level': 'warn', 'type': 'Timeout'})::VARCHAR},
+    {'form': 'timeout-rule', 'error': to_json({'level': 'warn', 'type': 'Timeout', 'rule_id': 'a.b.' || replace(text, '.', '_')})::VARCHAR},
+    {'form': 'partial', 'error': to_json({'level': 'warn', 'type': ['PartialParsing', 'span'], 'path': 'd/' || role || '/' || replace(text, '/', '_')})::VARCHAR},
+    {'form': 'partial-nopath', 'error': to_json({'level': 'warn', 'type': ['PartialParsing', 'span']})::VARCHAR},
+    {'form': 'error', 'error': to_json({'level': 'error', 'type': 'Timeout', 'rule_id': turn::VARCHAR})::VARCHAR},
+    {'form': 'syntax', 'error': to_json({'level': 'warn', 'type': 'SyntaxError', 'path': text})::VARCHAR},
+    {'form': 'nolevel', 'error': to_json({'type': ['PartialParsing', 'span'], 'path': text})::VARCHAR},
+    {'form': 'text', 'error': text}], recursive := true)
+  FROM conversations),
+f AS (
+  SELECT conv_id, turn, text, form, CASE WHEN json_valid(error) THEN coalesce(error->>'$.level' = 'warn'
+    AND (error->>'$.type' = 'Timeout' OR coalesce(error->>'$.type[0]' = 'PartialParsing', FALSE)), FALSE) ELSE FALSE END AS recoverable FROM records)"""
+
+
+@query("prd_recoverable_warning", f"WITH {_ERROR_FORMS} SELECT conv_id, turn, form, recoverable FROM f")
 def prd_recoverable_warning(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _error_records(spark, sf_dir)
     return rows.select("conv_id", "turn", "form", is_recoverable_warning(F.col("error")).alias("recoverable"))
@@ -252,7 +266,7 @@ SELECT conv_id, turn, form, CASE form WHEN 'timeout' THEN 'timeout: some rule'
   WHEN 'timeout-rule' THEN 'timeout: ' || substr(replace(text, '.', '_'), 1, 200)
   WHEN 'partial' THEN 'partly-parsed: ' || substr(replace(text, '/', '_'), 1, 256)
   ELSE 'partly-parsed: unnamed file' END AS warning
-FROM conversations, f WHERE recoverable""",
+FROM f WHERE recoverable""",
 )
 def prj_warning_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _error_records(spark, sf_dir).where(is_recoverable_warning(F.col("error")))

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from packsift.operators.rule_index import scan_indexed
 from packsift.operators.scan import is_scanned, scan_literal, scan_regex
 from packsift.plans.catalog import query
 from packsift.plans.corpus import Corpus
 from packsift.plans.sources import DOCUMENTS, matcher_documents
-from packsift.plans.views import FINDINGS, literal_rules, rules
+from packsift.plans.views import FINDINGS, literal_rules, rules, table
 from packsift.sources.documents import parse_documents, skipped
 
 
@@ -21,6 +22,30 @@ def scan_rules_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_regex(Corpus(spark, sf_dir).targets, rules(spark), ["identity"])
 
 
+@query(
+    "scan_rules_index",
+    f"""WITH {FINDINGS}, r AS (
+  SELECT item_id, CASE WHEN item_id % 3 = 0 THEN '(?i)' ELSE '' END || regexp_replace(upper(substr(text, 1, 1)) || substr(text, 2, 23), '[^A-Za-z ]', '.', 'g')
+    || CASE WHEN item_id % 5 = 0 THEN '|copyright [0-9]+|[^ ]+@[^ ]+' ELSE '' END AS pattern FROM benchmark)
+SELECT identity, 'passage.' || item_id AS check_id, start_line, start_line AS end_line FROM lines JOIN r ON regexp_matches(line, r.pattern)""",
+)
+def scan_rules_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A regex rule for the beginning of every benchmark passage, some with alternatives, one
+    of which has no text to look up."""
+    text = F.concat(F.upper(F.substring("text", 1, 1)), F.substring("text", 2, 23))
+    pattern = F.concat(
+        F.when(F.col("item_id") % 3 == 0, "(?i)").otherwise(""),
+        F.regexp_replace(text, "[^A-Za-z ]", "."),
+        F.when(F.col("item_id") % 5 == 0, "|copyright [0-9]+|[^ ]+@[^ ]+").otherwise(""),
+    )
+    rows = literal_rules(spark, sf_dir).drop("check_id", "pattern", "kind")
+    passages = table(spark, sf_dir, "benchmark").select(
+        F.concat(F.lit("passage."), F.col("item_id").cast("string")).alias("check_id"), F.lit("regex").alias("kind"), pattern.alias("pattern")
+    )
+    columns = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns]
+    return scan_indexed(Corpus(spark, sf_dir).targets, passages.select("*", *columns), ["identity"])
+
+
 @query(
     "scan_rules_literal",
     f"""WITH {FINDINGS}, hits AS (

@@ -65,16 +65,17 @@ class ResultTable:
         )
         gone = settle(gone.join(self._stored().select(*_BY, "part"), [*_BY, "part"], "left_semi"), "evicted")
         # At most ``parts`` divisions of each namespace that the run has written in.
-        touched = new.select(*NAMESPACE, "part").union(gone.select(*NAMESPACE, "part")).distinct().collect()
+        both = new.select(*NAMESPACE, "part", F.lit(1).alias("_n")).union(gone.select(*NAMESPACE, "part", F.lit(0)))
+        touched = both.groupBy(*NAMESPACE, "part").agg(F.sum("_n").alias("_n")).collect()
         if not touched:
             return 0
         inside = reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [F.col(n) == row[n] for n in [*NAMESPACE, "part"]]) for row in touched])
         kept = self._stored().where(inside).join(gone, [*_BY, "part"], "left_anti")
         columns = [*CACHE_ENTRY.fieldNames(), "seq", "part"]
         # A division that loses all its rows is replaced too: by a row without a key.
-        empty = new.select(*NAMESPACE, "part").union(gone.select(*NAMESPACE, "part")).distinct()
+        empty = both.select(*NAMESPACE, "part").distinct()
         nothing = {n: F.lit(None).cast(self.spark.createDataFrame([], self.schema).schema[n].dataType) for n in columns if n not in empty.columns}
         merged = kept.select(*columns).unionByName(new.select(*columns)).unionByName(empty.withColumns(nothing))
         merged = merged.repartition(*NAMESPACE, "part")
         merged.write.partitionBy(*NAMESPACE, "part").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(self.folder)
-        return new.count()
+        return sum(row["_n"] for row in touched)
