@@ -23,6 +23,8 @@ def append_cache(entries: DataFrame, path: str) -> None:
     entries.select(*CACHE_ENTRY.fieldNames()).write.partitionBy(*NAMESPACE).mode("append").parquet(path)
 
 
-def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
-    """Write one micro-batch under its own folder; a replay overwrites it."""
-    df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+def write_batch(df: DataFrame, path: str, batch_id: int, by: str | None = None) -> None:
+    """Write one micro-batch under its own folder, divided by a column if given; a replay
+    overwrites it."""
+    writer = df.write.mode("overwrite")
+    (writer.partitionBy(by) if by else writer).parquet(f"{path}/batch_id={batch_id}")

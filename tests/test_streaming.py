@@ -1,11 +1,14 @@
 """Streams over several micro-batches against batch results."""
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from packsift.operators.expand import scan_package
 from packsift.plans import views
 from packsift.session import output_dir
-from packsift.streaming.job_stream import RulesGate, ScanStream
+from packsift.streaming.job_stream import JobGate, ScanStream
+from tests.test_operators import FILES, rule, rules
 
 
 def file_stream(spark, frames, folder):
@@ -47,22 +50,82 @@ def test_results_of_other_rules_are_not_reused(spark, sf_dir, tmp_path):
     assert last.count() == expected.select("check_id").distinct().count()
 
 
-def test_rules_gate_reloads_once_and_defers(spark, tmp_path):
-    jobs = [spark.createDataFrame([(n, h)], "seq int, hash string") for n, h in enumerate(["old", "new", "old"])]
-    snapshots = spark.createDataFrame([(1, "old"), (2, "new")], "version int, hash string")
-    gate = RulesGate(snapshots, output_dir(spark, "test-gate"), loaded="old")
-    gate.start(file_stream(spark, jobs, tmp_path)).awaitTermination()
-    got = {r.seq: (r.hash, r.status) for r in gate.jobs().collect()}
-    assert len(got) == 3 and gate.loaded == "new"
-    # A job runs only under the rules that were loaded when its batch came; the first
-    # batch with the new hash loads it, and what asks for the old one then waits.
-    order = _batch_order(spark, tmp_path)
-    reloaded = order.index(1)
-    for at, seq in enumerate(order):
-        stays_old = got[seq][0] == "old" and at > reloaded
-        assert got[seq][1] == ("deferred" if stays_old else "ready")
-
-
-def _batch_order(spark, folder):
-    paths = sorted(folder.glob("*/*.parquet"), key=lambda p: (p.stat().st_mtime_ns // 1_000_000, str(p)))
-    return [row.seq for path in paths for row in spark.read.parquet(str(path)).collect()]
+def test_a_batch_reads_only_the_history_of_its_contents(spark, tmp_path, monkeypatch):
+    names = [f"text {n}\neval({n})" for n in range(60)]
+    corpus = rules(spark, rule("x.eval", r"eval\("))
+    frames = [spark.createDataFrame([("p", 0, f"{n}.py", names[n]) for n in chosen], FILES) for chosen in (range(60), [3, 4], [3, 61 % 60, 7])]
+    job = ScanStream(corpus, output_dir(spark, "test-prefix"), prefix_digits=1)
+    read = {}
+    earlier = ScanStream.earlier
+
+    def watched(self, name, prefixes, batch_id):
+        rows = earlier(self, name, prefixes, batch_id)
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        # Before the first batch there are no folders to choose from.
+        assert batch_id == 0 or "prefix" in plan.split("PartitionFilters")[1].split("PushedFilters")[0]
+        read[batch_id, name] = {f.split("prefix=")[1][0] for f in rows.select(F.input_file_name()).distinct().toPandas().iloc[:, 0]}
+        return rows
+
+    monkeypatch.setattr(ScanStream, "earlier", watched)
+    job.start(file_stream(spark, frames, tmp_path)).awaitTermination()
+    order = [sorted(int(r.path.split(".")[0]) for r in spark.read.parquet(path).collect()) for path in _batch_files(tmp_path)]
+    for batch, chosen in enumerate(order):
+        prefixes = {hashlib.sha256(names[n].encode()).hexdigest()[0] for n in chosen}
+        assert read[batch, "scanned"] <= prefixes and read[batch, "results"] <= prefixes
+    assert any(len(read[b, "results"]) in (1, 2, 3) for b in range(3))
+    assert job.reports().count() == 65
+
+
+def snapshot_folder(spark, path, *hashes):
+    for version, name in enumerate(hashes):
+        spark.createDataFrame([(version, name)], "version int, hash string").coalesce(1).write.mode("append").parquet(path)
+
+
+def test_deferred_jobs_return_and_every_job_ends_once(spark, tmp_path):
+    rules_path, folder, seen = str(tmp_path / "rules"), output_dir(spark, "test-gate"), []
+    snapshot_folder(spark, rules_path, "old")
+
+    def gate():
+        return JobGate(
+            spark, "seq int, hash string", lambda: spark.read.parquet(rules_path), folder, "old", max_tries=4, run=lambda jobs, batch: seen.append((batch, sorted(r.seq for r in jobs.collect())))
+        )
+
+    def add(number, *jobs):
+        spark.createDataFrame(list(jobs), "seq int, hash string").coalesce(1).write.parquet(f"{tmp_path}/jobs/{number}")
+
+    def stream():
+        return spark.readStream.schema("seq int, hash string").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(f"{tmp_path}/jobs")
+
+    add(0, (0, "old"), (1, "new"), (2, "none"), (3, None))
+    gate().start(stream()).awaitTermination()
+    first = gate()
+    assert {r.seq: r.status for r in first.jobs().collect()} == {0: "ready"} and first.loaded() == "old" and first.waiting() == 3
+    # New rules, and a restart: what waits comes back without any new job.
+    spark.createDataFrame([(5, "new")], "version int, hash string").coalesce(1).write.mode("append").parquet(rules_path)
+    gate().start(stream()).awaitTermination()
+    assert {r.seq: r.status for r in gate().jobs().collect()} == {0: "ready", 1: "ready"} and gate().loaded() == "new"
+    add(1, (4, "new"), (5, "old"))
+    for _ in range(4):
+        gate().start(stream()).awaitTermination()
+    done = gate().jobs().collect()
+    assert sorted((r.seq, r.status, r.tries) for r in done) == [(0, "ready", 1), (1, "ready", 2), (2, "expired", 4), (3, "expired", 4), (4, "ready", 1), (5, "expired", 4)]
+    assert gate().waiting() == 0
+    ran = [seq for _, seqs in seen for seq in seqs]
+    assert sorted(ran) == [0, 1, 4]
+
+
+def test_a_replayed_batch_of_jobs_decides_as_before(spark, tmp_path):
+    folder = output_dir(spark, "test-replay")
+    newest = ["old"]
+    gate = JobGate(spark, "seq int, hash string", lambda: spark.createDataFrame([(1, newest[0])], "version int, hash string"), folder, "old")
+    batch = spark.createDataFrame([(0, "old", 0), (1, "new", 0)], "seq int, hash string, tries int")
+    gate.gate_batch(batch, 0)
+    newest[0] = "new"
+    gate.gate_batch(batch.where("seq = 1"), 1)
+    before = sorted(map(tuple, gate.jobs().collect()))
+    gate.gate_batch(batch.where("seq = 1"), 1)
+    assert sorted(map(tuple, gate.jobs().collect())) == before and gate.loaded(before=1) == "old" and gate.loaded() == "new"
+
+
+def _batch_files(folder):
+    return [str(p) for p in sorted(folder.glob("*/*.parquet"), key=lambda p: (p.stat().st_mtime_ns // 1_000_000, str(p)))]
