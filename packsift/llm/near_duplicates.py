@@ -10,8 +10,8 @@ arrays of shingle hashes.
 
 First each class is compared with one leader of each of its tiles, in a few rounds with other
 leaders, which joins groups of near copies with as many comparisons as they have members.
-What was joined carries one label, passed on along a round's links; components are computed once, at the end.
-Then only pairs with different labels are looked at, in tiles whose key may be the first that they share.
+What was joined carries one label, passed on along a round's links.
+Then only pairs of different components are looked at, in tiles whose key may be the first that they share.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ _SIGNATURE = [f"s{i}" for i in range(WORDS)]
 #: Larger sets carry a finer signature too, of some two bits for each shingle.
 COARSE = 1000
 #: Rounds of comparing with leaders before pairs are looked at.
-STAR_ROUNDS = 2
+STAR_ROUNDS = 3
 
 
 class Shingler:
@@ -332,9 +332,10 @@ def linked_classes(candidates: DataFrame, text: DataFrame, shingle_words: int, p
         stars = rows.join(leads, ["key", "band"]).where(F.col("label") != F.col("lead.label"))
         found = settle(checked(stars.select(F.col("lead.cls").alias("a"), F.col("cls").alias("b"))), "links")
         links = found if links is None else links.unionByName(found)
-        labels = settle(_relabelled(found, labels, number), "labels")
-    # Tiles with more than one label, with the band above as the other side.
-    rows = tiles(labels)
+        if number + 1 < STAR_ROUNDS:
+            labels = settle(_relabelled(found, labels, number), "labels")
+    # Now the label is the component. Tiles with more than one, with the band above as the other side.
+    rows = tiles(connected(links).select(F.col("node").alias("cls"), F.col("root").alias("label")))
     reach = rows.select("key", "label", F.explode(F.array("band", F.col("band") - 1)).alias("band"))
     mixed = reach.groupBy("key", "band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where(F.col("lo") != F.col("hi")).select("key", "band")
     mixed = settle(mixed, "mixed")
