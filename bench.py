@@ -6,45 +6,74 @@ import json
 import os
 import sys
 import time
+from functools import cache
 
-from packsift.operators.expand import scan_by_distribution, scan_package
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+
+from packsift.operators.expand import scan_by_distribution, scan_stored
 from packsift.operators.runs import apply
 from packsift.plans import QUERIES
 from packsift.plans.corpus import Corpus
 from packsift.session import build_session
+from packsift.sources.content_store import stored_files
+
+#: Packages that hold a copy of every file in the corpus of many copies.
+MIRRORS = 8
+
+
+@cache
+def corpus(spark: SparkSession, sf_dir: str) -> Corpus:
+    """The corpus with its content stored; storing is not counted, as it is done once."""
+    made = Corpus(spark, sf_dir)
+    _ = made.store, made.known, made.fresh_of_known
+    return made
+
+
+@cache
+def mirrored(spark: SparkSession, sf_dir: str):
+    """Every file in ``MIRRORS`` packages, and the store of their content."""
+    copies = F.explode(F.sequence(F.lit(1), F.lit(MIRRORS))).alias("mirror")
+    files = corpus(spark, sf_dir).files.select("*", copies).withColumn("pkg", F.concat_ws("-", "pkg", "mirror")).drop("mirror")
+    return files, *stored_files(files)
 
 
 def scan_every_file(spark, sf_dir):
     """The rules on every file, without deduplication."""
-    corpus = Corpus(spark, sf_dir)
-    return scan_by_distribution(corpus.files, corpus.rules)
+    made = corpus(spark, sf_dir)
+    return scan_by_distribution(made.files, made.rules)
 
 
 def scan_identities(spark, sf_dir):
     """The same rules, once per content identity."""
-    corpus = Corpus(spark, sf_dir)
-    return scan_package(corpus.files, corpus.rules)
+    made = corpus(spark, sf_dir)
+    return scan_stored(made.store, made.index, made.rules)
 
 
-_EARLIER: dict[str, tuple] = {}
+def scan_with_reuse(spark, sf_dir):
+    """The same rules, with the labelled part of the corpus already scanned."""
+    made = corpus(spark, sf_dir)
+    return apply(made.store, made.index, made.rules, made.known, made.fresh_of_known)[0]
 
 
-def scan_with_reuse(spark, sf_dir):
-    """The same rules, with the labelled part of the corpus already scanned.
+def copies_scan_every_file(spark, sf_dir):
+    return scan_by_distribution(mirrored(spark, sf_dir)[0], corpus(spark, sf_dir).rules)
+
+
+def copies_scan_identities(spark, sf_dir):
+    _, store, manifest = mirrored(spark, sf_dir)
+    return scan_stored(store, manifest, corpus(spark, sf_dir).rules)
+
 
-    The stored results are prepared by the first, uncounted run.
-    """
-    corpus = Corpus(spark, sf_dir)
-    if sf_dir not in _EARLIER:
-        _EARLIER[sf_dir] = (corpus.known, corpus.fresh_of_known)
-    known, stored = _EARLIER[sf_dir]
-    return apply(corpus.files, corpus.index, corpus.rules, known, stored)[0]
+def copies_scan_with_reuse(spark, sf_dir):
+    _, store, manifest = mirrored(spark, sf_dir)
+    made = corpus(spark, sf_dir)
+    return apply(store, manifest, made.rules, made.known, made.fresh_of_known)[0]
 
 
 COMPARED = {
-    "scan_every_file": scan_every_file,
-    "scan_identities": scan_identities,
-    "scan_with_reuse": scan_with_reuse,
+    function.__name__: function
+    for function in (scan_every_file, scan_identities, scan_with_reuse, copies_scan_every_file, copies_scan_identities, copies_scan_with_reuse)
 }
 
 HEADLINE = [

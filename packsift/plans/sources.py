@@ -6,17 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packsift.functions.identity import durable_language
-from packsift.operators.reuse import KEY, lookup, new_entries
+from packsift.operators.reuse import KEY, lookup
 from packsift.plans.catalog import query
 from packsift.plans.corpus import Corpus
 from packsift.plans.views import CACHED, FILES, INDEX, JOBS, files, jobs, table
-from packsift.schemas import CACHE_ENTRY
-from packsift.session import output_dir, spread
+from packsift.schemas import CACHE_ENTRY, NAMESPACE
+from packsift.session import output_dir, settle, spread
 from packsift.sources.archives import expand_archives, pack_archives
 from packsift.sources.documents import parse_documents
 from packsift.sources.files import walk
 from packsift.sources.jobs import explode_rules, fetch_archives, lease, parse_jobs
-from packsift.sources.tables import append_cache, read_cache
+from packsift.sources.results import ResultTable
 
 
 def job_text(rows: DataFrame) -> DataFrame:
@@ -258,10 +258,10 @@ WHERE NOT EXISTS (SELECT 1 FROM seed WHERE seed.rules_commit = 'rules-new'
 UNION ALL SELECT rules_commit, file_digest, language, result FROM seed""",
 )
 def sink_cache_append(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Store the earlier results, append the new ones, read the table back."""
-    folder = output_dir(spark, "cache")
+    """Store the earlier results, merge the new ones twice, read the table back."""
     corpus = Corpus(spark, sf_dir)
-    append_cache(seed_cache(corpus.cached), folder)
+    results = ResultTable(spark, output_dir(spark, "cache"))
+    results.merge(seed_cache(corpus.cached).withColumn("seq", F.lit(0).cast("bigint")))
     fresh = in_namespace(
         corpus.index.select(
             F.col("sha256").alias("file_digest"),
@@ -270,9 +270,10 @@ def sink_cache_append(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).where("language IS NOT NULL"),
         F.lit("rules-new"),
     )
-    added = new_entries(fresh, read_cache(spark, folder), order=["result"])
-    append_cache(added, folder)
-    return read_cache(spark, folder).select("rules_commit", *KEY, "result")
+    entries = settle(fresh.groupBy(*NAMESPACE, *KEY).agg(F.min("result").alias("result")).withColumn("seq", F.lit(1).cast("bigint")), "fresh")
+    for _ in range(2):
+        results.merge(entries)
+    return results.read().select("rules_commit", *KEY, "result")
 
 
 @query(

@@ -1,26 +1,8 @@
-"""Result tables: the shared cache, reports and counters."""
+"""Tables of streams."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-
-from packsift.schemas import CACHE_ENTRY, NAMESPACE
-
-
-def read_cache(spark: SparkSession, path: str) -> DataFrame:
-    """Stored results, one row per key; the namespace is the partitioning, so a namespace
-    filter prunes folders.
-
-    Writers only append: a rerun, or two at once, may store a key twice, with the same
-    result since the key holds all it depends on.
-    """
-    stored = spark.read.schema(CACHE_ENTRY).option("recursiveFileLookup", "false").parquet(path)
-    return stored.dropDuplicates([*NAMESPACE, "file_digest", "language"])
-
-
-def append_cache(entries: DataFrame, path: str) -> None:
-    """Append rows that are known to be new."""
-    entries.select(*CACHE_ENTRY.fieldNames()).write.partitionBy(*NAMESPACE).mode("append").parquet(path)
+from pyspark.sql import DataFrame
 
 
 def write_batch(df: DataFrame, path: str, batch_id: int, by: str | None = None) -> None:
