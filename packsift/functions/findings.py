@@ -20,29 +20,39 @@ def rule_id(check_id: Column) -> Column:
     return F.substring_index(check_id, ".", -1)
 
 
+def _field(record: Column, path: str) -> Column:
+    """A field of a VARIANT as text, NULL where it is missing."""
+    return F.try_variant_get(record, path, "string")
+
+
 def is_recoverable_warning(error_json: Column) -> Column:
-    """Warnings that keep the other findings valid: timeouts and partial parses."""
-    level = F.get_json_object(error_json, "$.level")
-    kind = F.get_json_object(error_json, "$.type")
-    first = F.get_json_object(error_json, "$.type[0]")
-    recoverable = (level == "warn") & (
-        F.coalesce(kind == "Timeout", F.lit(False))
-        | F.coalesce(first == "PartialParsing", F.lit(False))
-    )
-    return F.coalesce(recoverable, F.lit(False))
+    """Warnings that keep the other findings valid: timeouts and partial parses.
+
+    ``type`` is a text or an array that begins with one, so the record is read as a VARIANT,
+    once. What is no JSON is no warning.
+    """
+
+    def recoverable(record: Column) -> Column:
+        timeout = _field(record, "$.type") == "Timeout"
+        partial = _field(record, "$.type[0]") == "PartialParsing"
+        return (_field(record, "$.level") == "warn") & (F.coalesce(timeout, F.lit(False)) | F.coalesce(partial, F.lit(False)))
+
+    return F.coalesce(let(F.try_parse_json(error_json), recoverable), F.lit(False))
 
 
 def warning_text(error_json: Column) -> Column:
     """Readable form of a recoverable warning."""
-    kind = F.get_json_object(error_json, "$.type")
-    rule = F.get_json_object(error_json, "$.rule_id")
-    path = F.get_json_object(error_json, "$.path")
-    timeout = F.when(rule.isNull(), F.lit("timeout: some rule")).otherwise(
-        F.concat(F.lit("timeout: "), truncate_chars(rule_id(rule), MAX_RULE_ID_CHARS))
-    )
-    target = F.coalesce(F.substring_index(path, "/", -1), F.lit("unnamed file"))
-    partial = F.concat(F.lit("partly-parsed: "), truncate_chars(target, MAX_BASENAME_CHARS))
-    return F.when(kind == "Timeout", timeout).otherwise(partial)
+
+    def text(record: Column) -> Column:
+        rule, path = _field(record, "$.rule_id"), _field(record, "$.path")
+        timeout = F.when(rule.isNull(), F.lit("timeout: some rule")).otherwise(
+            F.concat(F.lit("timeout: "), truncate_chars(rule_id(rule), MAX_RULE_ID_CHARS))
+        )
+        target = F.coalesce(F.substring_index(path, "/", -1), F.lit("unnamed file"))
+        partial = F.concat(F.lit("partly-parsed: "), truncate_chars(target, MAX_BASENAME_CHARS))
+        return F.when(_field(record, "$.type") == "Timeout", timeout).otherwise(partial)
+
+    return let(F.try_parse_json(error_json), text)
 
 
 def normalize_finding(raw: Column, root: Column, base: Column) -> Column:
