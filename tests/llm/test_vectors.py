@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from packsift.llm import vectors
+from packsift.llm.queries import QUERIES
 
 
 def brute(rows, k):
@@ -54,3 +55,47 @@ def test_index_holds_every_vector_once(spark):
     df = spark.range(100).select(F.col("id").alias("vec_id"), F.array(F.col("id") + 1.0, F.lit(2.0), F.lit(-1.0)).alias("embedding"))
     rows = vectors.one_bit_index(df).collect()
     assert len(rows) == 100 and all(len(r["code"]) == 1 and 0 < r["fix"] <= 1 + 1e-12 for r in rows)
+
+
+def test_packed_estimates_stay_within_their_bounds():
+    rng = np.random.default_rng(4)
+    for dim in (5, 64, 100, 384):
+        x = rng.standard_normal((500, dim)) * rng.uniform(0.1, 3, (500, 1))
+        turn = vectors.rotation(dim)
+        packed, norm, fix = vectors._code(x, turn)
+        signs = (np.unpackbits(packed, axis=1, count=dim) * 2.0 - 1) / np.sqrt(dim)
+        codes = vectors.words_of(packed)
+        ones = np.bitwise_count(codes).sum(axis=1, dtype=np.int64)
+        misses = 0
+        for q in rng.standard_normal((20, dim)):
+            unit = turn @ q / np.linalg.norm(q)
+            code = vectors.QueryCode(unit)
+            counted = code.products(codes, ones)
+            # Counting bits is the inner product with the rounded query.
+            assert np.abs(counted - signs @ unit).max() <= code.rounding + 1e-12
+            true = x @ q / np.linalg.norm(q)
+            spread = vectors.BOUND * norm / fix * np.sqrt(1 - fix**2) / np.sqrt(dim - 1) + code.rounding * norm / fix
+            misses += (np.abs(counted * norm / fix - true) > spread).sum()
+        assert misses <= 0.01 * 20 * 500
+
+
+def test_queries_meet_vectors_of_their_own_length(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(np.float32(x)) for x in rng.standard_normal(3 + 5 * (i % 3))], "x") for i in range(200)]
+    found = run(spark, rows, k=5, vector_block=30, query_block=3)
+    for dim in (3, 8, 13):
+        same = [r[:2] for r in rows if len(r[1]) == dim]
+        for q, best in brute(same, 5).items():
+            assert {i for i, _ in found[q]} <= {i for i, _ in same} and len(found[q]) == 5
+            assert len(dict(found[q]).keys() & dict(best).keys()) >= 4
+    assert found.keys() == {i for i, *_ in rows if i % 20 == 0}
+
+
+def test_recall_on_the_given_vectors(spark, sf_dir):
+    rows = [(r.vec_id, list(r.embedding)) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()]
+    expected = brute(rows, 20)
+    found = {}
+    for r in QUERIES["op1_one_bit_search"](spark, sf_dir).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = sum(len(found[q] & {i for i, _ in best}) for q, best in expected.items())
+    assert hits >= 0.98 * sum(map(len, expected.values()))
