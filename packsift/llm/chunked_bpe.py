@@ -3,8 +3,8 @@
 Texts are cut into chunks where a rolling hash of the last 32 bytes has its low bits
 zero, so equal content is cut alike wherever it stands. Chunk hashes are counted over
 all documents; each chunk that occurs more than once is encoded once. A document is
-put together from its chunks: where two meet, the words around the joint are encoded
-again, together with one word on either side that must come out as before. Where it
+put together from its chunks: where two meet, the text around the joint is encoded
+again by the library, together with one word on either side that must come out as before. Where it
 does not, more words are taken, at last the whole text.
 
 The tokenizer must drop white space in its pre-tokenizer, so a text that is cut at
@@ -14,6 +14,7 @@ once each in a task.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +36,8 @@ TOGETHER = 512
 READ_ROWS = 256
 _WINDOW = 32
 _SPACES = b" \t\n\x0b\x0c\r"
+_EACH_SPACE = [bytes([c]) for c in _SPACES]
+_WORD = re.compile(rb"[^ \t\n\x0b\x0c\r]+")
 
 
 class WordCoder:
@@ -117,8 +120,9 @@ def check_tokenizer(path: str) -> None:
 
     tokenizer = Tokenizer.from_file(path)
     plain, spread = (tokenizer.encode(t, add_special_tokens=False) for t in ("ab cd", "\n ab \t\x0b\x0c\r cd  "))
-    if plain.ids != spread.ids or tokenizer.decoder is not None:
-        raise ValueError("the tokenizer must drop white space and have no decoder of its own")
+    spaced = any(c.isspace() for name in token_names(tokenizer) for c in name)
+    if plain.ids != spread.ids or tokenizer.decoder is not None or spaced:
+        raise ValueError("the tokenizer must drop white space, have no token that holds any, and no decoder of its own")
 
 
 def cut_points(data: np.ndarray, offsets: np.ndarray, cut_bits: int = CUT_BITS) -> np.ndarray:
@@ -276,29 +280,88 @@ def _encode_chunks(path: str):
     return encode
 
 
-def joined(coder: WordCoder, parts: list[tuple[bytes, bytes | None]]) -> bytes:
-    """Ids of the chunks ``(text, ids)`` in their order; ids are those of the inner part,
-    or None for text that was not encoded yet.
+def _ends_of_words(text: bytes, count: int) -> tuple[int, int]:
+    """Where the last ``count`` words of a text begin, and where the first ``count`` end; the
+    whole text if it has no more."""
+    if count == 1:
+        last = text.rstrip(_SPACES)
+        first = _WORD.search(text)
+        return 1 + max(last.rfind(c) for c in _EACH_SPACE), first.end() if first else len(text)
+    spans = [m.span() for m in _WORD.finditer(text)]
+    if len(spans) <= count:
+        return 0, len(text)
+    return spans[-count][0], spans[count - 1][1]
 
-    At each joint the open ends are encoded together with the neighbouring word of
-    either inner part as a guard. If the guards do not come out as they did, the whole
-    text is encoded by the library.
-    """
-    ids, open_end, guard = [], b"", b""
+
+class _Joint:
+    """Where two encoded chunks meet: text on the left, text not yet encoded, text on the
+    right, with the ids of both sides."""
+
+    def __init__(self, left: tuple[bytes, bytes], middle: bytes, right: tuple[bytes, bytes]):
+        self.left, self.middle, self.right = left, middle, right
+
+    def strings(self, words: int) -> tuple[bytes, bytes, bytes]:
+        """Guards of so many words, and the text from guard to guard."""
+        head = self.left[0][_ends_of_words(self.left[0], words)[0] :]
+        tail = self.right[0][: _ends_of_words(self.right[0], words)[1]]
+        return head, tail, head + self.middle + tail
+
+    def between(self, head: bytes, tail: bytes, whole: bytes) -> bytes | None:
+        """Ids of the middle, if the guards come out as they did in their chunks."""
+        fits = self.left[1].endswith(head) and self.right[1].startswith(tail) and len(whole) >= len(head) + len(tail)
+        return whole[len(head) : len(whole) - len(tail)] if fits and whole.startswith(head) and whole.endswith(tail) else None
+
+    def spent(self, words: int) -> bool:
+        return max(len(self.left[0].split()), len(self.right[0].split())) <= words
+
+
+def _joints(parts: list[tuple[bytes, bytes | None]]) -> list[_Joint | tuple[bytes, bytes] | bytes]:
+    """A text as joints between the encoded inner parts, inner parts and open text at both
+    ends."""
+    out, open_end, last = [], b"", None
     for text, inner_ids in parts:
-        if inner_ids:
-            lo, hi = _bounds(text)
-            words = text[lo:hi].split()
-            joint = open_end + text[:lo]
-            x = coder.encode(guard + b" " + joint + b" " + words[0])
-            left, right = coder.encode(guard), coder.encode(words[0])
-            if not (x.startswith(left) and x.endswith(right) and len(x) >= len(left) + len(right)):
-                return coder.library([b"".join(p[0] for p in parts).decode()])[0]
-            ids += [x[len(left) : len(x) - len(right)], inner_ids]
-            open_end, guard = text[hi:], words[-1]
-        else:
+        if not inner_ids:
             open_end += text
-    return b"".join([*ids, coder.encode(open_end)])
+            continue
+        lo, hi = _bounds(text)
+        here = (text[lo:hi], inner_ids)
+        out.append(_Joint(last, open_end + text[:lo], here) if last else open_end + text[:lo])
+        out.append(here)
+        last, open_end = here, text[hi:]
+    return [*out, open_end]
+
+
+def joined(coder: WordCoder, documents: list[list[tuple[bytes, bytes | None]]]) -> list[bytes]:
+    """Ids of each document from its chunks ``(text, ids)`` in their order; ids are those of the
+    inner part, or None for text that was not encoded yet.
+
+    At each joint the library encodes the open text together with a word on either side as one
+    string. The words must come out as they did in their chunks; where they do not, twice as
+    many are taken, and when a side has no more the whole text is encoded.
+    """
+    cut = [_joints(parts) for parts in documents]
+    asked = {x: joint.strings(1) for pieces in cut for x, joint in ((id(j), j) for j in pieces if isinstance(j, _Joint))}
+    texts = list(dict.fromkeys(s for three in asked.values() for s in three))
+    ids = dict(zip(texts, coder.library([t.decode() for t in texts]), strict=True))
+    out = []
+    for pieces, parts in zip(cut, documents, strict=True):
+        coded: list[bytes] | None = []
+        for piece in pieces:
+            if isinstance(piece, tuple):
+                coded.append(piece[1])
+            elif isinstance(piece, bytes):
+                coded.append(coder.encode(piece))
+            else:
+                found, words = piece.between(*(ids[s] for s in asked[id(piece)])), 1
+                while found is None and not piece.spent(words):
+                    words *= 2
+                    found = piece.between(*coder.library([s.decode() for s in piece.strings(words)]))
+                if found is None:
+                    coded = None
+                    break
+                coded.append(found)
+        out.append(coder.library([b"".join(p[0] for p in parts).decode()])[0] if coded is None else b"".join(coded))
+    return out
 
 
 def _assemble(path: str):
@@ -307,7 +370,7 @@ def _assemble(path: str):
         for batch in batches:
             for at in range(0, batch.num_rows, READ_ROWS):
                 part = batch.slice(at, READ_ROWS)
-                coded = [joined(coder, [(p["chunk"].as_py(), p["ids"].as_py()) for p in parts]) for parts in part.column(1)]
+                coded = joined(coder, [[(p["chunk"].as_py(), p["ids"].as_py()) for p in parts] for parts in part.column(1)])
                 yield _readable(coder, part.column(0), coded)
 
     return assemble

@@ -50,16 +50,50 @@ def test_chunks_follow_content(prose):
     assert len(set(one) & set(two)) > 0.9 * len(one) - 4
 
 
-def test_a_joint_that_does_not_agree_falls_back_to_the_whole_text():
+def test_joints_widen_until_they_agree_and_fall_back_to_the_whole_text():
     coder = chunked_bpe.WordCoder(WORD)
-    parts = [(b"one tw", b""), (b"o three four", b"\x01\x00\x00\x00")]
-    plain = coder.encode(b"one two three four")
-    good = [(t, coder.encode(t[lo:hi])) for t, (lo, hi) in ((t, chunked_bpe._bounds(t)) for t, _ in parts)]
-    assert chunked_bpe.joined(coder, good) == plain
-    coder.ids[b"three"] = b"\x05\x00\x00\x00"  # a guard that is not what it was
-    encode = coder.encode
-    coder.encode = lambda t: encode(t) if b" " not in t.strip() else encode(t.replace(b"three", b"free"))
-    assert chunked_bpe.joined(coder, good) == coder.library(["one two three four"])[0]
+    texts = [b"zero one tw", b"o three four five six", b" seven"]
+    plain = coder.library([b"".join(texts).decode()])[0]
+
+    def parts(wrong=()):
+        out = []
+        for text in texts:
+            lo, hi = chunked_bpe._bounds(text)
+            ids = coder.encode(text[lo:hi])
+            for word in wrong:
+                ids = ids.replace(coder.encode(word), coder.encode(b"wrong"))
+            out.append((text, ids))
+        return out
+
+    asked = []
+    library = coder.library
+    coder.library = lambda found: asked.append(found) or library(found)
+    assert chunked_bpe.joined(coder, [parts(), [(t, None) for t in texts], []]) == [plain, plain, b""]
+    # A library that reads two words as one token at the joint only: the guard of one word does
+    # not come out as in its chunk, that of two does.
+    three = coder.encode(b"three")
+
+    def merging(found):
+        return [library([x])[0].replace(three, b"\x05\x00") if x.endswith("three") and " " in x else library([x])[0] for x in found]
+
+    asked.clear()
+    coder.library = lambda found: asked.append(found) or merging(found)
+    assert chunked_bpe.joined(coder, [parts()]) == [plain]
+    assert any("three four" in x for found in asked[1:] for x in found) and not any("zero one two three four five six seven" in x for found in asked for x in found)
+    # Ids of a chunk that no number of words agrees with.
+    coder.library = lambda found: asked.append(found) or library(found)
+    asked.clear()
+    assert chunked_bpe.joined(coder, [parts(wrong=(b"one", b"three", b"four", b"five"))]) == [plain]
+    assert asked[-1] == ["zero one two three four five six seven"]
+
+
+def test_tokens_that_hold_white_space_are_refused(tmp_path):
+    tokenizer = Tokenizer.from_file(WORD)
+    tokenizer.add_tokens(["one two"])
+    tokenizer.save(str(tmp_path / "t.json"))
+    with pytest.raises(ValueError):
+        chunked_bpe.check_tokenizer(str(tmp_path / "t.json"))
+    chunked_bpe.check_tokenizer(WORD)
 
 
 def test_a_tokenizer_with_spaces_in_tokens_is_refused():
