@@ -52,7 +52,7 @@ def boilerplate(spread: DataFrame, min_sites: int = MIN_SITES, log2_buckets: int
     for each task, site and text.
     """
     sketches = spread.groupBy("h1", "h2").agg(
-        F.hll_sketch_agg("site", log2_buckets).alias("sites"), F.hll_sketch_agg("t1", log2_buckets).alias("texts")
+        F.hll_sketch_agg("site", log2_buckets).alias("sites"), F.hll_sketch_agg(F.xxhash64("t1", "t2"), log2_buckets).alias("texts")
     )
     least = F.least(F.hll_sketch_estimate("sites"), F.hll_sketch_estimate("texts")).alias("least")
     margin = BAND * 1.04 / (1 << log2_buckets) ** 0.5
