@@ -10,7 +10,7 @@ arrays of shingle hashes.
 
 First each class is compared with one leader of each of its tiles, in a few rounds with other
 leaders, which joins groups of near copies with as many comparisons as they have members.
-What was joined carries one label, passed on along a round's links.
+What was joined carries one label, passed on along each round's links.
 Then only pairs of different components are looked at, in tiles whose key may be the first that they share.
 """
 
@@ -321,19 +321,19 @@ def linked_classes(candidates: DataFrame, text: DataFrame, shingle_words: int, p
         )
         return full.select("a", "b", "ha", "hb").mapInArrow(_verify(percent), "a binary, b binary")
 
-    # Stars: every class of a tile with the tile's leader, the one whose label is first in an order
-    # of chance. What a round joins gets one label, and need not be compared pair by pair.
+    # Stars: every class of a tile with one leader, another one in each round. What a round
+    # joins gets one label, and need not be compared pair by pair.
     links, labels = None, None
     for number in range(STAR_ROUNDS):
         rows = tiles(labels)
-        drawn = F.struct(F.xxhash64(F.lit(number), "label").alias("h"), "label", "cls")
-        leads = rows.groupBy("key", "band").agg(F.min(drawn).alias("lead"), F.max(drawn["label"]).alias("hi"), F.min(drawn["label"]).alias("lo"))
+        drawn = F.struct(F.xxhash64(F.lit(number), "cls").alias("h"), "cls", "label")
+        leads = rows.groupBy("key", "band").agg(F.min(drawn).alias("lead"), F.max("label").alias("hi"), F.min("label").alias("lo"))
         leads = leads.where(F.col("lo") != F.col("hi")).select("key", "band", "lead")
         stars = rows.join(leads, ["key", "band"]).where(F.col("label") != F.col("lead.label"))
         found = settle(checked(stars.select(F.col("lead.cls").alias("a"), F.col("cls").alias("b"))), "links")
         links = found if links is None else links.unionByName(found)
         if number + 1 < STAR_ROUNDS:
-            labels = settle(_relabelled(found, labels, number), "labels")
+            labels = settle(_relabelled(found, labels), "labels")
     # Now the label is the component. Tiles with more than one, with the band above as the other side.
     rows = tiles(connected(links).select(F.col("node").alias("cls"), F.col("root").alias("label")))
     reach = rows.select("key", "label", F.explode(F.array("band", F.col("band") - 1)).alias("band"))
@@ -355,12 +355,12 @@ def linked_classes(candidates: DataFrame, text: DataFrame, shingle_words: int, p
     return links.unionByName(settle(checked(pairs), "links"))
 
 
-def _relabelled(links: DataFrame, labels: DataFrame | None, number: int) -> DataFrame:
-    """``(cls, label)`` of classes that have another label than themselves, after ``links``
-    from leaders ``a`` to classes ``b`` of a round.
+def _relabelled(links: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """``(cls, label)`` of classes that have another label than themselves, after the
+    ``links`` of a round.
 
-    A leader's label is first in the round's order, so each label passes to the first one that
-    it is linked with, and to that one's. Equal labels are joined by links; unequal ones may be too.
+    A label takes the smallest one it is linked with, twice, so the labels of a star become
+    one. Equal labels are joined by links; unequal ones may be too.
     """
     if labels is None:
         edges = links
@@ -368,9 +368,11 @@ def _relabelled(links: DataFrame, labels: DataFrame | None, number: int) -> Data
         of = lambda c: labels.select(F.col("cls").alias(c), F.col("label").alias(f"l{c}"))
         known = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
         edges = known.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
-    first = F.min(F.struct(F.xxhash64(F.lit(number), "a").alias("h"), "a"))["a"]
-    down = edges.where(F.col("a") != F.col("b")).groupBy("b").agg(first.alias("m"))
-    passed = down.join(down.select(F.col("b").alias("m"), F.col("m").alias("m2")), "m", "left").select(F.col("b").alias("label"), F.coalesce("m2", "m").alias("to"))
+    edges = edges.where(F.col("a") != F.col("b")).distinct()
+    both = settle(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
+    once = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    twice = both.join(once.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("m").alias("m"))
+    passed = twice.join(once.withColumnRenamed("m", "own"), "a").select(F.col("a").alias("label"), F.least("m", "own").alias("to")).where(F.col("label") != F.col("to"))
     if labels is None:
         return passed.select(F.col("label").alias("cls"), F.col("to").alias("label"))
     moved = labels.join(passed, "label", "left").select("cls", F.coalesce("to", "label").alias("label"))
