@@ -21,13 +21,14 @@ IDENTITY_FIELDS = ["identity", "sha256", "size", "ext"]
 
 @dataclass
 class ContentStore:
-    """``folder`` holds the contents, ``table`` is their name in the session's catalog, and
-    ``buckets`` into how many parts they are clustered."""
+    """``folder`` holds the contents, ``table`` is their name in the session's catalog,
+    ``buckets`` into how many parts they are clustered; nothing was added to a ``fresh`` one."""
 
     spark: SparkSession
     folder: str
     table: str
     buckets: int
+    fresh: bool = False
 
     @classmethod
     def create(cls, spark: SparkSession, schema: str = "string", folder: str | None = None, buckets: int | None = None) -> ContentStore:
@@ -36,18 +37,24 @@ class ContentStore:
         buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         folder = folder or output_dir(spark, "contents")
         spark.createDataFrame([(buckets, schema)], "buckets int, kind string").coalesce(1).write.json(f"{folder}/layout")
-        return cls.open(spark, folder)
+        store = cls._named(spark, folder, buckets, schema)
+        store.fresh = True
+        return store
 
     @classmethod
     def open(cls, spark: SparkSession, folder: str) -> ContentStore:
         """A store that may have been written by another session."""
         layout = spark.read.schema("buckets int, kind string").json(f"{folder}/layout").first()
+        return cls._named(spark, folder, layout["buckets"], layout["kind"])
+
+    @classmethod
+    def _named(cls, spark: SparkSession, folder: str, buckets: int, kind: str) -> ContentStore:
         table = f"contents_{uuid.uuid4().hex}"
         spark.sql(
-            f"CREATE TABLE {table} (identity STRING, sha256 STRING, size BIGINT, ext STRING, content {layout['kind']}) USING parquet "
-            f"CLUSTERED BY (identity) SORTED BY (identity) INTO {layout['buckets']} BUCKETS LOCATION '{folder}/contents'"
+            f"CREATE TABLE {table} (identity STRING, sha256 STRING, size BIGINT, ext STRING, content {kind}) USING parquet "
+            f"CLUSTERED BY (identity) SORTED BY (identity) INTO {buckets} BUCKETS LOCATION '{folder}/contents'"
         )
-        return cls(spark, folder, table, layout["buckets"])
+        return cls(spark, folder, table, buckets)
 
     @property
     def contents(self) -> DataFrame:
@@ -64,7 +71,7 @@ class ContentStore:
         """
         manifest = settle(with_identity(files).drop("content"), "manifest") if manifest is None else manifest
         new = with_identity(files.select("path", "content"))
-        if self._filled():
+        if not self.fresh:
             missing = manifest.select("identity").distinct().join(self.contents.select("identity"), "identity", "left_anti")
             missing = settle(missing, "missing")
             if missing.isEmpty():
@@ -72,11 +79,9 @@ class ContentStore:
             new = new.join(missing, "identity", "left_semi")
         once = new.groupBy(*IDENTITY_FIELDS).agg(F.any_value("content").alias("content"))
         once.write.format("parquet").bucketBy(self.buckets, "identity").sortBy("identity").mode("append").saveAsTable(self.table)
+        self.fresh = False
         return manifest
 
-    def _filled(self) -> bool:
-        return not self.contents.select("identity").isEmpty()
-
     def targets(self, wanted: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
         """Contents of the ``wanted`` and not ``known`` identities, of all without either.
 
