@@ -321,12 +321,14 @@ def linked_classes(candidates: DataFrame, text: DataFrame, shingle_words: int, p
         )
         return full.select("a", "b", "ha", "hb").mapInArrow(_verify(percent), "a binary, b binary")
 
-    # Stars: every class of a tile with one leader, another one in each round. What a round
-    # joins gets one label, and need not be compared pair by pair.
+    # Stars: every class of a tile with one leader. What a round joins gets one label, and need
+    # not be compared pair by pair. At first most tiles of a group have the same leader, which
+    # joins close copies with few comparisons; then every tile draws its own, so that classes of a
+    # looser group meet many.
     links, labels = None, None
     for number in range(STAR_ROUNDS):
         rows = tiles(labels)
-        drawn = F.struct(F.xxhash64(F.lit(number), "cls").alias("h"), "cls", "label")
+        drawn = F.struct(F.xxhash64(F.lit(number), *["key"] * (number > 0), "cls").alias("h"), "cls", "label")
         leads = rows.groupBy("key", "band").agg(F.min(drawn).alias("lead"), F.max("label").alias("hi"), F.min("label").alias("lo"))
         leads = leads.where(F.col("lo") != F.col("hi")).select("key", "band", "lead")
         stars = rows.join(leads, ["key", "band"]).where(F.col("label") != F.col("lead.label"))
