@@ -71,6 +71,23 @@ def test_components_agree_with_all_pairs(make_docs, corpus, k, percent):
     assert found == expected
 
 
+def test_a_hot_shingle_loose_groups_and_very_long_texts(make_docs, prose):
+    """Copies of copies, so that a group holds many pairs that do not link; a phrase in every
+    document; texts of 60,000 words that differ in few."""
+    rng = random.Random(8)
+    texts = []
+    for g in range(3):
+        own = [f"{prose(f'g{g}', 60)} the phrase that all of them have"]
+        for _ in range(40):
+            own.append(edited(rng.choice(own), rng, 2))
+        texts += own
+    texts += [f"{prose(f'u{i}', 3)} the phrase that all of them have" for i in range(60)]
+    long = prose("long", 60_000, stock=5000)
+    texts += [long, edited(long, rng, 300), edited(long, rng, 9000), long + " the phrase that all of them have"]
+    rows = list(enumerate(texts))
+    assert Counter(tuple(r) for r in near_duplicates.jaccard_components(make_docs(rows), 4, 85).collect()) == brute_components(rows, 4, 85)
+
+
 def test_frequent_shingles_and_a_large_group_of_near_copies(make_docs, prose, monkeypatch):
     monkeypatch.setattr(near_duplicates, "FREQUENT", 3)
     monkeypatch.setattr(near_duplicates, "COARSE", 100)
