@@ -43,17 +43,22 @@ class RunLog:
         first = spark.createDataFrame([("", "", 0, [], [])], _POINTER)
         first.coalesce(1).write.mode("ignore").json(f"{self.folder}/published/first")
 
+    def _written(self) -> DataFrame:
+        return self.spark.read.schema(_POINTER).json(f"{self.folder}/published/*")
+
     def pointers(self) -> DataFrame:
         """One row per run. Should two attempts of one run have been published at once, all
         readers take the same one."""
-        rows = self.spark.read.schema(_POINTER).json(f"{self.folder}/published/*")
+        rows = self._written()
         return rows.groupBy("run_id").agg(F.min_by(F.struct("attempt", "version", "tables", "revoked"), "attempt").alias("_p")).select("run_id", "_p.*")
 
     def version(self) -> int:
-        return self.pointers().agg(F.max("version")).first()[0]
+        return self._written().agg(F.max("version")).first()[0]
 
     def find(self, run_id: str) -> PublishedRun | None:
-        row = self.pointers().where(F.col("run_id") == run_id).first()
+        # The attempts of one run, nearly always one.
+        attempts = self._written().where(F.col("run_id") == run_id).collect()
+        row = min(attempts, key=lambda r: r["attempt"], default=None)
         return row and PublishedRun(self.spark, f"{self.folder}/attempts/{row['attempt']}", row["version"], tuple(row["tables"]))
 
     def publish(self, run_id: str, tables: Mapping[str, DataFrame], revoked: Sequence[tuple[str, ...]] = ()) -> PublishedRun:
@@ -65,8 +70,8 @@ class RunLog:
         if found is not None:
             return found
         attempt = uuid.uuid4().hex
-        for name, rows in tables.items():
-            rows.write.parquet(f"{self.folder}/attempts/{attempt}/{name}")
+        for name, table in tables.items():
+            table.write.parquet(f"{self.folder}/attempts/{attempt}/{name}")
         pointer = self.spark.createDataFrame([(run_id, attempt, self.version() + 1, list(tables), list(revoked))], _POINTER)
         named = hashlib.sha256(run_id.encode()).hexdigest()
         pointer.coalesce(1).write.json(f"{self.folder}/published/{named}-{attempt}")
