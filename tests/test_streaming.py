@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from packsift.operators.expand import scan_package
 from packsift.plans import views
+from packsift.plans.streams import st_scan_jobs
 from packsift.session import output_dir
 from packsift.streaming.job_stream import JobGate, ScanStream
 from tests.test_operators import FILES, rule, rules
@@ -129,3 +130,15 @@ def test_a_replayed_batch_of_jobs_decides_as_before(spark, tmp_path):
 
 def _batch_files(folder):
     return [str(p) for p in sorted(folder.glob("*/*.parquet"), key=lambda p: (p.stat().st_mtime_ns // 1_000_000, str(p)))]
+
+
+def test_a_table_of_several_files_is_streamed(spark, tmp_path):
+    columns = "doc_id bigint, source string, lang string, text string"
+    rows = [(n, f"site{n % 3}", "en", f"text {n}\nmail a{n}@example.org") for n in range(0, 48, 4)]
+    docs = spark.createDataFrame(rows, columns)
+    reports = []
+    for folder, parts in (("one", 1), ("some", 3)):
+        docs.repartition(parts).write.parquet(f"{tmp_path}/{folder}/documents.parquet")
+        reports.append(sorted(map(tuple, st_scan_jobs(spark, f"{tmp_path}/{folder}").collect())))
+    assert [r[3:] for r in reports[0]] == [("corpus.text.email-address", 2)] * 12
+    assert reports[0] == reports[1]
