@@ -6,7 +6,7 @@ import re
 import pytest
 
 from packsift.operators import rule_index
-from packsift.operators.rule_index import necessary_texts, rule_grams, scan_indexed
+from packsift.operators.rule_index import gram_pattern, index_rules, necessary_texts, rule_grams, rule_parts, scan_indexed
 from packsift.operators.scan import scan, scan_regex
 from tests.test_operators import plain, rule, rules
 
@@ -89,3 +89,23 @@ def test_ten_thousand_rules_in_one_read(spark, tmp_path):
     plan = found._jdf.queryExecution().executedPlan().toString()
     final = plan.split("== Initial Plan ==")[0]
     assert len(re.findall(r"FileScan[^\n]*content", final)) == 1
+
+
+def test_a_pattern_is_the_sum_of_its_parts():
+    parts = rule_parts(r"(?i)Lo.ng text|x(?:a|b)|[|)]+@|")
+    assert [(p["pattern"], p["text"]) for p in parts] == [("(?i)Lo.ng text", "ng text"), ("(?i)x(?:a|b)", "x"), ("(?i)[|)]+@", "@"), ("(?i)", "")]
+    assert rule_parts("(?=a)b|c") == [{"pattern": "(?=a)b|c", "grams": [], "text": ""}]
+    assert re.findall(gram_pattern(["abab", "baba", "ba.b", "(a|b"]), "ababab ba.b baxb (a|b") == ["abab", "baba", "abab", "ba.b", "(a|b"]
+
+
+def test_what_rules_share_is_tried_once(spark):
+    shared = [rule(f"r.{n}", rf"(?i)passage {n:03d}|copyright [0-9]+|[^ ]+@[^ ]+") for n in range(300)]
+    corpus = rules(spark, *shared, shared[0], rule("r.whole", "passage 001"), rule("r.whole", "passage 001"), rule("r.js", "@", languages=["javascript"]))
+    anchors, rest, _ = index_rules(corpus)
+    assert (anchors.count(), rest.count()) == (302, 2)
+    rows = [("a", "py", "Passage 007 Copyright 3 x@y\nnone @ all\nPASSAGE 001"), ("b", "js", "passage 001\n@")]
+    targets = spark.createDataFrame(rows, "identity string, ext string, content string")
+    found = plain(scan_indexed(targets, corpus, ["identity"]).collect())
+    mail = [("a", f"r.{n}", 1, 1) for n in [*range(300), 0]]
+    expected = [*mail, ("a", "r.1", 3, 3), ("b", "r.1", 1, 1), ("b", "r.whole", 1, 1), ("b", "r.js", 2, 2)]
+    assert found == sorted(expected)
