@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from packsift.functions.binding import let
-from packsift.operators.scan import LINE_MODE, applicable, in_scope, is_small, rule_batches, scan_regex
+from packsift.operators.scan import LINE_MODE, applicable, holds_text, in_scope, is_small, rule_batches, scan_regex
 from packsift.operators.skew import skew_safe_join
 from packsift.session import settle
 
@@ -246,9 +246,8 @@ def scan_indexed(targets: DataFrame, rules: DataFrame, key: Sequence[str]) -> Da
 
     def tried(part: Row) -> Column:
         hit = F.col("_line").rlike(LINE_MODE + part["pattern"])
-        if part["text"]:
-            cased = part["text"].upper() != part["text"]
-            hit = F.contains(F.lower("_line") if cased else F.col("_line"), F.lit(part["text"])) & hit
+        held = holds_text("_line", part["pattern"])
+        hit = hit if held is None else held & hit
         condition = applicable(part)
         return hit if condition is None else condition & hit
 

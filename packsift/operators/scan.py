@@ -80,6 +80,20 @@ def applicable(rule: Row) -> Column | None:
 # -- regex rules ---------------------------------------------------------------------
 
 
+def holds_text(column: str, pattern: str) -> Column | None:
+    """Whether a text holds what every match of one of the pattern's alternatives holds, which is
+    looked up much faster than matched; None where there is nothing to look up."""
+    from packsift.operators.rule_index import rule_parts
+
+    texts = {part["text"] for part in rule_parts(pattern)}
+    if "" in texts:
+        return None
+    cased = any(text.upper() != text for text in texts)
+    body = F.lower(column) if cased else F.col(column)
+    found = lambda text: reduce(lambda a, b: a | b, [F.contains(text, F.lit(t)) for t in sorted(texts)])
+    return let(body, found) if len(texts) > 1 and cased else found(body)
+
+
 # Syntax that may look past the line or keep a match from being given up: on a whole text
 # such a pattern can fail where it matches a line of it.
 _LINE_ONLY = re.compile(r"\\[AzZG]|\(\?(?![:i)])|\(\?i[^)]|[*+?}]\+")
@@ -88,13 +102,16 @@ _LINE_ONLY = re.compile(r"\\[AzZG]|\(\?(?![:i)])|\(\?i[^)]|[*+?}]\+")
 def scan_regex(targets: DataFrame, rules: DataFrame, key: Sequence[str]) -> DataFrame:
     """Findings (key, check_id, start_line, end_line) of regex rules.
 
-    Whole texts are tested first, so only files with a match are split to lines.
+    Whole texts are tested first, so only files with a match are split to lines. Where a
+    rule's matches hold a fixed text, only what holds it is matched.
     """
     parts = []
     for batch in rule_batches(rules):
 
         def test(column: str, rule: Row, mode: str) -> Column:
             hit = F.col(column).rlike(mode + rule["pattern"])
+            held = holds_text(column, rule["pattern"])
+            hit = hit if held is None else held & hit
             condition = applicable(rule)
             return hit if condition is None else condition & hit
 

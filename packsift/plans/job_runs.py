@@ -41,7 +41,8 @@ def earlier_results(corpus: Corpus, corpus_rules: DataFrame) -> DataFrame:
     per = covered.groupBy("identity", "sha256", "ext").agg(
         (F.min("quality") == 0).alias("broken"), ((F.max("toxic") == 1) | (F.min("doc_id") % 5 == 0)).alias("poisoned")
     )
-    found = describe(scan(corpus.store.targets(wanted=per), corpus_rules, ["identity"]), corpus_rules)
+    # Kept: numbering reads its rows twice, which would scan the content twice.
+    found = settle(describe(scan(corpus.store.targets(wanted=per), corpus_rules, ["identity"]), corpus_rules), "earlier-findings")
     lists = gather_findings(found, ["identity"], ["start_line", *[c for c in CONTENT_FIELDS if c != "start_line"]], limit=None)
     blank = lambda item: F.struct(*[(item[n] if n in CONTENT_FIELDS else F.lit("")).alias(n) for n in FINDING.fieldNames()])
     text = F.when(F.col("broken"), "[{").when(F.col("poisoned"), "[]").otherwise(F.coalesce(F.to_json(F.transform("items", blank)), F.lit("[]")))

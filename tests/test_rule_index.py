@@ -7,7 +7,9 @@ import pytest
 
 from packsift.operators import rule_index
 from packsift.operators.rule_index import gram_pattern, index_rules, necessary_texts, rule_grams, rule_parts, scan_indexed
-from packsift.operators.scan import scan, scan_regex
+from packsift.operators.scan import holds_text, scan, scan_regex
+from packsift.plans.corpus import Corpus
+from packsift.plans.job_runs import covering_rules, earlier_results
 from tests.test_operators import plain, rule, rules
 
 
@@ -109,3 +111,18 @@ def test_what_rules_share_is_tried_once(spark):
     mail = [("a", f"r.{n}", 1, 1) for n in [*range(300), 0]]
     expected = [*mail, ("a", "r.1", 3, 3), ("b", "r.1", 1, 1), ("b", "r.whole", 1, 1), ("b", "r.js", 2, 2)]
     assert found == sorted(expected)
+
+
+def test_only_texts_with_a_necessary_text_are_matched(spark):
+    texts = ["x", "LICENSED UNDER", "Copyright", None, "", "a@b.org", "İcopyright"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    chosen = lambda pattern: [r["i"] for r in rows.where(holds_text("t", pattern)).orderBy("i").collect()]
+    assert chosen("(?i)licensed under|copyright") == [1, 2, 6]
+    assert chosen("[a-z]+@[a-z]+") == [5]
+    assert holds_text("t", "[a-z]+|@") is None and holds_text("t", "(?=@)") is None
+
+
+def test_earlier_results_scan_content_once(spark, sf_dir):
+    corpus = Corpus(spark, sf_dir)
+    plan = earlier_results(corpus, covering_rules(spark))._jdf.queryExecution().executedPlan().toString()
+    assert corpus.store.table not in plan
