@@ -9,35 +9,47 @@ does not, more words are taken, at last the whole text.
 
 The tokenizer must drop white space in its pre-tokenizer, so a text that is cut at
 ASCII white space is encoded like its parts. Words are then encoded by the library
-once each in a task.
+once each, as long as a worker process keeps them.
 """
 
 from __future__ import annotations
 
+import os
 import re
+import string
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from packsift.llm.keyfilter import DEFAULT_LOG2_BITS, key_filter
+from packsift.llm.library import loaded
 from packsift.llm.tables import pick, settle
 from packsift.llm.textbytes import slices, splitmix, text_buffer
 
 #: One position in 2^CUT_BITS is a cut.
 CUT_BITS = 9
-#: Words that a task keeps encoded; when there are more, it starts afresh.
-KEPT_WORDS = 200_000
+#: Words that a worker process keeps encoded, twice: when there are more, those not met since the
+#: last time go.
+KEPT_WORDS = 150_000
 #: Words of letters that are encoded in one call.
 TOGETHER = 512
 #: Documents put together at a time.
 READ_ROWS = 256
+#: Chunks encoded at a time.
+ENCODE_ROWS = 1024
+#: Text between two encoded chunks is encoded word by word if it has more bytes.
+LONG_MIDDLE = 256
 _WINDOW = 32
 _SPACES = b" \t\n\x0b\x0c\r"
 _EACH_SPACE = [bytes([c]) for c in _SPACES]
 _WORD = re.compile(rb"[^ \t\n\x0b\x0c\r]+")
+#: Letters of the first blocks.
+_LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
 
 
 class WordCoder:
@@ -48,16 +60,15 @@ class WordCoder:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        self.tokenizer = loaded(path)
         self.names = token_names(self.tokenizer)
+        self.name_array = pa.array(self.names, pa.string())
         self.last = np.array([n.endswith("</w>") for n in self.names])
         # Ids are kept and moved in as few bytes as the vocabulary allows.
         self.kind = np.dtype(np.uint16 if len(self.names) <= 1 << 16 else np.int32)
-        self.ids: dict[bytes, bytes] = {}
+        self.marks = separate_marks(self.tokenizer)
+        self.ids: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def library(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, packed."""
@@ -76,26 +87,69 @@ class WordCoder:
                 out += self.library(part)
         return out
 
-    def learn(self, words: set[bytes]) -> None:
-        fresh = {w for w in words if w not in self.ids}
-        if not fresh:
-            return
+    def learn(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words."""
+        fresh = [w for w in words if w not in self.ids]
         if len(self.ids) + len(fresh) > KEPT_WORDS and self.ids:
-            self.ids = {}
+            self.older, self.ids = self.ids, {}
             fresh = words
-        split = {w: _last_mark(w.decode()) for w in fresh}
-        stems = list({p for parts in split.values() for p in parts})
-        plain = [p for p in stems if p.isalpha() and max(p) < "\u0250"]
-        other = [p for p in stems if not (p.isalpha() and max(p) < "\u0250")]
-        known = dict(zip(plain, self._together(plain), strict=True)) | dict(zip(other, self.library(other), strict=True))
-        for word, parts in split.items():
-            self.ids[word] = known[parts[0]] if len(parts) == 1 else known[parts[0]] + known[parts[1]]
+        if self.older:
+            self.ids.update([(w, self.older[w]) for w in fresh if w in self.older])
+            fresh = [w for w in fresh if w not in self.older]
+        if fresh:
+            split = [self._last_marks(w) for w in fresh]
+            parts = list({part for two in split for part in two})
+            plain = [p for p in parts if _LETTERS.fullmatch(p)]
+            known = dict(zip(plain, self._together(plain), strict=True))
+            other = [p for p in parts if p not in known]
+            known.update(zip(other, self.library(other), strict=True))
+            self.ids.update([(w, known[two[0]] if len(two) == 1 else known[two[0]] + known[two[1]]) for w, two in zip(fresh, split, strict=True)])
+        return list(map(self.ids.__getitem__, words))
+
+    def _last_marks(self, word: str) -> tuple[str, ...]:
+        """A word without the marks at its end, and these: after a letter or digit (of the first
+        blocks, if it is one in lower case too) the pre-tokenizer cuts between them."""
+        stem = word.rstrip(self.marks)
+        if len(stem) < len(word) and stem and stem[-1] < "\u0250" and stem[-1].lower().isalnum():
+            return stem, word[len(stem) :]
+        return (word,)
+
+    def encode_all(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each text, packed."""
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.binary()).cast(pa.large_string()))
+        words = split.flatten().dictionary_encode()
+        known = pa.array(self.learn(words.dictionary.to_pylist()), pa.large_binary())
+        if "" in self.ids:  # before and behind white space at the ends of a text
+            del self.ids[""]
+        _, ends, data = known.take(words.indices).buffers()
+        if not data or not len(words):
+            return [b""] * len(texts)
+        marks = np.frombuffer(ends, np.int64)[split.offsets.to_numpy()].tolist()
+        raw = memoryview(data)
+        return [bytes(raw[lo:hi]) for lo, hi in zip(marks[:-1], marks[1:], strict=True)]
 
     def encode(self, text: bytes) -> bytes:
-        """Ids, packed."""
-        words = text.split()
-        self.learn(set(words))
-        return b"".join(map(self.ids.__getitem__, words))
+        return self.encode_all([text])[0]
+
+
+def word_coder(path: str) -> WordCoder:
+    """The worker process's coder of a tokenizer, with the words that earlier tasks learned."""
+    found = os.stat(path)
+    return _word_coder(path, found.st_mtime_ns, found.st_size)
+
+
+@lru_cache(maxsize=1)
+def _word_coder(path: str, *_version: int) -> WordCoder:
+    return WordCoder(path)
+
+
+def separate_marks(tokenizer) -> str:
+    """ASCII marks that are cut from a letter or digit before them, however many follow. Those that
+    an added token holds are none."""
+    added = {c for token in tokenizer.get_added_tokens_decoder().values() for c in token.content}
+    coded = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+    same = lambda mark: all(coded(f"{a}{mark}{b}") == coded(f"{a} {mark}{b}") for a in ("ab", "1", "\u00e9") for b in ("", mark, mark + "."))
+    return "".join(m for m in string.punctuation if m not in added and same(m))
 
 
 def token_names(tokenizer) -> list[str]:
@@ -106,14 +160,6 @@ def token_names(tokenizer) -> list[str]:
     return names
 
 
-def _last_mark(word: str) -> tuple[str, ...]:
-    """A word without its last comma or full stop, and that mark: after a letter or
-    digit (of the first blocks) the pre-tokenizer cuts between them."""
-    if len(word) > 1 and word[-1] in ".," and word[-2] < "\u0250" and word[-2].isalnum():
-        return word[:-1], word[-1]
-    return (word,)
-
-
 def check_tokenizer(path: str) -> None:
     """Refuse a tokenizer for which white space is part of a token."""
     from tokenizers import Tokenizer
@@ -208,19 +254,19 @@ def _readable(coder: WordCoder, ids: pa.Array, coded: list[bytes]) -> pa.RecordB
     space between them, which is what a tokenizer without a decoder gives."""
     flat = np.frombuffer(b"".join(coded), coder.kind).astype(np.int32)
     ends = np.cumsum([0, *[len(x) // coder.kind.itemsize for x in coded]]).astype(np.int32)
-    name = coder.names.__getitem__
-    texts = [" ".join(map(name, flat[lo:hi].tolist())) for lo, hi in zip(ends[:-1], ends[1:], strict=True)]
-    return pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(texts, pa.string())], names=["id", "ids", "decoded"])
+    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+    named = pa.ListArray.from_arrays(lists.offsets, coder.name_array.take(lists.values))
+    return pa.RecordBatch.from_arrays([ids, lists, pc.binary_join(named, " ")], names=["id", "ids", "decoded"])
 
 
 def _encode_unshared(path: str, cut_bits: int, shared):
     """Ids of the documents that hold no shared chunk; the others are left out."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = WordCoder(path)
+        coder = word_coder(path)
         for batch, first, docs in _read_chunks(batches, 1, cut_bits, shared):
-            own = [(first + d, coder.encode(b"".join(chunks))) for d, (chunks, _, passed) in enumerate(docs) if not any(passed)]
-            yield _readable(coder, batch.column(0).take(pa.array([r for r, _ in own], pa.int64())), [x for _, x in own])
+            own = [(first + d, b"".join(chunks)) for d, (chunks, _, passed) in enumerate(docs) if not any(passed)]
+            yield _readable(coder, batch.column(0).take(pa.array([r for r, _ in own], pa.int64())), coder.encode_all([text for _, text in own]))
 
     return encode
 
@@ -269,13 +315,12 @@ def _encode_chunks(path: str):
     """``(key, key2, chunk)`` -> with the ids of the inner part of a chunk."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = WordCoder(path)
-        for batch in batches:
-            ids = []
-            for chunk in batch.column(2).to_pylist():
-                lo, hi = _bounds(chunk)
-                ids.append(coder.encode(chunk[lo:hi]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], names=["key", "key2", "chunk", "ids"])
+        coder = word_coder(path)
+        for whole in batches:
+            for at in range(0, whole.num_rows, ENCODE_ROWS):
+                batch = whole.slice(at, ENCODE_ROWS)
+                inner = [chunk[slice(*_bounds(chunk))] for chunk in batch.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(coder.encode_all(inner), pa.binary())], names=["key", "key2", "chunk", "ids"])
 
     return encode
 
@@ -331,15 +376,31 @@ def _joints(parts: list[tuple[bytes, bytes | None]]) -> list[_Joint | tuple[byte
     return [*out, open_end]
 
 
+def _with_middles(coder: WordCoder, documents: list[list[tuple[bytes, bytes | None]]]) -> list[list[tuple[bytes, bytes | None]]]:
+    """The documents with the ids of long texts that stand between encoded ones."""
+    out, places = [list(parts) for parts in documents], []
+    for d, parts in enumerate(out):
+        done = [i for i, (_, ids) in enumerate(parts) if ids]
+        places += [(d, i) for i in range(done[0] + 1, done[-1]) if parts[i][1] is None and len(parts[i][0]) > LONG_MIDDLE] if done else []
+    ids = coder.encode_all([out[d][i][0][slice(*_bounds(out[d][i][0]))] for d, i in places])
+    for (d, i), found in zip(places, ids, strict=True):
+        out[d][i] = (out[d][i][0], found)
+    return out
+
+
 def joined(coder: WordCoder, documents: list[list[tuple[bytes, bytes | None]]]) -> list[bytes]:
     """Ids of each document from its chunks ``(text, ids)`` in their order; ids are those of the
     inner part, or None for text that was not encoded yet.
 
     At each joint the library encodes the open text together with a word on either side as one
     string. The words must come out as they did in their chunks; where they do not, twice as
-    many are taken, and when a side has no more the whole text is encoded.
+    many are taken, and when a side has no more the whole text is encoded. Long text between two
+    chunks is encoded like a chunk first, text at the ends of a document word by word.
     """
+    documents = _with_middles(coder, documents)
     cut = [_joints(parts) for parts in documents]
+    ends = list(dict.fromkeys(piece for pieces in cut for piece in pieces if isinstance(piece, bytes)))
+    open_ids = dict(zip(ends, coder.encode_all(ends), strict=True))
     asked = {x: joint.strings(1) for pieces in cut for x, joint in ((id(j), j) for j in pieces if isinstance(j, _Joint))}
     texts = list(dict.fromkeys(s for three in asked.values() for s in three))
     ids = dict(zip(texts, coder.library([t.decode() for t in texts]), strict=True))
@@ -350,7 +411,7 @@ def joined(coder: WordCoder, documents: list[list[tuple[bytes, bytes | None]]])
             if isinstance(piece, tuple):
                 coded.append(piece[1])
             elif isinstance(piece, bytes):
-                coded.append(coder.encode(piece))
+                coded.append(open_ids[piece])
             else:
                 found, words = piece.between(*(ids[s] for s in asked[id(piece)])), 1
                 while found is None and not piece.spent(words):
@@ -366,11 +427,11 @@ def joined(coder: WordCoder, documents: list[list[tuple[bytes, bytes | None]]])
 
 def _assemble(path: str):
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = WordCoder(path)
+        coder = word_coder(path)
         for batch in batches:
             for at in range(0, batch.num_rows, READ_ROWS):
                 part = batch.slice(at, READ_ROWS)
-                coded = joined(coder, [[(p["chunk"].as_py(), p["ids"].as_py()) for p in parts] for parts in part.column(1)])
+                coded = joined(coder, [[(p["chunk"], p["ids"]) for p in parts] for parts in part.column(1).to_pylist()])
                 yield _readable(coder, part.column(0), coded)
 
     return assemble
@@ -400,7 +461,7 @@ def encode_documents(
     done = rows.mapInArrow(_encode_unshared(tokenizer_path, cut_bits, shared), fields)
     # The row number only lives in the written table, where it is fixed.
     numbered = rows.select(F.monotonically_increasing_id().alias("row"), "id", "text")
-    rest = settle(numbered.mapInArrow(_split_sharing(cut_bits, shared), f"row long, id {kind}, seq int, key long, key2 long, chunk binary"), "chunks")
+    rest = settle(numbered.mapInArrow(_split_sharing(cut_bits, shared), f"row long, id {kind}, seq int, key long, key2 long, chunk binary"), "chunks", compression="zstd")
     # Occurrences of a chunk are keys only; its text comes along with its ids.
     distinct = rest.where(F.col("key").isNotNull()).select("key", "key2", "chunk").dropDuplicates(["key", "key2"])
     encoded = distinct.mapInArrow(_encode_chunks(tokenizer_path), "key long, key2 long, chunk binary, ids binary")

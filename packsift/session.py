@@ -69,14 +69,14 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(cores, *keys) if estimate < cores * SPLIT_BYTES else df
 
 
-def settle(df: DataFrame, name: str = "settled") -> DataFrame:
+def settle(df: DataFrame, name: str = "settled", **options: str) -> DataFrame:
     """Write ``df`` to the shared folder and continue from the written table.
 
     For narrow rows that several later steps read: the work before is done once,
     every step sees the same rows in the same files, and a lost executor costs a
-    re-read instead of a recomputation.
+    re-read instead of a recomputation. ``options`` are those of the writer.
     """
     spark = df.sparkSession
     folder = output_dir(spark, name)
-    df.write.parquet(folder)
+    df.write.options(**options).parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)

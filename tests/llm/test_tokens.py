@@ -117,3 +117,40 @@ def test_rare_pieces_go_through_the_join(spark, make_docs, prose, monkeypatch):
     text = prose(3, 400)
     row = token_counts.count_tokens(make_docs([(1, text), (2, text + " x")]), BYTE).orderBy("doc_id").first()
     assert row["n_tokens"] == len(library(BYTE, text)[0])
+
+
+def test_words_are_kept_over_tasks_and_generations(monkeypatch):
+    monkeypatch.setattr(chunked_bpe, "KEPT_WORDS", 40)
+    coder = chunked_bpe.WordCoder(WORD)
+    asked = []
+    library = coder.library
+    coder.library = lambda texts: asked.extend(texts) or library(texts)
+    often = b"kept word"
+    for i in range(30):
+        text = often + b" " + b" ".join(b"w%dx" % (10 * i + j) for j in range(10))
+        assert coder.encode(text) == library([text.decode()])[0]
+        assert len(coder.ids) + len(coder.older) <= 2 * 40
+    assert sum("kept" in text for text in asked) == 1
+    assert chunked_bpe.word_coder(WORD) is chunked_bpe.word_coder(WORD)
+
+
+def test_marks_at_the_end_are_cut_where_the_library_cuts():
+    coder = chunked_bpe.WordCoder(WORD)
+    assert {",", ".", "!", "$", "*", "'"} <= set(coder.marks) and not set("<|>") & set(coder.marks)
+    words = ["ab!!", "ab$$$", "dog's", "dogs'", "a'S!'", "x-1,.", "<|endoftext|>", "a<|endoftext|>!", "é***", "日本!!", "≠", "a≠", "1%", "(785)", "´´.", "İ!", "ΣΣ.", "...", "á!"]
+    for word in words:
+        assert coder.encode(word.encode()) == coder.library([word])[0], word
+    assert coder.encode(" ".join(words).encode()) == coder.library([" ".join(words)])[0]
+
+
+def test_long_text_between_chunks_is_encoded_by_words():
+    coder = chunked_bpe.WordCoder(WORD)
+    middle = b" fresh" + b" middle words." * 60 + b" end"
+    texts = [b"zero one tw", b"o three four fi", middle, b"x seven eight n", b"ine"]
+    parts = [(t, coder.encode(t[slice(*chunked_bpe._bounds(t))]) if i in (0, 1, 3) else None) for i, t in enumerate(texts)]
+    plain = coder.library([b"".join(texts).decode()])[0]
+    asked = []
+    library = coder.library
+    coder.library = lambda found: asked.extend(found) or library(found)
+    assert chunked_bpe.joined(coder, [parts]) == [plain]
+    assert max(map(len, asked)) < 100
