@@ -37,6 +37,8 @@ WORDS = 8  # 64-bit words of a signature
 _SIGNATURE = [f"s{i}" for i in range(WORDS)]
 #: Larger sets carry a finer signature too, of some two bits for each shingle.
 COARSE = 1000
+#: Bytes of texts whose shingles are made at a time.
+SLICE = 1 << 18
 #: Rounds of comparing with leaders before pairs are looked at.
 STAR_ROUNDS = 3
 
@@ -51,7 +53,7 @@ class Shingler:
     def sets(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """``(first document, hashes, offsets)`` by slice."""
         data, offs = text_buffer(column)
-        for a, b in slices(offs):
+        for a, b in slices(offs, SLICE):
             part = offs[a : b + 1] - offs[a]
             words = self.splitter.split(data[offs[a] : offs[b]], part)
             hashed = self.splitter.hashes(words)
@@ -145,13 +147,22 @@ def _fine_bound(percent: int):
     return run
 
 
+def frequent(held: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Values that occur ``least`` times or more in arrays, which are let go, and how often. Sorted
+    in place, so that two copies of all values are the most that is held."""
+    found = np.concatenate(held)
+    held.clear()
+    found.sort()
+    values = np.unique(found[least - 1 :][found[least - 1 :] == found[: len(found) - least + 1]]) if len(found) >= least else found[:0]
+    return values, np.searchsorted(found, values, "right") - np.searchsorted(found, values, "left")
+
+
 def _sets_and_frequent(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, held, size = Shingler(k), [], 0
 
         def report() -> pa.RecordBatch:
-            values, counts = np.unique(np.concatenate(held), return_counts=True)
-            values, counts = values[counts >= FREQUENT], counts[counts >= FREQUENT]
+            values, counts = frequent(held, FREQUENT)
             n = len(values)
             return pa.RecordBatch.from_arrays(
                 [pa.nulls(n, kind), pa.nulls(n, pa.binary()), pa.array(counts, pa.int64()), pa.array(values.view(np.int64))], names=["id", "cls", "n", "shingle"]
@@ -169,7 +180,7 @@ def _sets_and_frequent(k: int):
                 size += len(hashes)
                 if size >= STRETCH:
                     yield report()
-                    held, size = [], 0
+                    size = 0
         if held:
             yield report()
 

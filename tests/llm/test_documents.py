@@ -222,3 +222,20 @@ def test_edit_distance_agrees_with_the_table():
             row = new
             best = min(best, row[-1])
         assert decontaminate.edit_distance_within(p, t)[0] == best
+
+
+def test_frequent_values_let_go_of_what_they_count():
+    import tracemalloc
+
+    import numpy as np
+
+    held = [np.random.default_rng(i).integers(0, 1 << 16, 1 << 16).astype(np.uint64) for i in range(16)]
+    values, counts = np.unique(np.concatenate(held), return_counts=True)
+    size = sum(x.nbytes for x in held)
+    tracemalloc.start()
+    found, often = near_duplicates.frequent(held, 20)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert not held and found.tolist() == values[counts >= 20].tolist() and often.tolist() == counts[counts >= 20].tolist()
+    assert peak < 1.8 * size
+    assert len(near_duplicates.frequent([np.arange(3, dtype=np.uint64)], 8)[0]) == 0
