@@ -17,16 +17,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from packsift.llm.library import loaded
 from packsift.llm.tables import pick, settle
 
 #: At most so many frequent pieces, of at most so many bytes each, go to every task.
 HEAD_PIECES = 1 << 18
 HEAD_PIECE_BYTES = 64
-#: A task reports a piece as frequent when it met it so often in a stretch of so many.
-FREQUENT, STRETCH = 3, 1 << 21
-ENCODE_ROWS = 4096
+#: A task reports a piece as frequent when it met it so often in a stretch of so many; longer
+#: pieces are not counted.
+FREQUENT, STRETCH = 2, 1 << 20
+ENCODE_ROWS = 1024
 #: Documents whose pieces are held at a time.
-MEASURE_ROWS = 512
+MEASURE_ROWS = 128
 
 _IRREGULAR = re.compile(r" \s|\s |^\s|\s$")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -53,13 +55,13 @@ def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     met = 0
 
     def report() -> pa.RecordBatch:
-        often = [(p, n) for p, n in seen.items() if n >= FREQUENT and len(p) <= HEAD_PIECE_BYTES]
+        often = [(p, n) for p, n in seen.items() if n >= FREQUENT]
         return pa.RecordBatch.from_arrays([pa.array([p for p, _ in often], pa.string()), pa.array([n for _, n in often], pa.int64())], names=["piece", "n"])
 
     for batch in batches:
         for text in batch.column(0):
             found = pieces(text.as_py() or "")
-            seen.update(found)
+            seen.update([p for p in found if len(p) <= HEAD_PIECE_BYTES])
             met += len(found)
             if met >= STRETCH:
                 yield report()
@@ -69,15 +71,11 @@ def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _encoder(path: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
+        tokenizer = loaded(path)
         for batch in batches:
             for at in range(0, batch.num_rows, ENCODE_ROWS):
                 part = batch.slice(at, ENCODE_ROWS)
-                found = tokenizer.encode_batch(part.column(0).to_pylist(), add_special_tokens=False)
+                found = tokenizer.encode_batch_fast(part.column(0).to_pylist(), add_special_tokens=False)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x.ids) for x in found], pa.int64())], names=["piece", "n_tokens"])
 
     return encode

@@ -154,3 +154,11 @@ def test_long_text_between_chunks_is_encoded_by_words():
     coder.library = lambda found: asked.extend(found) or library(found)
     assert chunked_bpe.joined(coder, [parts]) == [plain]
     assert max(map(len, asked)) < 100
+
+
+def test_long_pieces_are_not_counted_and_few_are_held(prose):
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"text": [f"{'z' * 5000}{i} short one one" for i in range(50)]})
+    found = pa.Table.from_batches(list(token_counts._frequent(iter([batch]))))
+    assert dict(zip(*found.to_pydict().values(), strict=True)) == {" short": 50, " one": 100}
