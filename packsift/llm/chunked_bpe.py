@@ -116,7 +116,7 @@ class WordCoder:
 
     def encode_all(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text, packed."""
-        split = pc.ascii_split_whitespace(pa.array(texts, pa.binary()).cast(pa.large_string()))
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).cast(pa.large_string()))
         words = split.flatten().dictionary_encode()
         known = pa.array(self.learn(words.dictionary.to_pylist()), pa.large_binary())
         if "" in self.ids:  # before and behind white space at the ends of a text
