@@ -29,7 +29,8 @@ def connected(edges: DataFrame) -> DataFrame:
     while before[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("m").alias("a"), "b").where(F.col("a") != F.col("b")).distinct()
+        # At most a row for each edge, so it need not be made distinct on the way.
+        large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("m").alias("a"), "b").where(F.col("a") != F.col("b"))
         # b > a throughout: hand the smaller neighbours of b to the smallest
         lowest = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(lowest, "b")

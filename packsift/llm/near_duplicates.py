@@ -286,7 +286,7 @@ def _possible(percent: int, x: str, y: str) -> Column:
 
 
 def linked_classes(candidates: DataFrame, text: DataFrame, shingle_words: int, percent: int, log2_filter_bits: int) -> DataFrame:
-    """Links ``(a, b)`` between classes that suffice to join all that are linked.
+    """Links ``(a, b)`` that suffice to join all classes that are linked, or reach each other by links.
 
     ``candidates`` is a written table, one row per class. The shingles of the few classes that
     the bounds leave are taken from the texts again, so the others are never moved.
@@ -315,14 +315,16 @@ def linked_classes(candidates: DataFrame, text: DataFrame, shingle_words: int, p
             "pairs",
         )
         large = (F.col("n") > COARSE) & (F.col("m") > COARSE)
-        finer = (
-            met.where(large)
-            .join(candidates.select(F.col("cls").alias("a"), F.col("fine").alias("fa")), "a")
-            .join(candidates.select(F.col("cls").alias("b"), F.col("fine").alias("fb")), "b")
-            .select("a", "b", "halves", "n", "m", "fa", "fb")
-            .mapInArrow(_fine_bound(percent), "a binary, b binary, halves array<long>")
-        )
-        near = settle(met.where(~large).select("a", "b", "halves").unionByName(finer), "pairs")
+        near = met.select("a", "b", "halves")
+        if met.where(large).count():
+            finer = (
+                met.where(large)
+                .join(candidates.select(F.col("cls").alias("a"), F.col("fine").alias("fa")), "a")
+                .join(candidates.select(F.col("cls").alias("b"), F.col("fine").alias("fb")), "b")
+                .select("a", "b", "halves", "n", "m", "fa", "fb")
+                .mapInArrow(_fine_bound(percent), "a binary, b binary, halves array<long>")
+            )
+            near = settle(met.where(~large).select("a", "b", "halves").unionByName(finer), "pairs")
         wanted = key_filter(near.select(F.explode("halves").alias("key")), "key", log2_filter_bits)
         sets = text.mapInArrow(_sets_of(shingle_words, wanted), "cls binary, hashes binary").dropDuplicates(["cls"])
         full = (
@@ -348,7 +350,8 @@ def linked_classes(candidates: DataFrame, text: DataFrame, shingle_words: int, p
         if number + 1 < STAR_ROUNDS:
             labels = settle(_relabelled(found, labels), "labels")
     # Now the label is the component. Tiles with more than one, with the band above as the other side.
-    rows = tiles(connected(links).select(F.col("node").alias("cls"), F.col("root").alias("label")))
+    roots = connected(links)
+    rows = tiles(roots.select(F.col("node").alias("cls"), F.col("root").alias("label")))
     reach = rows.select("key", "label", F.explode(F.array("band", F.col("band") - 1)).alias("band"))
     mixed = reach.groupBy("key", "band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where(F.col("lo") != F.col("hi")).select("key", "band")
     mixed = settle(mixed, "mixed")
@@ -365,7 +368,8 @@ def linked_classes(candidates: DataFrame, text: DataFrame, shingle_words: int, p
         right,
         (F.col("x.key") == F.col("y.key")) & (F.col("x.band") == F.col("y.band")) & smaller & (F.col("x.label") != F.col("y.label")) & behind & _possible(percent, "x", "y"),
     ).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
-    return links.unionByName(settle(checked(pairs), "links"))
+    # The components found stand for the links that made them, and need no rounds again.
+    return roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(settle(checked(pairs), "links"))
 
 
 def _relabelled(links: DataFrame, labels: DataFrame | None) -> DataFrame:

@@ -107,26 +107,32 @@ def _units(text: str) -> list[tuple[str, str]]:
 
 def peculiar_words(toxic: list[str], ordinary: list[str]) -> set[str]:
     """Words and beginnings of words (ending in ``*``) of toxic texts. Several contexts
-    and several texts are asked for, since near copies repeat whatever they hold."""
-    contexts: Counter = Counter()
-    texts: Counter = Counter()
-    seen: set[tuple[str, str, str]] = set()
+    and several texts are asked for, since near copies repeat whatever they hold.
+
+    Units and contexts are numbers, and only units that may be peculiar are counted elsewhere:
+    the driver fits, and would keep what a set of strings for each place takes."""
+    number: dict[str, int] = {"": 0}
+    none = np.zeros(0, np.int64)
+    units, contexts, own = [none], [none], [none]
     for text in toxic:
-        units = _units(text)
-        own: set[str] = set()
-        for before, pair, after in zip([("", ""), *units], units, [*units[1:], ("", "")], strict=False):
-            for unit in pair:
-                own.add(unit)
-                where = (unit, before[0], after[0])
-                if where not in seen:
-                    seen.add(where)
-                    contexts[unit] += 1
-        texts.update(own)
+        pairs = np.array([[number.setdefault(u, len(number)) for u in pair] for pair in _units(text)], np.int64).reshape(-1, 2)
+        words = np.concatenate([[0], pairs[:, 0], [0]])
+        units.append(pairs.ravel())
+        contexts.append(np.repeat(words[:-2] << 32 | words[2:], 2))
+        own.append(np.unique(pairs))
+    unit, context = np.concatenate(units), np.concatenate(contexts)
+    order = np.lexsort((context, unit))
+    unit, context = unit[order], context[order]
+    first = np.ones(len(unit), bool)
+    first[1:] = (unit[1:] != unit[:-1]) | (context[1:] != context[:-1])
+    n_contexts, n_texts = (np.bincount(x, minlength=len(number)) for x in (unit[first], np.concatenate(own)))
+    often = (n_contexts >= CONTEXTS) & (n_texts >= TEXTS)
+    texts = {u: int(n_texts[i]) for u, i in number.items() if often[i]}
     elsewhere: Counter = Counter()
     for text in ordinary:
-        elsewhere.update({u for pair in _units(text) for u in pair})
+        elsewhere.update({u for pair in _units(text) for u in pair if u in texts})
     rate = TIMES * max(len(toxic), 1) / max(len(ordinary), 1)
-    return {u for u, n in contexts.items() if n >= CONTEXTS and texts[u] >= TEXTS and texts[u] >= rate * (elsewhere[u] + 0.5)}
+    return {u for u, n in texts.items() if n >= rate * (elsewhere[u] + 0.5)}
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50, weight: np.ndarray | None = None) -> np.ndarray:

@@ -98,6 +98,22 @@ def test_frequent_shingles_and_a_large_group_of_near_copies(make_docs, prose, mo
     assert found == brute_components(rows, 4, 85)
 
 
+def test_components_found_once_are_not_joined_anew(make_docs, prose, monkeypatch):
+    """A driver that plans every round again holds more with each."""
+    words = prose(9, 300).split()
+    rows = [(i, " ".join([*words[:i], f"x{i}", *words[i + 1 :]])) for i in range(40)]
+    written = []
+    for module in (near_duplicates, components):
+        monkeypatch.setattr(module, "settle", lambda df, name, keep=module.settle: written.append(name) or keep(df, name))
+    found = near_duplicates.jaccard_components(make_docs(rows), 4, 85)
+    assert {r["component_id"] for r in found.collect()} == {0}
+    # Behind the links of the last pairs: the components, and the round that leaves them as they are.
+    last = len(written) - written[::-1].index("links")
+    assert written[last:] == ["edges", "edges"]
+    # No set is large, so what the bounds leave is written once a round.
+    assert written.count("pairs") == written.count("links") == near_duplicates.STAR_ROUNDS + 1
+
+
 def test_one_document_of_each_group_stays(make_docs, corpus):
     docs = make_docs(corpus, extra=("r1", "row"))
     kept = near_duplicates.keep_one_of_each(docs).collect()

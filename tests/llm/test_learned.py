@@ -1,6 +1,9 @@
 """Language, toxicity and personal data."""
 
 import random
+import re
+import tracemalloc
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -68,6 +71,41 @@ def labelled(prose):
     return rows, labels
 
 
+def test_peculiar_words_agree_with_sets_of_places_and_take_less(prose):
+    rng = random.Random(5)
+    ordinary = [prose(f"o{i}", 120) for i in range(60)] + [""]
+    toxic = ["", "vorbul"]
+    for i in range(60):
+        words = prose(f"t{i}", 400, stock=4000).split()
+        for slur in ("Vorbul", "skazzle", "skazzled", f"gritmo{i}"):
+            words.insert(rng.randrange(len(words)), slur)
+        toxic.append(" ".join(words))
+
+    def plain():
+        places, texts, elsewhere = set(), Counter(), Counter()
+        for text in toxic:
+            words = re.findall(r"\w+", text.lower())
+            units = [(w, w[: toxicity.STEM] + "*") for w in words]
+            places |= {(u, b, a) for pair, b, a in zip(units, ["", *words], [*words[1:], ""], strict=False) for u in pair}
+            texts.update({u for pair in units for u in pair})
+        for text in ordinary:
+            elsewhere.update({u for w in re.findall(r"\w+", text.lower()) for u in (w, w[: toxicity.STEM] + "*")})
+        contexts = Counter(u for u, _, _ in places)
+        rate = toxicity.TIMES * len(toxic) / len(ordinary)
+        return {u for u, n in contexts.items() if n >= toxicity.CONTEXTS and texts[u] >= toxicity.TEXTS and texts[u] >= rate * (elsewhere[u] + 0.5)}, 2 * sum(len(t.split()) for t in toxic)
+
+    expected, places = plain()
+    assert {"vorbul", "vorbu*", "skazzle", "skazz*", "gritm*"} <= expected
+    tracemalloc.start()
+    try:
+        found = toxicity.peculiar_words(toxic, ordinary)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert found == expected
+    assert peak < 120 * places
+
+
 def test_held_out_toxicity(spark, make_docs, labelled):
     rows, labels = labelled
     odd = [(5000, None), (5001, ""), (None, rows[0][1]), (4, rows[4][1]), (5002, rows[1][1] * 40)]
