@@ -35,7 +35,7 @@ FREQUENT_SHINGLES = 1 << 16
 FREQUENT, STRETCH = 8, 1 << 22
 WORDS = 8  # 64-bit words of a signature
 _SIGNATURE = [f"s{i}" for i in range(WORDS)]
-#: Larger sets carry a finer signature too, of some two bits for each shingle.
+#: Larger sets carry a finer signature too, of one to two bits for each shingle.
 COARSE = 1000
 #: Bytes of texts whose shingles are made at a time.
 SLICE = 1 << 18
@@ -119,10 +119,10 @@ def signature(own: np.ndarray) -> np.ndarray:
 
 
 def fine_signature(own: np.ndarray) -> bytes | None:
-    """Parities in a power of two of bits, at least two for each shingle; None for a small set."""
+    """Parities in a power of two of bits, at least one for each shingle; None for a small set."""
     if len(own) <= COARSE:
         return None
-    bits = 1 << (2 * len(own) - 1).bit_length()
+    bits = 1 << (len(own) - 1).bit_length()
     parity = np.bincount((own >> np.uint64(7)).astype(np.int64) & (bits - 1), minlength=bits) & 1
     return np.packbits(parity.astype(np.uint8)).tobytes()
 
@@ -295,25 +295,18 @@ def linked_classes(candidates: DataFrame, text: DataFrame, shingle_words: int, p
     # Two sets of one link have bands that are equal or neighbours.
     band = F.floor(F.log("n") / math.log(100 / percent) + 1e-9).cast("int")
 
-    def tiles(labels: DataFrame | None) -> DataFrame:
-        """A row for each class and key, with the class's label."""
-        named = candidates.select("cls", "n", "keys")
-        if labels is None:
-            named = named.withColumn("label", F.col("cls"))
-        else:
-            named = named.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-        return named.select("cls", "n", "label", band.alias("band"), F.inline("keys"))
-
-    def checked(pairs: DataFrame) -> DataFrame:
-        side = F.struct("half", "n", *_SIGNATURE)
-        met = settle(
-            pairs.distinct()
-            .join(slim.select(F.col("cls").alias("a"), side.alias("x")), "a")
-            .join(slim.select(F.col("cls").alias("b"), side.alias("y")), "b")
-            .where(_possible(percent, "x", "y"))
-            .select("a", "b", F.array("x.half", "y.half").alias("halves"), F.col("x.n").alias("n"), F.col("y.n").alias("m")),
-            "pairs",
+    def bounded(pairs: DataFrame) -> DataFrame:
+        """Of ``(x, y)``, halves that name classes, the pairs of classes that the bounds leave."""
+        side = F.struct("cls", "half", "n", *_SIGNATURE)
+        return (
+            pairs.join(slim.select(F.col("half").alias("x"), side.alias("p")), "x")
+            .join(slim.select(F.col("half").alias("y"), side.alias("q")), "y")
+            .where(_possible(percent, "p", "q"))
+            .select(F.col("p.cls").alias("a"), F.col("q.cls").alias("b"), F.array("p.half", "q.half").alias("halves"), F.col("p.n").alias("n"), F.col("q.n").alias("m"), *[c for c in pairs.columns if c not in ("x", "y")])
         )
+
+    def checked(met: DataFrame) -> DataFrame:
+        """The links among bounded pairs, a written table."""
         large = (F.col("n") > COARSE) & (F.col("m") > COARSE)
         near = met.select("a", "b", "halves")
         if met.where(large).count():
@@ -332,44 +325,64 @@ def linked_classes(candidates: DataFrame, text: DataFrame, shingle_words: int, p
             .join(sets.select(F.col("cls").alias("b"), F.col("hashes").alias("hb")), "b")
             .join(sets.select(F.col("cls").alias("a"), F.col("hashes").alias("ha")), "a")
         )
-        return full.select("a", "b", "ha", "hb").mapInArrow(_verify(percent), "a binary, b binary")
+        return settle(full.select("a", "b", "ha", "hb").mapInArrow(_verify(percent), "a binary, b binary"), "links")
 
     # Stars: every class of a tile with one leader. What a round joins gets one label, and need
     # not be compared pair by pair. At first most tiles of a group have the same leader, which
     # joins close copies with few comparisons; then every tile draws its own, so that classes of a
-    # looser group meet many.
+    # looser group meet many. Leaders do not depend on labels, so those of all rounds are drawn
+    # at once: the smallest half, seen through a mask that gives it back.
+    rows = candidates.select("half", band.alias("band"), F.explode("keys.key").alias("key"))
+    seen = [F.col("half").bitwiseXOR(F.xxhash64(F.lit(number), "key")) if number else F.col("half") for number in range(STAR_ROUNDS)]
+    drawn = rows.groupBy("key", "band").agg(F.count(F.lit(1)).alias("size"), *[F.min(h).alias(f"h{number}") for number, h in enumerate(seen)])
+    leads = drawn.where(F.col("size") > 1).select(
+        "key", "band", F.array(*[F.col(f"h{number}").bitwiseXOR(F.xxhash64(F.lit(number), "key")) if number else F.col("h0") for number in range(STAR_ROUNDS)]).alias("leads")
+    )
+    # A pair is looked at in the first round that draws it.
+    stars = (
+        rows.join(leads, ["key", "band"])
+        .select("half", F.posexplode("leads").alias("number", "lead"))
+        .where(F.col("half") != F.col("lead"))
+        .groupBy(F.least("half", "lead").alias("x"), F.greatest("half", "lead").alias("y"))
+        .agg(F.min("number").alias("number"))
+    )
+    stars = settle(bounded(stars), "pairs")
     links, labels = None, None
     for number in range(STAR_ROUNDS):
-        rows = tiles(labels)
-        drawn = F.struct(F.xxhash64(F.lit(number), *["key"] * (number > 0), "cls").alias("h"), "cls", "label")
-        leads = rows.groupBy("key", "band").agg(F.min(drawn).alias("lead"), F.max("label").alias("hi"), F.min("label").alias("lo"))
-        leads = leads.where(F.col("lo") != F.col("hi")).select("key", "band", "lead")
-        stars = rows.join(leads, ["key", "band"]).where(F.col("label") != F.col("lead.label"))
-        found = settle(checked(stars.select(F.col("lead.cls").alias("a"), F.col("cls").alias("b"))), "links")
+        met = stars.where(F.col("number") == number).drop("number")
+        if labels is not None:
+            of = lambda c: labels.select(F.col("cls").alias(c), F.col("label").alias(f"l{c}"))  # noqa: E731, B023
+            known = met.join(of("a"), "a", "left").join(of("b"), "b", "left")
+            met = settle(known.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select(*met.columns), "pairs")
+        found = checked(met)
         links = found if links is None else links.unionByName(found)
         if number + 1 < STAR_ROUNDS:
             labels = settle(_relabelled(found, labels), "labels")
     # Now the label is the component. Tiles with more than one, with the band above as the other side.
     roots = connected(links)
-    rows = tiles(roots.select(F.col("node").alias("cls"), F.col("root").alias("label")))
+    of_class = roots.select(F.col("node").alias("cls"), F.col("root").alias("label"))
+    # It is only compared, so a number does for it.
+    label = F.xxhash64(F.coalesce("label", "cls")).alias("label")
+    labelled = settle(candidates.select("cls", "half", "n", "keys").join(of_class, "cls", "left").select("half", "n", label, "keys"), "labelled")
+    rows = labelled.select("half", "n", "label", band.alias("band"), F.inline("keys"))
     reach = rows.select("key", "label", F.explode(F.array("band", F.col("band") - 1)).alias("band"))
     mixed = reach.groupBy("key", "band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where(F.col("lo") != F.col("hi")).select("key", "band")
     mixed = settle(mixed, "mixed")
     # Signatures are fetched for the rows of such tiles only.
     met = rows.join(mixed.select("key").distinct(), "key", "left_semi")
-    signed = settle(met.join(slim.drop("n", "half"), "cls"), "tiles")
+    signed = settle(met.join(slim.drop("n", "cls"), "half"), "tiles")
     left = signed.join(mixed, ["key", "band"], "left_semi").alias("x")
     right = signed.withColumn("band", F.explode(F.array("band", F.col("band") - 1))).join(mixed, ["key", "band"], "left_semi").alias("y")
-    smaller = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.cls") < F.col("y.cls")))
+    smaller = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.half") < F.col("y.half")))
     # The first key that two sets share has all they share behind it in both.
     left_over = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
     behind = (100 + percent) * left_over >= percent * (F.col("x.n") + F.col("y.n"))
     pairs = left.join(
         right,
         (F.col("x.key") == F.col("y.key")) & (F.col("x.band") == F.col("y.band")) & smaller & (F.col("x.label") != F.col("y.label")) & behind & _possible(percent, "x", "y"),
-    ).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
+    ).select(F.col("x.half").alias("x"), F.col("y.half").alias("y"))
     # The components found stand for the links that made them, and need no rounds again.
-    return roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(settle(checked(pairs), "links"))
+    return roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(checked(settle(bounded(pairs.distinct()), "pairs")))
 
 
 def _relabelled(links: DataFrame, labels: DataFrame | None) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from packsift.llm import components, decontaminate, near_duplicates, repeated_phrases
@@ -114,6 +115,30 @@ def test_components_found_once_are_not_joined_anew(make_docs, prose, monkeypatch
     assert written.count("pairs") == written.count("links") == near_duplicates.STAR_ROUNDS + 1
 
 
+def test_keys_of_all_classes_are_dealt_out_once_for_all_leaders(make_docs, prose, monkeypatch):
+    """Each time moves a row for every key of every class, which is most of what the join moves."""
+    words = prose(7, 120).split()
+    rows = [(i, " ".join([*words[:i], f"x{i}", *words[i + 1 :]])) for i in range(12)]
+    dealt = []
+
+    def kept(df, name, keep=near_duplicates.settle):
+        if re.search(r"Generate (explode|inline)\((keys|_extract_key)", df._jdf.queryExecution().optimizedPlan().toString()):
+            dealt.append(name)
+        return keep(df, name)
+
+    monkeypatch.setattr(near_duplicates, "settle", kept)
+    found = near_duplicates.jaccard_components(make_docs(rows), 4, 85)
+    assert Counter(tuple(r) for r in found.collect()) == brute_components(rows, 4, 85)
+    # Leaders of all rounds, tiles of more than one component, their rows.
+    assert dealt == ["pairs", "mixed", "tiles"]
+
+
+def test_a_finer_signature_takes_two_bits_for_a_shingle_at_most():
+    for n in (1025, 1500, 2047, 2048, 2049, 60_000):
+        own = np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        assert n <= 8 * len(near_duplicates.fine_signature(own)) <= 2 * n
+
+
 def test_one_document_of_each_group_stays(make_docs, corpus):
     docs = make_docs(corpus, extra=("r1", "row"))
     kept = near_duplicates.keep_one_of_each(docs).collect()
